@@ -3,7 +3,7 @@
 An object travels as its JSON text. ``from_json(.., map<string,variant>)`` gives its entries in
 source order with their JSON types; ``from_json(.., map<string,string>)`` gives the text of the
 nested ones. (A VARIANT object alone would return its keys sorted, so "first key wins" could not be
-answered from it.)
+answered from it.) Entries are turned into ``(key, value, kind, num)`` once and probed from there.
 """
 
 from __future__ import annotations
@@ -21,15 +21,18 @@ NAMED_READING = r"^gpu[_-]?(\d+)[_\-]?.*util"
 TYPED = "map<string,variant>"
 STRICT_JSON = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false"}
 
+# Kinds are the first letters of the type a VARIANT reports.
+NUMBERS = ["BIGINT", "DOUBLE", "FLOAT", "DECIMA"]
+OBJECT, LIST, STRING, BOOLEAN, NULL = "OBJECT", "ARRAY<", "STRING", "BOOLEA", "VOID"
+
 # Range of calendar years 1 to 9999 in epoch seconds.
 MIN_EPOCH = -62135596800
 MAX_EPOCH = 253402300800
 
-ISO_TIME = (
-    r"^(\d{4}-\d{2}-\d{2})"
-    r"(?:[\s\S](\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
-    r"(Z|[+-]\d{2}:?\d{2}(?::\d{2})?)?)?$"
-)
+ISO_OFFSET = r"[+-]\d{2}:?\d{2}(:\d{2})?|Z"
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+ISO_HOUR = r"^\d{4}-\d{2}-\d{2}[\s\S]\d{2}$"
+ISO_TIME = rf"^\d{{4}}-\d{{2}}-\d{{2}}[\s\S]\d{{2}}:\d{{2}}(:\d{{2}}([.,]\d+)?)?({ISO_OFFSET})?$"
 DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -43,37 +46,48 @@ def first_of(values: Column) -> Column:
     return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
 
 
-def typed_entries(text: Column) -> Column:
-    return F.from_json(text, TYPED, STRICT_JSON)
-
-
-def nested_texts(text: Column) -> Column:
-    return F.from_json(text, "map<string,string>", STRICT_JSON)
-
-
-def json_kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def probed(typed: Column) -> Column:
+    """Map of variants to the array of its entries ``(key, value, kind, num)``, in source order."""
+    kinds = F.transform(
+        F.map_entries(typed),
+        lambda e: F.struct(
+            e["key"].alias("key"),
+            e["value"].alias("value"),
+            F.substring(F.schema_of_variant(e["value"]), 1, 6).alias("kind"),
+        ),
+    )
+    return F.transform(
+        kinds,
+        lambda e: F.struct(
+            e["key"].alias("key"),
+            e["value"].alias("value"),
+            e["kind"].alias("kind"),
+            # A JSON number. Booleans are not, nor is a bare NaN, which arrives as a string.
+            F.when(e["kind"].isin(NUMBERS), F.try_variant_get(e["value"], "$", "double")).alias("num"),
+        ),
+    )
 
 
-def is_number(value: Column) -> Column:
-    """A JSON number. Booleans and bare NaN are not."""
-    return F.coalesce(json_kind(value).rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.lit(False))
+def entries_of(text: Column) -> Column:
+    """Entries of the object written in ``text``."""
+    return probed(F.from_json(text, TYPED, STRICT_JSON))
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(json_kind(value), F.lit("OBJECT")), F.lit(False))
+def nested_texts(text: Column) -> Column:
+    return F.from_json(text, "map<string,string>", STRICT_JSON)
 
 
-def is_list(value: Column) -> Column:
-    return F.coalesce(F.startswith(json_kind(value), F.lit("ARRAY")), F.lit(False))
+def entry_at(entries: Column, key: str) -> Column:
+    """Entry of a key, the last one if the key repeats."""
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))
 
 
-def as_double(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "double")
+def as_text(entry: Column) -> Column:
+    return F.try_variant_get(entry["value"], "$", "string")
 
 
-def as_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+def as_flag(entry: Column) -> Column:
+    return F.try_variant_get(entry["value"], "$", "boolean")
 
 
 def epoch_instant(seconds: Column) -> Column:
@@ -86,16 +100,13 @@ def epoch_instant(seconds: Column) -> Column:
 
 def iso_instant(text: Column) -> Column:
     """ISO date or date-time; a time without an offset is taken as UTC."""
-
-    def part(i: int, default: str) -> Column:
-        found = F.regexp_extract(text, ISO_TIME, i)
-        return F.when(found == "", F.lit(default)).otherwise(found)
-
-    whole = F.concat(
-        part(1, ""), F.lit("T"), part(2, "00"), F.lit(":"), part(3, "00"), F.lit(":"), part(4, "00"),
-        F.lit("."), part(5, "0"), part(6, "Z"),
+    joined = F.concat(F.substring(text, 1, 10), F.lit("T"), F.translate(F.substring(text, 12, 60), ",", "."))
+    zone = F.when(text.rlike(rf"({ISO_OFFSET})$"), "").otherwise("Z")
+    return (
+        F.when(text.rlike(ISO_TIME), F.concat(joined, zone).try_cast("timestamp"))
+        .when(text.rlike(ISO_DATE), F.concat(text, F.lit("T00:00:00Z")).try_cast("timestamp"))
+        .when(text.rlike(ISO_HOUR), F.concat(joined, F.lit(":00:00Z")).try_cast("timestamp"))
     )
-    return F.when(text.rlike(ISO_TIME), whole.try_cast("timestamp"))
 
 
 def text_instant(text: Column) -> Column:
@@ -103,84 +114,94 @@ def text_instant(text: Column) -> Column:
     return F.coalesce(iso_instant(text), epoch_instant(number))
 
 
-def instant_of(value: Column) -> Column:
+def instant_of(entry: Column) -> Column:
     """Instant held by one JSON value. Booleans count as 0 and 1 here."""
-    kind = json_kind(value)
     return (
-        F.when(is_number(value), epoch_instant(as_double(value)))
-        .when(kind == "BOOLEAN", epoch_instant(F.try_variant_get(value, "$", "boolean").cast("double")))
-        .when(kind == "STRING", text_instant(as_text(value)))
+        F.when(entry["num"].isNotNull(), epoch_instant(entry["num"]))
+        .when(entry["kind"] == STRING, let(as_text(entry), text_instant))
+        .when(entry["kind"] == BOOLEAN, epoch_instant(as_flag(entry).cast("double")))
     )
 
 
 def object_instant(entries: Column) -> Column:
     """First usable time key of one object."""
-    return F.coalesce(*[instant_of(F.element_at(entries, F.lit(k))) for k in TIME_KEYS])
+    keys = F.array(*[F.lit(k) for k in TIME_KEYS])
+    found = F.transform(
+        F.filter(entries, lambda e: e["key"].isin(TIME_KEYS)),
+        lambda e: F.struct(F.array_position(keys, e["key"]).alias("place"), instant_of(e).alias("ts")),
+    )
+    return F.array_min(F.filter(found, lambda f: f["ts"].isNotNull()))["ts"]
 
 
 def line_instant(entries: Column) -> Column:
     """Time of a line: its own, else that of its first nested object with a ``ts`` key."""
     inner = F.transform(
-        F.filter(F.map_values(entries), is_object), lambda v: F.try_variant_get(v, "$", TYPED)
+        F.filter(entries, lambda e: e["kind"] == OBJECT), lambda e: F.try_variant_get(e["value"], "$", TYPED)
     )
     stamped = F.filter(inner, lambda m: F.map_contains_key(m, "ts"))
-    return F.coalesce(object_instant(entries), first_of(F.transform(stamped, object_instant)))
-
+    return F.coalesce(
+        object_instant(entries), first_of(F.transform(stamped, lambda m: object_instant(probed(m))))
+    )
 
-def first_number(text: Column) -> Column:
-    """First numeric child of the object written in ``text``."""
-    numbers = F.filter(F.map_values(typed_entries(text)), is_number)
-    return as_double(F.get(numbers, F.lit(0)))
 
+def entry_utilization(entries: Column, text: Callable[[], Column]) -> Column:
+    """Value of the first key that speaks of utilization: a number, or an object holding one.
 
-def entry_utilization(text: Column, entries: Column) -> Column:
-    """Value of the first key that speaks of utilization: a number, or an object holding one."""
+    ``text`` gives the text of the entry. It is only needed to tell which of several numbers in a
+    nested object comes first.
+    """
 
     def named(key: Column) -> Column:
         lowered = F.lower(key)
         return F.contains(lowered, F.lit(UTIL_WORDS[0])) | F.contains(lowered, F.lit(UTIL_WORDS[1]))
 
-    candidates = F.filter(F.map_entries(entries), lambda e: named(e["key"]))
+    def first_number(e: Column) -> Column:
+        numbers = F.filter(
+            probed(F.try_variant_get(e["value"], "$", TYPED))["num"], lambda x: x.isNotNull()
+        )
+        in_order = first_of(entries_of(F.element_at(nested_texts(text()), e["key"]))["num"])
+        return let(numbers, lambda ns: F.when(F.size(ns) < 2, F.get(ns, F.lit(0))).otherwise(in_order))
+
+    candidates = F.filter(entries, lambda e: named(e["key"]))
     return first_of(
         F.transform(
-            candidates,
-            lambda e: F.when(is_number(e["value"]), as_double(e["value"])).when(
-                is_object(e["value"]), first_number(F.element_at(nested_texts(text), e["key"]))
-            ),
+            candidates, lambda e: F.coalesce(e["num"], F.when(e["kind"] == OBJECT, first_number(e)))
         )
     )
 
 
-def is_given(value: Column) -> Column:
+def is_given(entry: Column) -> Column:
     """Present and not JSON null."""
-    return value.isNotNull() & (json_kind(value) != "VOID")
+    return F.coalesce(entry["kind"] != NULL, F.lit(False))
 
 
-def is_truthy(value: Column) -> Column:
-    kind = json_kind(value)
-    return is_given(value) & (
-        F.when(is_number(value), as_double(value) != 0)
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind == "STRING", as_text(value) != "")
-        .when(kind.isin("OBJECT<>", "ARRAY<VOID>"), F.to_json(value).rlike(r"[^{}\[\]]"))
-        .otherwise(F.lit(True))
+def is_truthy(entry: Column) -> Column:
+    return is_given(entry) & (
+        F.when(entry["num"].isNotNull(), entry["num"] != 0)
+        .when(entry["kind"] == BOOLEAN, as_flag(entry))
+        .when(entry["kind"] == STRING, as_text(entry) != "")
+        .otherwise(~F.to_json(entry["value"]).isin("{}", "[]"))
     )
 
 
-def index_value(entries: Column) -> Column:
-    """The JSON value that names the device: ``index``, else a truthy ``gpu``, else ``id``."""
-    index, gpu, ident = (F.element_at(entries, F.lit(k)) for k in ("index", "gpu", "id"))
-    return F.when(is_given(index), index).when(is_truthy(gpu), gpu).when(is_given(ident), ident)
+def index_entry(entries: Column) -> Column:
+    """The entry that names the device: ``index``, else a truthy ``gpu``, else ``id``."""
+    named = F.struct(*[entry_at(entries, k).alias(k) for k in ("index", "gpu", "id")])
+    return let(
+        named,
+        lambda n: F.when(is_given(n["index"]), n["index"])
+        .when(is_truthy(n["gpu"]), n["gpu"])
+        .when(is_given(n["id"]), n["id"]),
+    )
 
 
-def index_number(value: Column) -> Column:
-    """Integer of an index value, truncated; NULL if it is no integer."""
-    kind = json_kind(value)
-    text = F.trim(as_text(value))
+def index_number(entry: Column) -> Column:
+    """Integer of an index, truncated; NULL if it is no integer."""
+    text = F.trim(as_text(entry))
     return (
-        F.when(is_number(value), as_double(value).try_cast("bigint"))
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("bigint"))
-        .when((kind == "STRING") & text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
+        F.when(entry["num"].isNotNull(), entry["num"].try_cast("bigint"))
+        .when(entry["kind"] == BOOLEAN, as_flag(entry).cast("bigint"))
+        .when((entry["kind"] == STRING) & text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
     )
 
 

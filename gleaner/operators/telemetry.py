@@ -11,19 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.probes import (
+    LIST,
+    OBJECT,
     STRICT_JSON,
-    as_double,
+    TYPED,
     entry_utilization,
+    index_entry,
     index_number,
-    index_value,
-    is_list,
-    is_number,
-    is_object,
     let,
     line_instant,
     named_reading_index,
     nested_texts,
-    typed_entries,
+    probed,
 )
 from gleaner.operators.ordered import MAX_GROUP_ROWS, Measure, group_rows, position, scan_groups
 
@@ -31,97 +30,121 @@ from gleaner.operators.ordered import MAX_GROUP_ROWS, Measure, group_rows, posit
 DOWNSAMPLE = 2000
 
 # White space that is stripped around a line.
-EDGE = r"[\s\x1C-\x1F\x{85}\p{Z}]"
+EDGE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
 READINGS = "array<struct<gpu:bigint,util:double,bad_index:boolean>>"
-TEXTS = "array<string>"
+ENTRIES = "array<struct<key:string,value:variant,kind:string,num:double>>"
+NODES = f"array<struct<path:array<string>,entries:{ENTRIES}>>"
 
 
 def none_of(kind: str) -> Column:
     return F.array().cast(kind)
 
 
-def reading(gpu: Column, util: Column, bad_index: Column) -> Column:
+def reading(gpu: Column, util: Column, bad_index: Column | None = None) -> Column:
+    flag = F.lit(False) if bad_index is None else bad_index
     return F.struct(
-        gpu.cast("bigint").alias("gpu"), util.cast("double").alias("util"), bad_index.alias("bad_index")
+        gpu.cast("bigint").alias("gpu"), util.cast("double").alias("util"), flag.alias("bad_index")
     )
 
 
-def listed_readings(text: Column, entries: Column) -> Column:
-    """Readings of the objects in the ``gpus`` list."""
-    gpus = F.element_at(entries, F.lit("gpus"))
+def text_at(text: Column, path: Column) -> Column:
+    """Text of the object under ``path``, keys in source order."""
+    return F.aggregate(path, text, lambda t, key: F.element_at(nested_texts(t), key))
+
+
+def listed_readings(text: Column, gpus: Column) -> Column:
+    """Readings of the objects in the ``gpus`` list of the object ``text``."""
+
+    def texts() -> Column:
+        return F.from_json(F.element_at(nested_texts(text), F.lit("gpus")), "array<string>", STRICT_JSON)
 
-    def read(entry: Column) -> Column:
+    def read(entries: Column, i: Column) -> Column:
+        probes = F.struct(
+            entry_utilization(entries, lambda: F.get(texts(), i)).alias("util"),
+            index_entry(entries).alias("index"),
+        )
         return let(
-            F.struct(entry.alias("text"), typed_entries(entry).alias("entries")),
-            lambda e: let(
-                F.struct(
-                    entry_utilization(e["text"], e["entries"]).alias("util"),
-                    index_value(e["entries"]).alias("index"),
-                ),
-                lambda r: reading(
-                    index_number(r["index"]),
-                    r["util"],
-                    r["index"].isNotNull() & index_number(r["index"]).isNull(),
-                ),
+            probes,
+            lambda r: let(
+                index_number(r["index"]),
+                lambda n: reading(n, r["util"], r["index"].isNotNull() & n.isNull()),
             ),
         )
 
-    kinds = F.try_variant_get(gpus, "$", "array<variant>")
-    texts = F.from_json(F.element_at(nested_texts(text), F.lit("gpus")), TEXTS, STRICT_JSON)
-    objects = let(kinds, lambda ks: F.filter(texts, lambda _, i: is_object(F.get(ks, i))))
-    hits = F.filter(F.transform(objects, read), lambda r: r["util"].isNotNull())
-    return F.when(is_list(gpus), F.coalesce(hits, none_of(READINGS))).otherwise(none_of(READINGS))
+    objects = F.from_json(text, f"struct<gpus:array<{TYPED}>>", STRICT_JSON)["gpus"]
+    # A list that also holds other things is refused as a whole, so its objects are opened one by one.
+    kinds = F.transform(F.try_variant_get(gpus["value"], "$", "array<variant>"), F.schema_of_variant)
+    mixed = F.zip_with(
+        kinds, texts(), lambda k, t: F.when(F.startswith(k, F.lit(OBJECT)), F.from_json(t, TYPED, STRICT_JSON))
+    )
+    hits = F.transform(
+        F.coalesce(objects, mixed), lambda m, i: F.when(m.isNotNull(), let(probed(m), lambda e: read(e, i)))
+    )
+    return F.filter(hits, lambda r: r["util"].isNotNull())
 
 
 def keyed_readings(entries: Column, gpu_count: int | None) -> Column:
     """Readings under keys such as ``gpu0_util`` and, if the count is known, in lists of that length."""
 
-    def read(e: Column) -> Column:
-        index = named_reading_index(e["key"])
-        named = is_number(e["value"]) & (index != "")
-        out = F.when(
-            named, F.array(reading(index.try_cast("bigint"), as_double(e["value"]), F.lit(False)))
-        )
-        if gpu_count:
-            items = F.try_variant_get(e["value"], "$", "array<variant>")
-            fits = is_list(e["value"]) & (F.size(items) == gpu_count) & F.forall(items, is_number)
-            out = out.when(
-                fits, F.transform(items, lambda v, i: reading(i, as_double(v), F.lit(False)))
-            )
-        return out.otherwise(none_of(READINGS))
+    def named(e: Column) -> Column:
+        return e["num"].isNotNull() & (named_reading_index(e["key"]) != "")
 
-    return F.flatten(F.transform(F.map_entries(entries), read))
+    keyed = F.transform(
+        F.filter(entries, named),
+        lambda e: reading(named_reading_index(e["key"]).try_cast("bigint"), e["num"]),
+    )
+    if not gpu_count:
+        return keyed
+    lists = F.transform(
+        F.filter(entries, lambda e: e["kind"] == LIST),
+        lambda e: probed(
+            F.map_from_entries(
+                F.transform(
+                    F.try_variant_get(e["value"], "$", "array<variant>"),
+                    lambda v, i: F.struct(i.cast("string"), v),
+                )
+            )
+        ),
+    )
+    full = F.filter(
+        lists, lambda items: (F.size(items) == gpu_count) & F.forall(items, lambda x: x["num"].isNotNull())
+    )
+    return F.concat(
+        keyed,
+        F.flatten(F.transform(full, lambda items: F.transform(items, lambda x, i: reading(i, x["num"])))),
+    )
 
 
-def nested_objects(text: Column, entries: Column) -> Column:
-    """Texts of the nested objects. Objects inside lists do not count."""
-    texts = F.map_values(
-        F.map_filter(nested_texts(text), lambda k, _: is_object(F.element_at(entries, k)))
+def nested_objects(path: Column, entries: Column) -> Column:
+    """The nested objects. Those inside lists do not count."""
+    return F.transform(
+        F.filter(entries, lambda e: e["kind"] == OBJECT),
+        lambda e: F.struct(
+            F.concat(path, F.array(e["key"])).alias("path"),
+            probed(F.try_variant_get(e["value"], "$", TYPED)).alias("entries"),
+        ),
     )
-    return F.when(F.exists(F.map_values(entries), is_object), texts).otherwise(none_of(TEXTS))
 
 
-def found_readings(text: Column, gpu_count: int | None = None) -> Column:
+def found_readings(text: Column, entries: Column, gpu_count: int | None = None) -> Column:
     """All readings of a line; an object with a productive ``gpus`` list is not searched further."""
 
-    def visit(node: Column) -> Column:
+    def visit(n: Column) -> Column:
+        gpus = F.filter(n["entries"], lambda e: (e["key"] == "gpus") & (e["kind"] == LIST))
+        listed = F.when(
+            F.size(gpus) > 0, listed_readings(text_at(text, n["path"]), F.get(gpus, F.lit(0)))
+        ).otherwise(none_of(READINGS))
         return let(
-            F.struct(node.alias("text"), typed_entries(node).alias("entries")),
-            lambda n: let(
+            listed,
+            lambda hits: F.when(
+                F.size(hits) > 0, F.struct(none_of(NODES).alias("open"), hits.alias("found"))
+            ).otherwise(
                 F.struct(
-                    n["text"].alias("text"),
-                    n["entries"].alias("entries"),
-                    listed_readings(n["text"], n["entries"]).alias("listed"),
-                ),
-                lambda v: F.when(
-                    F.size(v["listed"]) > 0,
-                    F.struct(none_of(TEXTS).alias("open"), v["listed"].alias("found")),
-                ).otherwise(
-                    F.struct(
-                        nested_objects(v["text"], v["entries"]).alias("open"),
-                        keyed_readings(v["entries"], gpu_count).alias("found"),
-                    )
-                ),
+                    nested_objects(n["path"], n["entries"]).alias("open"),
+                    keyed_readings(n["entries"], gpu_count).alias("found"),
+                )
             ),
         )
 
@@ -136,67 +159,80 @@ def found_readings(text: Column, gpu_count: int | None = None) -> Column:
             )
         )
 
-    levels = F.sequence(F.lit(1), F.greatest(F.regexp_count(text, F.lit("[{]")), F.lit(1)))
-    start = F.struct(F.array(text).alias("open"), none_of(READINGS).alias("found"))
-    return F.aggregate(levels, start, level, lambda s: s["found"])
+    braces = F.length(text) - F.length(F.replace(text, F.lit("{")))
+    levels = F.sequence(F.lit(1), F.greatest(braces, F.lit(1)))
+    root = F.struct(none_of("array<string>").alias("path"), entries.alias("entries"))
+    start = F.struct(F.array(root).cast(NODES).alias("open"), none_of(READINGS).alias("found"))
+    flat = ~F.exists(entries, lambda e: e["kind"].isin(OBJECT, LIST))
+    return F.when(flat, keyed_readings(entries, gpu_count)).otherwise(
+        F.aggregate(levels, start, level, lambda s: s["found"])
+    )
 
 
 def plain_numbers(entries: Column) -> Column:
     """Fallback: every top-level number from 0 to 100 belongs to device 0."""
-    numbers = F.filter(
-        F.map_values(entries), lambda v: is_number(v) & as_double(v).between(0, 100)
+    return F.transform(
+        F.filter(entries, lambda e: F.coalesce(e["num"].between(0, 100), F.lit(False))),
+        lambda e: reading(F.lit(0), e["num"]),
     )
-    return F.transform(numbers, lambda v: reading(F.lit(0), as_double(v), F.lit(False)))
+
+
+def computed(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Compute costly columns once per row.
+
+    A plain projection would be copied into every filter and expression that uses it, and the JSON
+    parsed again for each; a one-row generator is not taken apart by the optimizer.
+    """
+    once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*keep, once.alias("_once")).select(*keep, *[F.col(f"_once.{n}").alias(n) for n in columns])
 
 
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Non-blank lines with ``entries`` (NULL if the line is no JSON object) and ``is_json``.
+    """Non-blank lines with ``entries``, NULL if the line is no JSON object.
 
     The line is read as the one element of a list, so text after the object is noticed.
     """
-    text = F.regexp_replace(F.col(line), rf"^{EDGE}+|(?<!{EDGE}){EDGE}+\z", "")
-    wrapped = F.concat(F.lit("["), F.col("text"), F.lit("]"))
-    objects = F.from_json(wrapped, "array<map<string,variant>>", STRICT_JSON)
-    whole = (F.size(objects) == 1) & F.endswith(F.col("text"), F.lit("}"))
-    values = F.from_json(wrapped, "array<variant>", STRICT_JSON)
-    others = [c for c in lines.columns if c != line]
-    return (
-        lines.select(*others, text.alias("text"))
-        .filter(F.col("text") != "")
-        .withColumn("entries", F.when(whole, F.get(objects, F.lit(0))))
-        .withColumn("is_json", F.col("entries").isNotNull() | F.coalesce(F.size(values) == 1, F.lit(False)))
+    keep = [c for c in lines.columns if c != line]
+    text = F.btrim(F.col(line), F.lit(EDGE))
+    trimmed = computed(lines, keep, {"text": text}).filter(F.col("text") != "")
+    objects = F.from_json(in_list(F.col("text")), f"array<{TYPED}>", STRICT_JSON)
+    whole = let(
+        objects, lambda o: F.when((F.size(o) == 1) & F.endswith(F.col("text"), F.lit("}")), F.get(o, F.lit(0)))
     )
+    return computed(trimmed, [*keep, "text"], {"entries": probed(whole)})
+
+
+def in_list(text: Column) -> Column:
+    return F.concat(F.lit("["), text, F.lit("]"))
 
 
 def read_lines(parsed: DataFrame, gpu_count: int | None = None) -> DataFrame:
     """Add ``ts`` and ``readings`` to the lines that hold an object."""
-    objects = parsed.filter(F.col("entries").isNotNull())
-    found = objects.withColumns(
-        {
-            "ts": line_instant(F.col("entries")),
-            "found": found_readings(F.col("text"), gpu_count),
-        }
-    )
-    readings = F.when(F.size("found") > 0, F.col("found")).otherwise(plain_numbers(F.col("entries")))
-    return found.withColumn("readings", readings).drop("found")
+    keep = [c for c in parsed.columns if c != "entries"]
+    entries = F.col("entries")
+    found = found_readings(F.col("text"), entries, gpu_count)
+    readings = let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(plain_numbers(entries)))
+    objects = parsed.filter(entries.isNotNull())
+    return computed(objects, keep, {"ts": line_instant(entries), "readings": readings})
 
 
 def extract_readings(lines: DataFrame, line: str = "value", gpu_count: int | None = None) -> DataFrame:
     """Long table of readings. Lines without a time, and lines of :func:`rejects`, give none."""
+    keep = [c for c in lines.columns if c != line]
     read = read_lines(parse_lines(lines, line), gpu_count)
-    others = [c for c in lines.columns if c != line]
     usable = read.filter(
         F.col("ts").isNotNull() & ~F.exists("readings", lambda r: r["bad_index"])
     )
-    return usable.select(*others, "ts", F.explode("readings").alias("r")).select(
-        *others, F.coalesce("r.gpu", F.lit(0)).cast("bigint").alias("gpu"), "ts", F.col("r.util").alias("util")
+    return usable.select(*keep, "ts", F.explode("readings").alias("r")).select(
+        *keep, F.coalesce("r.gpu", F.lit(0)).cast("bigint").alias("gpu"), "ts", F.col("r.util").alias("util")
     )
 
 
 def rejects(lines: DataFrame, line: str = "value", gpu_count: int | None = None) -> DataFrame:
     """Lines that are JSON but cannot be read: no object, or a device index that is no integer."""
     parsed = parse_lines(lines, line)
-    no_object = parsed.filter(F.col("is_json") & F.col("entries").isNull()).select(
+    values = F.from_json(in_list(F.col("text")), "array<variant>", STRICT_JSON)
+    no_object = parsed.filter(F.col("entries").isNull() & (F.size(values) == 1)).select(
         "text", F.lit("not an object").alias("reason")
     )
     bad_index = read_lines(parsed, gpu_count).filter(

@@ -18,6 +18,7 @@ from gleaner.operators import repos as R
 from gleaner.operators.sampling import sample_rows
 from gleaner.plans.harvest import HarvestOptions, candidates, harvest
 from gleaner.plans.registered import table
+from gleaner.session import widen
 from gleaner.sources.sinks import manifest_changes, manifest_document, same_rows
 
 PAGE_EXTENSIONS = ["html", "htm"]
@@ -49,13 +50,13 @@ def safe_names(spark: SparkSession, folder: str) -> DataFrame:
 
 def comma_items(spark: SparkSession, folder: str) -> DataFrame:
     items = comma_list(F.col("text"), lower=True)
-    return table(spark, folder, "documents").select(
+    return widen(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", F.size(items).cast("bigint").alias("n_items"), F.md5(F.concat_ws("|", items)).alias("items_md5")
     )
 
 
 def text_bytes(spark: SparkSession, folder: str) -> DataFrame:
-    stored = table(spark, folder, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("b64"))
+    stored = widen(table(spark, folder, "documents")).select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("b64"))
     content = payload_bytes(F.lit("base64"), F.col("b64"))
     return (
         stored.select("doc_id", content.alias("content"))

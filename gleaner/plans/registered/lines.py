@@ -19,13 +19,14 @@ from gleaner.operators.lines import (
 from gleaner.operators.sampling import sample_rows
 from gleaner.plans.feed import line_feed as feed_lines
 from gleaner.plans.registered import table
+from gleaner.session import widen
 
 # Lines to fall back to.
 SNIPPETS = ["select 1", "for row in rows:", "    total += row.amount", "return total", "# end"]
 
 
 def clean_lines_by_source(spark: SparkSession, folder: str) -> DataFrame:
-    lines = clean_lines(table(spark, folder, "documents").select("source", "text"))
+    lines = clean_lines(widen(table(spark, folder, "documents").select("source", "text")))
     units = utf16_length(F.col("line"))
     return lines.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_lines"),
@@ -36,7 +37,7 @@ def clean_lines_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_counts(spark: SparkSession, folder: str) -> DataFrame:
     """All lines per document, before the screen."""
-    lines = explode_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    lines = explode_lines(widen(table(spark, folder, "documents").select("doc_id", "text")))
     return lines.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars")
     )
@@ -52,7 +53,7 @@ def manifest_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def draw_lines(spark: SparkSession, folder: str) -> DataFrame:
     draws = table(spark, folder, "conversations").select("conv_id", "turn")
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = widen(table(spark, folder, "documents").select("doc_id", "text"))
     return draw_file_lines(draws, ["conv_id", "turn"], docs, "doc_id", "text", 11).select(
         "conv_id", "turn", "doc_id", F.col("pos").cast("bigint").alias("pos"), "line"
     )
@@ -60,7 +61,7 @@ def draw_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def fallback_lines(spark: SparkSession, folder: str) -> DataFrame:
     draws = table(spark, folder, "conversations").select("conv_id", "turn")
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = widen(table(spark, folder, "documents").select("doc_id", "text"))
     arrays = draw_arrays(draws, ["conv_id", "turn"], docs, "doc_id", "text", 11)
     return with_fallback(arrays, ["conv_id", "turn"], SNIPPETS, 11).select(
         "conv_id", "turn", "tier", F.col("pos").cast("bigint").alias("pos"), "line"
@@ -69,7 +70,7 @@ def fallback_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_feed(spark: SparkSession, folder: str) -> DataFrame:
     draws = table(spark, folder, "conversations").select("conv_id", "turn")
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = widen(table(spark, folder, "documents").select("doc_id", "text"))
     return feed_lines(draws, "conv_id", "turn", docs, "doc_id", "text", SNIPPETS, 11, visible=5).select(
         "conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "line"
     )

@@ -15,6 +15,7 @@ from gleaner.operators.telemetry import (
     summarise,
 )
 from gleaner.plans.registered import table
+from gleaner.session import widen
 
 
 def epoch_micros(ts: Column) -> Column:
@@ -29,7 +30,7 @@ def cents(value: Column) -> Column:
 
 def telemetry_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Events written as JSON lines in five shapes, one per event type."""
-    events = table(spark, folder, "events")
+    events = widen(table(spark, folder, "events"))
     k = F.get_json_object("props", "$.k").cast("int")
     micros = epoch_micros(F.col("ts"))
     seconds = F.format_string("%d.%06d", F.floor(micros / 1_000_000), micros % 1_000_000)
@@ -68,7 +69,7 @@ def telemetry_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 def telemetry_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """Props next to their bare numbers and to broken copies: only the numbers are rejects."""
-    props = table(spark, folder, "events").select("props")
+    props = widen(table(spark, folder, "events").select("props"))
     number = F.get_json_object("props", "$.k")
     lines = props.select(
         F.explode(F.array("props", number, F.rtrim(F.lit("}"), F.col("props")), F.concat("props", F.lit(" x")))).alias("value")
@@ -97,11 +98,11 @@ def series_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def nearest_sync(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select(
-        "user_id", "event_type", epoch_micros(F.col("ts")).alias("at"), "event_id"
+        "user_id", "event_type", epoch_micros(F.col("ts")).alias("us"), "event_id"
     )
     left = events.filter(F.col("event_type") == "click").withColumnRenamed("event_id", "click_id")
     right = events.filter(F.col("event_type") == "view").withColumnRenamed("event_id", "view_id")
-    return sync(left, right, ["user_id"], "at", "click_id", "view_id", F.lit(6 * 3600 * 1_000_000))
+    return sync(left, right, ["user_id"], "us", "click_id", "view_id", F.lit(6 * 3600 * 1_000_000))
 
 
 QUERIES = {
@@ -138,18 +139,18 @@ SQL = {
     "telemetry_downsample": f"""
         WITH {READINGS_SQL}, p AS (
             SELECT CAST(gpu AS BIGINT) AS gpu, ts_micros, util,
-                   row_number() OVER (PARTITION BY gpu ORDER BY ts_micros, util) - 1 AS at,
+                   row_number() OVER (PARTITION BY gpu ORDER BY ts_micros, util) - 1 AS i,
                    count(*) OVER (PARTITION BY gpu) AS n FROM readings
         )
-        SELECT gpu, ts_micros, util FROM p WHERE n <= 100 OR at % greatest(1, n // 100) = 0
+        SELECT gpu, ts_micros, util FROM p WHERE n <= 100 OR i % greatest(1, n // 100) = 0
     """,
     "telemetry_devices": f"WITH {READINGS_SQL} SELECT DISTINCT CAST(gpu AS BIGINT) AS gpu FROM readings",
     "series_downsample": """
         WITH p AS (
-            SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS at,
+            SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
                    count(*) OVER (PARTITION BY user_id) AS n FROM events
         )
-        SELECT user_id, event_id, value FROM p WHERE n <= 20 OR at % greatest(1, n // 20) = 0
+        SELECT user_id, event_id, value FROM p WHERE n <= 20 OR i % greatest(1, n // 20) = 0
     """,
     "series_summary": """
         WITH c AS (SELECT user_id, event_type, CAST(round(value * 100) AS BIGINT) AS cents FROM events)
@@ -157,14 +158,14 @@ SQL = {
         FROM c GROUP BY ALL
     """,
     "nearest_sync": """
-        WITH c AS (SELECT user_id, epoch_us(ts) AS at, event_id AS click_id FROM events WHERE event_type = 'click'),
-             v AS (SELECT user_id, epoch_us(ts) AS at, event_id AS view_id FROM events WHERE event_type = 'view'),
+        WITH c AS (SELECT user_id, epoch_us(ts) AS us, event_id AS click_id FROM events WHERE event_type = 'click'),
+             v AS (SELECT user_id, epoch_us(ts) AS us, event_id AS view_id FROM events WHERE event_type = 'view'),
              near AS (
-                SELECT c.user_id, c.at, c.click_id, v.view_id, abs(c.at - v.at) AS gap,
-                       row_number() OVER (PARTITION BY c.click_id ORDER BY abs(c.at - v.at), v.at, v.view_id) AS r
+                SELECT c.user_id, c.us, c.click_id, v.view_id, abs(c.us - v.us) AS gap,
+                       row_number() OVER (PARTITION BY c.click_id ORDER BY abs(c.us - v.us), v.us, v.view_id) AS r
                 FROM c LEFT JOIN v ON c.user_id = v.user_id
              )
-        SELECT user_id, at, click_id,
+        SELECT user_id, us, click_id,
                CASE WHEN gap <= 21600000000 THEN view_id END AS matched_view_id,
                CASE WHEN gap <= 21600000000 THEN gap END AS gap
         FROM near WHERE r = 1

@@ -43,3 +43,12 @@ def write_through(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a scan of fewer splits than cores before costly work on every row.
+
+    A large table has many splits and is left as it is. Only for plain scans: the plan is looked at.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
