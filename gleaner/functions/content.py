@@ -14,11 +14,18 @@ TEXT_TEST_THRESHOLD = 0.02
 def decode_base64(content: Column) -> Column:
     """Tolerant base64: foreign characters are skipped, wrong padding gives NULL.
 
-    ``unbase64`` raises on a truncated last unit, so the padding is checked first.
+    Well-formed content, up to line breaks, is decoded as it is; only the rest is repaired first.
     """
+    joined = F.translate(content, "\r\n", "")
+    whole = joined.rlike(r"^[A-Za-z0-9+/]*={0,2}$") & (F.length(joined) % 4 == 0)
+    return F.when(whole, F.try_to_binary(joined, F.lit("base64"))).otherwise(repaired_base64(content))
+
+
+def repaired_base64(content: Column) -> Column:
+    """``unbase64`` raises on a truncated last unit, so the padding is checked and rebuilt."""
     digits = F.regexp_replace(content, r"[^A-Za-z0-9+/]", "")
     rest = F.length(digits) % 4
-    pads = F.regexp_count(content, F.lit("="))
+    pads = F.length(content) - F.length(F.replace(content, F.lit("=")))
     padded = F.concat(digits, F.repeat(F.lit("="), (4 - rest) % 4))
     complete = (rest == 0) | ((rest == 2) & (pads >= 2)) | ((rest == 3) & (pads >= 1))
     return F.when(complete, F.try_to_binary(padded, F.lit("base64")))

@@ -29,10 +29,9 @@ OBJECT, LIST, STRING, BOOLEAN, NULL = "OBJECT", "ARRAY<", "STRING", "BOOLEA", "V
 MIN_EPOCH = -62135596800
 MAX_EPOCH = 253402300800
 
-ISO_OFFSET = r"[+-]\d{2}:?\d{2}(:\d{2})?|Z"
-ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
-ISO_HOUR = r"^\d{4}-\d{2}-\d{2}[\s\S]\d{2}$"
-ISO_TIME = rf"^\d{{4}}-\d{{2}}-\d{{2}}[\s\S]\d{{2}}:\d{{2}}(:\d{{2}}([.,]\d+)?)?({ISO_OFFSET})?$"
+ISO_CLOCK = r"\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?"
+ISO_OFFSET = r"[+-]\d{2}:?\d{2}(:?\d{2})?|Z"
+ISO_TIME = rf"^\d{{4}}-\d{{2}}-\d{{2}}([\s\S]{ISO_CLOCK}({ISO_OFFSET})?)?$"
 DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -62,8 +61,11 @@ def probed(typed: Column) -> Column:
             e["key"].alias("key"),
             e["value"].alias("value"),
             e["kind"].alias("kind"),
-            # A JSON number. Booleans are not, nor is a bare NaN, which arrives as a string.
-            F.when(e["kind"].isin(NUMBERS), F.try_variant_get(e["value"], "$", "double")).alias("num"),
+            # A JSON number. Booleans are not, nor is a bare NaN.
+            F.when(
+                e["kind"].isin(NUMBERS),
+                F.nanvl(F.try_variant_get(e["value"], "$", "double"), F.lit(None).cast("double")),
+            ).alias("num"),
         ),
     )
 
@@ -100,13 +102,13 @@ def epoch_instant(seconds: Column) -> Column:
 
 def iso_instant(text: Column) -> Column:
     """ISO date or date-time; a time without an offset is taken as UTC."""
-    joined = F.concat(F.substring(text, 1, 10), F.lit("T"), F.translate(F.substring(text, 12, 60), ",", "."))
-    zone = F.when(text.rlike(rf"({ISO_OFFSET})$"), "").otherwise("Z")
-    return (
-        F.when(text.rlike(ISO_TIME), F.concat(joined, zone).try_cast("timestamp"))
-        .when(text.rlike(ISO_DATE), F.concat(text, F.lit("T00:00:00Z")).try_cast("timestamp"))
-        .when(text.rlike(ISO_HOUR), F.concat(joined, F.lit(":00:00Z")).try_cast("timestamp"))
-    )
+    after = F.substring(text, 12, 60)
+    clock = F.regexp_extract(after, f"^{ISO_CLOCK}", 0)
+    full = F.concat(F.translate(clock, ",", "."), F.substring(F.lit("00:00:00"), F.length(clock) + 1, F.lit(8)))
+    offset = F.substring(after, F.length(clock) + 1, F.lit(20))
+    zone = F.when(offset == "", "Z").otherwise(offset)
+    whole = F.concat(F.substring(text, 1, 10), F.lit("T"), full, zone)
+    return F.when(text.rlike(ISO_TIME), whole.try_cast("timestamp"))
 
 
 def text_instant(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import clean_line_array, is_clean_line, split_lines, trim_end
 from gleaner.operators.ordered import MAX_GROUP_ROWS, position, scan_groups
+from gleaner.operators.rowwise import computed
 from gleaner.operators.sampling import draw_size, hash_number, pick
 
 # What the feed shows.
@@ -18,11 +19,13 @@ LAST_RESORT = "// typing source not available"
 
 
 def explode_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line: ``pos`` from 0, ``line`` right-trimmed."""
+    """One row per line: ``pos`` from 0, ``line`` right-trimmed.
+
+    Trimmed inside the generator, so that later tests on ``line`` do not repeat the trimming.
+    """
     others = [c for c in df.columns if c != text]
-    return df.select(*others, F.posexplode(split_lines(F.col(text))).alias("pos", "raw_line")).select(
-        *others, "pos", trim_end(F.col("raw_line")).alias("line")
-    )
+    trimmed = F.transform(split_lines(F.col(text)), trim_end)
+    return df.select(*others, F.posexplode(trimmed).alias("pos", "line"))
 
 
 def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -60,9 +63,8 @@ def draw_arrays(
     keys = [F.col(d) for d in draw]
     sized = chosen.join(texts, file, "left").withColumn("size", draw_size(seed, *keys))
     empty = F.array().cast("array<string>")
-    return sized.withColumn(
-        "lines", F.coalesce(pick(F.col("_clean"), seed, F.col("size"), *keys), empty)
-    ).drop("_clean")
+    lines = F.coalesce(pick(F.col("_clean"), seed, F.col("size"), *keys), empty)
+    return computed(sized, [*draw, file, "size"], {"lines": lines})
 
 
 def draw_lines(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.ordered import MAX_GROUP_ROWS, Measure, attach, scan_groups
+from gleaner.session import write_through
 
 # Outcome names and the signals they are read from.
 VALID_PASS, VALID_FAIL, AGENT_ERROR, INFRA_FAIL = "valid_pass", "valid_fail", "agent_error", "infra_fail"
@@ -124,10 +125,11 @@ def rank_by(
 ) -> DataFrame:
     """Standard competition rank by the columns, highest first, NULL last.
 
-    Only the distinct values are ordered, and each brings along how many rows share it.
+    Only the distinct values are ordered, and each brings along how many rows share it. The input is
+    written through, because it is counted, ordered and joined.
     """
-    keyed = df.withColumns(
-        {f"_k{i}": F.coalesce(-F.col(c), F.lit(float("inf"))) for i, c in enumerate(columns)}
+    keyed = write_through(
+        df.withColumns({f"_k{i}": F.coalesce(-F.col(c), F.lit(float("inf"))) for i, c in enumerate(columns)})
     )
     keys = [f"_k{i}" for i in range(len(columns))]
     values = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

@@ -22,7 +22,9 @@ TILE = 256
 def with_grid_size(
     cells: DataFrame, image: list[str], max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
-    """Add ``height`` and ``width``, taken from the largest row and column of each image."""
+    """Add ``height`` and ``width``, unless they are there: from the largest row and column of each image."""
+    if {"height", "width"} <= set(cells.columns):
+        return cells
     sizes = cells.groupBy(*image).agg(
         (F.max("row") + 1).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width")
     )

@@ -25,6 +25,8 @@ from gleaner.functions.probes import (
     probed,
 )
 from gleaner.operators.ordered import MAX_GROUP_ROWS, Measure, group_rows, position, scan_groups
+from gleaner.operators.rowwise import computed
+from gleaner.session import write_through
 
 # Fixed value: points kept per series.
 DOWNSAMPLE = 2000
@@ -177,16 +179,6 @@ def plain_numbers(entries: Column) -> Column:
     )
 
 
-def computed(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
-    """Compute costly columns once per row.
-
-    A plain projection would be copied into every filter and expression that uses it, and the JSON
-    parsed again for each; a one-row generator is not taken apart by the optimizer.
-    """
-    once = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
-    return df.select(*keep, once.alias("_once")).select(*keep, *[F.col(f"_once.{n}").alias(n) for n in columns])
-
-
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Non-blank lines with ``entries``, NULL if the line is no JSON object.
 
@@ -259,9 +251,9 @@ def downsample_readings(
     """:func:`downsample` of a long table, where equal readings may repeat without limit.
 
     Equal readings are counted first and keep their places as a run, so a value that fills a third
-    of the table is one row here.
+    of the table is one row here. The runs are written through, so the lines are parsed once.
     """
-    runs = readings.groupBy("gpu", "ts", "util").agg(F.count(F.lit(1)).alias("_run"))
+    runs = write_through(readings.groupBy("gpu", "ts", "util").agg(F.count(F.lit(1)).alias("_run")))
     placed = scan_groups(
         runs,
         ["gpu"],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.content import MAX_BYTES_PER_FILE, cut_bytes, is_text, payload_bytes
 from gleaner.functions.text import safe_file_name
 from gleaner.operators import repos as R
+from gleaner.operators.rowwise import computed
 from gleaner.operators.sampling import MAX_TOP_N, NUM_FILES, sample_rows
 
 
@@ -50,10 +51,9 @@ def clean_contents(picked: DataFrame, contents: DataFrame, o: HarvestOptions) ->
     """
     side = F.broadcast(picked) if o.num_files <= MAX_TOP_N else picked
     download = F.col("download") if "download" in contents.columns else None
-    decoded = contents.join(side, ["repo", "path"]).select(
-        "owner", "repo", "branch", "path",
-        payload_bytes(F.col("encoding"), F.col("content"), download).alias("content"),
-    )
+    joined = contents.join(side, ["repo", "path"])
+    payload = payload_bytes(F.col("encoding"), F.col("content"), download)
+    decoded = computed(joined, ["owner", "repo", "branch", "path"], {"content": payload})
     kept = decoded.filter(F.octet_length("content") > 0).withColumn(
         "content", cut_bytes(F.col("content"), o.max_bytes)
     )

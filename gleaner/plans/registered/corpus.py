@@ -15,6 +15,7 @@ from gleaner.functions.text import (
     safe_file_name,
 )
 from gleaner.operators import repos as R
+from gleaner.operators.rowwise import computed
 from gleaner.operators.sampling import sample_rows
 from gleaner.plans.harvest import HarvestOptions, candidates, harvest
 from gleaner.plans.registered import table
@@ -59,7 +60,7 @@ def text_bytes(spark: SparkSession, folder: str) -> DataFrame:
     stored = widen(table(spark, folder, "documents")).select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("b64"))
     content = payload_bytes(F.lit("base64"), F.col("b64"))
     return (
-        stored.select("doc_id", content.alias("content"))
+        computed(stored, ["doc_id"], {"content": content})
         .filter(F.octet_length("content") > 0)
         .select("doc_id", F.octet_length("content").alias("whole"), cut_bytes(F.col("content")).alias("kept"))
         .select(
@@ -287,7 +288,7 @@ SQL = {
             SELECT doc_id, octet_length(encode(text)) AS n, substr(hex(encode(text)), 1, 2 * 65536) AS h
             FROM documents WHERE octet_length(encode(text)) > 0
         ), b AS (
-            SELECT doc_id, n, list_transform(range(0, length(h), 2), lambda i: substr(h, i + 1, 2)) AS bytes FROM h
+            SELECT doc_id, n, regexp_extract_all(h, '..') AS bytes FROM h
         )
         SELECT doc_id, CAST(n AS BIGINT) AS whole_bytes, CAST(len(bytes) AS BIGINT) AS kept_bytes,
                NOT list_contains(bytes, '00')

@@ -55,7 +55,8 @@ def grid_median(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def grid_median_strided(spark: SparkSession, folder: str) -> DataFrame:
-    return median_pool(images(spark, folder), kernel=(2, 4), stride=(2, 3), padding=(1, 2, 0, 1))
+    sized = images(spark, folder).withColumns({"height": F.lit(8), "width": F.lit(8)})
+    return median_pool(sized, kernel=(2, 4), stride=(2, 3), padding=(1, 2, 0, 1))
 
 
 QUERIES = {

@@ -34,7 +34,7 @@ def read_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     is_list = F.ltrim(F.col("value")).startswith("[")
     rows = F.from_json("value", f"array<struct<{schema_fields(schema)}>>")
     return whole.filter(is_list).select(F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
@@ -65,7 +65,7 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """File contents as text: ``path``, ``text``."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -105,7 +105,7 @@ def read_snippets(spark: SparkSession, path: str) -> DataFrame:
     """A bare JSON array of strings, one row each."""
     if not exists(spark, path):
         return spark.createDataFrame([], "pos int, line string")
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "line"))
 
 
