@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,12 +97,8 @@ def with_fallback(
 
 
 def first_available(tiers: list[DataFrame]) -> DataFrame:
-    """All rows of the first tier that has any."""
-    tagged = reduce(
-        DataFrame.unionByName, [t.withColumn("_tier", F.lit(i)) for i, t in enumerate(tiers)]
-    )
-    best = tagged.agg(F.min("_tier").alias("_tier"))  # one row
-    return tagged.join(F.broadcast(best), "_tier", "left_semi").drop("_tier")
+    """All rows of the first tier that has any. A look at one row tells."""
+    return next((t for t in tiers[:-1] if not t.isEmpty()), tiers[-1])
 
 
 def last_n(df: DataFrame, feed: list[str], order: list[str], n: int = VISIBLE_LINES) -> DataFrame:

@@ -32,9 +32,10 @@ def top_classes(df: DataFrame, logits: str, others: list[str], k: int = TOP_ENTR
     return top_entries(df, softmax(F.col(logits)), others, k)
 
 
-def name_classes(entries: DataFrame, classes: DataFrame, cat_id: str = "cat_id") -> DataFrame:
-    """Join class names; Spark broadcasts the list if its size allows."""
-    return entries.join(classes, cat_id)
+def name_classes(entries: DataFrame, classes: DataFrame, n_classes: int, cat_id: str = "cat_id") -> DataFrame:
+    """Join class names. Ids are positions in a vector, so at most ``n_classes`` names are broadcast."""
+    named = classes.filter(F.col(cat_id).between(0, n_classes - 1))
+    return entries.join(F.broadcast(named), cat_id)
 
 
 def read_before_write(

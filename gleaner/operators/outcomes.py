@@ -145,6 +145,8 @@ def fingerprint(columns: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*fields)), 256)
 
 
-def reproductions(runs: DataFrame, again: DataFrame, mark: str = "fingerprint") -> DataFrame:
-    """Later runs of the same configuration, next to the first one."""
-    return runs.join(again, mark)
+def reproductions(
+    firsts: DataFrame, runs: DataFrame, mark: str = "fingerprint", max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
+    """Runs next to the first one of their configuration; ``firsts`` has one row per configuration."""
+    return attach(runs, firsts, [mark], max_group_rows)

@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import outcomes as O
 from gleaner.operators.matching import read_before_write as unread
+from gleaner.operators.ordered import attach
 from gleaner.plans.registered import table
 from gleaner.plans.registered.telemetry import cents
 
 
-def evidence(spark: SparkSession, folder: str) -> DataFrame:
+def orders_as_jobs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").withColumnRenamed("o_orderkey", "job_id")
+
+
+def evidence(spark: SparkSession, folder: str, jobs: DataFrame) -> DataFrame:
     """All that is known of every job. Orders without line items have no results."""
     orders = table(spark, folder, "orders")
     items = table(spark, folder, "lineitem")
-    jobs = orders.select(F.col("o_orderkey").alias("job_id"), "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
     state = (
         F.when(F.col("l_returnflag") == "A", "Failed - Agent timed out")
         .when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "Failed")
@@ -31,8 +35,8 @@ def evidence(spark: SparkSession, folder: str) -> DataFrame:
     return O.join_evidence(jobs, O.routes_per_job(routes, ["job_id"]), summaries, markers)
 
 
-def judged(spark: SparkSession, folder: str) -> DataFrame:
-    known = evidence(spark, folder)
+def judged(spark: SparkSession, folder: str, jobs: DataFrame | None = None) -> DataFrame:
+    known = evidence(spark, folder, orders_as_jobs(spark, folder) if jobs is None else jobs)
     entry = F.when(F.col("o_orderpriority") == "5-LOW", "Rejected").when(
         (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderstatus") == "P"), "Started"
     ).otherwise("Finished")
@@ -52,11 +56,10 @@ def job_outcomes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Judged jobs with the dimensions of their customers."""
-    jobs = judged(spark, folder).select(
-        "o_custkey", "outcome", "o_orderpriority", "o_orderstatus",
-        cents(F.col("o_totalprice")).alias("score"), "global_steps",
-    )
+    """Judged jobs with the dimensions of their customers.
+
+    A customer may own any share of the orders, so that join is made first, on the bare orders.
+    """
     customers = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("agent"), "c_nationkey"
     )
@@ -64,11 +67,16 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("town"), "n_regionkey"
     )
     regions = table(spark, folder, "region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("scenario"))
-    return (
-        jobs.join(customers, "o_custkey")
+    jobs = (
+        attach(orders_as_jobs(spark, folder), customers, ["o_custkey"])
         .join(nations, "c_nationkey")
         .join(regions, "n_regionkey")
-        .withColumnsRenamed({"o_orderpriority": "weather", "o_orderstatus": "route_type"})
+    )
+    return judged(spark, folder, jobs).select(
+        "agent", "town", "scenario", "outcome", "global_steps",
+        F.col("o_orderpriority").alias("weather"),
+        F.col("o_orderstatus").alias("route_type"),
+        cents(F.col("o_totalprice")).alias("score"),
     )
 
 
@@ -126,7 +134,7 @@ def reproduced_configs(spark: SparkSession, folder: str) -> DataFrame:
     """Customers that repeat the configuration of an earlier one."""
     marked = config_fingerprint(spark, folder)
     first = marked.groupBy("fingerprint").agg(F.min("c_custkey").alias("first_key"))
-    return O.reproductions(first, marked).filter(F.col("c_custkey") > F.col("first_key"))
+    return O.reproductions(first, marked).select("fingerprint", "first_key", "c_custkey").filter(F.col("c_custkey") > F.col("first_key"))
 
 
 QUERIES = {

@@ -19,8 +19,9 @@ from gleaner.session import widen
 
 
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds of a zone-less time, whatever the session zone is."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Microseconds of a zone-less time, from its fields, so that the session zone plays no part."""
+    seconds = F.unix_date(ts.cast("date")) * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    return seconds.cast("bigint") * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
 
 
 def cents(value: Column) -> Column:
@@ -29,8 +30,11 @@ def cents(value: Column) -> Column:
 
 
 def telemetry_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return as_lines(widen(table(spark, folder, "events")))
+
+
+def as_lines(events: DataFrame) -> DataFrame:
     """Events written as JSON lines in five shapes, one per event type."""
-    events = widen(table(spark, folder, "events"))
     k = F.get_json_object("props", "$.k").cast("int")
     micros = epoch_micros(F.col("ts"))
     seconds = F.format_string("%d.%06d", F.floor(micros / 1_000_000), micros % 1_000_000)

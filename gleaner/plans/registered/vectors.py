@@ -10,11 +10,14 @@ from gleaner.operators.raster import median_pool
 from gleaner.operators.spread import check_collapse
 from gleaner.plans.registered import table
 
+# Length of the vectors.
+DIMENSIONS = 64
+
 
 def vector_topk_labels(spark: SparkSession, folder: str) -> DataFrame:
     classes = table(spark, folder, "part").select(F.col("p_partkey").alias("cat_id"), F.col("p_name").alias("class"))
     best = top_classes(table(spark, folder, "embeddings"), "embedding", ["vec_id"])
-    named = name_classes(best.withColumn("cat_id", F.col("cat_id").cast("bigint")), classes)
+    named = name_classes(best.withColumn("cat_id", F.col("cat_id").cast("bigint")), classes, DIMENSIONS)
     return named.select(
         "vec_id", F.col("rank").cast("bigint").alias("rank"), "cat_id", "class",
         F.round("probability", 9).alias("probability"),

@@ -17,10 +17,14 @@ def stream_readings(spark: SparkSession, folder: str, max_files: int | None = No
 def run_readings(
     spark: SparkSession, folder: str, out: str, checkpoint: str, max_files: int | None = None
 ) -> StreamingQuery:
-    """Append what is there to a Parquet table, once, then stop; the checkpoint remembers what was read."""
+    """Extract what is there, then stop; the checkpoint remembers what was read."""
+    return append_all(stream_readings(spark, folder, max_files), out, checkpoint)
+
+
+def append_all(readings: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream to a Parquet table; every row is there once, restarts included."""
     return (
-        stream_readings(spark, folder, max_files)
-        .writeStream.format("parquet")
+        readings.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")

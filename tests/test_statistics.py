@@ -176,7 +176,7 @@ def test_top_classes(spark):
     e = np.exp([1.0, 2.0, 3.0])
     assert np.allclose(p, e / e.sum())
     classes = spark.createDataFrame([(4, "cat"), (1, "dog")], "cat_id int, name string")
-    assert {r.name for r in name_classes(top_classes(df, "x", ["id"], 3), classes).collect()} == {"cat", "dog"}
+    assert {r.name for r in name_classes(top_classes(df, "x", ["id"], 3), classes, 6).collect()} == {"cat", "dog"}
     assert "Exchange" not in top_classes(df, "x", ["id"])._jdf.queryExecution().toString()
 
 
