@@ -4,14 +4,15 @@ An object travels as its JSON text. ``from_json(.., map<string,variant>)`` gives
 source order with their JSON types; ``from_json(.., map<string,string>)`` gives the text of the
 nested ones. (A VARIANT object alone would return its keys sorted, so "first key wins" could not be
 answered from it.) Entries are turned into ``(key, value, kind, num)`` once and probed from there.
+
+The expressions nest deeply, so these functions take and return Spark SQL text: one parse of the
+whole is far quicker than building every node from Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from itertools import count
 
 # The keys that are looked at, in this order.
 TIME_KEYS = ["ts", "timestamp", "time", "t"]
@@ -19,7 +20,6 @@ UTIL_WORDS = ["util", "usage"]
 NAMED_READING = r"^gpu[_-]?(\d+)[_\-]?.*util"
 
 TYPED = "map<string,variant>"
-STRICT_JSON = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false"}
 
 # Kinds are the first letters of the type a VARIANT reports.
 NUMBERS = ["BIGINT", "DOUBLE", "FLOAT", "DECIMA"]
@@ -34,179 +34,195 @@ ISO_OFFSET = r"[+-]\d{2}:?\d{2}(:?\d{2})?|Z"
 ISO_TIME = rf"^\d{{4}}-\d{{2}}-\d{{2}}([\s\S]{ISO_CLOCK}({ISO_OFFSET})?)?$"
 DECIMAL_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
+_names = count()
+
+
+def words(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def bound(function: str, array: str, body: Callable[[str], str]) -> str:
+    """A higher-order function over ``array`` with a variable of its own."""
+    name = f"v{next(_names)}"
+    return f"{function}({array}, {name} -> {body(name)})"
+
+
+def each(array: str, body: Callable[[str], str]) -> str:
+    return bound("transform", array, body)
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def only(array: str, test: Callable[[str], str]) -> str:
+    return bound("filter", array, test)
 
-def first_of(values: Column) -> Column:
+
+def let(value: str, body: Callable[[str], str]) -> str:
+    """Evaluate ``value`` once and use it several times inside ``body``.
+
+    The struct around the result has a fixed type. Without it the type of the whole body would be
+    derived again for every row.
+    """
+    return f"get({each(f'array({value})', lambda x: f'struct({body(x)} AS it)')}, 0).it"
+
+
+def first_of(values: str) -> str:
     """First non-null element, NULL if there is none."""
-    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
+    return let(values, lambda vs: f"get({only(vs, lambda x: f'{x} IS NOT NULL')}, 0)")
+
+
+def from_json(text: str, kind: str) -> str:
+    """Strict where the reader is lenient by default."""
+    return f"from_json({text}, '{kind}', map('allowSingleQuotes', 'false', 'allowNumericLeadingZeros', 'false'))"
 
 
-def probed(typed: Column) -> Column:
+def probed(typed: str) -> str:
     """Map of variants to the array of its entries ``(key, value, kind, num)``, in source order."""
-    kinds = F.transform(
-        F.map_entries(typed),
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            e["value"].alias("value"),
-            F.substring(F.schema_of_variant(e["value"]), 1, 6).alias("kind"),
-        ),
+    kinds = each(
+        f"map_entries({typed})",
+        lambda e: f"struct({e}.key AS key, {e}.value AS value, substring(schema_of_variant({e}.value), 1, 6) AS kind)",
     )
-    return F.transform(
+    # A JSON number. Booleans are not, nor is a bare NaN.
+    return each(
         kinds,
-        lambda e: F.struct(
-            e["key"].alias("key"),
-            e["value"].alias("value"),
-            e["kind"].alias("kind"),
-            # A JSON number. Booleans are not, nor is a bare NaN.
-            F.when(
-                e["kind"].isin(NUMBERS),
-                F.nanvl(F.try_variant_get(e["value"], "$", "double"), F.lit(None).cast("double")),
-            ).alias("num"),
-        ),
+        lambda e: f"""struct({e}.key AS key, {e}.value AS value, {e}.kind AS kind,
+            CASE WHEN {e}.kind IN ({words(NUMBERS)})
+                 THEN nanvl(try_cast({as_text(e)} AS DOUBLE), CAST(NULL AS DOUBLE)) END AS num)""",
     )
 
 
-def entries_of(text: Column) -> Column:
+def entries_of(text: str) -> str:
     """Entries of the object written in ``text``."""
-    return probed(F.from_json(text, TYPED, STRICT_JSON))
+    return probed(from_json(text, TYPED))
 
 
-def nested_texts(text: Column) -> Column:
-    return F.from_json(text, "map<string,string>", STRICT_JSON)
+def nested_texts(text: str) -> str:
+    return from_json(text, "map<string,string>")
 
 
-def entry_at(entries: Column, key: str) -> Column:
+def entry_at(entries: str, key: str) -> str:
     """Entry of a key, the last one if the key repeats."""
-    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))
+    found = only(entries, lambda e: f"{e}.key = '{key}'")
+    return f"try_element_at({found}, -1)"
 
 
-def as_text(entry: Column) -> Column:
-    return F.try_variant_get(entry["value"], "$", "string")
+def as_object(entry: str) -> str:
+    return f"try_variant_get({entry}.value, '$', '{TYPED}')"
 
 
-def as_flag(entry: Column) -> Column:
-    return F.try_variant_get(entry["value"], "$", "boolean")
+def as_list(entry: str) -> str:
+    return f"try_variant_get({entry}.value, '$', 'array<variant>')"
 
 
-def epoch_instant(seconds: Column) -> Column:
+def as_text(entry: str) -> str:
+    return f"try_variant_get({entry}.value, '$', 'string')"
+
+
+def as_flag(entry: str) -> str:
+    return f"try_variant_get({entry}.value, '$', 'boolean')"
+
+
+def epoch_instant(seconds: str) -> str:
     """Epoch seconds to an instant, microseconds half to even; NULL outside years 1-9999."""
-    whole = F.floor(seconds)
-    micros = F.rint((seconds - whole) * 1_000_000).cast("bigint")
-    fits = (seconds >= MIN_EPOCH) & (seconds < MAX_EPOCH)
-    return F.when(fits, F.timestamp_micros(whole.cast("bigint") * 1_000_000 + micros))
+    return let(
+        seconds,
+        lambda s: f"""CASE WHEN {s} >= {MIN_EPOCH}BD AND {s} < {MAX_EPOCH}BD THEN timestamp_micros(
+            CAST(floor({s}) AS BIGINT) * 1000000 + CAST(rint(({s} - floor({s})) * 1000000) AS BIGINT)) END""",
+    )
 
 
-def iso_instant(text: Column) -> Column:
+def iso_instant(text: str) -> str:
     """ISO date or date-time; a time without an offset is taken as UTC."""
-    after = F.substring(text, 12, 60)
-    clock = F.regexp_extract(after, f"^{ISO_CLOCK}", 0)
-    full = F.concat(F.translate(clock, ",", "."), F.substring(F.lit("00:00:00"), F.length(clock) + 1, F.lit(8)))
-    offset = F.substring(after, F.length(clock) + 1, F.lit(20))
-    zone = F.when(offset == "", "Z").otherwise(offset)
-    whole = F.concat(F.substring(text, 1, 10), F.lit("T"), full, zone)
-    return F.when(text.rlike(ISO_TIME), whole.try_cast("timestamp"))
 
+    def joined(clock: str) -> str:
+        offset = f"substring({text}, 12 + length({clock}), 20)"
+        return f"""try_cast(concat(substring({text}, 1, 10), 'T', translate({clock}, ',', '.'),
+            substring('00:00:00', length({clock}) + 1, 8),
+            CASE WHEN {offset} = '' THEN 'Z' ELSE {offset} END) AS TIMESTAMP)"""
+
+    clock = f"regexp_extract(substring({text}, 12, 60), r'^{ISO_CLOCK}', 0)"
+    return f"CASE WHEN {text} RLIKE r'{ISO_TIME}' THEN {let(clock, joined)} END"
 
-def text_instant(text: Column) -> Column:
-    number = F.when(F.trim(text).rlike(DECIMAL_TEXT), F.trim(text).try_cast("double"))
-    return F.coalesce(iso_instant(text), epoch_instant(number))
 
+def text_instant(text: str) -> str:
+    number = f"CASE WHEN trim({text}) RLIKE r'{DECIMAL_TEXT}' THEN try_cast(trim({text}) AS DOUBLE) END"
+    return f"coalesce({iso_instant(text)}, {epoch_instant(number)})"
 
-def instant_of(entry: Column) -> Column:
+
+def instant_of(entry: str) -> str:
     """Instant held by one JSON value. Booleans count as 0 and 1 here."""
-    return (
-        F.when(entry["num"].isNotNull(), epoch_instant(entry["num"]))
-        .when(entry["kind"] == STRING, let(as_text(entry), text_instant))
-        .when(entry["kind"] == BOOLEAN, epoch_instant(as_flag(entry).cast("double")))
-    )
+    return f"""CASE WHEN {entry}.num IS NOT NULL THEN {epoch_instant(f"{entry}.num")}
+        WHEN {entry}.kind = '{STRING}' THEN {let(as_text(entry), text_instant)}
+        WHEN {entry}.kind = '{BOOLEAN}' THEN {epoch_instant(f"CAST({as_flag(entry)} AS DOUBLE)")} END"""
 
 
-def object_instant(entries: Column) -> Column:
+def object_instant(entries: str) -> str:
     """First usable time key of one object."""
-    keys = F.array(*[F.lit(k) for k in TIME_KEYS])
-    found = F.transform(
-        F.filter(entries, lambda e: e["key"].isin(TIME_KEYS)),
-        lambda e: F.struct(F.array_position(keys, e["key"]).alias("place"), instant_of(e).alias("ts")),
+    found = each(
+        only(entries, lambda e: f"{e}.key IN ({words(TIME_KEYS)})"),
+        lambda e: f"struct(array_position(array({words(TIME_KEYS)}), {e}.key) AS place, {instant_of(e)} AS ts)",
     )
-    return F.array_min(F.filter(found, lambda f: f["ts"].isNotNull()))["ts"]
+    return f"array_min({only(found, lambda f: f'{f}.ts IS NOT NULL')}).ts"
 
 
-def line_instant(entries: Column) -> Column:
+def line_instant(entries: str) -> str:
     """Time of a line: its own, else that of its first nested object with a ``ts`` key."""
-    inner = F.transform(
-        F.filter(entries, lambda e: e["kind"] == OBJECT), lambda e: F.try_variant_get(e["value"], "$", TYPED)
-    )
-    stamped = F.filter(inner, lambda m: F.map_contains_key(m, "ts"))
-    return F.coalesce(
-        object_instant(entries), first_of(F.transform(stamped, lambda m: object_instant(probed(m))))
-    )
+    inner = each(only(entries, lambda e: f"{e}.kind = '{OBJECT}'"), as_object)
+    stamped = only(inner, lambda m: f"map_contains_key({m}, 'ts')")
+    return f"coalesce({object_instant(entries)}, {first_of(each(stamped, lambda m: object_instant(probed(m))))})"
 
 
-def entry_utilization(entries: Column, text: Callable[[], Column]) -> Column:
+def entry_utilization(entries: str, text: str) -> str:
     """Value of the first key that speaks of utilization: a number, or an object holding one.
 
-    ``text`` gives the text of the entry. It is only needed to tell which of several numbers in a
+    ``text`` is the text of the entry. It is only evaluated to tell which of several numbers in a
     nested object comes first.
     """
 
-    def named(key: Column) -> Column:
-        lowered = F.lower(key)
-        return F.contains(lowered, F.lit(UTIL_WORDS[0])) | F.contains(lowered, F.lit(UTIL_WORDS[1]))
+    def named(e: str) -> str:
+        return " OR ".join(f"contains(lower({e}.key), '{w}')" for w in UTIL_WORDS)
 
-    def first_number(e: Column) -> Column:
-        numbers = F.filter(
-            probed(F.try_variant_get(e["value"], "$", TYPED))["num"], lambda x: x.isNotNull()
-        )
-        in_order = first_of(entries_of(F.element_at(nested_texts(text()), e["key"]))["num"])
-        return let(numbers, lambda ns: F.when(F.size(ns) < 2, F.get(ns, F.lit(0))).otherwise(in_order))
+    def first_number(e: str) -> str:
+        numbers = only(f"{probed(as_object(e))}.num", lambda x: f"{x} IS NOT NULL")
+        in_order = first_of(entries_of(f"element_at({nested_texts(text)}, {e}.key)") + ".num")
+        return let(numbers, lambda ns: f"CASE WHEN size({ns}) < 2 THEN get({ns}, 0) ELSE {in_order} END")
 
-    candidates = F.filter(entries, lambda e: named(e["key"]))
     return first_of(
-        F.transform(
-            candidates, lambda e: F.coalesce(e["num"], F.when(e["kind"] == OBJECT, first_number(e)))
+        each(
+            only(entries, named),
+            lambda e: f"coalesce({e}.num, CASE WHEN {e}.kind = '{OBJECT}' THEN {first_number(e)} END)",
         )
     )
 
 
-def is_given(entry: Column) -> Column:
+def is_given(entry: str) -> str:
     """Present and not JSON null."""
-    return F.coalesce(entry["kind"] != NULL, F.lit(False))
+    return f"coalesce({entry}.kind <> '{NULL}', false)"
 
 
-def is_truthy(entry: Column) -> Column:
-    return is_given(entry) & (
-        F.when(entry["num"].isNotNull(), entry["num"] != 0)
-        .when(entry["kind"] == BOOLEAN, as_flag(entry))
-        .when(entry["kind"] == STRING, as_text(entry) != "")
-        .otherwise(~F.to_json(entry["value"]).isin("{}", "[]"))
-    )
+def is_truthy(entry: str) -> str:
+    return f"""({is_given(entry)} AND CASE WHEN {entry}.num IS NOT NULL THEN {entry}.num <> 0
+        WHEN {entry}.kind = '{BOOLEAN}' THEN {as_flag(entry)}
+        WHEN {entry}.kind = '{STRING}' THEN {as_text(entry)} <> ''
+        ELSE to_json({entry}.value) NOT IN ('{{}}', '[]') END)"""
 
 
-def index_entry(entries: Column) -> Column:
+def index_entry(entries: str) -> str:
     """The entry that names the device: ``index``, else a truthy ``gpu``, else ``id``."""
-    named = F.struct(*[entry_at(entries, k).alias(k) for k in ("index", "gpu", "id")])
+    named = ", ".join(f"{entry_at(entries, k)} AS {k}" for k in ("index", "gpu", "id"))
     return let(
-        named,
-        lambda n: F.when(is_given(n["index"]), n["index"])
-        .when(is_truthy(n["gpu"]), n["gpu"])
-        .when(is_given(n["id"]), n["id"]),
+        f"struct({named})",
+        lambda n: f"""CASE WHEN {is_given(f"{n}.index")} THEN {n}.index
+            WHEN {is_truthy(f"{n}.gpu")} THEN {n}.gpu WHEN {is_given(f"{n}.id")} THEN {n}.id END""",
     )
 
 
-def index_number(entry: Column) -> Column:
+def index_number(entry: str) -> str:
     """Integer of an index, truncated; NULL if it is no integer."""
-    text = F.trim(as_text(entry))
-    return (
-        F.when(entry["num"].isNotNull(), entry["num"].try_cast("bigint"))
-        .when(entry["kind"] == BOOLEAN, as_flag(entry).cast("bigint"))
-        .when((entry["kind"] == STRING) & text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
-    )
+    text = f"trim({as_text(entry)})"
+    return f"""CASE WHEN {entry}.num IS NOT NULL THEN try_cast({entry}.num AS BIGINT)
+        WHEN {entry}.kind = '{BOOLEAN}' THEN CAST({as_flag(entry)} AS BIGINT)
+        WHEN {entry}.kind = '{STRING}' AND {text} RLIKE r'^[+-]?\\d+$' THEN try_cast({text} AS BIGINT) END"""
 
 
-def named_reading_index(key: Column) -> Column:
+def named_reading_index(key: str) -> str:
     """Device number in keys such as ``gpu0_util`` or ``GPU-4-utilization``; '' if it is another key."""
-    return F.regexp_extract(F.lower(key), NAMED_READING, 1)
+    return f"regexp_extract(lower({key}), r'{NAMED_READING}', 1)"

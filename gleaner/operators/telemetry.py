@@ -7,21 +7,25 @@ in the line bounds the levels, so no depth is cut off.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.probes import (
     LIST,
     OBJECT,
-    STRICT_JSON,
     TYPED,
+    as_list,
+    as_object,
+    each,
     entry_utilization,
+    from_json,
     index_entry,
     index_number,
     let,
     line_instant,
     named_reading_index,
     nested_texts,
+    only,
     probed,
 )
 from gleaner.operators.ordered import MAX_GROUP_ROWS, Measure, group_rows, position, scan_groups
@@ -35,147 +39,102 @@ DOWNSAMPLE = 2000
 EDGE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
     chr(c) for c in range(0x2000, 0x200B)
 )
-READINGS = "array<struct<gpu:bigint,util:double,bad_index:boolean>>"
-ENTRIES = "array<struct<key:string,value:variant,kind:string,num:double>>"
-NODES = f"array<struct<path:array<string>,entries:{ENTRIES}>>"
+READINGS = "CAST(array() AS array<struct<gpu:bigint,util:double,bad_index:boolean>>)"
+NODE = "struct<path:array<string>,entries:array<struct<key:string,value:variant,kind:string,num:double>>>"
+NODES = f"CAST(array() AS array<{NODE}>)"
 
 
-def none_of(kind: str) -> Column:
-    return F.array().cast(kind)
+def reading(gpu: str, util: str, bad_index: str = "false") -> str:
+    return f"struct(CAST({gpu} AS BIGINT) AS gpu, CAST({util} AS DOUBLE) AS util, {bad_index} AS bad_index)"
 
 
-def reading(gpu: Column, util: Column, bad_index: Column | None = None) -> Column:
-    flag = F.lit(False) if bad_index is None else bad_index
-    return F.struct(
-        gpu.cast("bigint").alias("gpu"), util.cast("double").alias("util"), flag.alias("bad_index")
-    )
-
-
-def text_at(text: Column, path: Column) -> Column:
+def text_at(text: str, path: str) -> str:
     """Text of the object under ``path``, keys in source order."""
-    return F.aggregate(path, text, lambda t, key: F.element_at(nested_texts(t), key))
+    return f"aggregate({path}, {text}, (t, k) -> element_at({nested_texts('t')}, k))"
 
 
-def listed_readings(text: Column, gpus: Column) -> Column:
+def listed_readings(text: str, gpus: str) -> str:
     """Readings of the objects in the ``gpus`` list of the object ``text``."""
+    texts = from_json(f"element_at({nested_texts(text)}, 'gpus')", "array<string>")
 
-    def texts() -> Column:
-        return F.from_json(F.element_at(nested_texts(text), F.lit("gpus")), "array<string>", STRICT_JSON)
-
-    def read(entries: Column, i: Column) -> Column:
-        probes = F.struct(
-            entry_utilization(entries, lambda: F.get(texts(), i)).alias("util"),
-            index_entry(entries).alias("index"),
-        )
+    def read(entries: str) -> str:
+        probes = f"""struct({entry_utilization(entries, f"get({texts}, i)")} AS util,
+            {index_entry(entries)} AS index)"""
         return let(
             probes,
             lambda r: let(
-                index_number(r["index"]),
-                lambda n: reading(n, r["util"], r["index"].isNotNull() & n.isNull()),
+                index_number(f"{r}.index"),
+                lambda n: reading(n, f"{r}.util", f"({r}.index IS NOT NULL AND {n} IS NULL)"),
             ),
         )
 
-    objects = F.from_json(text, f"struct<gpus:array<{TYPED}>>", STRICT_JSON)["gpus"]
+    objects = from_json(text, f"struct<gpus:array<{TYPED}>>") + ".gpus"
     # A list that also holds other things is refused as a whole, so its objects are opened one by one.
-    kinds = F.transform(F.try_variant_get(gpus["value"], "$", "array<variant>"), F.schema_of_variant)
-    mixed = F.zip_with(
-        kinds, texts(), lambda k, t: F.when(F.startswith(k, F.lit(OBJECT)), F.from_json(t, TYPED, STRICT_JSON))
-    )
-    hits = F.transform(
-        F.coalesce(objects, mixed), lambda m, i: F.when(m.isNotNull(), let(probed(m), lambda e: read(e, i)))
-    )
-    return F.filter(hits, lambda r: r["util"].isNotNull())
+    kinds = each(as_list(gpus), lambda x: f"schema_of_variant({x})")
+    mixed = f"zip_with({kinds}, {texts}, (k, t) -> CASE WHEN startswith(k, '{OBJECT}') THEN {from_json('t', TYPED)} END)"
+    hits = f"""transform(coalesce({objects}, {mixed}),
+        (m, i) -> CASE WHEN m IS NOT NULL THEN {let(probed("m"), read)} END)"""
+    return only(hits, lambda r: f"{r}.util IS NOT NULL")
 
 
-def keyed_readings(entries: Column, gpu_count: int | None) -> Column:
+def keyed_readings(entries: str, gpu_count: int | None) -> str:
     """Readings under keys such as ``gpu0_util`` and, if the count is known, in lists of that length."""
-
-    def named(e: Column) -> Column:
-        return e["num"].isNotNull() & (named_reading_index(e["key"]) != "")
-
-    keyed = F.transform(
-        F.filter(entries, named),
-        lambda e: reading(named_reading_index(e["key"]).try_cast("bigint"), e["num"]),
+    keyed = each(
+        only(entries, lambda e: f"{e}.num IS NOT NULL AND {named_reading_index(f'{e}.key')} <> ''"),
+        lambda e: reading(f"try_cast({named_reading_index(f'{e}.key')} AS BIGINT)", f"{e}.num"),
     )
     if not gpu_count:
         return keyed
-    lists = F.transform(
-        F.filter(entries, lambda e: e["kind"] == LIST),
-        lambda e: probed(
-            F.map_from_entries(
-                F.transform(
-                    F.try_variant_get(e["value"], "$", "array<variant>"),
-                    lambda v, i: F.struct(i.cast("string"), v),
-                )
-            )
-        ),
-    )
-    full = F.filter(
-        lists, lambda items: (F.size(items) == gpu_count) & F.forall(items, lambda x: x["num"].isNotNull())
-    )
-    return F.concat(
-        keyed,
-        F.flatten(F.transform(full, lambda items: F.transform(items, lambda x, i: reading(i, x["num"])))),
+    lists = each(
+        only(entries, lambda e: f"{e}.kind = '{LIST}'"),
+        lambda e: probed(f"map_from_entries(transform({as_list(e)}, (x, i) -> struct(CAST(i AS STRING), x)))"),
     )
+    full = only(lists, lambda xs: f"size({xs}) = {int(gpu_count)} AND forall({xs}, x -> x.num IS NOT NULL)")
+    return f"""concat({keyed}, flatten({each(full, lambda xs: f"transform({xs}, (x, i) -> {reading('i', 'x.num')})")}))"""
 
 
-def nested_objects(path: Column, entries: Column) -> Column:
+def nested_objects(path: str, entries: str) -> str:
     """The nested objects. Those inside lists do not count."""
-    return F.transform(
-        F.filter(entries, lambda e: e["kind"] == OBJECT),
-        lambda e: F.struct(
-            F.concat(path, F.array(e["key"])).alias("path"),
-            probed(F.try_variant_get(e["value"], "$", TYPED)).alias("entries"),
-        ),
+    return each(
+        only(entries, lambda e: f"{e}.kind = '{OBJECT}'"),
+        lambda e: f"struct(concat({path}, array({e}.key)) AS path, {probed(as_object(e))} AS entries)",
     )
 
 
-def found_readings(text: Column, entries: Column, gpu_count: int | None = None) -> Column:
+def found_readings(text: str, entries: str, gpu_count: int | None = None) -> str:
     """All readings of a line; an object with a productive ``gpus`` list is not searched further."""
 
-    def visit(n: Column) -> Column:
-        gpus = F.filter(n["entries"], lambda e: (e["key"] == "gpus") & (e["kind"] == LIST))
-        listed = F.when(
-            F.size(gpus) > 0, listed_readings(text_at(text, n["path"]), F.get(gpus, F.lit(0)))
-        ).otherwise(none_of(READINGS))
-        return let(
-            listed,
-            lambda hits: F.when(
-                F.size(hits) > 0, F.struct(none_of(NODES).alias("open"), hits.alias("found"))
-            ).otherwise(
-                F.struct(
-                    nested_objects(n["path"], n["entries"]).alias("open"),
-                    keyed_readings(n["entries"], gpu_count).alias("found"),
-                )
-            ),
+    def visit(n: str) -> str:
+        gpus = only(f"{n}.entries", lambda e: f"{e}.key = 'gpus' AND {e}.kind = '{LIST}'")
+        listed = let(
+            f"try_element_at({gpus}, -1)",
+            lambda g: f"CASE WHEN {g} IS NOT NULL THEN {listed_readings(text_at(text, f'{n}.path'), g)} END",
         )
-
-    def level(state: Column, _: Column) -> Column:
-        return F.when(F.size(state["open"]) == 0, state).otherwise(
-            let(
-                F.transform(state["open"], visit),
-                lambda nodes: F.struct(
-                    F.flatten(nodes["open"]).alias("open"),
-                    F.concat(state["found"], F.flatten(nodes["found"])).alias("found"),
-                ),
-            )
+        return let(
+            f"coalesce({listed}, {READINGS})",
+            lambda hits: f"""CASE WHEN size({hits}) > 0 THEN struct({NODES} AS open, {hits} AS found)
+                ELSE struct({nested_objects(f"{n}.path", f"{n}.entries")} AS open,
+                            {keyed_readings(f"{n}.entries", gpu_count)} AS found) END""",
         )
 
-    braces = F.length(text) - F.length(F.replace(text, F.lit("{")))
-    levels = F.sequence(F.lit(1), F.greatest(braces, F.lit(1)))
-    root = F.struct(none_of("array<string>").alias("path"), entries.alias("entries"))
-    start = F.struct(F.array(root).cast(NODES).alias("open"), none_of(READINGS).alias("found"))
-    flat = ~F.exists(entries, lambda e: e["kind"].isin(OBJECT, LIST))
-    return F.when(flat, keyed_readings(entries, gpu_count)).otherwise(
-        F.aggregate(levels, start, level, lambda s: s["found"])
+    level = let(
+        each("state.open", visit),
+        lambda nodes: f"struct(flatten({nodes}.open) AS open, concat(state.found, flatten({nodes}.found)) AS found)",
     )
+    braces = f"length({text}) - length(replace({text}, '{{'))"
+    root = f"struct(CAST(array() AS array<string>) AS path, {entries} AS entries)"
+    flat = f"NOT exists({entries}, e -> e.kind IN ('{OBJECT}', '{LIST}'))"
+    return f"""CASE WHEN {flat} THEN {keyed_readings(entries, gpu_count)}
+        ELSE aggregate(sequence(1, greatest({braces}, 1)),
+            struct(CAST(array({root}) AS array<{NODE}>) AS open, {READINGS} AS found),
+            (state, level) -> CASE WHEN size(state.open) = 0 THEN state ELSE {level} END,
+            state -> state.found) END"""
 
 
-def plain_numbers(entries: Column) -> Column:
+def plain_numbers(entries: str) -> str:
     """Fallback: every top-level number from 0 to 100 belongs to device 0."""
-    return F.transform(
-        F.filter(entries, lambda e: F.coalesce(e["num"].between(0, 100), F.lit(False))),
-        lambda e: reading(F.lit(0), e["num"]),
+    return each(
+        only(entries, lambda e: f"coalesce({e}.num BETWEEN 0 AND 100, false)"), lambda e: reading("0", f"{e}.num")
     )
 
 
@@ -185,36 +144,32 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     The line is read as the one element of a list, so text after the object is noticed.
     """
     keep = [c for c in lines.columns if c != line]
-    text = F.btrim(F.col(line), F.lit(EDGE))
-    trimmed = computed(lines, keep, {"text": text}).filter(F.col("text") != "")
-    objects = F.from_json(in_list(F.col("text")), f"array<{TYPED}>", STRICT_JSON)
+    trimmed = computed(lines, keep, {"text": F.btrim(F.col(line), F.lit(EDGE))}).filter(F.col("text") != "")
     whole = let(
-        objects, lambda o: F.when((F.size(o) == 1) & F.endswith(F.col("text"), F.lit("}")), F.get(o, F.lit(0)))
+        from_json("concat('[', text, ']')", f"array<{TYPED}>"),
+        lambda o: f"CASE WHEN size({o}) = 1 AND endswith(text, '}}') THEN get({o}, 0) END",
     )
-    return computed(trimmed, [*keep, "text"], {"entries": probed(whole)})
-
-
-def in_list(text: Column) -> Column:
-    return F.concat(F.lit("["), text, F.lit("]"))
+    return computed(trimmed, [*keep, "text"], {"entries": F.expr(probed(whole))})
 
 
 def read_lines(parsed: DataFrame, gpu_count: int | None = None) -> DataFrame:
     """Add ``ts`` and ``readings`` to the lines that hold an object."""
     keep = [c for c in parsed.columns if c != "entries"]
-    entries = F.col("entries")
-    found = found_readings(F.col("text"), entries, gpu_count)
-    readings = let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(plain_numbers(entries)))
-    objects = parsed.filter(entries.isNotNull())
-    return computed(objects, keep, {"ts": line_instant(entries), "readings": readings})
+    readings = let(
+        found_readings("text", "entries", gpu_count),
+        lambda f: f"CASE WHEN size({f}) > 0 THEN {f} ELSE {plain_numbers('entries')} END",
+    )
+    objects = parsed.filter(F.col("entries").isNotNull())
+    return computed(
+        objects, keep, {"ts": F.expr(line_instant("entries")), "readings": F.expr(readings)}
+    )
 
 
 def extract_readings(lines: DataFrame, line: str = "value", gpu_count: int | None = None) -> DataFrame:
     """Long table of readings. Lines without a time, and lines of :func:`rejects`, give none."""
     keep = [c for c in lines.columns if c != line]
     read = read_lines(parse_lines(lines, line), gpu_count)
-    usable = read.filter(
-        F.col("ts").isNotNull() & ~F.exists("readings", lambda r: r["bad_index"])
-    )
+    usable = read.filter("ts IS NOT NULL AND NOT exists(readings, r -> r.bad_index)")
     return usable.select(*keep, "ts", F.explode("readings").alias("r")).select(
         *keep, F.coalesce("r.gpu", F.lit(0)).cast("bigint").alias("gpu"), "ts", F.col("r.util").alias("util")
     )
@@ -223,13 +178,13 @@ def extract_readings(lines: DataFrame, line: str = "value", gpu_count: int | Non
 def rejects(lines: DataFrame, line: str = "value", gpu_count: int | None = None) -> DataFrame:
     """Lines that are JSON but cannot be read: no object, or a device index that is no integer."""
     parsed = parse_lines(lines, line)
-    values = F.from_json(in_list(F.col("text")), "array<variant>", STRICT_JSON)
-    no_object = parsed.filter(F.col("entries").isNull() & (F.size(values) == 1)).select(
+    values = from_json("concat('[', text, ']')", "array<variant>")
+    no_object = parsed.filter(f"entries IS NULL AND size({values}) = 1").select(
         "text", F.lit("not an object").alias("reason")
     )
-    bad_index = read_lines(parsed, gpu_count).filter(
-        F.exists("readings", lambda r: r["bad_index"])
-    ).select("text", F.lit("device index is no integer").alias("reason"))
+    bad_index = read_lines(parsed, gpu_count).filter("exists(readings, r -> r.bad_index)").select(
+        "text", F.lit("device index is no integer").alias("reason")
+    )
     return no_object.unionByName(bad_index)
 
 
