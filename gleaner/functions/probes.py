@@ -122,11 +122,9 @@ def as_flag(entry: str) -> str:
 
 def epoch_instant(seconds: str) -> str:
     """Epoch seconds to an instant, microseconds half to even; NULL outside years 1-9999."""
-    return let(
-        seconds,
-        lambda s: f"""CASE WHEN {s} >= {MIN_EPOCH}BD AND {s} < {MAX_EPOCH}BD THEN timestamp_micros(
-            CAST(floor({s}) AS BIGINT) * 1000000 + CAST(rint(({s} - floor({s})) * 1000000) AS BIGINT)) END""",
-    )
+    return f"""CASE WHEN {seconds} >= {MIN_EPOCH}D AND {seconds} < {MAX_EPOCH}D THEN timestamp_micros(
+        CAST(floor({seconds}) AS BIGINT) * 1000000
+        + CAST(rint(({seconds} - floor({seconds})) * 1000000) AS BIGINT)) END"""
 
 
 def iso_instant(text: str) -> str:
@@ -143,8 +141,9 @@ def iso_instant(text: str) -> str:
 
 
 def text_instant(text: str) -> str:
-    number = f"CASE WHEN trim({text}) RLIKE r'{DECIMAL_TEXT}' THEN try_cast(trim({text}) AS DOUBLE) END"
-    return f"coalesce({iso_instant(text)}, {epoch_instant(number)})"
+    number = f"try_cast(trim({text}) AS DOUBLE)"
+    decimal = f"CASE WHEN trim({text}) RLIKE r'{DECIMAL_TEXT}' THEN {epoch_instant(number)} END"
+    return f"coalesce({iso_instant(text)}, {decimal})"
 
 
 def instant_of(entry: str) -> str:

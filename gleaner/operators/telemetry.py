@@ -56,25 +56,23 @@ def text_at(text: str, path: str) -> str:
 def listed_readings(text: str, gpus: str) -> str:
     """Readings of the objects in the ``gpus`` list of the object ``text``."""
     texts = from_json(f"element_at({nested_texts(text)}, 'gpus')", "array<string>")
-
-    def read(entries: str) -> str:
-        probes = f"""struct({entry_utilization(entries, f"get({texts}, i)")} AS util,
-            {index_entry(entries)} AS index)"""
-        return let(
-            probes,
-            lambda r: let(
-                index_number(f"{r}.index"),
-                lambda n: reading(n, f"{r}.util", f"({r}.index IS NOT NULL AND {n} IS NULL)"),
-            ),
-        )
-
     objects = from_json(text, f"struct<gpus:array<{TYPED}>>") + ".gpus"
     # A list that also holds other things is refused as a whole, so its objects are opened one by one.
     kinds = each(as_list(gpus), lambda x: f"schema_of_variant({x})")
     mixed = f"zip_with({kinds}, {texts}, (k, t) -> CASE WHEN startswith(k, '{OBJECT}') THEN {from_json('t', TYPED)} END)"
-    hits = f"""transform(coalesce({objects}, {mixed}),
-        (m, i) -> CASE WHEN m IS NOT NULL THEN {let(probed("m"), read)} END)"""
-    return only(hits, lambda r: f"{r}.util IS NOT NULL")
+    opened = each(f"coalesce({objects}, {mixed})", lambda m: f"CASE WHEN {m} IS NOT NULL THEN {probed(m)} END")
+    read = f"""transform({opened}, (e, i) -> struct({entry_utilization("e", f"get({texts}, i)")} AS util,
+        {index_entry("e")} AS index))"""
+    numbered = each(
+        only(read, lambda r: f"{r}.util IS NOT NULL"),
+        lambda r: f"struct({r}.util AS util, {r}.index IS NOT NULL AS given, {index_number(f'{r}.index')} AS gpu)",
+    )
+    return each(numbered, lambda r: reading(f"{r}.gpu", f"{r}.util", f"({r}.given AND {r}.gpu IS NULL)"))
+
+
+def gpus_list(entries: str) -> str:
+    """The ``gpus`` entry if it holds a list."""
+    return f"""try_element_at({only(entries, lambda e: f"{e}.key = 'gpus' AND {e}.kind = '{LIST}'")}, -1)"""
 
 
 def keyed_readings(entries: str, gpu_count: int | None) -> str:
@@ -101,13 +99,12 @@ def nested_objects(path: str, entries: str) -> str:
     )
 
 
-def found_readings(text: str, entries: str, gpu_count: int | None = None) -> str:
-    """All readings of a line; an object with a productive ``gpus`` list is not searched further."""
+def nested_readings(text: str, entries: str, gpu_count: int | None = None) -> str:
+    """Readings of all nested objects; one with a productive ``gpus`` list is not searched further."""
 
     def visit(n: str) -> str:
-        gpus = only(f"{n}.entries", lambda e: f"{e}.key = 'gpus' AND {e}.kind = '{LIST}'")
         listed = let(
-            f"try_element_at({gpus}, -1)",
+            gpus_list(f"{n}.entries"),
             lambda g: f"CASE WHEN {g} IS NOT NULL THEN {listed_readings(text_at(text, f'{n}.path'), g)} END",
         )
         return let(
@@ -122,13 +119,11 @@ def found_readings(text: str, entries: str, gpu_count: int | None = None) -> str
         lambda nodes: f"struct(flatten({nodes}.open) AS open, concat(state.found, flatten({nodes}.found)) AS found)",
     )
     braces = f"length({text}) - length(replace({text}, '{{'))"
-    root = f"struct(CAST(array() AS array<string>) AS path, {entries} AS entries)"
-    flat = f"NOT exists({entries}, e -> e.kind IN ('{OBJECT}', '{LIST}'))"
-    return f"""CASE WHEN {flat} THEN {keyed_readings(entries, gpu_count)}
-        ELSE aggregate(sequence(1, greatest({braces}, 1)),
-            struct(CAST(array({root}) AS array<{NODE}>) AS open, {READINGS} AS found),
-            (state, level) -> CASE WHEN size(state.open) = 0 THEN state ELSE {level} END,
-            state -> state.found) END"""
+    roots = nested_objects("CAST(array() AS array<string>)", entries)
+    return f"""aggregate(sequence(1, greatest({braces}, 1)),
+        struct(CAST({roots} AS array<{NODE}>) AS open, {READINGS} AS found),
+        (state, level) -> CASE WHEN size(state.open) = 0 THEN state ELSE {level} END,
+        state -> state.found)"""
 
 
 def plain_numbers(entries: str) -> str:
@@ -141,28 +136,40 @@ def plain_numbers(entries: str) -> str:
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Non-blank lines with ``entries``, NULL if the line is no JSON object.
 
-    The line is read as the one element of a list, so text after the object is noticed.
+    The reader stops behind the first object, so the line is also counted as a list of one. Only
+    that count does not know bare NaN and Infinity, for which the list is read in full.
     """
     keep = [c for c in lines.columns if c != line]
     trimmed = computed(lines, keep, {"text": F.btrim(F.col(line), F.lit(EDGE))}).filter(F.col("text") != "")
-    whole = let(
-        from_json("concat('[', text, ']')", f"array<{TYPED}>"),
-        lambda o: f"CASE WHEN size({o}) = 1 AND endswith(text, '}}') THEN get({o}, 0) END",
+    listed = "concat('[', text, ']')"
+    in_full = let(from_json(listed, f"array<{TYPED}>"), lambda o: f"CASE WHEN size({o}) = 1 THEN get({o}, 0) END")
+    typed = f"""CASE WHEN NOT endswith(text, '}}') THEN NULL
+        WHEN json_array_length({listed}) = 1 THEN {from_json("text", TYPED)}
+        WHEN contains(text, 'NaN') OR contains(text, 'Infinity') THEN {in_full} END"""
+    return computed(
+        computed(trimmed, [*keep, "text"], {"typed": F.expr(typed)}), [*keep, "text"], {"entries": F.expr(probed("typed"))}
     )
-    return computed(trimmed, [*keep, "text"], {"entries": F.expr(probed(whole))})
 
 
 def read_lines(parsed: DataFrame, gpu_count: int | None = None) -> DataFrame:
     """Add ``ts`` and ``readings`` to the lines that hold an object."""
     keep = [c for c in parsed.columns if c != "entries"]
-    readings = let(
-        found_readings("text", "entries", gpu_count),
-        lambda f: f"CASE WHEN size({f}) > 0 THEN {f} ELSE {plain_numbers('entries')} END",
-    )
     objects = parsed.filter(F.col("entries").isNotNull())
-    return computed(
-        objects, keep, {"ts": F.expr(line_instant("entries")), "readings": F.expr(readings)}
+    listed = let(
+        gpus_list("entries"), lambda g: f"CASE WHEN {g} IS NOT NULL THEN {listed_readings('text', g)} END"
+    )
+    first = computed(
+        objects,
+        [*keep, "entries"],
+        {"ts": F.expr(line_instant("entries")), "listed": F.expr(f"coalesce({listed}, {READINGS})")},
     )
+    nested = f"exists(entries, e -> e.kind = '{OBJECT}')"
+    keyed = keyed_readings("entries", gpu_count)
+    found = f"""CASE WHEN size(listed) > 0 THEN listed
+        WHEN {nested} THEN concat({keyed}, {nested_readings("text", "entries", gpu_count)}) ELSE {keyed} END"""
+    second = computed(first, [*keep, "entries", "ts"], {"found": F.expr(found)})
+    readings = f"CASE WHEN size(found) > 0 THEN found ELSE {plain_numbers('entries')} END"
+    return computed(second, [*keep, "ts"], {"readings": F.expr(readings)})
 
 
 def extract_readings(lines: DataFrame, line: str = "value", gpu_count: int | None = None) -> DataFrame:
