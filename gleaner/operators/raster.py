@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions.grid import (
@@ -31,6 +32,14 @@ def with_grid_size(
     return attach(cells, sizes, image, max_group_rows)
 
 
+def incomplete_grids(cells: DataFrame, image: list[str], channel: list[str]) -> DataFrame:
+    """Planes that miss cells or hold some twice."""
+    planes = cells.groupBy(*image, *channel).agg(
+        F.count(F.lit(1)).alias("n_cells"), ((F.max("row") + 1) * (F.max("col") + 1)).alias("n_expected")
+    )
+    return planes.filter(F.col("n_cells") != F.col("n_expected"))
+
+
 def illegal_padding(
     cells: DataFrame, image: list[str], kernel: tuple[int, int], stride: tuple[int, int],
     padding: tuple[int, int, int, int] = (0, 0, 0, 0), same: bool = False,
@@ -70,56 +79,59 @@ def median_pool(
 ) -> DataFrame:
     """Lower median of every ``kernel`` window of a long grid ``(img, ch, row, col, value)``.
 
-    Cells go to the tile of the outputs they feed; only those at a tile's edge go to two. The k*k
-    copies per cell are made after that shuffle, inside the tile, and are never shuffled.
+    Every cell of an image must be there (:func:`incomplete_grids`). Cells go to the tile of the
+    outputs they feed; only those at a tile's edge go to two. Inside the tile the values are gathered
+    along the rows and then along the columns, so after the one shuffle every cell is sorted twice,
+    and no copy per window is made.
     """
     sized = with_grid_size(cells, list(image), max_group_rows)
     left, right, top, bottom = pads(F.col("height"), F.col("width"), kernel, stride, padding, same)
     planes = [*image, *channel]
     rows_out = output_size(F.col("height"), top, bottom, kernel[0], stride[0])
     cols_out = output_size(F.col("width"), left, right, kernel[1], stride[1])
-    padded = (
-        sized.select(
-            *planes, "value", "height", "width", "col",
-            rows_out.alias("_rows"), cols_out.alias("_cols"), left.alias("_left"), right.alias("_right"),
-            F.explode(padded_positions(F.col("row"), F.col("height"), top, bottom)).alias("_r"),
-        )
-        .select(
-            *planes, "value", "_r", "_rows", "_cols",
-            F.explode(
-                padded_positions(F.col("col"), F.col("width"), F.col("_left"), F.col("_right"))
-            ).alias("_c"),
-        )
-        .select(
-            *planes, "value",
-            first_output(F.col("_r"), kernel[0], stride[0]).alias("_r0"),
-            last_output(F.col("_r"), F.col("_rows"), stride[0]).alias("_r1"),
-            first_output(F.col("_c"), kernel[1], stride[1]).alias("_c0"),
-            last_output(F.col("_c"), F.col("_cols"), stride[1]).alias("_c1"),
-        )
-        .filter((F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1")))
+    padded = sized.select(
+        *planes, "value", "col", "width",
+        rows_out.alias("_rows"), cols_out.alias("_cols"), left.alias("_left"), right.alias("_right"),
+        F.explode(padded_positions(F.col("row"), F.col("height"), top, bottom)).alias("_r"),
+    ).select(
+        *planes, "value", "_r", "_rows", "_cols",
+        F.explode(
+            padded_positions(F.col("col"), F.col("width"), F.col("_left"), F.col("_right"))
+        ).alias("_c"),
     )
 
-    def tiles(first: str, last: str) -> Column:
-        return F.explode(
-            F.sequence(F.floor(F.col(first) / tile).cast("int"), F.floor(F.col(last) / tile).cast("int"))
+    def tiles(position: str, size: int, step: int, outputs: str) -> Column:
+        first = first_output(F.col(position), size, step)
+        last = last_output(F.col(position), F.col(outputs), step)
+        span = F.sequence(F.floor(first / tile).cast("int"), F.floor(last / tile).cast("int"))
+        return F.explode(F.when(first <= last, span))
+
+    def starts(position: str, step: int, outputs: str, at: str) -> Column:
+        """Whether a window of this tile starts at the position."""
+        output = F.floor(F.col(position) / step)
+        return (
+            (F.col(position) % step == 0) & (output < F.col(outputs)) & (F.floor(output / tile) == F.col(at))
         )
 
-    def outputs(first: str, last: str, at: str) -> Column:
-        low = F.greatest(F.col(first), F.col(at) * tile)
-        high = F.least(F.col(last), F.col(at) * tile + tile - 1)
-        return F.explode(F.sequence(low, high))
-
-    tiled = padded.withColumn("_tr", tiles("_r0", "_r1")).withColumn("_tc", tiles("_c0", "_c1"))
-    windows = (
-        tiled.repartition(*planes, "_tr", "_tc")
-        .withColumn("row", outputs("_r0", "_r1", "_tr"))
-        .withColumn("col", outputs("_c0", "_c1", "_tc"))
+    tiled = (
+        padded.withColumn("_tr", tiles("_r", kernel[0], stride[0], "_rows"))
+        .withColumn("_tc", tiles("_c", kernel[1], stride[1], "_cols"))
+        .repartition(*planes, "_tr", "_tc")
+    )
+    place = [*planes, "_tr", "_tc"]
+    along_row = W.partitionBy(*place, "_r").orderBy("_c").rangeBetween(0, kernel[1] - 1)
+    along_col = W.partitionBy(*place, "_c").orderBy("_r").rangeBetween(0, kernel[0] - 1)
+    across = tiled.withColumn("value", F.collect_list("value").over(along_row)).filter(
+        starts("_c", stride[1], "_cols", "_tc")
+    )
+    whole = across.withColumn("value", F.collect_list("value").over(along_col)).filter(
+        starts("_r", stride[0], "_rows", "_tr")
     )
-    return (
-        windows.groupBy(*planes, "_tr", "_tc", "row", "col")
-        .agg(lower_median(F.collect_list("value")).alias("value"))
-        .drop("_tr", "_tc")
+    return whole.select(
+        *planes,
+        F.floor(F.col("_r") / stride[0]).cast("int").alias("row"),
+        F.floor(F.col("_c") / stride[1]).cast("int").alias("col"),
+        lower_median(F.flatten("value")).alias("value"),
     )
 
 

@@ -11,7 +11,7 @@ from gleaner.operators.telemetry import extract_readings
 from gleaner.plans.registered import lines, table, telemetry
 from gleaner.session import shared_folder
 from gleaner.streaming.extract import append_all
-from gleaner.streaming.last_lines import current_views, run_keep_last
+from gleaner.streaming.last_lines import current_views, merged_views, run_keep_last, run_merged_last
 
 
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,19 +32,28 @@ def stream_telemetry(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("event_id", "gpu", F.unix_micros("ts").alias("ts_micros"), "util")
 
 
-def stream_last_turns(spark: SparkSession, folder: str) -> DataFrame:
+def last_turns_of(spark: SparkSession, folder: str, start, views) -> DataFrame:
     run = run_folder(spark)
     turns = stream(spark, folder, "conversations").select(
         F.col("conv_id").alias("feed"), F.col("turn").alias("seq"), F.col("text").alias("line")
     )
-    run_keep_last(spark, turns, f"{run}/out", f"{run}/check", 3).awaitTermination()
-    views = current_views(spark.read.option("basePath", f"{run}/out").parquet(f"{run}/out"))
-    return views.select(F.col("feed").alias("conv_id"), F.col("seq").alias("turn"), F.col("line").alias("text"))
+    start(spark, turns, f"{run}/out", f"{run}/check", 3).awaitTermination()
+    shown = views(spark.read.option("basePath", f"{run}/out").parquet(f"{run}/out"))
+    return shown.select(F.col("feed").alias("conv_id"), F.col("seq").alias("turn"), F.col("line").alias("text"))
+
+
+def stream_last_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return last_turns_of(spark, folder, run_keep_last, current_views)
+
+
+def stream_merged_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return last_turns_of(spark, folder, run_merged_last, merged_views)
 
 
-QUERIES = {f.__name__: f for f in (stream_telemetry, stream_last_turns)}
+QUERIES = {f.__name__: f for f in (stream_telemetry, stream_last_turns, stream_merged_turns)}
 
 SQL = {
     "stream_telemetry": telemetry.SQL["telemetry_extract"],
+    "stream_merged_turns": f"SELECT conv_id, turn, text FROM ({lines.SQL['last_turns']})",
     "stream_last_turns": f"SELECT conv_id, turn, text FROM ({lines.SQL['last_turns']})",
 }

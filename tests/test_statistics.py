@@ -82,6 +82,11 @@ def test_padding_must_fit(spark):
     assert [r.img for r in bad.collect()] == [0]
 
 
+def test_holes_are_reported(spark):
+    cells = cells_of(spark, [np.zeros((2, 3)), np.zeros((2, 2))]).filter("not (img = 1 and ch = 0 and col = 0 and row = 1)")
+    assert [(r.img, r.ch) for r in G.incomplete_grids(cells, ["img"], ["ch"]).collect()] == [(1, 0)]
+
+
 def test_no_shuffle_after_the_tiles(spark):
     cells = cells_of(spark, [np.zeros((4, 4))]).withColumns({"height": F.lit(4), "width": F.lit(4)})
     plan = G.median_pool(cells)._jdf.queryExecution().executedPlan().toString()

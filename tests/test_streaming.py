@@ -1,12 +1,13 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators.lines import last_n
 from gleaner.operators.telemetry import extract_readings
 from gleaner.sources.readers import read_jsonl
 from gleaner.streaming.extract import run_readings
-from gleaner.streaming.last_lines import current_views, run_keep_last
+from gleaner.streaming.last_lines import current_views, merged_views, run_keep_last, run_merged_last
 
 
 def test_stream_of_lines_equals_batch(spark, tmp_path):
@@ -29,7 +30,8 @@ def test_stream_of_lines_equals_batch(spark, tmp_path):
     assert streamed.exceptAll(batch.select(*streamed.columns)).isEmpty()
 
 
-def test_last_lines_over_batches_and_a_restart(spark, tmp_path):
+@pytest.mark.parametrize("start,views", [(run_keep_last, current_views), (run_merged_last, merged_views)])
+def test_last_lines_over_batches_and_a_restart(spark, tmp_path, start, views):
     folder = str(tmp_path / "in")
     schema = "feed string, seq bigint, line string"
 
@@ -42,7 +44,7 @@ def test_last_lines_over_batches_and_a_restart(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-        query = run_keep_last(spark, stream, str(tmp_path / "out"), str(tmp_path / "check"), 5)
+        query = start(spark, stream, str(tmp_path / "out"), str(tmp_path / "check"), 5)
         query.awaitTermination()
 
     add(0, 9)
@@ -51,7 +53,7 @@ def test_last_lines_over_batches_and_a_restart(spark, tmp_path):
     add(49, 2)
     run()
     written = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
-    got = sorted(tuple(r) for r in current_views(written).collect())
+    got = sorted(tuple(r) for r in views(written).collect())
     want = last_n(spark.read.schema(schema).parquet(folder), ["feed"], ["seq"], 5)
     assert got == sorted(tuple(r) for r in want.select("feed", "seq", "line").collect())
     assert written.select("batch").distinct().count() >= 3
