@@ -10,6 +10,7 @@ from gleaner.functions.text import clean_line_array, is_clean_line, split_lines,
 from gleaner.operators.ordered import MAX_GROUP_ROWS, position, scan_groups
 from gleaner.operators.rowwise import computed
 from gleaner.operators.sampling import draw_size, hash_number, pick
+from gleaner.session import write_through
 
 # What the feed shows.
 VISIBLE_LINES = 24
@@ -56,8 +57,11 @@ def draw_arrays(
 
     A draw reads one line array inside a row, so the lines are neither exploded nor numbered.
     """
-    chosen = choose_files(draws, draw, files, file, seed, max_group_rows)
-    texts = files.select(file, clean_line_array(F.col(text)).alias("_clean"))
+    # Written through, for it is narrow, used twice, and its size then tells how to join it.
+    chosen = write_through(choose_files(draws, draw, files, file, seed, max_group_rows))
+    # Texts nobody draws from are left out before any text moves.
+    drawn = files.join(chosen.select(file).distinct(), file, "left_semi")
+    texts = drawn.select(file, clean_line_array(F.col(text)).alias("_clean"))
     keys = [F.col(d) for d in draw]
     sized = chosen.join(texts, file, "left").withColumn("size", draw_size(seed, *keys))
     empty = F.array().cast("array<string>")

@@ -13,8 +13,11 @@ NUM_FILES = 16
 POINTS_PER_GROUP = 100
 PATCHES = {"train": 4, "val": 2}
 
-# Beyond this many rows a top-n would gather too much in one place.
+# Every task passes on up to n rows of a top-n. From the first limit on they are merged in
+# steps, beyond the second the sample stays distributed.
+DIRECT_TOP_N = 100
 MAX_TOP_N = 10_000
+MERGE_GROUPS = 1024
 
 
 def seeded_order(seed: int | str, *keys: Column) -> Column:
@@ -33,6 +36,10 @@ def sample_rows(
     """``n`` rows without replacement; the keys must tell rows apart."""
     hashed = df.withColumn("_order", seeded_order(seed, *[F.col(k) for k in keys]))
     if n <= MAX_TOP_N:
+        if n > DIRECT_TOP_N:
+            # Any grouping of the tasks will do: the first n of all are among the first n of each group.
+            group = W.partitionBy(F.spark_partition_id() % MERGE_GROUPS).orderBy("_order", *keys)
+            hashed = hashed.withColumn("_place", F.row_number().over(group)).filter(F.col("_place") <= n).drop("_place")
         return hashed.orderBy("_order", *keys).limit(n).drop("_order")
     # A large sample stays distributed: number the keys, then keep the first n of them.
     places = scan_groups(hashed.select("_order", *keys), [], ["_order", *keys], {"_place": position()}, max_group_rows)

@@ -116,7 +116,7 @@ def page_trees(spark: SparkSession, folder: str) -> DataFrame:
         links,
         lambda u: F.struct(F.when(F.endswith(u, F.lit("/")), "tree").otherwise("blob").alias("type"), u.alias("path")),
     )
-    nested = table(spark, folder, "pages").select("page_id", tree.alias("tree"))
+    nested = computed(table(spark, folder, "pages"), ["page_id"], {"tree": tree})
     files = R.only_files(R.tree_entries(nested))
     return (
         files.filter((F.col("path") != "") & ~R.is_excluded(F.col("path")))
