@@ -77,9 +77,13 @@ def gpus_list(entries: str) -> str:
 
 def keyed_readings(entries: str, gpu_count: int | None) -> str:
     """Readings under keys such as ``gpu0_util`` and, if the count is known, in lists of that length."""
+    # The cheap test of the key spares most keys the pattern.
+    numbered = each(
+        only(entries, lambda e: f"{e}.num IS NOT NULL AND startswith(lower({e}.key), 'gpu')"),
+        lambda e: f"struct({named_reading_index(f'{e}.key')} AS gpu, {e}.num AS util)",
+    )
     keyed = each(
-        only(entries, lambda e: f"{e}.num IS NOT NULL AND {named_reading_index(f'{e}.key')} <> ''"),
-        lambda e: reading(f"try_cast({named_reading_index(f'{e}.key')} AS BIGINT)", f"{e}.num"),
+        only(numbered, lambda n: f"{n}.gpu <> ''"), lambda n: reading(f"try_cast({n}.gpu AS BIGINT)", f"{n}.util")
     )
     if not gpu_count:
         return keyed

@@ -329,6 +329,14 @@ SQL = {
         WHERE NOT ends_with(url, '/') AND url <> '' AND NOT ({EXCLUDED.format("url")}) GROUP BY page_id
     """,
     "corpus_manifest": MANIFEST_SQL,
+    "manifest_json": f"""
+        WITH m AS ({MANIFEST_SQL})
+        SELECT CAST(to_json({{'generated_at': '2024-01-01T00:00:00Z',
+                              'source': {{'user': 'someone', 'num_files': 64}},
+                              'files': list({{'file': file, 'repo': repo, 'owner': owner, 'path': path,
+                                              'branch': branch, 'bytes': bytes}} ORDER BY file)}}) AS VARCHAR) AS value,
+               count(*) AS n_files FROM m
+    """,
     "manifest_diff": """
         WITH old AS (
             SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents

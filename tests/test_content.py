@@ -69,3 +69,7 @@ def test_large_round_trip(spark):
 def test_stamp(spark):
     df = spark.createDataFrame([(datetime.datetime(2024, 1, 31, 23, 59, 59),)], "t timestamp_ntz")
     assert df.select(C.utc_stamp(F.col("t"))).first()[0] == "2024-01-31T23:59:59Z"
+
+
+def test_text_of_broken_bytes(spark):
+    assert binary(spark, ["é".encode(), b"a\xffb"], C.text_of) == ["é", "a\ufffdb"]
