@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Tables written by this process and not dropped yet.
+WRITTEN: list[str] = []
+
 
 def build_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and the benchmark; a cluster brings its own."""
@@ -37,14 +42,43 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def write_through(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession) -> str:
+    """A fresh path for an intermediate table; ``drop_written`` removes it."""
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
+def write_through(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_path(spark)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this process. Only once nothing that reads them is still needed."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, for functions that run in Python there. Once per session."""
+    context = spark.sparkContext
+    if getattr(context, "_gleaner_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gleaner-")) / "gleaner-package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent).as_posix())
+    context.addPyFile(str(archive))
+    context._gleaner_shipped = True
+
+
 def widen(scan: DataFrame) -> DataFrame:
     """Spread a scan of fewer splits than cores before costly work on every row.
 
