@@ -153,10 +153,8 @@ def _sql(rules: tuple[Rule, ...] = RULES) -> str:
     return rf"""
     WITH split AS (
         SELECT doc_id, coalesce(text, '') AS raw,
-            regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+') AS words,
-            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS lines
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
         FROM documents
     ), places AS (
         SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i
