@@ -38,15 +38,21 @@ def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: s
 
 
 class Memo(dict):
-    """``key -> make(key)``, kept per worker. Emptied at ``limit`` entries, which bounds its memory."""
+    """``key -> make(key)``, kept per worker in two generations of ``limit / 2`` entries, which bounds memory.
+
+    When the newer one is full it replaces the older; what is asked for again moves to the newer.
+    """
 
     def __init__(self, make: Callable, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, max(limit // 2, 1), {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
