@@ -108,7 +108,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     cuts = np.searchsorted(begin, ends)
     runs = np.zeros(max(len(hashes) - width + 1, 0), U)
     for k in range(width):
-        runs += mixed(hashes[k : len(hashes) - width + 1 + k] * PLACES[k])
+        runs += mixed(hashes[k : k + len(runs)] * PLACES[k])
     out, first = [], 0
     for last in cuts.tolist():
         n = last - first

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from gleaner.llm import bpe, quality
+from gleaner.llm import bpe, media, minhash, quality, tokens
 
-MODULES = (bpe, quality)
+MODULES = (tokens, media, minhash, bpe, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
