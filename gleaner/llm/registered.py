@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from gleaner.llm import bpe, licenses, media, minhash, quality, tokens
+from gleaner.llm import bpe, licenses, media, minhash, private, quality, tokens
 
-MODULES = (tokens, media, licenses, minhash, bpe, quality)
+MODULES = (tokens, private, media, licenses, minhash, bpe, quality)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
