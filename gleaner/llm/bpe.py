@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Batches, Memo, documents, id_and_text, map_batches
+from gleaner.llm.common import Batches, Memo, documents, map_batches, whole_text
 
 # Entries of a worker's memo of words; about 200 bytes each.
 MEMO = 900_000
@@ -181,8 +181,12 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec({base64.b64decode(piece): int(rank) for piece, rank in lines}, pattern)
 
 
-def encode(df: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
-    """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit); with ``decoded`` also their bytes."""
+def encode(df: DataFrame, path: str, pattern: str, decoded: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``n_tokens`` and ``ids`` (little-endian unsigned 32-bit); with ``decoded`` also their bytes.
+
+    ``keep``: more columns to pass through.
+    """
+    names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * decoded + list(keep)
 
     def run(batches: Batches) -> Batches:
         c = codec(path, pattern)
@@ -202,11 +206,13 @@ def encode(df: DataFrame, path: str, pattern: str, decoded: bool = False) -> Dat
                 ]
                 if decoded:
                     columns.append(pa.array(map(c.decode, rows), pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"][: len(columns)])
+                columns += [x.slice(begin, len(rows)) for x in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, names)
                 begin += len(rows)
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
-    return map_batches(id_and_text(df), run, schema)
+    schema += "".join(f", {k} {df.select(k).dtypes[0][1]}" for k in keep)
+    return map_batches(df.select(F.col("doc_id").cast("long"), whole_text(), *keep), run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -36,7 +36,7 @@ from gleaner.session import write_through
 BINS, ROWS = 200, 5
 PERCENT = 80
 
-# Pivots of a bucket in the rounds after the first.
+# Pivots of a bucket in the second round; sixteen times as many in each one after it.
 PIVOTS = 32
 
 # Bytes of text that are hashed at once.
@@ -225,11 +225,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, pivots:
     asked = open_.select(F.col("class").alias("doc_id")).distinct()
     sets = write_through(full_sets(docs.join(asked, "doc_id", "left_semi"), width))
 
-    links, many = None, 1
     grouped = open_.select(F.col("class").alias("node"), F.col("class").alias("component")).limit(0)
+    many = 1
     while not open_.isEmpty():
         place = F.row_number().over(W.partitionBy("bucket").orderBy("class"))
-        first = open_.select("bucket", "class", "n", "component", place.alias("place")).filter(F.col("place") <= many)
+        first = open_.withColumn("place", place).filter(F.col("place") <= many)
         p, m = first.alias("p"), open_.alias("m")
         near = f"{percent} * greatest(p.n, m.n) <= 100 * least(p.n, m.n)"
         meet = (F.col("p.bucket") == F.col("m.bucket")) & (F.col("p.class") < F.col("m.class"))
@@ -239,18 +239,19 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, pivots:
             .distinct()
         )
         found = write_through(confirmed(pairs, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        grouped = components(links)
-        done = first.select("bucket", "class").withColumn("tested", F.lit(True))
+        if not found.isEmpty():
+            stars = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            grouped = components(stars.unionByName(found))
         left = (
             open_.drop("component")
-            .join(done, ["bucket", "class"], "left_anti")
+            .join(first.select("bucket", "class"), ["bucket", "class"], "left_anti")
             .join(grouped.withColumnRenamed("node", "class"), "class", "left")
             .withColumn("component", F.coalesce("component", "class"))
         )
         spread = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        open_ = write_through(left.join(spread.filter("x < y").select("bucket"), "bucket", "left_semi").select(open_.columns))
-        many = pivots
+        unsettled = spread.filter("x < y").select("bucket")
+        open_ = write_through(left.join(unsettled, "bucket", "left_semi").select(open_.columns))
+        many = pivots if many == 1 else many * 16
 
     of_class = known.groupBy("digest").agg(F.min("doc_id").alias("class"))
     of_doc = sketched.join(of_class, "digest", "left").join(grouped.withColumnRenamed("node", "class"), "class", "left")
