@@ -57,12 +57,17 @@ def write_through(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> None:
-    """Remove the intermediate tables of this process. Only once nothing that reads them is still needed."""
+def drop_written(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Remove intermediate tables, those from place ``since`` of ``WRITTEN`` on but ``keep``.
+
+    Only once nothing that reads them is still needed.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    for name in WRITTEN[since:]:
+        if name not in keep:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+            WRITTEN.remove(name)
 
 
 def ship_package(spark: SparkSession) -> None:
