@@ -16,11 +16,6 @@ def same_padding(size: Column, kernel: int, stride: int) -> tuple[Column, Column
     return before, (total - before).cast("int")
 
 
-def reflect_index(i: Column, size: Column) -> Column:
-    """Source index of a padded position: ``-1 -> 1``, ``size -> size - 2``."""
-    return F.when(i < 0, -i).when(i >= size, 2 * (size - 1) - i).otherwise(i)
-
-
 def padded_positions(i: Column, size: Column, before: Column, after: Column) -> Column:
     """Positions of the padded axis, counted from its start, that show source index ``i``."""
     low, high = -i, 2 * (size - 1) - i

@@ -37,5 +37,8 @@ def softmax(vector: Column) -> Column:
 
 
 def lower_median(values: Column) -> Column:
-    """Middle value; the lower of the two when the count is even."""
-    return F.get(F.sort_array(values), F.floor((F.size(values) - 1) / 2).cast("int"))
+    """Middle value; the lower of the two when the count is even; NaN if any value is."""
+    ordered = F.sort_array(values)  # NaN last
+    last = F.get(ordered, F.size(values) - 1)
+    middle = F.get(ordered, F.floor((F.size(values) - 1) / 2).cast("int"))
+    return F.when(F.isnan(last), last).otherwise(middle)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.ordered import MAX_GROUP_ROWS, Measure, group_rows, position, scan_groups
+from gleaner.operators.ordered import Measure, group_rows, position, scan_groups
 
 # Alert limits.
 LOW_SPREAD = 0.15
@@ -27,12 +27,12 @@ def low_spread(metrics: DataFrame, std: str = "mean_std", limit: float = LOW_SPR
 
 
 def best_so_far(
-    df: DataFrame, keys: list[str], order: list[str], loss: str, max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, keys: list[str], order: list[str], loss: str, bucket: Column | None = None
 ) -> DataFrame:
     """Mark every row whose loss is below all earlier ones; NULL and NaN never are."""
     usable = F.when(~F.isnan(loss), F.col(loss))
     scanned = scan_groups(
-        df, keys, order, {"previous_best": Measure("min", usable, inclusive=False)}, max_group_rows
+        df, keys, order, {"previous_best": Measure("min", usable, inclusive=False)}, bucket
     )
     best = usable.isNotNull() & (usable < F.coalesce("previous_best", F.lit(float("inf"))))
     return scanned.withColumn("is_best", best)
@@ -40,24 +40,24 @@ def best_so_far(
 
 def running_trigger(
     df: DataFrame, epoch: list[str], order: list[str], collapsed: Column, limit: int = COLLAPSE_LIMIT,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Collapsed rows from the one after the ``limit``-th on, with their running count."""
     flags = df.withColumn("_flag", F.coalesce(collapsed, F.lit(False)).cast("bigint"))
-    scanned = scan_groups(flags, epoch, order, {"collapses": Measure("sum", F.col("_flag"))}, max_group_rows)
+    scanned = scan_groups(flags, epoch, order, {"collapses": Measure("sum", F.col("_flag"))}, bucket)
     return scanned.filter((F.col("_flag") == 1) & (F.col("collapses") > limit)).drop("_flag")
 
 
 def assign_batches(
     df: DataFrame, split: list[str], order: list[str], size: int, drop_last: Column,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Number the rows of each split and cut them into batches of ``size``.
 
     Where ``drop_last`` holds, an incomplete last batch goes.
     """
     placed = scan_groups(
-        df, split, order, {"_place": position(), "_n": group_rows()}, max_group_rows
+        df, split, order, {"_place": position(), "_n": group_rows()}, bucket
     )
     batch = F.floor((F.col("_place") - 1) / size)
     complete = (F.col("batch") + 1) * size <= F.col("_n")

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import clean_line_array, is_clean_line, split_lines, trim_end
-from gleaner.operators.ordered import MAX_GROUP_ROWS, position, scan_groups
-from gleaner.operators.rowwise import computed
-from gleaner.operators.sampling import draw_size, hash_number, pick
-from gleaner.session import write_through
+from gleaner.operators.ordered import first_per_group, position, scan_groups
+from gleaner.operators.sampling import draw_size, hash_number
 
 # What the feed shows.
 VISIBLE_LINES = 24
@@ -37,67 +34,71 @@ def lines_of(manifest: DataFrame, contents: DataFrame, file: str = "file", text:
 
 
 def choose_files(
-    draws: DataFrame, draw: list[str], files: DataFrame, file: str, seed: int | str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    draws: DataFrame, draw: list[str], files: DataFrame, file: str, seed: int | str, bucket: Column | None = None
 ) -> DataFrame:
-    """One file per draw, every file alike however long it is. Only file names are numbered here."""
-    numbered = scan_groups(files.select(file), [], [file], {"_place": position()}, max_group_rows)
-    n = files.count()
-    if n == 0:
-        return draws.withColumn(file, F.lit(None).cast(files.schema[file].dataType))
+    """One file per draw, every file alike however long it is; NULL if there is none.
+
+    Only file names are numbered here, in buckets that never fall along the names.
+    """
+    names = files.select(file)
+    numbered = scan_groups(names, [], [file], {"_place": position()}, bucket)
+    n = F.nullif(names.agg(F.count("*")).scalar(), F.lit(0))
     places = draws.withColumn("_place", 1 + hash_number(f"{seed}|file", *[F.col(d) for d in draw]) % n)
-    return places.join(numbered, "_place").drop("_place")
+    return places.join(numbered, "_place", "left").drop("_place")
 
 
-def draw_arrays(
+def sized_draws(
     draws: DataFrame, draw: list[str], files: DataFrame, file: str, text: str, seed: int | str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    bucket: Column | None = None,
 ) -> DataFrame:
-    """Per draw its file, its size and the lines drawn; ``lines`` is empty if the file has none.
+    """Per draw its ``file``, its ``size`` and the number ``_n`` of clean lines of the file. No text moves."""
+    counted = files.select(file, F.size(clean_line_array(F.col(text))).alias("_n"))
+    chosen = choose_files(draws, draw, files, file, seed, bucket).join(counted, file, "left")
+    size = draw_size(seed, *[F.col(d) for d in draw])
+    return chosen.select(*draw, file, size.alias("size"), F.coalesce("_n", F.lit(0)).alias("_n"))
 
-    A draw reads one line array inside a row, so the lines are neither exploded nor numbered.
-    """
-    # Written through, for it is narrow, used twice, and its size then tells how to join it.
-    chosen = write_through(choose_files(draws, draw, files, file, seed, max_group_rows))
-    # Texts nobody draws from are left out before any text moves.
-    drawn = files.join(chosen.select(file).distinct(), file, "left_semi")
-    texts = drawn.select(file, clean_line_array(F.col(text)).alias("_clean"))
-    keys = [F.col(d) for d in draw]
-    sized = chosen.join(texts, file, "left").withColumn("size", draw_size(seed, *keys))
-    empty = F.array().cast("array<string>")
-    lines = F.coalesce(pick(F.col("_clean"), seed, F.col("size"), *keys), empty)
-    return computed(sized, [*draw, file, "size"], {"lines": lines})
+
+def wishes(sized: DataFrame, others: list[str], seed: int | str, draw: list[str], n: Column) -> DataFrame:
+    """One row per line wished for: ``pos`` in the draw, and ``_at``, its place among ``n`` lines."""
+    each = sized.select(*others, n.alias("_of"), F.posexplode(F.sequence(F.lit(1), "size")).alias("pos", "_i"))
+    at = hash_number(f"{seed}|item", *[F.col(d) for d in draw], F.col("_i")) % F.nullif("_of", F.lit(0))
+    return each.select(*others, "pos", at.alias("_at"))
 
 
 def draw_lines(
     draws: DataFrame, draw: list[str], files: DataFrame, file: str, text: str, seed: int | str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """1 to 3 lines with replacement from one file per draw; none from a file without clean lines."""
+    return lines_of_draws(sized_draws(draws, draw, files, file, text, seed, bucket), draw, files, file, text, seed)
+
+
+def lines_of_draws(
+    sized: DataFrame, draw: list[str], files: DataFrame, file: str, text: str, seed: int | str
 ) -> DataFrame:
-    """1 to 3 lines with replacement from one file per draw."""
-    arrays = draw_arrays(draws, draw, files, file, text, seed, max_group_rows)
-    return arrays.select(*draw, file, F.posexplode("lines").alias("pos", "line"))
+    """The lines themselves, by file and place: a draw meets the lines it wants and no others.
+
+    Draws of a popular file spread over its lines.
+    """
+    wanted = wishes(sized.filter("_n > 0"), [*draw, file], seed, draw, F.col("_n"))
+    lines = files.select(file, F.posexplode(clean_line_array(F.col(text))).alias("_at", "line"))
+    return wanted.join(lines, [file, "_at"]).select(*draw, file, "pos", "line")
 
 
 def with_fallback(
-    arrays: DataFrame, draw: list[str], snippets: list[str], seed: int | str, last_resort: str = LAST_RESORT
+    sized: DataFrame, lines: DataFrame, draw: list[str], snippets: DataFrame, seed: int | str,
+    last_resort: str = LAST_RESORT,
 ) -> DataFrame:
-    """Lines of the file, else snippets, else one fixed line."""
-    size = draw_size(seed, *[F.col(d) for d in draw])
-    spare = F.array(*[F.lit(s) for s in snippets]).cast("array<string>")
-    chosen = (
-        F.when(F.size("lines") > 0, F.struct(F.lit("file").alias("tier"), F.col("lines").alias("l")))
-        .when(
-            F.size(spare) > 0,
-            F.struct(
-                F.lit("snippet").alias("tier"),
-                pick(spare, f"{seed}|snippet", size, *[F.col(d) for d in draw]).alias("l"),
-            ),
-        )
-        .otherwise(F.struct(F.lit("constant").alias("tier"), F.array(F.lit(last_resort)).alias("l")))
-    )
-    return arrays.withColumn("_chosen", chosen).select(
-        *draw, F.col("_chosen.tier").alias("tier"), F.posexplode("_chosen.l").alias("pos", "line")
+    """Lines of the file, else snippets (``pos`` from 0, ``line``), else one fixed line."""
+    n = snippets.agg(F.count("*")).scalar()
+    wanted = wishes(sized.filter("_n = 0"), draw, f"{seed}|snippet", draw, n)
+    spare = wanted.join(snippets.select(F.col("pos").cast("bigint").alias("_at"), "line"), "_at", "left")
+    found = F.col("line").isNotNull()
+    rest = spare.filter(found | (F.col("pos") == 0)).select(
+        *draw, F.when(found, "snippet").otherwise("constant").alias("tier"), "pos",
+        F.coalesce("line", F.lit(last_resort)).alias("line"),
     )
+    return lines.select(*draw, F.lit("file").alias("tier"), "pos", "line").unionByName(rest)
 
 
 def first_available(tiers: list[DataFrame]) -> DataFrame:
@@ -106,6 +107,5 @@ def first_available(tiers: list[DataFrame]) -> DataFrame:
 
 
 def last_n(df: DataFrame, feed: list[str], order: list[str], n: int = VISIBLE_LINES) -> DataFrame:
-    """The last ``n`` rows of each feed. Every map task passes on at most ``n`` rows per feed."""
-    w = W.partitionBy(*feed).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n).drop("_place")
+    """The last ``n`` rows of each feed; a hot feed is cut in parts first."""
+    return first_per_group(df, feed, [F.col(c).desc() for c in order], n, F.struct(*order))

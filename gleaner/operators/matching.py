@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.vectors import softmax
-from gleaner.operators.ordered import MAX_GROUP_ROWS, Measure, scan_groups
+from gleaner.operators.ordered import Measure, scan_groups
 
 # Fixed value: entries kept per vector.
 TOP_ENTRIES = 5
@@ -32,15 +32,20 @@ def top_classes(df: DataFrame, logits: str, others: list[str], k: int = TOP_ENTR
     return top_entries(df, softmax(F.col(logits)), others, k)
 
 
-def name_classes(entries: DataFrame, classes: DataFrame, n_classes: int, cat_id: str = "cat_id") -> DataFrame:
-    """Join class names. Ids are positions in a vector, so at most ``n_classes`` names are broadcast."""
-    named = classes.filter(F.col(cat_id).between(0, n_classes - 1))
-    return entries.join(F.broadcast(named), cat_id)
+def name_classes(entries: DataFrame, classes: DataFrame, cat_id: str = "cat_id") -> DataFrame:
+    """Join class names; an entry without a name stays, with NULL. An id that is named twice is an error."""
+    others = [c for c in classes.columns if c != cat_id]
+    single = classes.groupBy(cat_id).agg(
+        F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("class id named twice: "), F.col(cat_id))))
+        .otherwise(F.first(F.struct(*others)))
+        .alias("_named")
+    )
+    return entries.join(single, cat_id, "left").select(*entries.columns, *[F.col(f"_named.{c}").alias(c) for c in others])
 
 
 def read_before_write(
     reads: DataFrame, writes: DataFrame, agent: list[str], key: str = "key", pos: str = "pos",
-    max_group_rows: int = MAX_GROUP_ROWS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Reads of a key that nothing of the same agent has written at an earlier position.
 
@@ -55,30 +60,31 @@ def read_before_write(
     )
     # At one position reads come first: a module does not serve its own reads.
     scanned = scan_groups(
-        both, [*agent, key], [pos, "_write"], {"_written": Measure("max", F.col("_write"))}, max_group_rows
+        both, [*agent, key], [pos, "_write"], {"_written": Measure("max", F.col("_write"))}, bucket
     )
     return scanned.filter((F.col("_write") == 0) & (F.col("_written") == 0)).drop("_write", "_written")
 
 
 def nearest_sync(
     left: DataFrame, right: DataFrame, keys: list[str], ts: str, left_id: str, right_id: str,
-    tolerance: Column, max_group_rows: int = MAX_GROUP_ROWS,
+    tolerance: Column, bucket: Column | None = None,
 ) -> DataFrame:
     """For every left row the right row nearest in time within ``tolerance``; ties go to the earlier one.
 
     Both streams are merged and scanned once in each direction, so no row meets more than two others.
-    ``ts`` is a number.
+    ``ts`` is a number. Of several right rows at one instant the lowest id counts.
     """
     merged = left.select(*keys, ts, F.col(left_id).alias("_id"), F.lit(1).alias("_side")).unionByName(
-        right.select(*keys, ts, F.col(right_id).alias("_id"), F.lit(0).alias("_side"))
+        right.groupBy(*keys, ts).agg(F.min(right_id).alias("_id")).withColumn("_side", F.lit(0))
     )
+    # One right row per instant is enough, the one of the lowest id; the latest of them is then unique.
     candidate = F.when(F.col("_side") == 0, F.struct(F.col(ts).alias("ts"), F.col("_id").alias("id")))
     scanned = scan_groups(
         merged,
         keys,
         [ts, "_side", "_id"],
         {"_before": Measure("max", candidate), "_after": Measure("min", candidate, "after")},
-        max_group_rows,
+        bucket,
     )
     back = F.col(ts) - F.col("_before.ts")
     ahead = F.col("_after.ts") - F.col(ts)

@@ -1,29 +1,27 @@
 """Running values along ordered groups of any size.
 
-A window gives a whole group to one task. That is the right plan while groups are moderate, and no
-plan at all once one series holds a third of the table. So groups are counted first (a map-side
-combined aggregate over the key columns). Groups up to ``max_group_rows`` go through a window. Larger
-ones are range-partitioned by key *and* order, so that one group covers many partitions; each
-partition is scanned on its own and corrected by a carry row from the partitions before (or after)
-it. There are at most two carry rows per partition, which bounds the broadcast.
+A window hands a whole group to one task, which is no plan once one series holds a third of the table.
+So the caller names a ``bucket``: a column that never falls along the order, such as the day of a time or
+a prefix of a hash. Rows are shuffled once, by group and bucket; each bucket is scanned on its own and
+corrected by a carry from the totals of the buckets before (or after) it, of which there is one row per
+group and bucket. There is one plan whatever the sizes, and nothing is counted beforehand.
+
+Without a bucket a group is one window. That is for groups that are small by their definition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.session import write_through
-
-# Rows of one group that one task sorts without trouble.
-MAX_GROUP_ROWS = 5_000_000
+CUT = "_cut"
 
-ROWS = "_rows"
-PART = "_part"
+# Places of a group that one task sees in ``rolling``.
+RUN = 100_000
 
 
 @dataclass(frozen=True)
@@ -35,12 +33,13 @@ class Measure:
     side: str = "before"
     inclusive: bool = True
 
-    def over(self, group: W, order: list[str]) -> Column:
+    def over(self, group: W, order: Sequence[str | Column]) -> Column:
         agg = getattr(F, self.fn)(self.value)
         if self.side == "all":
             return agg.over(group)
         # An unbounded-following frame is recomputed per row; a reversed order is not.
-        ordered = group.orderBy(*(F.col(c).asc() if self.side == "before" else F.col(c).desc() for c in order))
+        columns = [F.col(c) if isinstance(c, str) else c for c in order]
+        ordered = group.orderBy(*(c.asc() if self.side == "before" else c.desc() for c in columns))
         return agg.over(ordered.rowsBetween(W.unboundedPreceding, 0 if self.inclusive else -1))
 
     def merged(self, here: Column, elsewhere: Column) -> Column:
@@ -62,83 +61,33 @@ def group_rows() -> Measure:
     return Measure("count", F.lit(1), "all")
 
 
-def split_by_size(
-    df: DataFrame, keys: list[str], max_group_rows: int
-) -> tuple[DataFrame | None, DataFrame | None, int]:
-    """Rows of moderate groups, rows of large groups (None if there are none) and the large rows' count."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(ROWS))
-    large = counts.filter(F.col(ROWS) > max_group_rows)
-    n_keys, n_rows = large.agg(F.count(F.lit(1)), F.coalesce(F.sum(ROWS), F.lit(0))).first()
-    if n_keys == 0:
-        return df, None, 0
-    if not keys:
-        return None, df, n_rows
-    # At most (all rows / max_group_rows) keys are large, so this side is small by construction.
-    names = F.broadcast(large.select(*[F.col(k).alias(f"_large_{k}") for k in keys]))
-    match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys])
-    return df.join(names, match, "left_anti"), df.join(names, match, "left_semi"), n_rows
-
-
 def scan_groups(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    measures: dict[str, Measure],
-    max_group_rows: int = MAX_GROUP_ROWS,
+    df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Measure], bucket: Column | None = None
 ) -> DataFrame:
-    """Add the measures to every row. ``order`` (ascending, nulls first) must tell rows apart."""
-    moderate, large, n_rows = split_by_size(df, keys, max_group_rows)
-    parts = []
-    if moderate is not None:
-        group = W.partitionBy(*keys)
-        parts.append(moderate.withColumns({n: m.over(group, order) for n, m in measures.items()}))
-    if large is not None:
-        parts.append(scan_spread(large, keys, order, measures, -(-2 * n_rows // max_group_rows)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def spread(df: DataFrame, keys: list[str], order: list[str], partitions: int) -> DataFrame:
-    """Range-partition by key and order and keep the partition number as a column.
+    """Add the measures to every row. ``order`` (ascending, nulls first) must tell rows apart.
 
-    Written through: the bounds are sampled, so a second evaluation could draw other ones.
+    ``bucket`` must be a function of the row that never falls along ``order`` within a group.
     """
-    ranges = df.repartitionByRange(max(partitions, 2), *keys, *order)
-    return write_through(ranges.withColumn(PART, F.spark_partition_id()))
-
-
-def scan_spread(
-    df: DataFrame, keys: list[str], order: list[str], measures: dict[str, Measure], partitions: int
-) -> DataFrame:
-    rows = spread(df, keys, order, partitions)
-    local = W.partitionBy(PART, *keys)
+    if bucket is None:
+        group = W.partitionBy(*(keys or [F.lit(0)]))
+        return df.withColumns({n: m.over(group, order) for n, m in measures.items()})
+    fields = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    # A struct is never null, so it joins null keys as well.
+    rows = df.withColumn(CUT, F.struct(*fields, bucket.alias("bucket"))).repartition(CUT)
+    local = W.partitionBy(CUT)
     scanned = rows.withColumns({n: m.over(local, order) for n, m in measures.items()})
-
-    group = W.partitionBy(*keys)
-    totals = rows.groupBy(PART, *keys).agg(
-        F.count(F.lit(1)).alias(ROWS),
-        *[getattr(F, m.fn)(m.value).alias(n) for n, m in measures.items()],
-    )
-    elsewhere = {
-        n: Measure("sum" if m.fn == "count" else m.fn, F.col(n), m.side, False).over(group, [PART])
-        for n, m in measures.items()
-    }
-    carry = (
-        totals.withColumn("_pieces", F.count(F.lit(1)).over(group))
-        .withColumns({f"_carry_{n}": c for n, c in elsewhere.items()})
-        .filter(F.col("_pieces") > 1)
-        .select(
-            F.col(PART).alias("_carry_part"),
-            *[F.col(k).alias(f"_carry_key_{k}") for k in keys],
-            *[F.col(f"_carry_{n}") for n in measures],
-        )
-    )
-    match = reduce(
-        lambda x, y: x & y,
-        [F.col(k).eqNullSafe(F.col(f"_carry_key_{k}")) for k in keys],
-        F.col(PART) == F.col("_carry_part"),
+    totals = rows.groupBy(CUT).agg(*[getattr(F, m.fn)(m.value).alias(n) for n, m in measures.items()])
+    group = W.partitionBy(*([F.col(f"{CUT}.k{i}") for i in range(len(keys))] or [F.lit(0)]))
+    carry = totals.select(
+        CUT,
+        *[
+            Measure("sum" if m.fn == "count" else m.fn, F.col(n), m.side, False)
+            .over(group, [F.col(f"{CUT}.bucket")])
+            .alias(f"_carry_{n}")
+            for n, m in measures.items()
+        ],
     )
-    merged = scanned.join(F.broadcast(carry), match, "left")
-    return merged.select(
+    return scanned.join(carry, CUT).select(
         *[F.col(c) for c in df.columns],
         *[m.merged(F.col(n), F.col(f"_carry_{n}")).alias(n) for n, m in measures.items()],
     )
@@ -150,57 +99,59 @@ def rolling(
     order: list[str],
     half: int,
     measures: dict[str, Column],
-    max_group_rows: int = MAX_GROUP_ROWS,
+    bucket: Column | None = None,
+    run: int = RUN,
 ) -> DataFrame:
     """Aggregates over the ``half`` rows on both sides of each row (fewer at the ends).
 
-    Large groups are cut into runs of ``max_group_rows`` places; a run also receives the ``half``
-    rows next to it, so its frames are whole and nothing else is copied.
+    With a ``bucket`` groups are cut into runs of ``run`` places; a run also receives the ``half`` rows
+    next to it, so its frames are whole and nothing else is copied.
     """
-    moderate, large, n_rows = split_by_size(df, keys, max_group_rows)
     frame = (-half, half)
-    parts = []
-    if moderate is not None:
+    if bucket is None:
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
-        parts.append(moderate.withColumns({n: c.over(w) for n, c in measures.items()}))
-    if large is not None:
-        run = max(max_group_rows, 2 * half + 1)
-        placed = scan_spread(large, keys, order, {"_place": position()}, -(-2 * n_rows // max_group_rows))
-
-        def run_of(place: Column) -> Column:
-            return F.floor((place - 1) / run)
-
-        copies = placed.withColumn(
-            "_run",
-            F.explode(
-                F.sequence(
-                    run_of(F.greatest(F.col("_place") - half, F.lit(1))), run_of(F.col("_place") + half)
-                )
-            ),
-        )
-        w = W.partitionBy(*keys, "_run").orderBy("_place").rowsBetween(*frame)
-        parts.append(
-            copies.withColumns({n: c.over(w) for n, c in measures.items()})
-            .filter(F.col("_run") == run_of(F.col("_place")))
-            .drop("_run", "_place")
-        )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def attach(
-    df: DataFrame, per_key: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """Inner join with a table of one row per key, where a key may hold any share of ``df``.
+        return df.withColumns({n: c.over(w) for n, c in measures.items()})
+    run = max(run, 2 * half + 1)
+    placed = scan_groups(df, keys, order, {"_place": position()}, bucket)
+
+    def run_of(place: Column) -> Column:
+        return F.floor((place - 1) / run)
+
+    first = run_of(F.greatest(F.col("_place") - half, F.lit(1)))
+    copies = placed.withColumn("_run", F.explode(F.sequence(first, run_of(F.col("_place") + half))))
+    w = W.partitionBy(*keys, "_run").orderBy("_place").rowsBetween(*frame)
+    return (
+        copies.withColumns({n: c.over(w) for n, c in measures.items()})
+        .filter(F.col("_run") == run_of(F.col("_place")))
+        .drop("_run", "_place")
+    )
+
 
-    Rows of large keys stay where they are: their few keys are broadcast instead of shuffled.
+def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join with a table of one row per key; null keys meet.
+
+    A key may hold any share of ``df``: the other side has one row for it, so Spark can split the rows of
+    a skewed key over many tasks.
     """
     side = per_key.select(
-        *[F.col(k).alias(f"_side_{k}") for k in keys], *[c for c in per_key.columns if c not in keys]
+        F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias(CUT),
+        *[c for c in per_key.columns if c not in keys],
     )
-    match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_side_{k}")) for k in keys])
-    moderate, large, _ = split_by_size(df, keys, max_group_rows)
-    parts = [moderate.join(side, match)]
-    if large is not None:
-        few = large.select(*keys).distinct()  # at most (all rows / max_group_rows) keys
-        parts.append(large.join(F.broadcast(side.join(F.broadcast(few), match, "left_semi")), match))
-    return reduce(DataFrame.unionByName, parts).drop(*[f"_side_{k}" for k in keys])
+    own = df.withColumn(CUT, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
+    return own.join(side, CUT).drop(CUT)
+
+
+def first_per_group(
+    df: DataFrame, group: list[str], order: Sequence[Column], n: int, salt: Column, salts: int = 64
+) -> DataFrame:
+    """The first ``n`` rows of each group.
+
+    Cut twice: within group and salt, then within the group. However many tasks read the input, the task
+    of a hot group sees ``salts * n`` rows at most. ``salt`` must tell rows of a group apart well.
+    """
+    part = F.pmod(F.xxhash64(salt), F.lit(salts))
+    cut = df.withColumn("_salt", part)
+    inner = W.partitionBy(*group, "_salt").orderBy(*order)
+    outer = W.partitionBy(*group).orderBy(*order)
+    few = cut.withColumn("_place", F.row_number().over(inner)).filter(F.col("_place") <= n).drop("_salt")
+    return few.withColumn("_place", F.row_number().over(outer)).filter(F.col("_place") <= n).drop("_place")

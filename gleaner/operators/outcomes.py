@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.ordered import MAX_GROUP_ROWS, Measure, attach, scan_groups
-from gleaner.session import write_through
+from gleaner.operators.ordered import Measure, attach, scan_groups
 
 # Outcome names and the signals they are read from.
 VALID_PASS, VALID_FAIL, AGENT_ERROR, INFRA_FAIL = "valid_pass", "valid_fail", "agent_error", "infra_fail"
@@ -121,22 +120,20 @@ def rate_per_unit(df: DataFrame, keys: list[str], events: Column, units: Column,
 
 
 def rank_by(
-    df: DataFrame, columns: list[str], name: str = "rank", max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, columns: list[str], name: str = "rank"
 ) -> DataFrame:
     """Standard competition rank by the columns, highest first, NULL last.
 
-    Only the distinct values are ordered, and each brings along how many rows share it. The input is
-    written through, because it is counted, ordered and joined.
+    Only the distinct values are ordered, in buckets of the first column, and each brings along how many
+    rows share it.
     """
-    keyed = write_through(
-        df.withColumns({f"_k{i}": F.coalesce(-F.col(c), F.lit(float("inf"))) for i, c in enumerate(columns)})
-    )
+    keyed = df.withColumns({f"_k{i}": F.coalesce(-F.col(c), F.lit(float("inf"))) for i, c in enumerate(columns)})
     keys = [f"_k{i}" for i in range(len(columns))]
     values = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     ranks = scan_groups(
-        values, [], keys, {"_ahead": Measure("sum", F.col("_n"), inclusive=False)}, max_group_rows
+        values, [], keys, {"_ahead": Measure("sum", F.col("_n"), inclusive=False)}, F.col("_k0")
     ).select(*keys, (1 + F.coalesce("_ahead", F.lit(0))).cast("bigint").alias(name))
-    return attach(keyed, ranks, keys, max_group_rows).drop(*keys)
+    return attach(keyed, ranks, keys).drop(*keys)
 
 
 def fingerprint(columns: dict[str, Column]) -> Column:
@@ -146,7 +143,7 @@ def fingerprint(columns: dict[str, Column]) -> Column:
 
 
 def reproductions(
-    firsts: DataFrame, runs: DataFrame, mark: str = "fingerprint", max_group_rows: int = MAX_GROUP_ROWS
+    firsts: DataFrame, runs: DataFrame, mark: str = "fingerprint"
 ) -> DataFrame:
     """Runs next to the first one of their configuration; ``firsts`` has one row per configuration."""
-    return attach(runs, firsts, [mark], max_group_rows)
+    return attach(runs, firsts, [mark])

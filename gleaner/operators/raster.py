@@ -14,22 +14,39 @@ from gleaner.functions.grid import (
     same_padding,
 )
 from gleaner.functions.vectors import lower_median
-from gleaner.operators.ordered import MAX_GROUP_ROWS, attach, rolling
+from gleaner.operators.ordered import attach, rolling
 
 # Output cells along one edge of a tile: a task handles whole tiles.
 TILE = 256
 
 
-def with_grid_size(
-    cells: DataFrame, image: list[str], max_group_rows: int = MAX_GROUP_ROWS
+def checked_size(
+    cells: DataFrame, image: list[str], channel: list[str], kernel: tuple[int, int], stride: tuple[int, int],
+    padding: tuple[int, int, int, int], same: bool,
 ) -> DataFrame:
-    """Add ``height`` and ``width``, unless they are there: from the largest row and column of each image."""
-    if {"height", "width"} <= set(cells.columns):
-        return cells
-    sizes = cells.groupBy(*image).agg(
-        (F.max("row") + 1).cast("int").alias("height"), (F.max("col") + 1).cast("int").alias("width")
+    """Cells with ``height`` and ``width``: their own columns, else the largest row and column of the image.
+
+    Fails for a plane that misses cells or holds some twice, and for a padding that no reflection can fill.
+    """
+    known = {"height", "width"} <= set(cells.columns)
+    height = F.max("height") if known else (F.max("row") + 1).cast("int")
+    width = F.max("width") if known else (F.max("col") + 1).cast("int")
+    planes = cells.groupBy(*image, *channel).agg(
+        F.count("*").alias("_n"), height.alias("height"), width.alias("width")
     )
-    return attach(cells, sizes, image, max_group_rows)
+    if not known:
+        per_image = planes.groupBy(*image).agg(F.max("height").alias("height"), F.max("width").alias("width"))
+        planes = attach(planes.drop("height", "width"), per_image, image)
+    left, right, top, bottom = pads(F.col("height"), F.col("width"), kernel, stride, padding, same)
+    fits = (F.greatest(top, bottom) < F.col("height")) & (F.greatest(left, right) < F.col("width"))
+    whole = F.col("_n") == F.col("height") * F.col("width")
+    checked = (
+        F.when(~whole, F.raise_error(F.lit("a grid misses cells or holds some twice")))
+        .when(~fits, F.raise_error(F.lit("the padding must be smaller than the grid")))
+        .otherwise(F.col("height"))
+    )
+    sizes = planes.select(*image, *channel, checked.alias("height"), "width")
+    return attach(cells.drop("height", "width"), sizes, [*image, *channel])
 
 
 def incomplete_grids(cells: DataFrame, image: list[str], channel: list[str]) -> DataFrame:
@@ -75,30 +92,28 @@ def median_pool(
     padding: tuple[int, int, int, int] = (0, 0, 0, 0),
     same: bool = False,
     tile: int = TILE,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Lower median of every ``kernel`` window of a long grid ``(img, ch, row, col, value)``.
 
-    Every cell of an image must be there (:func:`incomplete_grids`). Cells go to the tile of the
+    Every cell of an image must be there, and a padding smaller than the image, else this fails. Cells go to the tile of the
     outputs they feed; only those at a tile's edge go to two. Inside the tile the values are gathered
     along the rows and then along the columns, so after the one shuffle every cell is sorted twice,
     and no copy per window is made.
     """
-    sized = with_grid_size(cells, list(image), max_group_rows)
+    sized = checked_size(cells, list(image), list(channel), kernel, stride, padding, same)
     left, right, top, bottom = pads(F.col("height"), F.col("width"), kernel, stride, padding, same)
     planes = [*image, *channel]
     rows_out = output_size(F.col("height"), top, bottom, kernel[0], stride[0])
     cols_out = output_size(F.col("width"), left, right, kernel[1], stride[1])
-    padded = sized.select(
-        *planes, "value", "col", "width",
-        rows_out.alias("_rows"), cols_out.alias("_cols"), left.alias("_left"), right.alias("_right"),
-        F.explode(padded_positions(F.col("row"), F.col("height"), top, bottom)).alias("_r"),
-    ).select(
-        *planes, "value", "_r", "_rows", "_cols",
-        F.explode(
-            padded_positions(F.col("col"), F.col("width"), F.col("_left"), F.col("_right"))
-        ).alias("_c"),
+    # Rows and columns in one generator: a column that only a second generator uses is not lost.
+    down = padded_positions(F.col("row"), F.col("height"), top, bottom)
+    along = padded_positions(F.col("col"), F.col("width"), left, right)
+    places = F.flatten(
+        F.transform(down, lambda r: F.transform(along, lambda c: F.struct(r.alias("_r"), c.alias("_c"))))
     )
+    padded = sized.select(
+        *planes, "value", rows_out.alias("_rows"), cols_out.alias("_cols"), F.explode(places).alias("_at")
+    ).select(*planes, "value", "_rows", "_cols", "_at._r", "_at._c")
 
     def tiles(position: str, size: int, step: int, outputs: str) -> Column:
         first = first_output(F.col(position), size, step)
@@ -137,8 +152,8 @@ def median_pool(
 
 def rolling_lower_median(
     df: DataFrame, series: list[str], order: list[str], value: str, half: int,
-    name: str = "rolling_median", max_group_rows: int = MAX_GROUP_ROWS,
+    name: str = "rolling_median", bucket: Column | None = None,
 ) -> DataFrame:
     """Lower median over the ``half`` rows on both sides of each row of a series."""
-    gathered = rolling(df, series, order, half, {name: F.collect_list(value)}, max_group_rows)
+    gathered = rolling(df, series, order, half, {name: F.collect_list(value)}, bucket)
     return gathered.withColumn(name, lower_median(F.col(name)))

@@ -6,18 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.operators.ordered import MAX_GROUP_ROWS, position, scan_groups
+from gleaner.operators.ordered import first_per_group
 
 # Sample sizes.
 NUM_FILES = 16
 POINTS_PER_GROUP = 100
 PATCHES = {"train": 4, "val": 2}
 
-# Every task passes on up to n rows of a top-n. From the first limit on they are merged in
-# steps, beyond the second the sample stays distributed.
-DIRECT_TOP_N = 100
-MAX_TOP_N = 10_000
-MERGE_GROUPS = 1024
+# Hex digits of the hash that are counted first: 65,536 ranges at most.
+PREFIX = 4
 
 
 def seeded_order(seed: int | str, *keys: Column) -> Column:
@@ -30,45 +27,41 @@ def hash_number(seed: int | str, *keys: Column) -> Column:
     return F.conv(F.substring(seeded_order(seed, *keys), 1, 15), 16, 10).cast("bigint")
 
 
-def sample_rows(
-    df: DataFrame, n: int, seed: int | str, *keys: str, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
-    """``n`` rows without replacement; the keys must tell rows apart."""
+def sample_rows(df: DataFrame, n: int, seed: int | str, *keys: str) -> DataFrame:
+    """``n`` rows without replacement; the keys must tell rows apart.
+
+    One plan for every ``n``: rows are counted per prefix of their hash, which is combined map-side. A
+    running sum over the prefixes tells those that hold the first ``n``; only their rows are shuffled, and
+    numbered within their prefix. The list of prefixes is bounded by their digits.
+    """
     hashed = df.withColumn("_order", seeded_order(seed, *[F.col(k) for k in keys]))
-    if n <= MAX_TOP_N:
-        if n > DIRECT_TOP_N:
-            # Any grouping of the tasks will do: the first n of all are among the first n of each group.
-            group = W.partitionBy(F.spark_partition_id() % MERGE_GROUPS).orderBy("_order", *keys)
-            hashed = hashed.withColumn("_place", F.row_number().over(group)).filter(F.col("_place") <= n).drop("_place")
-        return hashed.orderBy("_order", *keys).limit(n).drop("_order")
-    # A large sample stays distributed: number the keys, then keep the first n of them.
-    places = scan_groups(hashed.select("_order", *keys), [], ["_order", *keys], {"_place": position()}, max_group_rows)
-    return hashed.drop("_order").join(places.filter(F.col("_place") <= n).select(*keys), list(keys), "left_semi")
-
-
-def sample_per_group(
-    df: DataFrame, group: list[str], n: int | Column, seed: int | str, *keys: str
-) -> DataFrame:
-    """Up to ``n`` rows per group. A constant ``n`` is cut down before the shuffle already."""
-    w = W.partitionBy(*group).orderBy("_order", *keys)
-    ranked = df.withColumn("_order", seeded_order(seed, *[F.col(k) for k in keys])).withColumn(
-        "_place", F.row_number().over(w)
-    )
-    return ranked.filter(F.col("_place") <= n).drop("_order", "_place")
+    hashed = hashed.withColumn("_prefix", F.substring("_order", 1, PREFIX))
+    counts = hashed.groupBy("_prefix").agg(F.count("*").alias("_n"))
+    earlier = W.partitionBy(F.lit(0)).orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_prefix", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    near = hashed.join(F.broadcast(starts.filter(F.col("_start") < n)), "_prefix")
+    inside = F.row_number().over(W.partitionBy("_prefix").orderBy("_order", *keys))
+    return near.withColumn("_place", F.col("_start") + inside).filter(F.col("_place") <= n).select(df.columns)
+
+
+def sample_per_group(df: DataFrame, group: list[str], n: int, seed: int | str, *keys: str) -> DataFrame:
+    """Up to ``n`` rows per group, cut down before and after the shuffle."""
+    ordered = df.withColumn("_order", seeded_order(seed, *[F.col(k) for k in keys]))
+    order = [F.col("_order"), *[F.col(k) for k in keys]]
+    return first_per_group(ordered, group, order, n, F.col("_order")).drop("_order")
 
 
 def patches_per_split(
     df: DataFrame, split: str, group: list[str], seed: int | str, *keys: str, sizes: dict[str, int] = PATCHES
 ) -> DataFrame:
-    """Per group as many rows as its split asks for."""
-    parts = [
-        sample_per_group(df.filter(F.col(split) == name), group, n, seed, *keys)
-        for name, n in sizes.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Per group as many rows as its split asks for, in one pass; rows of other splits are left out."""
+    asked = F.lit(0)
+    for name, n in sizes.items():
+        asked = F.when(F.col(split) == name, n).otherwise(asked)
+    most = sample_per_group(df.filter(asked > 0), [split, *group], max(sizes.values()), seed, *keys)
+    w = W.partitionBy(split, *group).orderBy("_order", *keys)
+    placed = most.withColumn("_order", seeded_order(seed, *[F.col(k) for k in keys])).withColumn("_place", F.row_number().over(w))
+    return placed.filter(F.col("_place") <= asked).drop("_order", "_place")
 
 
 def split_by_value(value: Column, train: list, names: tuple[str, str] = ("train", "test")) -> Column:
@@ -79,14 +72,3 @@ def split_by_value(value: Column, train: list, names: tuple[str, str] = ("train"
 def draw_size(seed: int | str, *draw: Column) -> Column:
     """1 to 3, uniformly."""
     return (1 + hash_number(f"{seed}|size", *draw) % 3).cast("int")
-
-
-def pick(items: Column, seed: int | str, size: Column, *draw: Column) -> Column:
-    """``size`` items of an array with replacement; an empty array gives an empty one."""
-
-    def one(i: Column) -> Column:
-        return F.get(items, (hash_number(f"{seed}|item", *draw, i) % F.size(items)).cast("int"))
-
-    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(1), size), one)).otherwise(
-        F.array().cast("array<string>")
-    )

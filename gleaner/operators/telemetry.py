@@ -28,7 +28,7 @@ from gleaner.functions.probes import (
     only,
     probed,
 )
-from gleaner.operators.ordered import MAX_GROUP_ROWS, Measure, group_rows, position, scan_groups
+from gleaner.operators.ordered import Measure, group_rows, position, scan_groups
 from gleaner.operators.rowwise import computed
 from gleaner.session import write_through
 
@@ -201,18 +201,18 @@ def rejects(lines: DataFrame, line: str = "value", gpu_count: int | None = None)
 
 def downsample(
     df: DataFrame, series: list[str], order: list[str], k: int = DOWNSAMPLE,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Every ``max(1, n div k)``-th row of a series with more than ``k`` rows; others stay whole."""
     placed = scan_groups(
-        df, series, order, {"_place": position(), "_n": group_rows()}, max_group_rows
+        df, series, order, {"_place": position(), "_n": group_rows()}, bucket
     )
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / k))
     return placed.filter((F.col("_n") <= k) | ((F.col("_place") - 1) % step == 0)).drop("_place", "_n")
 
 
 def downsample_readings(
-    readings: DataFrame, k: int = DOWNSAMPLE, max_group_rows: int = MAX_GROUP_ROWS
+    readings: DataFrame, k: int = DOWNSAMPLE
 ) -> DataFrame:
     """:func:`downsample` of a long table, where equal readings may repeat without limit.
 
@@ -225,7 +225,7 @@ def downsample_readings(
         ["gpu"],
         ["ts", "util"],
         {"_end": Measure("sum", F.col("_run")), "_n": Measure("sum", F.col("_run"), "all")},
-        max_group_rows,
+        F.to_date("ts"),
     )
     step = F.when(F.col("_n") > k, F.greatest(F.lit(1), F.floor(F.col("_n") / k))).otherwise(F.lit(1))
     # Kept places are 0, step, 2*step, ...; a run covers places [end - run, end).

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators.lines import VISIBLE_LINES, draw_arrays, last_n, with_fallback
+from gleaner.operators.lines import VISIBLE_LINES, last_n, lines_of_draws, sized_draws, with_fallback
 
 
 def line_feed(
-    draws: DataFrame, feed: str, at: str, files: DataFrame, file: str, text: str, snippets: list[str],
-    seed: int | str, visible: int = VISIBLE_LINES,
+    draws: DataFrame, feed: str, at: str, files: DataFrame, file: str, text: str, snippets: DataFrame,
+    seed: int | str, visible: int = VISIBLE_LINES, bucket: Column | None = None,
 ) -> DataFrame:
     """What each feed shows after its last draw: ``feed, at, pos, line``."""
-    arrays = draw_arrays(draws.select(feed, at), [feed, at], files, file, text, seed)
-    lines = with_fallback(arrays, [feed, at], snippets, seed)
+    draw = [feed, at]
+    sized = sized_draws(draws.select(*draw), draw, files, file, text, seed, bucket)
+    lines = with_fallback(sized, lines_of_draws(sized, draw, files, file, text, seed), draw, snippets, seed)
     return last_n(lines.select(feed, at, "pos", F.col("line")), [feed], [at, "pos"], visible)

@@ -11,7 +11,7 @@ from gleaner.functions.content import MAX_BYTES_PER_FILE, cut_bytes, is_text, pa
 from gleaner.functions.text import safe_file_name
 from gleaner.operators import repos as R
 from gleaner.operators.rowwise import computed
-from gleaner.operators.sampling import MAX_TOP_N, NUM_FILES, sample_rows
+from gleaner.operators.sampling import NUM_FILES, sample_rows
 
 
 @dataclass(frozen=True)
@@ -47,11 +47,10 @@ def candidates(repos: DataFrame, entries: DataFrame, o: HarvestOptions) -> DataF
 def clean_contents(picked: DataFrame, contents: DataFrame, o: HarvestOptions) -> DataFrame:
     """Join contents to the sample, then decode, cut and screen them. Nothing is refilled.
 
-    ``contents`` is read last and only here, and a sample that fits a top-n is broadcast to it.
+    ``contents`` is read last and only here; Spark broadcasts a sample that is small.
     """
-    side = F.broadcast(picked) if o.num_files <= MAX_TOP_N else picked
     download = F.col("download") if "download" in contents.columns else None
-    joined = contents.join(side, ["repo", "path"])
+    joined = contents.join(picked, ["repo", "path"])
     payload = payload_bytes(F.col("encoding"), F.col("content"), download)
     decoded = computed(joined, ["owner", "repo", "branch", "path"], {"content": payload})
     kept = decoded.filter(F.octet_length("content") > 0).withColumn(

@@ -19,7 +19,6 @@ from gleaner.operators.rowwise import computed
 from gleaner.operators.sampling import sample_rows
 from gleaner.plans.harvest import HarvestOptions, candidates, harvest
 from gleaner.plans.registered import table
-from gleaner.session import widen
 from gleaner.sources.sinks import manifest_changes, manifest_document, same_rows
 
 PAGE_EXTENSIONS = ["html", "htm"]
@@ -51,13 +50,13 @@ def safe_names(spark: SparkSession, folder: str) -> DataFrame:
 
 def comma_items(spark: SparkSession, folder: str) -> DataFrame:
     items = comma_list(F.col("text"), lower=True)
-    return widen(table(spark, folder, "documents").select("doc_id", "text")).select(
+    return table(spark, folder, "documents").select("doc_id", "text").select(
         "doc_id", F.size(items).cast("bigint").alias("n_items"), F.md5(F.concat_ws("|", items)).alias("items_md5")
     )
 
 
 def text_bytes(spark: SparkSession, folder: str) -> DataFrame:
-    stored = widen(table(spark, folder, "documents")).select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("b64"))
+    stored = table(spark, folder, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("b64"))
     content = payload_bytes(F.lit("base64"), F.col("b64"))
     return (
         computed(stored, ["doc_id"], {"content": content})
@@ -130,7 +129,7 @@ def manifest_of(docs: DataFrame, n: int, seed: int) -> DataFrame:
     picked = sample_rows(docs.select("doc_id"), n, seed, "doc_id")
     path = F.concat_ws("/", "lang", F.concat("doc_id", F.lit(".txt")))
     kept = cut_bytes(F.encode("text", "UTF-8"))
-    return docs.join(F.broadcast(picked), "doc_id").select(
+    return docs.join(picked, "doc_id").select(
         safe_file_name(F.col("source"), path).alias("file"),
         F.col("source").alias("repo"),
         F.lit("someone").alias("owner"),
@@ -152,10 +151,9 @@ def manifest_json(spark: SparkSession, folder: str) -> DataFrame:
 
 def manifest_diff(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    old = sample_rows(
-        docs.select("doc_id", F.octet_length(F.encode("text", "UTF-8")).cast("bigint").alias("size")), 600, 1, "doc_id"
-    )
-    new = sample_rows(docs.select("doc_id", F.col("n_chars").alias("size")), 600, 2, "doc_id")
+    size = F.octet_length(F.encode("text", "UTF-8")).cast("bigint").alias("size")
+    old = docs.filter(F.col("lang") != "es").select("doc_id", size)
+    new = docs.filter(F.col("lang") != "fr").select("doc_id", F.col("n_chars").alias("size"))
     return manifest_changes(old, new, ["doc_id"], ["size"])
 
 
@@ -339,10 +337,9 @@ SQL = {
     """,
     "manifest_diff": """
         WITH old AS (
-            SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents
-            ORDER BY md5('1|' || doc_id), doc_id LIMIT 600
+            SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents WHERE lang <> 'es'
         ), new AS (
-            SELECT doc_id, n_chars AS size FROM documents ORDER BY md5('2|' || doc_id), doc_id LIMIT 600
+            SELECT doc_id, n_chars AS size FROM documents WHERE lang <> 'fr'
         )
         SELECT coalesce(old.doc_id, new.doc_id) AS doc_id,
                CASE WHEN old.doc_id IS NULL THEN 'added' WHEN new.doc_id IS NULL THEN 'removed'

@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import utf16_length
 from gleaner.operators.lines import (
     clean_lines,
-    draw_arrays,
     draw_lines as draw_file_lines,
     explode_lines,
     first_available,
     last_n,
     lines_of,
+    lines_of_draws,
+    sized_draws,
     with_fallback,
 )
-from gleaner.operators.sampling import sample_rows
 from gleaner.plans.feed import line_feed as feed_lines
 from gleaner.plans.registered import table
-from gleaner.session import widen
 
 # Lines to fall back to.
 SNIPPETS = ["select 1", "for row in rows:", "    total += row.amount", "return total", "# end"]
 
+# Documents of one bucket when they are numbered.
+NUMBERED = 100_000
+
+
+def snippets(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(SNIPPETS)), "pos int, line string")
+
+
+def by_id() -> Column:
+    return F.floor(F.col("doc_id") / NUMBERED)
+
 
 def clean_lines_by_source(spark: SparkSession, folder: str) -> DataFrame:
-    lines = clean_lines(widen(table(spark, folder, "documents").select("source", "text")))
+    lines = clean_lines(table(spark, folder, "documents").select("source", "text"))
     units = utf16_length(F.col("line"))
     return lines.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_lines"),
@@ -37,15 +47,16 @@ def clean_lines_by_source(spark: SparkSession, folder: str) -> DataFrame:
 
 def line_counts(spark: SparkSession, folder: str) -> DataFrame:
     """All lines per document, before the screen."""
-    lines = explode_lines(widen(table(spark, folder, "documents").select("doc_id", "text")))
+    lines = explode_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return lines.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars")
     )
 
 
 def manifest_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest lists the documents in Spanish."""
     docs = table(spark, folder, "documents")
-    manifest = F.broadcast(sample_rows(docs.select("doc_id"), 64, 7, "doc_id"))
+    manifest = docs.filter(F.col("lang") == "es").select("doc_id")
     return lines_of(manifest, docs.select("doc_id", "text"), "doc_id").select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "line"
     )
@@ -53,25 +64,29 @@ def manifest_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def draw_lines(spark: SparkSession, folder: str) -> DataFrame:
     draws = table(spark, folder, "conversations").select("conv_id", "turn")
-    docs = widen(table(spark, folder, "documents").select("doc_id", "text"))
-    return draw_file_lines(draws, ["conv_id", "turn"], docs, "doc_id", "text", 11).select(
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return draw_file_lines(draws, ["conv_id", "turn"], docs, "doc_id", "text", 11, by_id()).select(
         "conv_id", "turn", "doc_id", F.col("pos").cast("bigint").alias("pos"), "line"
     )
 
 
 def fallback_lines(spark: SparkSession, folder: str) -> DataFrame:
     draws = table(spark, folder, "conversations").select("conv_id", "turn")
-    docs = widen(table(spark, folder, "documents").select("doc_id", "text"))
-    arrays = draw_arrays(draws, ["conv_id", "turn"], docs, "doc_id", "text", 11)
-    return with_fallback(arrays, ["conv_id", "turn"], SNIPPETS, 11).select(
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    draw = ["conv_id", "turn"]
+    sized = sized_draws(draws, draw, docs, "doc_id", "text", 11, by_id())
+    lines = lines_of_draws(sized, draw, docs, "doc_id", "text", 11)
+    return with_fallback(sized, lines, draw, snippets(spark), 11).select(
         "conv_id", "turn", "tier", F.col("pos").cast("bigint").alias("pos"), "line"
     )
 
 
 def line_feed(spark: SparkSession, folder: str) -> DataFrame:
     draws = table(spark, folder, "conversations").select("conv_id", "turn")
-    docs = widen(table(spark, folder, "documents").select("doc_id", "text"))
-    return feed_lines(draws, "conv_id", "turn", docs, "doc_id", "text", SNIPPETS, 11, visible=5).select(
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return feed_lines(
+        draws, "conv_id", "turn", docs, "doc_id", "text", snippets(spark), 11, visible=5, bucket=by_id()
+    ).select(
         "conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "line"
     )
 
@@ -162,7 +177,7 @@ SQL = {
     """,
     "manifest_lines": f"""
         SELECT doc_id, pos, line FROM ({lines_sql("doc_id")}) WHERE {CLEAN}
-        AND doc_id IN (SELECT doc_id FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 64)
+        AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'es')
     """,
     "draw_lines": f"WITH {DRAWS_SQL} SELECT conv_id, turn, doc_id, i - 1 AS pos, line FROM hits",
     "fallback_lines": f"WITH {DRAWS_SQL} SELECT conv_id, turn, tier, pos, line FROM shown",

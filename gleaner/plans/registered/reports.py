@@ -120,7 +120,7 @@ def read_before_write(spark: SparkSession, folder: str) -> DataFrame:
     )
     reads = used.filter(F.col("event_type").isin("view", "purchase"))
     writes = used.filter(F.col("event_type").isin("click", "signup"))
-    return unread(reads, writes, ["user_id"])
+    return unread(reads, writes, ["user_id"], bucket=F.floor(F.col("pos") / 100_000))
 
 
 def config_fingerprint(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,6 +13,8 @@ from gleaner.plans.registered import table
 from gleaner.plans.registered.telemetry import cents, epoch_micros
 
 DAY = 86_400_000_000
+# Numbers in a bucket of ids.
+RUN = 100_000
 TRAIN_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
 
 
@@ -30,7 +32,7 @@ def batches(spark: SparkSession, folder: str) -> DataFrame:
 
 def best_so_far(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("user_id", "ts", "event_id", "value")
-    return mark_best(events, ["user_id"], ["ts", "event_id"], "value").select(
+    return mark_best(events, ["user_id"], ["ts", "event_id"], "value", F.to_date("ts")).select(
         "user_id", "event_id", "previous_best", "is_best"
     )
 
@@ -45,7 +47,9 @@ def epoch_alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def running_trigger(spark: SparkSession, folder: str) -> DataFrame:
-    return trigger(batches(spark, folder), ["epoch"], ["event_id"], F.col("collapsed")).select(
+    return trigger(
+        batches(spark, folder), ["epoch"], ["event_id"], F.col("collapsed"), bucket=F.floor(F.col("event_id") / RUN)
+    ).select(
         "epoch", "event_id", "collapses"
     )
 
@@ -54,7 +58,12 @@ def batch_assign(spark: SparkSession, folder: str) -> DataFrame:
     split = split_by_value(F.col("o_orderpriority"), TRAIN_PRIORITIES, ("train", "val"))
     shuffled = F.when(split == "train", seeded_order(9, F.col("o_orderkey"))).otherwise("")
     orders = table(spark, folder, "orders").select("o_orderkey", split.alias("split"), shuffled.alias("mix"))
-    return assign_batches(orders, ["split"], ["mix", "o_orderkey"], 32, F.col("split") == "train").select(
+    # Prefix of the hash where rows are shuffled, else runs of keys.
+    runs = F.when(F.col("mix") == "", F.floor(F.col("o_orderkey") / RUN)).otherwise(0)
+    by_mix = F.struct(F.substring("mix", 1, 3), runs)
+    return assign_batches(
+        orders, ["split"], ["mix", "o_orderkey"], 32, F.col("split") == "train", by_mix
+    ).select(
         "o_orderkey", "split", "batch"
     )
 
@@ -72,7 +81,7 @@ def split_patches(spark: SparkSession, folder: str) -> DataFrame:
 
 def rolling_lower_median(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("user_id", "ts", "event_id", "value")
-    return rolling_median(events, ["user_id"], ["ts", "event_id"], "value", 2).select(
+    return rolling_median(events, ["user_id"], ["ts", "event_id"], "value", 2, bucket=F.to_date("ts")).select(
         "user_id", "event_id", "rolling_median"
     )
 

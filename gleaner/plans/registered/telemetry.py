@@ -15,7 +15,12 @@ from gleaner.operators.telemetry import (
     summarise,
 )
 from gleaner.plans.registered import table
-from gleaner.session import widen
+
+
+DAY = 86_400_000_000
+# Length of an instant, and number of keys, of the nearest-in-time query.
+COARSE = 600_000_000
+SHARED_KEYS = 50
 
 
 def epoch_micros(ts: Column) -> Column:
@@ -30,7 +35,7 @@ def cents(value: Column) -> Column:
 
 
 def telemetry_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return as_lines(widen(table(spark, folder, "events")))
+    return as_lines(table(spark, folder, "events"))
 
 
 def as_lines(events: DataFrame) -> DataFrame:
@@ -73,7 +78,7 @@ def telemetry_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 def telemetry_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """Props next to their bare numbers and to broken copies: only the numbers are rejects."""
-    props = widen(table(spark, folder, "events").select("props"))
+    props = table(spark, folder, "events").select("props")
     number = F.get_json_object("props", "$.k")
     lines = props.select(
         F.explode(F.array("props", number, F.rtrim(F.lit("}"), F.col("props")), F.concat("props", F.lit(" x")))).alias("value")
@@ -92,7 +97,7 @@ def telemetry_devices(spark: SparkSession, folder: str) -> DataFrame:
 
 def series_downsample(spark: SparkSession, folder: str) -> DataFrame:
     events = table(spark, folder, "events").select("user_id", "ts", "event_id", "value")
-    return downsample(events, ["user_id"], ["ts", "event_id"], 20).select("user_id", "event_id", "value")
+    return downsample(events, ["user_id"], ["ts", "event_id"], 20, F.to_date("ts")).select("user_id", "event_id", "value")
 
 
 def series_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,12 +106,15 @@ def series_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nearest_sync(spark: SparkSession, folder: str) -> DataFrame:
+    """Times are cut to ten minutes, so that equal instants abound."""
     events = table(spark, folder, "events").select(
-        "user_id", "event_type", epoch_micros(F.col("ts")).alias("us"), "event_id"
+        (F.col("user_id") % SHARED_KEYS).alias("user_id"), "event_type",
+        (F.floor(epoch_micros(F.col("ts")) / COARSE) * COARSE).alias("us"), "event_id",
     )
     left = events.filter(F.col("event_type") == "click").withColumnRenamed("event_id", "click_id")
     right = events.filter(F.col("event_type") == "view").withColumnRenamed("event_id", "view_id")
-    return sync(left, right, ["user_id"], "us", "click_id", "view_id", F.lit(6 * 3600 * 1_000_000))
+    by_day = F.floor(F.col("us") / DAY)
+    return sync(left, right, ["user_id"], "us", "click_id", "view_id", F.lit(6 * 3600 * 1_000_000), by_day)
 
 
 QUERIES = {
@@ -161,9 +169,11 @@ SQL = {
         SELECT user_id, event_type, count(*) AS n, min(cents) AS low, max(cents) AS high, avg(cents) AS mean
         FROM c GROUP BY ALL
     """,
-    "nearest_sync": """
-        WITH c AS (SELECT user_id, epoch_us(ts) AS us, event_id AS click_id FROM events WHERE event_type = 'click'),
-             v AS (SELECT user_id, epoch_us(ts) AS us, event_id AS view_id FROM events WHERE event_type = 'view'),
+    "nearest_sync": f"""
+        WITH e AS (SELECT event_type, event_id, user_id % {SHARED_KEYS} AS user_id,
+                          epoch_us(ts) // {COARSE} * {COARSE} AS us FROM events),
+             c AS (SELECT user_id, us, event_id AS click_id FROM e WHERE event_type = 'click'),
+             v AS (SELECT user_id, us, event_id AS view_id FROM e WHERE event_type = 'view'),
              near AS (
                 SELECT c.user_id, c.us, c.click_id, v.view_id, abs(c.us - v.us) AS gap,
                        row_number() OVER (PARTITION BY c.click_id ORDER BY abs(c.us - v.us), v.us, v.view_id) AS r

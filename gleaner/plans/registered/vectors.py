@@ -10,14 +10,11 @@ from gleaner.operators.raster import median_pool
 from gleaner.operators.spread import check_collapse
 from gleaner.plans.registered import table
 
-# Length of the vectors.
-DIMENSIONS = 64
-
 
 def vector_topk_labels(spark: SparkSession, folder: str) -> DataFrame:
     classes = table(spark, folder, "part").select(F.col("p_partkey").alias("cat_id"), F.col("p_name").alias("class"))
     best = top_classes(table(spark, folder, "embeddings"), "embedding", ["vec_id"])
-    named = name_classes(best.withColumn("cat_id", F.col("cat_id").cast("bigint")), classes, DIMENSIONS)
+    named = name_classes(best.withColumn("cat_id", F.col("cat_id").cast("bigint")), classes)
     return named.select(
         "vec_id", F.col("rank").cast("bigint").alias("rank"), "cat_id", "class",
         F.round("probability", 9).alias("probability"),
@@ -62,9 +59,16 @@ def grid_median_strided(spark: SparkSession, folder: str) -> DataFrame:
     return median_pool(sized, kernel=(2, 4), stride=(2, 3), padding=(1, 2, 0, 1))
 
 
+def grid_median_padded(spark: SparkSession, folder: str) -> DataFrame:
+    """Inferred size, explicit padding."""
+    return median_pool(images(spark, folder), kernel=(3, 3), padding=(1, 1, 2, 2))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (vector_topk_labels, spread_check, spread_check_batch, grid_median, grid_median_strided)
+    for f in (
+        vector_topk_labels, spread_check, spread_check_batch, grid_median, grid_median_strided, grid_median_padded,
+    )
 }
 
 SPREAD_SQL = """
@@ -126,7 +130,7 @@ SQL = {
             SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, cat_id) AS rank FROM q
         )
         SELECT vec_id, rank, cat_id, p_name AS class, round(p, 9) AS probability
-        FROM r JOIN part ON p_partkey = cat_id WHERE rank <= 5
+        FROM r LEFT JOIN part ON p_partkey = cat_id WHERE rank <= 5
     """,
     "spread_check": f"""
         WITH {SPREAD_SQL}
@@ -141,5 +145,6 @@ SQL = {
         SELECT batch, n_points, round(std, 6) AS std, round(min_dist, 6) AS min_dist, {VERDICT} FROM b
     """,
     "grid_median": pool_sql((3, 3), (1, 1), (1, 1, 1, 1), (8, 8)),
+    "grid_median_padded": pool_sql((3, 3), (1, 1), (1, 1, 2, 2), (10, 8)),
     "grid_median_strided": pool_sql((2, 4), (2, 3), (1, 2, 0, 1), (4, 3)),
 }

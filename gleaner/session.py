@@ -82,12 +82,3 @@ def ship_package(spark: SparkSession) -> None:
             z.write(file, file.relative_to(package.parent).as_posix())
     context.addPyFile(str(archive))
     context._gleaner_shipped = True
-
-
-def widen(scan: DataFrame) -> DataFrame:
-    """Spread a scan of fewer splits than cores before costly work on every row.
-
-    A large table has many splits and is left as it is. Only for plain scans: the plan is looked at.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -42,23 +42,28 @@ def test_draw_does_not_depend_on_partitions(files, draws, partitions):
 
 def test_numbering_of_many_files(files, draws):
     few = sorted(map(tuple, L.choose_files(draws, ["d"], files, "file", 5).collect()))
-    many = sorted(map(tuple, L.choose_files(draws, ["d"], files, "file", 5, max_group_rows=1).collect()))
+    many = sorted(map(tuple, L.choose_files(draws, ["d"], files, "file", 5, F.ascii("file")).collect()))
     assert few == many
 
 
 def test_fallback_chain(spark, files, draws):
-    arrays = L.draw_arrays(draws, ["d"], files, "file", "text", 5)
-    tiers = {r.tier for r in L.with_fallback(arrays, ["d"], ["s1", "s2"], 5).collect()}
+    sized = L.sized_draws(draws, ["d"], files, "file", "text", 5)
+    lines = L.lines_of_draws(sized, ["d"], files, "file", "text", 5)
+    both = spark.createDataFrame([(0, "s1"), (1, "s2")], "pos int, line string")
+    tiers = {r.tier for r in L.with_fallback(sized, lines, ["d"], both, 5).collect()}
     assert tiers == {"file", "snippet"}
-    bare = L.with_fallback(arrays.filter("file = 'b'"), ["d"], [], 5).collect()
+    empty = sized.filter("file = 'b'")
+    bare = L.with_fallback(empty, lines.limit(0), ["d"], both.limit(0), 5).collect()
     assert {(r.tier, r.pos, r.line) for r in bare} == {("constant", 0, L.LAST_RESORT)}
-    snippets = L.with_fallback(arrays.filter("file = 'b'"), ["d"], ["s1", "s2"], 5)
+    snippets = L.with_fallback(empty, lines.limit(0), ["d"], both, 5)
     assert {r.line for r in snippets.collect()} == {"s1", "s2"}
 
 
 def test_no_files_at_all(spark, files, draws):
-    arrays = L.draw_arrays(draws, ["d"], files.filter("false"), "file", "text", 5)
-    got = L.with_fallback(arrays, ["d"], ["s"], 5)
+    none = files.filter("false")
+    sized = L.sized_draws(draws, ["d"], none, "file", "text", 5)
+    lines = L.lines_of_draws(sized, ["d"], none, "file", "text", 5)
+    got = L.with_fallback(sized, lines, ["d"], spark.createDataFrame([(0, "s")], "pos int, line string"), 5)
     assert got.select("d").distinct().count() == 300
     assert {r.line for r in got.collect()} == {"s"}
 
@@ -77,6 +82,20 @@ def test_last_n(spark):
     assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("n", [24, 100, 1500])
+def test_last_n_of_a_hot_feed(spark, n):
+    df = spark.range(4000).select(F.col("id").alias("seq"), F.when(F.col("id") % 10 > 0, "hot").otherwise("b").alias("feed"))
+    got = L.last_n(df.repartition(9), ["feed"], ["seq"], n).collect()
+    for feed, keep in (("hot", lambda i: i % 10), ("b", lambda i: not i % 10)):
+        want = [i for i in range(4000) if keep(i)][-n:]
+        assert sorted(r.seq for r in got if r.feed == feed) == want
+
+
+def test_a_draw_never_meets_the_lines_of_a_whole_file(files, draws):
+    plan = L.draw_lines(draws, ["d"], files, "file", "text", 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" in plan and "_clean" not in plan
+
+
 def test_manifest_lines(spark, files):
     manifest = spark.createDataFrame([("a",), ("zzz",)], "file string")
     assert [tuple(r) for r in L.lines_of(manifest, files).collect()] == [("a", 0, "one")]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.operators.ordered import Measure, attach, group_rows, position, rolling, scan_groups
+from gleaner.operators.ordered import Measure, attach, first_per_group, group_rows, position, rolling, scan_groups
 
 
 @pytest.fixture(scope="module")
@@ -57,9 +57,13 @@ def brute(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limit", [10_000, 100, 30, 7])
-def test_scan_equals_brute_force(rows, df, limit):
-    got = scan_groups(df, ["k"], ["t", "id"], measures(), limit)
+def bucket(width):
+    return None if width is None else F.floor(F.col("t") / width)
+
+
+@pytest.mark.parametrize("width", [None, 100, 10, 3, 1])
+def test_scan_equals_brute_force(rows, df, width):
+    got = scan_groups(df, ["k"], ["t", "id"], measures(), bucket(width))
     listed = sorted(
         (r.id, r.place, r.n, r.low, r.high, r.run, r.rest, r.top.id if r.top else None) for r in got.collect()
     )
@@ -67,38 +71,41 @@ def test_scan_equals_brute_force(rows, df, limit):
     assert set(got.columns) == {"k", "t", "id", "v", *measures()}
 
 
-@pytest.mark.parametrize("limit", [10_000, 50])
-def test_scan_without_keys(rows, df, limit):
-    got = scan_groups(df, [], ["t", "id"], {"place": position(), "n": group_rows()}, limit)
+@pytest.mark.parametrize("width", [None, 7])
+def test_scan_without_keys(rows, df, width):
+    got = scan_groups(df, [], ["t", "id"], {"place": position(), "n": group_rows()}, bucket(width))
     want = sorted(rows, key=lambda r: (r[1], r[2]))
     assert [(r.id, r.place, r.n) for r in got.orderBy("place").collect()] == [
         (r[2], i + 1, len(rows)) for i, r in enumerate(want)
     ]
 
 
-@pytest.mark.parametrize("limit", [10_000, 40, 9])
-def test_rolling_equals_one_window(df, limit):
-    got = rolling(df, ["k"], ["t", "id"], 3, {"ids": F.collect_list("id")}, limit)
+@pytest.mark.parametrize(("width", "run"), [(None, 9), (5, 10_000), (5, 40), (2, 1)])
+def test_rolling_equals_one_window(df, width, run):
+    got = rolling(df, ["k"], ["t", "id"], 3, {"ids": F.collect_list("id")}, bucket(width), run)
     w = W.partitionBy("k").orderBy("t", "id").rowsBetween(-3, 3)
     want = df.withColumn("ids", F.collect_list("id").over(w))
     assert sorted((r.id, r.ids) for r in got.collect()) == sorted((r.id, r.ids) for r in want.collect())
 
 
-@pytest.mark.parametrize("limit", [10_000, 100, 5])
-def test_attach_keeps_every_row(df, limit):
+def test_attach_keeps_every_row(df):
     per_key = df.groupBy("k").agg(F.max("id").alias("last"))
-    got = attach(df, per_key, ["k"], limit)
+    got = attach(df, per_key, ["k"])
     want = df.withColumn("last", F.max("id").over(W.partitionBy("k")))
     assert sorted((r.id, r.last) for r in got.collect()) == sorted((r.id, r.last) for r in want.collect())
 
 
-def test_moderate_groups_are_not_written(spark, df):
-    plan = scan_groups(df, ["k"], ["t", "id"], {"place": position()})._jdf.queryExecution().toString()
-    assert "parquet" not in plan.lower()
-
+def test_nothing_runs_before_the_action(spark, df):
+    spark.sparkContext.setJobGroup("plans", "")
+    scan_groups(df, ["k"], ["t", "id"], measures(), bucket(5))
+    rolling(df, ["k"], ["t", "id"], 3, {"ids": F.collect_list("id")}, bucket(5))
+    first_per_group(df, ["k"], [F.col("id")], 5, F.col("id"))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
-def test_large_groups_are_range_partitioned_into_many_pieces(df):
-    from gleaner.operators.ordered import PART, spread
 
-    pieces = spread(df.filter("k = 'a'"), ["k"], ["t", "id"], 16)
-    assert pieces.select(PART).distinct().count() > 8
+def test_the_input_is_shuffled_once(spark, tmp_path, df):
+    df.write.parquet(str(tmp_path / "t"))
+    got = scan_groups(spark.read.parquet(str(tmp_path / "t")), ["k"], ["t", "id"], {"place": position()}, bucket(5))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") <= 2  # the second is the same exchange, reused at run time

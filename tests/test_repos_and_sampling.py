@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,13 +67,23 @@ def test_samples_do_not_depend_on_partitions(spark, partitions):
     assert ids(S.sample_per_group(df, ["g"], 5, 42, "id")) == ids(S.sample_per_group(base, ["g"], 5, 42, "id"))
 
 
-def test_large_sample_equals_top_n(spark, monkeypatch):
-    df = spark.range(500)
-    want = sorted(r.id for r in S.sample_rows(df, 123, 1, "id").collect())
-    monkeypatch.setattr(S, "MAX_TOP_N", 100)
-    for limit in (10_000, 60):
-        got = S.sample_rows(df, 123, 1, "id", max_group_rows=limit)
-        assert sorted(r.id for r in got.collect()) == want
+@pytest.mark.parametrize("n", [0, 1, 123, 499, 500, 900])
+def test_sample_is_the_first_n_by_hash(spark, n):
+    df = spark.range(500).select("id", F.lit("x").alias("_kept"))
+    want = sorted(range(500), key=lambda i: hashlib.md5(f"1|{i}".encode()).hexdigest())[:n]
+    got = S.sample_rows(df, n, 1, "id")
+    assert sorted(r.id for r in got.collect()) == sorted(want) and got.columns == df.columns
+
+
+def test_one_plan_for_every_size(spark):
+    shape = lambda n: re.sub(r"\d+", "", S.sample_rows(spark.range(9), n, 1, "id")._jdf.queryExecution().executedPlan().toString())
+    assert shape(10) == shape(5_000) == shape(50_000)
+
+
+def test_sample_per_group_of_many_rows(spark):
+    df = spark.range(3000).withColumn("g", (F.col("id") % 10 > 0).cast("int")).repartition(7)
+    got = S.sample_per_group(df, ["g"], 1500, 4, "id").groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in got} == {0: 300, 1: 1500}
 
 
 def test_sample_is_a_permutation_prefix(spark):

@@ -41,22 +41,21 @@ def cells_of(spark, images):
 
 
 @pytest.mark.parametrize(
-    "kernel,stride,pads,same_flag,tile,limit",
+    "kernel,stride,pads,same_flag,tile",
     [
-        ((3, 3), (1, 1), (0, 0, 0, 0), False, 256, 10_000),
-        ((3, 3), (1, 1), (0, 0, 0, 0), True, 4, 10_000),
-        ((2, 2), (1, 1), (1, 0, 0, 1), False, 3, 50),
-        ((2, 3), (2, 3), (2, 1, 1, 2), False, 2, 10_000),
-        ((5, 4), (3, 2), (0, 0, 0, 0), True, 2, 50),
-        ((1, 1), (2, 2), (0, 0, 0, 0), False, 2, 10_000),
+        ((3, 3), (1, 1), (0, 0, 0, 0), False, 256),
+        ((3, 3), (1, 1), (0, 0, 0, 0), True, 4),
+        ((2, 2), (1, 1), (1, 0, 0, 1), False, 3),
+        ((2, 3), (2, 3), (2, 1, 1, 2), False, 2),
+        ((5, 4), (3, 2), (0, 0, 0, 0), True, 2),
+        ((1, 1), (2, 2), (0, 0, 0, 0), False, 2),
     ],
 )
-def test_median_pool(spark, kernel, stride, pads, same_flag, tile, limit):
+def test_median_pool(spark, kernel, stride, pads, same_flag, tile):
     rng = np.random.default_rng(4)
     images = [rng.integers(0, 50, (9, 7)), rng.integers(0, 50, (6, 11))]
     got = G.median_pool(
         cells_of(spark, images), kernel=kernel, stride=stride, padding=pads, same=same_flag, tile=tile,
-        max_group_rows=limit,
     )
     found = {(r.img, r.ch, r.row, r.col): r.value for r in got.collect()}
     want = {}
@@ -87,43 +86,62 @@ def test_holes_are_reported(spark):
     assert [(r.img, r.ch) for r in G.incomplete_grids(cells, ["img"], ["ch"]).collect()] == [(1, 0)]
 
 
-def test_no_shuffle_after_the_tiles(spark):
-    cells = cells_of(spark, [np.zeros((4, 4))]).withColumns({"height": F.lit(4), "width": F.lit(4)})
-    plan = G.median_pool(cells)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1
+@pytest.mark.parametrize("same_flag", [False, True])
+def test_any_columns_can_be_pruned(spark, same_flag):
+    got = G.median_pool(cells_of(spark, [np.arange(25.0).reshape(5, 5)]), same=same_flag)
+    n = 2 * (25 if same_flag else 9)
+    assert got.count() == n and got.filter("row = 0").select("img", "col").count() == n // (5 if same_flag else 3)
+    for c in got.columns:
+        assert len(got.select(c).collect()) == n
+    assert {r["count"] for r in got.groupBy("img").count().collect()} == {n}
 
 
-@pytest.mark.parametrize("limit", [10_000, 8])
-def test_rolling_median(spark, limit):
+def test_holes_and_bad_padding_fail(spark):
+    hole = cells_of(spark, [np.zeros((3, 3))]).filter("row + col > 0")
+    with pytest.raises(Exception, match="misses cells"):
+        G.median_pool(hole).count()
+    with pytest.raises(Exception, match="padding must be smaller"):
+        G.median_pool(cells_of(spark, [np.zeros((3, 3))]), padding=(4, 4, 4, 4)).count()
+
+
+def test_nan_spreads_over_its_windows(spark):
+    img = np.arange(9.0).reshape(3, 3)
+    img[0, 0] = np.nan
+    got = {(r.row, r.col): r.value for r in G.median_pool(cells_of(spark, [img]), kernel=(2, 2)).filter("ch = 0").collect()}
+    assert np.isnan(got[0, 0]) and got[1, 1] == 5.0
+
+
+@pytest.mark.parametrize("width", [None, 8])
+def test_rolling_median(spark, width):
     rng = random.Random(3)
     values = [float(rng.randrange(100)) for _ in range(60)]
     df = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "s string, i int, v double")
-    got = G.rolling_lower_median(df, ["s"], ["i"], "v", 2, max_group_rows=limit).orderBy("i").collect()
+    got = G.rolling_lower_median(df, ["s"], ["i"], "v", 2, bucket=width and F.floor(F.col("i") / width)).orderBy("i").collect()
     for i, r in enumerate(got):
         w = sorted(values[max(0, i - 2) : i + 3])
         assert r.rolling_median == w[(len(w) - 1) // 2]
 
 
-@pytest.mark.parametrize("limit", [10_000, 2])
-def test_best_so_far(spark, limit):
+@pytest.mark.parametrize("width", [None, 2])
+def test_best_so_far(spark, width):
     losses = [5.0, 5.0, 4.0, None, 3.0, float("nan"), 2.0, float("inf")]
     df = spark.createDataFrame([(0, i, x) for i, x in enumerate(losses)], "k int, epoch int, loss double")
-    got = C.best_so_far(df, ["k"], ["epoch"], "loss", limit).orderBy("epoch").collect()
+    got = C.best_so_far(df, ["k"], ["epoch"], "loss", width and F.floor(F.col("epoch") / width)).orderBy("epoch").collect()
     assert [r.is_best for r in got] == [True, False, True, False, True, False, True, False]
 
 
-@pytest.mark.parametrize("limit", [10_000, 4])
-def test_running_trigger(spark, limit):
+@pytest.mark.parametrize("width", [None, 4])
+def test_running_trigger(spark, width):
     flags = [True, False, True, True, None, True, True, True, False, True]
     df = spark.createDataFrame([(1, i, f) for i, f in enumerate(flags)], "epoch int, batch int, c boolean")
-    got = C.running_trigger(df, ["epoch"], ["batch"], F.col("c"), 5, limit)
+    got = C.running_trigger(df, ["epoch"], ["batch"], F.col("c"), 5, width and F.floor(F.col("batch") / width))
     assert sorted((r.batch, r.collapses) for r in got.collect()) == [(7, 6), (9, 7)]
 
 
-@pytest.mark.parametrize("limit", [10_000, 4])
-def test_batches(spark, limit):
+@pytest.mark.parametrize("width", [None, 4])
+def test_batches(spark, width):
     df = spark.range(20).select("id", F.when(F.col("id") < 10, "train").otherwise("val").alias("split"))
-    got = C.assign_batches(df, ["split"], ["id"], 4, F.col("split") == "train", limit)
+    got = C.assign_batches(df, ["split"], ["id"], 4, F.col("split") == "train", width and F.floor(F.col("id") / width))
     sizes = {(r.split, r.batch): r["count"] for r in got.groupBy("split", "batch").count().collect()}
     assert sizes == {("train", 0): 4, ("train", 1): 4, ("val", 0): 4, ("val", 1): 4, ("val", 2): 2}
 
@@ -181,36 +199,37 @@ def test_top_classes(spark):
     e = np.exp([1.0, 2.0, 3.0])
     assert np.allclose(p, e / e.sum())
     classes = spark.createDataFrame([(4, "cat"), (1, "dog")], "cat_id int, name string")
-    assert {r.name for r in name_classes(top_classes(df, "x", ["id"], 3), classes, 6).collect()} == {"cat", "dog"}
+    assert {r.name for r in name_classes(top_classes(df, "x", ["id"], 3), classes).collect()} == {"cat", "dog", None}
     assert "Exchange" not in top_classes(df, "x", ["id"])._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("limit", [10_000, 12])
-def test_nearest_sync(spark, limit):
+@pytest.mark.parametrize("width", [None, 12])
+@pytest.mark.parametrize("span", [300, 20])
+def test_nearest_sync(spark, width, span):
     rng = random.Random(8)
-    left = [(rng.choice("aab"), rng.randrange(300), i) for i in range(80)]
-    right = [(rng.choice("aac"), rng.randrange(300), i) for i in range(60)]
+    left = [(rng.choice("aab"), rng.randrange(span), i) for i in range(80)]
+    right = [(rng.choice("aac"), rng.randrange(span), i) for i in range(60)]
     a = spark.createDataFrame(left, "k string, t bigint, l int")
     b = spark.createDataFrame(right, "k string, t bigint, r int")
-    got = nearest_sync(a, b, ["k"], "t", "l", "r", F.lit(5), limit).collect()
+    got = nearest_sync(a, b, ["k"], "t", "l", "r", F.lit(5), width and F.floor(F.col("t") / width)).collect()
     assert len(got) == len(left)
     for row in got:
-        gaps = sorted((abs(t - row.t), t) for k, t, _ in right if k == row.k)
+        gaps = sorted((abs(t - row.t), t, r) for k, t, r in right if k == row.k)
         if not gaps or gaps[0][0] > 5:
             assert row.matched_r is None and row.gap is None
         else:
             assert row.gap == gaps[0][0]
-            assert right[row.matched_r][1] == gaps[0][1]
+            assert row.matched_r == gaps[0][2]
 
 
-@pytest.mark.parametrize("limit", [10_000, 6])
-def test_read_before_write(spark, limit):
+@pytest.mark.parametrize("width", [None, 6])
+def test_read_before_write(spark, width):
     rng = random.Random(5)
     reads = [(rng.choice("aab"), rng.choice("xxy"), rng.randrange(12)) for _ in range(50)]
     writes = [(rng.choice("aab"), rng.choice("xyz"), rng.randrange(4, 12)) for _ in range(12)]
     # Equal reads stay apart, each with its own answer.
     r = spark.createDataFrame(reads, "agent string, key string, pos int")
     w = spark.createDataFrame(writes, "agent string, key string, pos int")
-    got = read_before_write(r, w, ["agent"], max_group_rows=limit).select("agent", "key", "pos").collect()
+    got = read_before_write(r, w, ["agent"], bucket=width and F.floor(F.col("pos") / width)).select("agent", "key", "pos").collect()
     want = [x for x in reads if not any(y[:2] == x[:2] and y[2] < x[2] for y in writes)]
     assert sorted(map(tuple, got)) == sorted(want)
