@@ -30,7 +30,6 @@ from gleaner.functions.probes import (
 )
 from gleaner.operators.ordered import Measure, group_rows, position, scan_groups
 from gleaner.operators.rowwise import computed
-from gleaner.session import write_through
 
 # Fixed value: points kept per series.
 DOWNSAMPLE = 2000
@@ -212,20 +211,20 @@ def downsample(
 
 
 def downsample_readings(
-    readings: DataFrame, k: int = DOWNSAMPLE
+    readings: DataFrame, k: int = DOWNSAMPLE, bucket: Column | None = None
 ) -> DataFrame:
     """:func:`downsample` of a long table, where equal readings may repeat without limit.
 
     Equal readings are counted first and keep their places as a run, so a value that fills a third
-    of the table is one row here. The runs are written through, so the lines are parsed once.
+    of the table is one row here.
     """
-    runs = write_through(readings.groupBy("gpu", "ts", "util").agg(F.count(F.lit(1)).alias("_run")))
+    runs = readings.groupBy("gpu", "ts", "util").agg(F.count(F.lit(1)).alias("_run"))
     placed = scan_groups(
         runs,
         ["gpu"],
         ["ts", "util"],
         {"_end": Measure("sum", F.col("_run")), "_n": Measure("sum", F.col("_run"), "all")},
-        F.to_date("ts"),
+        bucket,
     )
     step = F.when(F.col("_n") > k, F.greatest(F.lit(1), F.floor(F.col("_n") / k))).otherwise(F.lit(1))
     # Kept places are 0, step, 2*step, ...; a run covers places [end - run, end).

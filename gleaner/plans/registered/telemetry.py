@@ -87,7 +87,7 @@ def telemetry_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def telemetry_downsample(spark: SparkSession, folder: str) -> DataFrame:
-    thin = downsample_readings(extract_readings(telemetry_lines(spark, folder).select("value")), 100)
+    thin = downsample_readings(extract_readings(telemetry_lines(spark, folder).select("value")), 100, F.to_date("ts"))
     return thin.select("gpu", F.unix_micros("ts").alias("ts_micros"), "util")
 
 

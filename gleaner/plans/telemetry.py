@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.operators.telemetry import DOWNSAMPLE, downsample_readings, extract_readings, summarise
 from gleaner.session import write_through
@@ -19,4 +20,4 @@ def telemetry_report(
     """
     readings = write_through(extract_readings(read_jsonl(spark, path, max_lines)))
     write_readings_csv(readings, csv)
-    return summarise(readings, ["gpu"], "util"), downsample_readings(readings, downsample)
+    return summarise(readings, ["gpu"], "util"), downsample_readings(readings, downsample, F.to_date("ts"))

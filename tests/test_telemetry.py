@@ -156,18 +156,18 @@ def test_lines_that_are_skipped_or_rejected(spark):
 
 
 @pytest.mark.parametrize("n,want", [(20, 20), (21, 21), (39, 39), (40, 20), (61, 21)])
-@pytest.mark.parametrize("limit", [10_000, 6])
-def test_downsample(spark, n, want, limit):
+@pytest.mark.parametrize("width", [None, 6])
+def test_downsample(spark, n, want, width):
     df = spark.range(n).select(F.lit("s").alias("s"), F.col("id"))
-    got = sorted(r.id for r in T.downsample(df, ["s"], ["id"], 20, limit).collect())
+    got = sorted(r.id for r in T.downsample(df, ["s"], ["id"], 20, width and F.floor(F.col("id") / width)).collect())
     step = max(1, n // 20) if n > 20 else 1
     assert got == list(range(0, n, step)) and len(got) == want
 
 
-@pytest.mark.parametrize("limit", [10_000, 5])
-def test_downsample_of_repeated_readings(spark, limit):
+@pytest.mark.parametrize("width", [None, 2])
+def test_downsample_of_repeated_readings(spark, width):
     rows = [(0, t % 4, float(t % 3)) for t in range(101)] + [(0, 9, 1.0)] * 60 + [(1, 1, 1.0)] * 3
     df = spark.createDataFrame(rows, "gpu bigint, ts int, util double")
-    got = sorted(tuple(r) for r in T.downsample_readings(df, 20, limit).collect())
+    got = sorted(tuple(r) for r in T.downsample_readings(df, 20, width and F.floor(F.col("ts") / width)).collect())
     first = sorted(r for r in rows if r[0] == 0)
     assert got == sorted(first[:: len(first) // 20] + [(1, 1, 1.0)] * 3)
