@@ -6,13 +6,18 @@ round that reaches it. Rounds go on until no bin is empty; after ``BINS`` rounds
 throws all elements into bin k alone, so every coordinate is filled, with the concentration of
 independent samples. Large sets are done after a round or two.
 
-Bands of ``ROWS`` coordinates are the buckets. Documents with equal sets are one class, which takes
-part once. Candidates of a bucket are not all its pairs: its smallest class is the pivot and meets all
-others, links are confirmed on the full sets, and components are formed. Buckets that then lie in one
-component are settled. In the others the next pivots meet the members of other components, and so on
-until every bucket is settled, so no link is lost that could join two components. A hot bucket of near
-copies collapses in the first round. At a similarity of 0.8 two documents share no bucket with a
-probability of (1 - 0.8 ** ROWS) ** (BINS / ROWS), about 1e-6; at 0.44 only 6 in 100 pairs meet at all.
+Bands of ``ROWS`` coordinates are the buckets. Documents with equal sets are one class, which takes part
+once. At a similarity of 0.8 two documents share no bucket with a probability of
+(1 - 0.8 ** ROWS) ** (BINS / ROWS), about 1e-6.
+
+The pairs of a bucket are not written out. Its smallest set is the pivot and meets all others; links are
+confirmed on the full sets, and components are formed. Buckets of one pivot make a group. Only groups whose
+members still lie in several components go on. Those of at most ``GROUP`` members are settled in one task,
+by counting shared elements, which gives only the links that join components. For larger ones this holds:
+if x and y are linked and n(p) <= n(x), n(y), and they share nothing outside of the pivot p, then both are
+linked to p, so they need no test. So the larger groups fall into new buckets, one per element outside of
+the pivot, and these are treated alike. A group loses its pivot each time, so this ends, and no link that
+could join two components is lost, however many documents a group holds.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; rows that repeat a
 ``doc_id`` are one document, linked if any of their texts is; a null ``doc_id`` is linked with nothing,
@@ -36,8 +41,8 @@ from gleaner.session import write_through
 BINS, ROWS = 864, 9
 PERCENT = 80
 
-# Pivots of a bucket in the second round; sixteen times as many in each one after it.
-PIVOTS = 32
+# Members and elements of a group that one task settles.
+GROUP, ELEMENTS = 2048, 1 << 22
 
 # Bytes of text that are hashed at once.
 CHUNK = 1 << 20
@@ -212,47 +217,131 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sides.filter(percent * either <= 100 * shared).select("a", "b").distinct()
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, pivots: int = PIVOTS) -> DataFrame:
+def in_company(members: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one."""
+    size = F.count("*").over(W.partitionBy("parent", "bucket"))
+    return members.withColumn("size", size).filter("size > 1").drop("size")
+
+
+def with_links(grouped: DataFrame, found: DataFrame) -> DataFrame:
+    """Components with more links; nothing runs where there are none."""
+    if found.isEmpty():
+        return grouped
+    stars = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(stars.unionByName(found))
+
+
+def joining_links(sets: list[np.ndarray], component: list[int], percent: int) -> list[tuple[int, int]]:
+    """Places of linked sets that join components, as few as do."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, element, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[element] > 1
+    _, element = np.unique(element[shared], return_inverse=True)
+    owner = owner[shared]
+    size = np.array([len(x) for x in sets], np.float32)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    step = max(1, (1 << 23) // len(sets))
+    for first in range(0, int(element[-1]) + 1 if len(element) else 0, step):
+        a, b = np.searchsorted(element, (first, first + step))
+        held = np.zeros((len(sets), step), np.float32)
+        held[owner[a:b], element[a:b] - first] = 1
+        both += held @ held.T
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    root = {c: c for c in component}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    own = np.array(component)
+    for i, j in np.argwhere(np.triu(linked & (own[:, None] != own[None, :]), 1)).tolist():
+        x, y = find(component[i]), find(component[j])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((i, j))
+    return out
+
+
+def settled(groups: DataFrame, percent: int) -> DataFrame:
+    """Links ``a``, ``b`` that join components within groups; ``group``, ``class``, ``component``, ``elements``."""
+
+    def run(batches: Batches) -> Batches:
+        now, held = None, []
+
+        def links() -> pa.RecordBatch:
+            found = joining_links([h[2] for h in held], [h[1] for h in held], percent)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([held[i][0] for i, _ in found], pa.int64()), pa.array([held[j][0] for _, j in found], pa.int64())],
+                ["a", "b"],
+            )
+
+        for batch in batches:
+            elements = batch.column(3)
+            for k, (group, own, component) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if group != now and held:
+                    yield links()
+                    held = []
+                now = group
+                held.append((own, component, elements[k].values.to_numpy()))
+        if held:
+            yield links()
+
+    rows = groups.select("group", "class", "component", "elements").repartition("group").sortWithinPartitions("group")
+    return map_batches(rows, run, "a long, b long")
+
+
+def near_groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept``, one row for each row of ``docs``."""
     sketched = write_through(sketches(docs, width))
     known = sketched.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = known.groupBy("digest").agg(
         F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    members = classes.select("class", "n", F.explode("bands").alias("bucket"))
-    size = F.count("*").over(W.partitionBy("bucket"))
-    shared = members.withColumn("size", size).filter("size > 1")
-    open_ = write_through(shared.select("bucket", "class", "n", F.col("class").alias("component")))
-    asked = open_.select(F.col("class").alias("doc_id")).distinct()
+    members = classes.select(F.lit(0).cast("long").alias("parent"), F.explode("bands").alias("bucket"), "class", "n")
+    buckets = write_through(in_company(members))
+    asked = buckets.select(F.col("class").alias("doc_id")).distinct()
     sets = write_through(full_sets(docs.join(asked, "doc_id", "left_semi"), width))
 
-    grouped = open_.select(F.col("class").alias("node"), F.col("class").alias("component")).limit(0)
-    many = 1
-    while not open_.isEmpty():
-        place = F.row_number().over(W.partitionBy("bucket").orderBy("class"))
-        first = open_.withColumn("place", place).filter(F.col("place") <= many)
-        p, m = first.alias("p"), open_.alias("m")
-        near = f"{percent} * greatest(p.n, m.n) <= 100 * least(p.n, m.n)"
-        meet = (F.col("p.bucket") == F.col("m.bucket")) & (F.col("p.class") < F.col("m.class"))
-        pairs = (
-            p.join(m, meet & (F.col("p.component") != F.col("m.component")) & F.expr(near))
-            .select(F.col("p.class").alias("a"), F.col("m.class").alias("b"))
+    grouped = buckets.select(F.col("class").alias("node"), F.col("class").alias("component")).limit(0)
+    while not buckets.isEmpty():
+        pivots = buckets.groupBy("parent", "bucket").agg(F.min(F.struct("n", "class")).alias("p"))
+        stars = (
+            buckets.join(pivots, ["parent", "bucket"])
+            .filter(F.col("class") != F.col("p.class"))
+            .select(F.xxhash64("parent", "p.class").alias("group"), F.col("p.class").alias("pivot"), "class", "n", "p.n")
+            .toDF("group", "pivot", "class", "n", "n_pivot")
             .distinct()
         )
-        found = write_through(confirmed(pairs, sets, percent))
-        if not found.isEmpty():
-            stars = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            grouped = components(stars.unionByName(found))
-        left = (
-            open_.drop("component")
-            .join(first.select("bucket", "class"), ["bucket", "class"], "left_anti")
-            .join(grouped.withColumnRenamed("node", "class"), "class", "left")
-            .withColumn("component", F.coalesce("component", "class"))
+        stars = write_through(stars)
+        near = stars.filter(f"{percent} * n <= 100 * n_pivot")
+        found = write_through(confirmed(near.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), sets, percent))
+        grouped = with_links(grouped, found)
+        placed = stars.join(grouped.withColumnRenamed("node", "class"), "class", "left").withColumn(
+            "component", F.coalesce("component", "class")
+        )
+        sizes = placed.groupBy("group").agg(
+            F.count("*").alias("members"), F.sum("n").alias("size"),
+            F.min("component").alias("x"), F.max("component").alias("y"),
+        )
+        unsettled = write_through(placed.join(sizes.filter("x < y").select("group", "members", "size"), "group"))
+        few = (F.col("members") <= group) & (F.col("size") <= ELEMENTS)
+        of_class = sets.select(F.col("doc_id").alias("class"), "elements")
+        found = write_through(settled(unsettled.filter(few).join(of_class, "class"), percent))
+        grouped = with_links(grouped, found)
+        of_pivot = sets.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("of_pivot"))
+        outside = F.explode(F.array_except("elements", "of_pivot"))
+        parts = (
+            unsettled.filter(~few)
+            .join(of_class, "class")
+            .join(of_pivot, "pivot")
+            .select(F.col("group").alias("parent"), outside.alias("bucket"), "class", "n")
         )
-        spread = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        unsettled = spread.filter("x < y").select("bucket")
-        open_ = write_through(left.join(unsettled, "bucket", "left_semi").select(open_.columns))
-        many = pivots if many == 1 else many * 16
+        buckets = write_through(in_company(parts))
 
     of_class = known.groupBy("digest").agg(F.min("doc_id").alias("class"))
     of_doc = sketched.join(of_class, "digest", "left").join(grouped.withColumnRenamed("node", "class"), "class", "left")

@@ -58,12 +58,12 @@ def corpus(seed=5):
     return texts
 
 
-@pytest.mark.parametrize(("width", "pivots"), [(4, 32), (5, 3)])
-def test_groups_equal_brute_force(spark, width, pivots):
+@pytest.mark.parametrize(("width", "group"), [(4, 2048), (5, 2)])
+def test_groups_equal_brute_force(spark, width, group):
     texts = corpus()
     ids = list(range(100, 100 + len(texts)))
     random.Random(2).shuffle(ids)
-    got = minhash.near_groups(documents(spark, texts, ids=ids), width, 80, pivots).collect()
+    got = minhash.near_groups(documents(spark, texts, ids=ids), width, 80, group).collect()
     want = brute_groups(texts, ids, width, 80)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(texts)
@@ -114,6 +114,32 @@ def test_null_ids_repeated_rows_and_clashing_columns(spark):
     assert sorted(r.doc_id or -1 for r in left.collect()) == [-1, 3, 8, 9] and "component" in left.columns
 
 
+def test_joining_links_equal_brute_force():
+    rng = random.Random(6)
+    pool = minhash.mixed(np.arange(400, dtype=np.uint64))
+    sets = []
+    for _ in range(120):
+        base = rng.randrange(3) * 100
+        sets.append(np.sort(pool[[base + i for i in range(60) if rng.random() < 0.93] + rng.sample(range(300, 400), rng.randrange(4))]))
+    component = [rng.randrange(10) if i < 40 else i for i in range(len(sets))]
+    links = [
+        (i, j) for j in range(len(sets)) for i in range(j)
+        if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    ]
+    got = minhash.joining_links(sets, component, 80)
+    assert set(got) <= set(links) and len(got) < len(set(component))
+
+    def joined(pairs):
+        root = {c: c for c in component}
+        find = lambda c: c if root[c] == c else find(root[c])
+        for i, j in pairs:
+            x, y = find(component[i]), find(component[j])
+            root[max(x, y)] = min(x, y)
+        return [find(c) for c in component]
+
+    assert joined(got) == joined(links)
+
+
 def test_empty_table(spark):
     docs = documents(spark, ["x"]).limit(0)
     assert minhash.near_groups(docs).count() == 0 and minhash.without_copies(docs).count() == 0
