@@ -38,15 +38,15 @@ def payload_bytes(encoding: Column, content: Column, download: Column | None = N
     return F.coalesce(F.when(inline, decode_base64(content)).otherwise(other), F.lit(b""))
 
 
-def cut_bytes(content: Column, max_bytes: int = MAX_BYTES_PER_FILE) -> Column:
-    """First ``max_bytes`` bytes of a BINARY, possibly in the middle of a character."""
-    return F.substring(content, 1, max_bytes)
+def cut_bytes(content: Column, max_bytes: int | None = None) -> Column:
+    """First ``max_bytes`` bytes of a BINARY, possibly in the middle of a character; all of it without a cap."""
+    return content if max_bytes is None else F.substring(content, 1, max_bytes)
 
 
-def is_text(content: Column) -> Column:
-    """No NUL anywhere, and under 2 % control bytes at the start."""
+def is_text(content: Column, window: int | None = None) -> Column:
+    """No NUL anywhere, and under 2 % control bytes in the first ``window`` bytes, by default in all."""
     chars = F.decode(content, "ISO-8859-1")  # one character per byte
-    start = F.substring(chars, 1, TEXT_TEST_WINDOW)
+    start = chars if window is None else F.substring(chars, 1, window)
     control = F.regexp_count(start, F.lit(r"[\x00-\x08\x0E-\x1F]"))
     share = control / F.greatest(F.lit(1), F.length(start))
     return ~F.contains(chars, F.lit("\x00")) & (share < TEXT_TEST_THRESHOLD)

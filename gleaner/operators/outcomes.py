@@ -22,11 +22,13 @@ def route_outcome(status: Column) -> Column:
     return F.when(status == PASSED, VALID_PASS).when(F.startswith(status, F.lit(AGENT_FAILED)), VALID_FAIL)
 
 
-def routes_per_job(routes: DataFrame, job: list[str], status: str = "status") -> DataFrame:
-    """What the routes of a job say together: ``all_passed`` and ``any_failed``."""
+def routes_per_job(
+    routes: DataFrame, job: list[str], status: str = "status", others: tuple[Column, ...] = ()
+) -> DataFrame:
+    """What the routes of a job say together: ``all_passed`` and ``any_failed``, and other aggregates with them."""
     o = F.coalesce(route_outcome(F.col(status)), F.lit(""))
     return routes.groupBy(*job).agg(
-        F.bool_and(o == VALID_PASS).alias("all_passed"), F.bool_or(o == VALID_FAIL).alias("any_failed")
+        F.bool_and(o == VALID_PASS).alias("all_passed"), F.bool_or(o == VALID_FAIL).alias("any_failed"), *others
     )
 
 
@@ -60,6 +62,23 @@ def outcome(
     )
 
 
+def missing_reason(has_results: Column, is_broken: Column, global_steps: Column, marker_lines: Column) -> Column:
+    """Why a job has no result, from its run summary and its log; NULL if it has one.
+
+    A job that made steps ran and wrote elsewhere, or wrote a document that cannot be read. One without
+    steps never came up; a marker in its log names the cause.
+    """
+    ran = F.coalesce(global_steps > 0, F.lit(False))
+    marked = F.coalesce(marker_lines > 0, F.lit(False))
+    return F.when(
+        ~has_results,
+        F.when(F.coalesce(is_broken, F.lit(False)), "broken result")
+        .when(ran, "wrote elsewhere")
+        .when(marked, "no connection")
+        .otherwise("never came up"),
+    )
+
+
 def join_evidence(
     jobs: DataFrame, results: DataFrame, summaries: DataFrame, markers: DataFrame, job: str = "job_id"
 ) -> DataFrame:

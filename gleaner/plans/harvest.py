@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.content import MAX_BYTES_PER_FILE, cut_bytes, is_text, payload_bytes
+from gleaner.functions.content import (
+    MAX_BYTES_PER_FILE,
+    TEXT_TEST_WINDOW,
+    cut_bytes,
+    is_text,
+    payload_bytes,
+    text_of,
+    utc_stamp,
+)
 from gleaner.functions.text import safe_file_name
 from gleaner.operators import repos as R
 from gleaner.operators.rowwise import computed
 from gleaner.operators.sampling import NUM_FILES, sample_rows
+from gleaner.session import write_through
+from gleaner.sources.readers import read_contents, read_manifest, read_repositories, read_trees
+from gleaner.sources.sinks import manifest_document, write_corpus, write_document_if_changed
 
 
 @dataclass(frozen=True)
@@ -24,6 +35,7 @@ class HarvestOptions:
     num_files: int = NUM_FILES
     include_forks: bool = False
     max_bytes: int = MAX_BYTES_PER_FILE
+    text_window: int = TEXT_TEST_WINDOW
     allow: list[str] = field(default_factory=list)
     block: list[str] = field(default_factory=list)
 
@@ -41,7 +53,19 @@ def select_repositories(repos: DataFrame, o: HarvestOptions) -> DataFrame:
 def candidates(repos: DataFrame, entries: DataFrame, o: HarvestOptions) -> DataFrame:
     """Allowed files ``(owner, repo, branch, path)``. At most ``max_repos`` rows are broadcast."""
     files = R.only_files(entries).filter(R.is_allowed_path(F.col("path"), o.extensions, o.exclude))
-    return files.select("repo", "path").join(F.broadcast(select_repositories(repos, o)), "repo")
+    chosen = F.broadcast(select_repositories(repos, o))
+    return of_owner(files.select(*named_owner(files), "repo", "path"), chosen, ["repo"])
+
+
+def named_owner(df: DataFrame) -> list[Column]:
+    owner = F.col("owner") if "owner" in df.columns else F.lit(None).cast("string")
+    return [owner.alias("_owner")]
+
+
+def of_owner(stored: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Join on the keys and the owner; what names no owner goes with any of them."""
+    joined = stored.join(chosen, keys)
+    return joined.filter(F.col("_owner").isNull() | (F.col("_owner") == F.col("owner"))).drop("_owner")
 
 
 def clean_contents(picked: DataFrame, contents: DataFrame, o: HarvestOptions) -> DataFrame:
@@ -50,13 +74,14 @@ def clean_contents(picked: DataFrame, contents: DataFrame, o: HarvestOptions) ->
     ``contents`` is read last and only here; Spark broadcasts a sample that is small.
     """
     download = F.col("download") if "download" in contents.columns else None
-    joined = contents.join(picked, ["repo", "path"])
+    fields = [c for c in ("repo", "path", "encoding", "content", "download") if c in contents.columns]
+    joined = of_owner(contents.select(*named_owner(contents), *fields), picked, ["repo", "path"])
     payload = payload_bytes(F.col("encoding"), F.col("content"), download)
     decoded = computed(joined, ["owner", "repo", "branch", "path"], {"content": payload})
     kept = decoded.filter(F.octet_length("content") > 0).withColumn(
         "content", cut_bytes(F.col("content"), o.max_bytes)
     )
-    return kept.filter(is_text(F.col("content"))).withColumns(
+    return kept.filter(is_text(F.col("content"), o.text_window)).withColumns(
         {
             "file": safe_file_name(F.col("repo"), F.col("path")),
             "bytes": F.octet_length("content").cast("bigint"),
@@ -66,5 +91,39 @@ def clean_contents(picked: DataFrame, contents: DataFrame, o: HarvestOptions) ->
 
 def harvest(repos: DataFrame, entries: DataFrame, contents: DataFrame, o: HarvestOptions) -> DataFrame:
     """Metadata is filtered and sampled before any content is touched."""
-    picked = sample_rows(candidates(repos, entries, o), o.num_files, o.seed, "repo", "path")
+    picked = sample_rows(candidates(repos, entries, o), o.num_files, o.seed, "owner", "repo", "branch", "path")
     return clean_contents(picked, contents, o)
+
+
+def manifest_header(o: HarvestOptions) -> Column:
+    """The options that a manifest records."""
+    return F.struct(
+        F.lit(o.user).alias("user"),
+        F.lit(o.max_repos).alias("max_repos"),
+        F.lit(o.num_files).alias("num_files"),
+        F.lit(o.include_forks).alias("include_forks"),
+        F.array(*map(F.lit, o.extensions)).cast("array<string>").alias("extensions"),
+        F.array(*map(F.lit, o.exclude)).cast("array<string>").alias("exclude_dirs"),
+    )
+
+
+def harvest_job(spark: SparkSession, stored: str, out: str, o: HarvestOptions, folder: str = "samples") -> bool:
+    """From stored payloads to a corpus and its manifest; whether the manifest was written.
+
+    ``stored`` holds ``repositories``, ``trees`` and ``contents``; ``out`` gets ``folder`` and ``manifest``.
+    """
+    repos = read_repositories(spark, f"{stored}/repositories")
+    entries = R.tree_entries(read_trees(spark, f"{stored}/trees"))
+    files = write_through(harvest(repos, entries, read_contents(spark, f"{stored}/contents"), o))
+    write_corpus(files, f"{out}/{folder}")
+    listed = files.withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))
+    document = manifest_document(listed, utc_stamp(F.current_timestamp()), manifest_header(o))
+    return write_document_if_changed(spark, document, f"{out}/manifest")
+
+
+def feed_files(spark: SparkSession, out: str, folder: str = "samples") -> DataFrame:
+    """``file`` and ``text`` of what the manifest below ``out`` lists, for a line feed."""
+    listed = read_manifest(spark, f"{out}/manifest").select("file", F.col("repo").alias("_repo"))
+    corpus = spark.read.schema("repo string, file string, content binary").parquet(f"{out}/{folder}")
+    texts = corpus.select(F.concat(F.lit(f"{folder}/"), "file").alias("file"), text_of(F.col("content")).alias("text"))
+    return listed.join(texts, "file").select("file", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.content import cut_bytes, is_text, payload_bytes
+from gleaner.functions.content import MAX_BYTES_PER_FILE, TEXT_TEST_WINDOW, cut_bytes, is_text, payload_bytes
 from gleaner.functions.text import (
     comma_list,
     file_extension,
@@ -61,12 +61,12 @@ def text_bytes(spark: SparkSession, folder: str) -> DataFrame:
     return (
         computed(stored, ["doc_id"], {"content": content})
         .filter(F.octet_length("content") > 0)
-        .select("doc_id", F.octet_length("content").alias("whole"), cut_bytes(F.col("content")).alias("kept"))
+        .select("doc_id", F.octet_length("content").alias("whole"), cut_bytes(F.col("content"), MAX_BYTES_PER_FILE).alias("kept"))
         .select(
             "doc_id",
             F.col("whole").cast("bigint").alias("whole_bytes"),
             F.octet_length("kept").cast("bigint").alias("kept_bytes"),
-            is_text(F.col("kept")).alias("is_text"),
+            is_text(F.col("kept"), TEXT_TEST_WINDOW).alias("is_text"),
         )
     )
 
@@ -128,7 +128,7 @@ def manifest_of(docs: DataFrame, n: int, seed: int) -> DataFrame:
     """Long manifest of a document sample; the texts are joined to the sampled ids."""
     picked = sample_rows(docs.select("doc_id"), n, seed, "doc_id")
     path = F.concat_ws("/", "lang", F.concat("doc_id", F.lit(".txt")))
-    kept = cut_bytes(F.encode("text", "UTF-8"))
+    kept = cut_bytes(F.encode("text", "UTF-8"), MAX_BYTES_PER_FILE)
     return docs.join(picked, "doc_id").select(
         safe_file_name(F.col("source"), path).alias("file"),
         F.col("source").alias("repo"),
@@ -360,10 +360,12 @@ SQL = {
     "harvest_candidates": f"WITH {PAGES_SQL} SELECT owner, repo, branch, path FROM c",
     "harvest_pages": f"""
         WITH {PAGES_SQL}, k AS (
-            SELECT * FROM c ORDER BY md5('3|' || repo || '|' || path), repo, path LIMIT 16
+            SELECT * FROM c ORDER BY md5('3|someone|' || repo || '|main|' || path), owner, repo, branch, path LIMIT 16
         )
         SELECT owner, repo, branch, path, {SAFE.format("repo", "path")} AS file,
-               CAST(octet_length(encode(html)) AS BIGINT) AS bytes, md5(html) AS content_md5
-        FROM k WHERE octet_length(encode(html)) > 0 AND octet_length(encode(html)) <= 65536
+               CAST(least(octet_length(encode(html)), 65536) AS BIGINT) AS bytes,
+               CASE WHEN octet_length(encode(html)) <= 65536 THEN md5(html)
+                    ELSE md5(unhex(substr(hex(encode(html)), 1, 131072))) END AS content_md5
+        FROM k WHERE octet_length(encode(html)) > 0
     """,
 }

@@ -25,14 +25,19 @@ def evidence(spark: SparkSession, folder: str, jobs: DataFrame) -> DataFrame:
         .when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "Failed")
         .otherwise("Completed")
     )
-    routes = items.select(F.col("l_orderkey").alias("job_id"), state.alias("status"))
-    summaries = items.groupBy(F.col("l_orderkey").alias("job_id")).agg(
-        F.sum(F.col("l_quantity").cast("bigint")).alias("global_steps")
+    # One pass over the line items tells routes and steps.
+    steps = F.sum(F.col("l_quantity").cast("bigint")).alias("global_steps")
+    known = O.routes_per_job(
+        items.select(F.col("l_orderkey").alias("job_id"), state.alias("status"), "l_quantity"), ["job_id"], others=(steps,)
+    ).withColumn("has_results", F.lit(True))
+    marked = F.when(F.col("o_totalprice") > 400_000, 1)
+    price = "o_totalprice" in jobs.columns
+    with_price = jobs if price else jobs.join(orders.select(F.col("o_orderkey").alias("job_id"), "o_totalprice"), "job_id")
+    return (
+        with_price.join(known, "job_id", "left")
+        .withColumn("has_results", F.coalesce("has_results", F.lit(False)))
+        .withColumn("marker_lines", marked)
     )
-    markers = orders.filter(F.col("o_totalprice") > 400_000).select(
-        F.col("o_orderkey").alias("job_id"), F.lit(1).alias("marker_lines")
-    )
-    return O.join_evidence(jobs, O.routes_per_job(routes, ["job_id"]), summaries, markers)
 
 
 def judged(spark: SparkSession, folder: str, jobs: DataFrame | None = None) -> DataFrame:
@@ -51,8 +56,21 @@ def judged(spark: SparkSession, folder: str, jobs: DataFrame | None = None) -> D
 
 
 def job_outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("job_id"), "o_custkey")
-    return O.annotate(orders, judged(spark, folder)).select("job_id", "o_custkey", "outcome")
+    return judged(spark, folder).select("job_id", "o_custkey", "outcome")
+
+
+def missing_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Results are there for orders with a finished line item, steps for all line items."""
+    items = table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "job_id")
+    finished = items.filter(F.col("l_linestatus") == "F")
+    results = finished.groupBy("job_id").agg(F.bool_and(F.col("l_returnflag") == "A").alias("is_broken"))
+    summaries = items.groupBy("job_id").agg(F.sum(F.col("l_quantity").cast("bigint") - 20).alias("global_steps"))
+    orders = table(spark, folder, "orders").withColumnRenamed("o_orderkey", "job_id")
+    markers = orders.filter(F.col("o_totalprice") > 300_000).select("job_id", F.lit(2).alias("marker_lines"))
+    known = O.join_evidence(orders.select("job_id"), results, summaries, markers)
+    readable = F.col("has_results") & ~F.coalesce("is_broken", F.lit(False))
+    why = O.missing_reason(readable, F.col("is_broken"), F.col("global_steps"), F.col("marker_lines"))
+    return known.select("job_id", why.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,7 +158,7 @@ def reproduced_configs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        job_outcomes, outcome_summary, outcome_breakdown, outcome_levels, outcome_rank, rate_per_unit,
+        job_outcomes, missing_results, outcome_summary, outcome_breakdown, outcome_levels, outcome_rank, rate_per_unit,
         read_before_write, config_fingerprint, reproduced_configs,
     )
 }
@@ -189,6 +207,15 @@ MEASURES = measures_sql({"score": "score", "steps": "global_steps"})
 
 SQL = {
     "job_outcomes": f"WITH {JUDGED_SQL} SELECT job_id, o_custkey, outcome FROM j",
+    "missing_results": """
+        WITH r AS (
+            SELECT l_orderkey, bool_and(l_returnflag = 'A') AS is_broken FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1
+        ), s AS (SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT) - 20) AS steps FROM lineitem GROUP BY 1)
+        SELECT o_orderkey AS job_id, CASE WHEN is_broken THEN 'broken result' WHEN steps > 0 THEN 'wrote elsewhere'
+               WHEN o_totalprice > 300000 THEN 'no connection' ELSE 'never came up' END AS reason
+        FROM orders LEFT JOIN r ON r.l_orderkey = o_orderkey LEFT JOIN s ON s.l_orderkey = o_orderkey
+        WHERE is_broken IS NULL OR is_broken
+    """,
     "outcome_summary": f"WITH {JUDGED_SQL} SELECT agent, {MEASURES} FROM runs GROUP BY agent",
     "outcome_breakdown": f"""
         WITH {JUDGED_SQL}

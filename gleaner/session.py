@@ -62,14 +62,18 @@ def drop_written(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()
 
     Only once nothing that reads them is still needed.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in WRITTEN[since:]:
         if name not in keep:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+            remove(spark, name)
             WRITTEN.remove(name)
 
 
+def remove(spark: SparkSession, name: str) -> None:
+    """Delete a folder, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the workers this package, for functions that run in Python there. Once per session."""
     context = spark.sparkContext

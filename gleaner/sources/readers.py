@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gleaner.sources import schemas
 
@@ -16,28 +16,55 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def opened_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Files of one JSON object each: ``file``, the ``document``, and the text ``broken`` where that cannot be read."""
+    marked = StructType.fromDDL(schema).add("_broken", "string")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    document = F.when(F.ltrim(F.col("value")).startswith("{"), F.from_json("value", marked, options))
+    read = whole.select("file", "value", document.alias("document"))
+    is_broken = F.col("document").isNull() | F.col("document._broken").isNotNull()
+    return read.select("file", "document", F.when(is_broken, F.col("value")).alias("broken"))
+
+
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document per file. A missing path gives no rows; a broken document is dropped."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    marked = StructType.fromDDL(schema).add("_broken", "string")
-    read = spark.read.schema(marked).json(
-        path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_broken"
-    )
-    return read.filter(F.col("_broken").isNull()).drop("_broken")
+    opened = opened_documents(spark, path, schema).filter(F.col("broken").isNull())
+    return opened.select(*[F.col(f"document.`{c}`").alias(c) for c in StructType.fromDDL(schema).names])
 
 
-def read_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored payloads that are arrays of objects: one row per object.
+def opened_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Stored payloads with their ``path``, and the ``rows`` of those that are arrays of objects.
 
-    A payload that is no list is empty, so the files are read whole and opened as arrays.
+    The files are read whole, because a payload that is no list is empty. Elements are opened one by one,
+    so that a bad one takes no other with it; it is NULL in ``rows``.
     """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    is_list = F.ltrim(F.col("value")).startswith("[")
+    texts = F.when(is_list, F.from_json("value", "array<string>"))
+    fields = f"struct<{schema_fields(schema)}>"
+
+    def opened(t: Column) -> Column:
+        return F.when(F.ltrim(t).startswith("{"), F.from_json(t, fields))
+
+    return whole.select("path", "value", F.transform(texts, opened).alias("rows"))
+
+
+def read_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row per object of the stored payloads that are lists; other payloads are empty."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    whole = spark.read.text(path, wholetext=True)
-    is_list = F.ltrim(F.col("value")).startswith("[")
-    rows = F.from_json("value", f"array<struct<{schema_fields(schema)}>>")
-    return whole.filter(is_list).select(F.explode(rows).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
+    opened = opened_payloads(spark, path, schema).select(F.explode("rows").alias("r"))
+    return opened.filter(F.col("r").isNotNull()).select("r.*")
+
+
+def dropped_payloads(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``path`` and ``reason`` of payloads that give no rows, or not all of theirs."""
+    opened = opened_payloads(spark, path, schema)
+    reason = F.when(F.col("rows").isNull(), "no list").when(F.exists("rows", lambda r: r.isNull()), "broken element")
+    return opened.select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def schema_fields(schema: str) -> str:
@@ -53,6 +80,15 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     return read_documents(spark, path, schemas.TREES).filter(F.col("repo").isNotNull())
 
 
+def read_contents(spark: SparkSession, path: str) -> DataFrame:
+    """One stored content payload per file: ``owner, repo, path, encoding, content, download`` (bytes).
+
+    A payload that is a list, which is what a folder gives, has no content and is dropped.
+    """
+    payloads = read_documents(spark, path, schemas.CONTENTS).filter(F.col("path").isNotNull())
+    return payloads.withColumn("download", F.try_to_binary("download", F.lit("base64")))
+
+
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """File contents as bytes: ``path``, ``content``."""
     return (
@@ -71,9 +107,10 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 def without_broken_bytes(line):
     """Drop byte sequences that are no UTF-8."""
-    return F.when(F.is_valid_utf8(line), line).otherwise(
-        F.replace(F.make_valid_utf8(line), F.lit("�"), F.lit(""))
-    )
+    # Genuine replacement characters are set aside while the broken bytes become such.
+    mark, spare = F.lit("\ufffd"), F.lit("\x00\ufdd0\x00")
+    kept = F.replace(F.make_valid_utf8(F.replace(line, mark, spare)), mark, F.lit(""))
+    return F.when(F.is_valid_utf8(line), line).otherwise(F.replace(kept, spare, mark))
 
 
 def non_blank(lines: DataFrame) -> DataFrame:
@@ -113,25 +150,40 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
     return read_documents(spark, path, schemas.LINKS).select(F.explode("links").alias("l")).select("l.*")
 
 
-def job_of(column: str = "_metadata.file_path"):
+def job_of(file: Column) -> Column:
     """Job id: the folder a result file lies in."""
-    return F.regexp_extract(F.col(column), r"([^/]+)/[^/]+$", 1)
+    return F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
 
 
 def read_job_documents(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """One document per job folder, with ``job_id`` from the path."""
+    """One document per job folder, with ``job_id`` from the path; broken ones count as missing."""
+    fields = StructType.fromDDL(schema)
     if not exists(spark, pattern):
-        return spark.createDataFrame([], "job_id string, " + schema)
-    read = spark.read.schema(schema).json(pattern, multiLine=True)
-    return read.select(job_of().alias("job_id"), "*")
+        return spark.createDataFrame([], StructType([StructField("job_id", StringType()), *fields.fields]))
+    opened = opened_documents(spark, pattern, schema).filter(F.col("broken").isNull())
+    return opened.select(
+        job_of(F.col("file")).alias("job_id"), *[F.col(f"document.`{c}`").alias(c) for c in fields.names]
+    )
+
+
+def broken_job_documents(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
+    """``job_id`` and text of the documents that cannot be read."""
+    if not exists(spark, pattern):
+        return spark.createDataFrame([], "job_id string, text string")
+    opened = opened_documents(spark, pattern, schema).filter(F.col("broken").isNotNull())
+    return opened.select(job_of(F.col("file")).alias("job_id"), F.col("broken").alias("text"))
+
+
+def read_results(spark: SparkSession, root: str, name: str = "results.json") -> DataFrame:
+    return read_job_documents(spark, f"{root}/*/{name}", schemas.JOB_RESULT)
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
-    return read_job_documents(spark, f"{root}/*/results.json", schemas.JOB_RESULT)
+def broken_results(spark: SparkSession, root: str, name: str = "results.json") -> DataFrame:
+    return broken_job_documents(spark, f"{root}/*/{name}", schemas.JOB_RESULT)
 
 
-def read_run_summaries(spark: SparkSession, root: str) -> DataFrame:
-    return read_job_documents(spark, f"{root}/*/run_summary.json", schemas.RUN_SUMMARY)
+def read_run_summaries(spark: SparkSession, root: str, name: str = "run_summary.json") -> DataFrame:
+    return read_job_documents(spark, f"{root}/*/{name}", schemas.RUN_SUMMARY)
 
 
 def read_completed_jobs(spark: SparkSession, path: str) -> DataFrame:
@@ -142,7 +194,7 @@ def read_log_markers(spark: SparkSession, pattern: str, marker: str) -> DataFram
     """Jobs whose worker log holds a marker, with the number of its lines."""
     if not exists(spark, pattern):
         return spark.createDataFrame([], "job_id string, marker_lines bigint")
-    lines = spark.read.text(pattern).select("value", job_of().alias("job_id"))
+    lines = spark.read.text(pattern).select("value", job_of(F.col("_metadata.file_path")).alias("job_id"))
     return (
         lines.filter(F.contains(F.col("value"), F.lit(marker)))
         .groupBy("job_id")

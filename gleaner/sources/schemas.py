@@ -4,8 +4,12 @@ REPOSITORIES = (
     "name string, fork boolean, owner struct<login:string>, default_branch string, "
     "pushed_at string, updated_at string"
 )
-TREES = "repo string, tree array<struct<type:string,path:string>>"
-CONTENTS = "repo string, path string, encoding string, content string, download_url string"
+TREES = "owner string, repo string, tree array<struct<type:string,path:string>>"
+# ``download`` holds, as base64, what ``download_url`` gave when the payload was stored.
+CONTENTS = (
+    "owner string, repo string, ref string, path string, encoding string, content string, "
+    "download_url string, download string"
+)
 MANIFEST = (
     "generated_at string, "
     "source struct<user:string,max_repos:int,num_files:int,include_forks:boolean,"

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators.telemetry import in_time_order
 from gleaner.sources.readers import exists
 
-# A manifest is one document, so its files must be few: larger corpora keep the long form.
-MAX_DOCUMENT_FILES = 100_000
 FILE_FIELDS = ["file", "repo", "owner", "path", "branch", "bytes"]
 
 
@@ -28,10 +27,11 @@ def write_corpus(files: DataFrame, path: str) -> None:
 
 
 def manifest_document(files: DataFrame, generated_at: Column, source: Column) -> DataFrame:
-    """Header and file list, ordered by name, as one row with one JSON text."""
-    n = files.limit(MAX_DOCUMENT_FILES + 1).count()
-    if n > MAX_DOCUMENT_FILES:
-        raise ValueError("too many files for one document; write the long form")
+    """Header and file list, ordered by name, as one row with one JSON text.
+
+    One document lists the files of one sample, so its size is the sample size the caller asked for; file
+    tables of any size keep the long form.
+    """
     records = F.sort_array(F.collect_list(F.struct(*FILE_FIELDS)))
     return files.agg(records.alias("files"), F.count(F.lit(1)).alias("n_files")).select(
         F.to_json(
@@ -41,6 +41,17 @@ def manifest_document(files: DataFrame, generated_at: Column, source: Column) ->
     )
 
 
+def write_document_if_changed(spark: SparkSession, document: DataFrame, path: str, ignore: str = "generated_at") -> bool:
+    """Write the one JSON text ``value`` unless the one there says the same; the field ``ignore`` does not count."""
+    told = F.to_json(F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: k != ignore))
+    if exists(spark, path):
+        old = spark.read.text(path, wholetext=True).select(told.alias("told"))
+        if not document.select(told.alias("told")).exceptAll(old).head(1):
+            return False
+    document.select("value").coalesce(1).write.mode("overwrite").text(path)
+    return True
+
+
 def manifest_changes(old: DataFrame, new: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
     """``added``, ``removed``, ``changed`` or ``same`` per file. The time of writing does not count."""
     before = old.select(*keys, F.struct(*compare).alias("_old"))
@@ -80,8 +91,7 @@ def write_if_changed(spark: SparkSession, new: DataFrame, path: str, keys: list[
 
 def write_readings_csv(readings: DataFrame, path: str) -> None:
     """``gpu,ts,util`` in global order, over as many files as there are ranges."""
-    ordered = readings.select("gpu", "ts", "util").orderBy("gpu", "ts", "util")
-    ordered.write.mode("overwrite").option("header", True).option(
+    in_time_order(readings.select("gpu", "ts", "util")).write.mode("overwrite").option("header", True).option(
         "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
     ).csv(path)
 

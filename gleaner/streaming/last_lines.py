@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from gleaner.operators.lines import VISIBLE_LINES, last_n
+from gleaner.session import remove, ship_package
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -40,10 +41,25 @@ class KeepLast(StatefulProcessor):
         pass
 
 
+def cut_chunks(n: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The last ``n`` rows per feed of every chunk."""
+
+    def cut(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            yield chunk.sort_values("seq", kind="stable").groupby("feed", dropna=False, sort=False).tail(n)
+
+    return cut
+
+
 def keep_last(stream: DataFrame, n: int = VISIBLE_LINES) -> DataFrame:
-    """``(feed, seq, line)`` to ``(feed, version, seq, line)``: the whole view after every change."""
+    """``(feed, seq, line)`` to ``(feed, version, seq, line)``: the whole view after every change.
+
+    Chunks are cut to their last rows per feed before the shuffle, so a hot feed sends few of its rows.
+    """
+    ship_package(stream.sparkSession)
     feed = stream.schema["feed"].dataType.simpleString()
-    return stream.groupBy("feed").transformWithStateInPandas(
+    rows = stream.select("feed", F.col("seq").cast("bigint").alias("seq"), "line")
+    return rows.mapInPandas(cut_chunks(n), rows.schema).groupBy("feed").transformWithStateInPandas(
         statefulProcessor=KeepLast(n),
         outputStructType=f"feed {feed}, version bigint, seq bigint, line string",
         outputMode="update",
@@ -55,19 +71,25 @@ def run_keep_last(
     spark: SparkSession, stream: DataFrame, out: str, checkpoint: str, n: int = VISIBLE_LINES
 ) -> StreamingQuery:
     """Write every batch of views into its own folder, so a repeated batch replaces itself."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return (
+    writer = (
         keep_last(stream, n)
         .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .outputMode("update")
         .trigger(availableNow=True)
-        .start()
     )
+    # A query keeps the settings it was started with; the session gets its own back.
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_PROVIDER)
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
 
 
 def current_views(written: DataFrame) -> DataFrame:
@@ -91,6 +113,8 @@ def run_merged_last(
             before = spark.read.schema(rows.schema).parquet(f"{out}/batch={number - 1}")
             rows = last_n(rows.unionByName(before), ["feed"], ["seq"], n)
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number > 1:  # the one before is what a repeated batch starts from; older ones are not needed
+            remove(spark, f"{out}/batch={number - 2}")
 
     return (
         stream.writeStream.foreachBatch(merge)

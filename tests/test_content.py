@@ -54,10 +54,10 @@ def test_text_screen(spark):
 def test_cut_may_split_a_character(spark):
     long = b"a" * 65537
     straddling = b"a" * 65535 + "é".encode()
-    got = binary(spark, [long, straddling], C.cut_bytes)
+    got = binary(spark, [long, straddling], lambda c: C.cut_bytes(c, C.MAX_BYTES_PER_FILE))
     assert [len(g) for g in got] == [65536, 65536]
     assert bytes(got[1])[-1:] == "é".encode()[:1]
-    assert binary(spark, [straddling], lambda c: C.is_text(C.cut_bytes(c))) == [True]
+    assert binary(spark, [straddling], lambda c: C.is_text(C.cut_bytes(c, C.MAX_BYTES_PER_FILE), C.TEXT_TEST_WINDOW)) == [True]
 
 
 def test_large_round_trip(spark):

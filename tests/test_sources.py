@@ -166,3 +166,63 @@ def test_harvest(spark):
     ]
     # The sample is drawn first and not refilled.
     assert harvest(repos, entries, contents, HarvestOptions(user="me", max_repos=2, num_files=2)).count() <= 2
+
+
+def test_broken_documents_and_payloads_are_reported(spark, tmp_path):
+    put(tmp_path, "jobs/j1/results.json", '{"entry_status":"Finished"}')
+    put(tmp_path, "jobs/j2/results.json", '{"entry_status":"Fini')
+    assert [r.job_id for r in R.read_results(spark, str(tmp_path / "jobs")).collect()] == ["j1"]
+    assert R.read_results(spark, str(tmp_path / "jobs")).count() == 1
+    assert [r.job_id for r in R.broken_results(spark, str(tmp_path / "jobs")).collect()] == ["j2"]
+    put(tmp_path, "repos/1.json", '[{"name":"a"}, 5, {"name":"b"}]')
+    put(tmp_path, "repos/2.json", '{"message":"x"}')
+    put(tmp_path, "repos/3.json", '[{"name":"c"}]')
+    assert sorted(r.name for r in R.read_repositories(spark, str(tmp_path / "repos")).collect()) == ["a", "b", "c"]
+    bad = R.dropped_payloads(spark, str(tmp_path / "repos"), schemas.REPOSITORIES).collect()
+    assert {(r.path[-6:], r.reason) for r in bad} == {("1.json", "broken element"), ("2.json", "no list")}
+
+
+def test_content_payloads(spark, tmp_path):
+    put(tmp_path, "c/1.json", json.dumps({"repo": "r", "path": "a", "encoding": "base64", "content": encoded(b"x")}))
+    put(tmp_path, "c/2.json", json.dumps({"repo": "r", "path": "b", "encoding": "none", "download": encoded(b"y")}))
+    put(tmp_path, "c/3.json", "[]")
+    got = R.read_contents(spark, str(tmp_path / "c")).orderBy("path").collect()
+    assert [(r.path, r.content, r.download) for r in got] == [("a", encoded(b"x"), None), ("b", None, b"y")]
+
+
+def test_replacement_characters_survive_broken_bytes(spark, tmp_path):
+    path = put(tmp_path, "t.txt", "a�b".encode() + b"\xff" + b"c\n")
+    assert [r.value for r in R.read_jsonl(spark, path).collect()] == ["a�bc"]
+
+
+def test_two_owners_of_one_name_stay_apart(spark):
+    repos = spark.createDataFrame(
+        [("one", False, ("a",), "m", "2", None), ("one", False, ("b",), "m", "1", None)], schemas.REPOSITORIES
+    )
+    entries = spark.createDataFrame(
+        [("a", "one", "blob", "x.py"), ("b", "one", "blob", "y.py")], "owner string, repo string, type string, path string"
+    )
+    got = candidates(repos, entries, HarvestOptions(user="me"))
+    assert sorted((r.owner, r.path) for r in got.collect()) == [("a", "x.py"), ("b", "y.py")]
+
+
+def test_document_is_written_only_if_changed(spark, tmp_path):
+    doc = lambda t, n: spark.createDataFrame([(json.dumps({"generated_at": t, "files": [n]}),)], "value string")
+    path = str(tmp_path / "m")
+    made = [W.write_document_if_changed(spark, doc(*x), path) for x in (("1", 1), ("2", 1), ("3", 2))]
+    assert made == [True, False, True]
+
+
+def test_safe_names(spark):
+    cases = {
+        ("Repo", "a.py"): "Repo__a.py", ("my repo", "src/a b.py"): "my-repo__src__a-b.py", ("r/x", "a//b"): "r-x__a____b",
+        ("r", "é/ü.md"): "r__-__-.md", ("r", "__init__.py"): "r____init__.py", ("", ""): "__", ("r", "a+b(c).js"): "r__a-b-c-.js",
+        ("a.b-c_d", "e.f-g_h"): "a.b-c_d__e.f-g_h", ("r", "/lead"): "r____lead", ("r", "tail/"): "r__tail__",
+        ("r", "a\\b"): "r__a-b", ("r", "a\tb\nc"): "r__a-b-c", ("r r r", "x"): "r-r-r__x", ("--", "--"): "--____--"[:2] + "__--",
+        ("日本", "x.py"): "-__x.py", ("r", "a@b#c$d"): "r__a-b-c-d",
+    }
+    from gleaner.functions.text import safe_file_name
+
+    df = spark.createDataFrame(list(cases), "repo string, path string")
+    got = {(r.repo, r.path): r.f for r in df.select("*", safe_file_name(F.col("repo"), F.col("path")).alias("f")).collect()}
+    assert got == cases

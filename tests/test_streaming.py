@@ -56,4 +56,5 @@ def test_last_lines_over_batches_and_a_restart(spark, tmp_path, start, views):
     got = sorted(tuple(r) for r in views(written).collect())
     want = last_n(spark.read.schema(schema).parquet(folder), ["feed"], ["seq"], 5)
     assert got == sorted(tuple(r) for r in want.select("feed", "seq", "line").collect())
-    assert written.select("batch").distinct().count() >= 3
+    batches = written.select("batch").distinct().count()
+    assert batches == 2 if start is run_merged_last else batches >= 3
