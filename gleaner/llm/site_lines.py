@@ -6,8 +6,8 @@ Lines are compared without the blanks around them, by 128-bit digests.
 
 A page counts a line once. Counts per host and line are combined map-side. The boilerplate lines of a host
 are few by construction, its average number of lines per page divided by the ratio at most, so they travel
-as one array per host; the texts are joined with them on the host, where Spark splits the pages of a hot
-host over many tasks.
+as one array per host; the texts are joined with them on the host and a salt, so a hot host's pages spread
+over many tasks.
 
 Defined cases: null hosts are one host of their own; a null text has no lines and stays null; blank lines
 are kept and not counted; repeated rows are pages of their own; a page of boilerplate only ends up empty
@@ -24,6 +24,9 @@ from gleaner.llm.common import BLANKS, documents
 RATIO = 0.1
 MIN_PAGES = 5
 
+# Parts of a host's pages when they meet its boilerplate.
+SALTS = 16
+
 
 def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANKS))
@@ -52,13 +55,17 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     )
 
 
-def cleaned(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def cleaned(pages: DataFrame, page: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with the ``text`` without boilerplate, ``n_lines`` before and ``n_dropped``.
 
-    ``pages`` holds ``host``, ``text`` and anything else under names of its own.
+    ``pages`` holds ``host``, ``text`` and anything else under names of its own; ``page`` tells pages apart,
+    as far as there is something that does.
     """
-    common = boilerplate(pages, ratio, min_pages).withColumnRenamed("host", "h")
-    met = pages.join(common, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    common = boilerplate(pages, ratio, min_pages).select(F.col("host").alias("h"), "common", parts.alias("s"))
+    salted = pages.withColumn("salt", F.pmod(F.xxhash64(page), F.lit(SALTS)).cast("int"))
+    same = F.col("host").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("s"))
+    met = salted.join(common, same, "left").drop("h", "s", "salt")
     lines = F.split("text", "\n")
     left = F.filter(lines, lambda x: ~F.array_contains("common", digest(trimmed(x))))
     return (
@@ -73,7 +80,7 @@ def cleaned(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES)
 def without_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents with cleaned texts and, where there is such a column, their new ``n_chars``."""
     rows = docs.select(F.col(host).alias("host"), F.col("text"), F.struct("*").alias("row"))
-    done = cleaned(rows)
+    done = cleaned(rows, F.col("row.doc_id"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
@@ -83,7 +90,7 @@ def without_boilerplate(docs: DataFrame, host: str = "source") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = documents(spark, sf_dir).select("doc_id", F.col("source").alias("host"), "text")
-    return cleaned(pages).select("doc_id", F.col("host").alias("source"), "n_lines", "n_dropped", "text")
+    return cleaned(pages, F.col("doc_id")).select("doc_id", F.col("host").alias("source"), "n_lines", "n_dropped", "text")
 
 
 def clean_sql(table: str = "documents") -> str:
