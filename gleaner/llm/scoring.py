@@ -28,7 +28,7 @@ from gleaner.llm.common import Batches, documents, id_and_text, map_batches
 from gleaner.llm.minhash import U, chunks, mixed, word_hashes
 from gleaner.session import write_through
 
-WORD_BITS, PAIR_BITS = 18, 20
+WORD_BITS, PAIR_BITS = 17, 18
 WEIGHT = 50.0
 START = mixed(np.array([7], U))
 
@@ -103,7 +103,8 @@ class Model:
 
 def train(docs: DataFrame, good: DataFrame) -> tuple[Model, Model]:
     """Target and background; ``good`` holds the ``doc_id`` of the target. What is collected is bounded by the types."""
-    flags = good.select(F.col("doc_id").alias("_good")).distinct()
+    # Labels grow with the documents, so they are never broadcast: one plan at every size.
+    flags = good.select(F.col("doc_id").alias("_good")).distinct().hint("merge")
     flagged = id_and_text(docs).join(flags, F.col("doc_id") == F.col("_good"), "left")
     found = write_through(counts(flagged.select("doc_id", "text", F.col("_good").isNotNull().alias("target"))))
     table = found.toArrow()
