@@ -10,7 +10,7 @@ discloses: 1 if the term occurs nowhere else. Terms that were seen with the enti
 ``GENERALISE`` on. Documents without personal data are left alone.
 
 Everything is built-in functions. Windows are bounded, so an occurrence adds a bounded number of rows;
-counts are combined map-side; the documents' texts are not shuffled.
+counts are combined map-side; of the texts only those with personal data are shuffled. Nothing is written.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows count as documents of their
 own and get equal spans; other columns are left out; an empty table gives an empty result.
@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, id_and_text
-from gleaner.session import write_through
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -89,19 +88,23 @@ def base_spans() -> Column:
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """``row`` (a number), ``doc_id``, ``spans``, and the ``text`` of those documents that have any."""
+    """``doc_id``, ``text`` and ``spans``; rows of one ``row`` have equal ids and texts."""
     found = id_and_text(docs).withColumn("spans", base_spans())
-    some = F.size("spans") > 0
-    return write_through(
-        found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "spans", F.when(some, F.col("text")).alias("text"))
-    )
+    return found.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("hash")))
+
+
+def private_rows(base: DataFrame) -> DataFrame:
+    """Rows with personal data, equal ones once with their number ``times``. Only these texts are shuffled."""
+    some = base.filter(F.size("spans") > 0)
+    return some.groupBy("row").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("times"))
 
 
-def occurrences(base: DataFrame) -> DataFrame:
-    """``row``, ``entity``, ``term``, ``start``, ``end`` of every term in a window of an entity."""
-    each = base.filter("text IS NOT NULL").select("row", "text", "spans", F.explode("spans").alias("s"))
+def occurrences(private: DataFrame) -> DataFrame:
+    """``row``, ``times``, ``entity``, ``term``, ``start``, ``end`` of every term in a window of an entity."""
+    each = private.select("row", "times", "text", "spans", F.explode("spans").alias("s"))
     sides = each.select(
         "row",
+        "times",
         "spans",
         F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"),
         F.greatest(F.col("s.start") - WINDOW, F.lit(0)).alias("from"),
@@ -110,6 +113,7 @@ def occurrences(base: DataFrame) -> DataFrame:
         "text",
     ).select(
         "row",
+        "times",
         "spans",
         "entity",
         F.expr("substring(text, from + 1, start - from)").alias("left"),
@@ -121,6 +125,7 @@ def occurrences(base: DataFrame) -> DataFrame:
     # A word at a cut edge may be a part of one: it is left out.
     trimmed = sides.select(
         "row",
+        "times",
         "spans",
         "entity",
         F.when(F.col("from") > 0, F.regexp_replace("left", r"^\p{L}+", "")).otherwise(F.col("left")).alias("inner"),
@@ -137,10 +142,11 @@ def occurrences(base: DataFrame) -> DataFrame:
     )
     free = trimmed.withColumn("terms", terms).select(
         "row",
+        "times",
         "entity",
         F.explode(F.expr("filter(terms, t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end))")).alias("t"),
     )
-    return free.select("row", "entity", "t.term", "t.start", "t.end")
+    return free.select("row", "times", "entity", "t.term", "t.start", "t.end")
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -149,38 +155,38 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
-def disclosure(docs: DataFrame, base: DataFrame, met: DataFrame) -> DataFrame:
+def disclosure(docs: DataFrame, private: DataFrame, met: DataFrame) -> DataFrame:
     """``entity``, ``term`` and the ``share`` of the entity that the term discloses."""
-    total = base.count()
+    total = docs.agg(F.count("*")).scalar().cast("double")
     entities = (
-        base.filter("text IS NOT NULL")
-        .select("row", F.explode("spans").alias("s"))
-        .select("row", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"))
+        private.select("row", "times", F.explode("spans").alias("s"))
+        .select("row", "times", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"))
         .distinct()
         .groupBy("entity")
-        .agg(F.count("*").alias("n_entity"))
+        .agg(F.sum("times").alias("n_entity"))
     )
     pairs = (
-        met.select("row", "entity", "term").distinct()
-        .groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+        met.select("row", "times", "entity", "term").distinct()
+        .groupBy("entity", "term").agg(F.sum("times").alias("n_both"))
         .filter(F.col("n_both") >= SUPPORT)
     )
     known = pairs.join(entities, "entity").join(document_counts(docs), "term")
-    content = F.log(F.lit(float(total)) / F.col("n_entity"))
-    shared = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    content = F.log(total / F.col("n_entity"))
+    shared = F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     return known.select("entity", "term", F.when(content > 0, shared / content).otherwise(F.lit(0.0)).alias("share"))
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the base ``spans``, the ``terms`` (start, end, action) and the ``text`` where there are any."""
+    """``doc_id``, ``text``, the base ``spans`` and the ``terms`` (start, end, action)."""
     base = with_base(docs)
-    met = write_through(occurrences(base))
-    shares = disclosure(docs, base, met).filter(F.col("share") >= GENERALISE)
+    private = private_rows(base)
+    met = occurrences(private)
+    shares = disclosure(docs, private, met).filter(F.col("share") >= GENERALISE)
     action = F.when(F.max("share") >= REMOVE, "remove").otherwise("generalise")
     found = met.join(shares, ["entity", "term"]).groupBy("row", "start", "end").agg(action.alias("action"))
     terms = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     none = F.expr("CAST(array() AS array<struct<start: int, end: int, action: string>>)")
-    return base.join(terms, "row", "left").select("doc_id", "spans", F.coalesce("terms", none).alias("terms"), "text")
+    return base.join(terms, "row", "left").select("doc_id", "text", "spans", F.coalesce("terms", none).alias("terms"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
@@ -198,7 +204,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
                 'out', concat(a.out, substring(text, a.at + 1, m.start - a.at), m.by)) END,
             a -> concat(a.out, substring(text, a.at + 1, length(text))))"""
     )
-    private = all_spans(docs).filter("text IS NOT NULL").withColumn("marks", marks)
+    private = all_spans(docs).filter(F.size("spans") > 0).withColumn("marks", marks)
     return private.select("doc_id", cleaned.alias("text"))
 
 
