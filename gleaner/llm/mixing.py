@@ -10,8 +10,8 @@ laid out on the driver (its size is a parameter), and the slot of any block foll
 a source is used up, the others go on with their weights in proportion; there are at most as many such
 phases as sources. Every document is placed.
 
-Numbers within a source come from counts of hash ranges of about ``RANGE`` documents, so that no task
-sorts a hot source as a whole.
+Numbers within a source come from counts of hash ranges, as many as the square root of its documents, so
+that no task sorts a hot source as a whole: both the ranges and what is in one grow with the square root.
 
 Defined cases: null sources are one source of their own; sources without a weight have the weight of their
 share; repeated rows get places of their own; an empty table gives an empty result.
@@ -30,7 +30,6 @@ from gleaner.llm.common import documents
 
 BLOCK = 16
 PERIOD = 1000
-RANGE = 50_000
 SEED = 17
 PLAN = "_source string, _first long, _last long, _base long, _share long, _whole long, _places array<int>"
 
@@ -92,7 +91,7 @@ def shuffled(key: Column) -> Column:
 
 def numbered(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
     """``rows`` with ``_number``, the place from 0 within the source; ``order[0]`` must be a spread hash."""
-    sized = rows.groupBy(source).agg(F.ceil(F.count("*") / RANGE).alias("_ranges")).withColumnRenamed(source, "_of")
+    sized = rows.groupBy(source).agg(F.ceil(F.sqrt(F.count("*"))).alias("_ranges")).withColumnRenamed(source, "_of")
     upper = F.shiftrightunsigned(F.col(order[0]).bitwiseXOR(F.lit(-(2**63))), 33)  # 31 bits, in the hash's order
     cut = rows.join(sized, F.col(source).eqNullSafe(F.col("_of"))).withColumn(
         "_range", F.shiftright(upper * F.col("_ranges"), 31)

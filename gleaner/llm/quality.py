@@ -149,6 +149,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql(rules: tuple[Rule, ...] = RULES) -> str:
     stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    nexts = ", ".join(f"lead(word, {k}) OVER d" for k in range(1, WINDOW))
     tests = ", ".join(f"CASE WHEN {r.failed()} THEN '{r.name}' END" for r in rules)
     return rf"""
     WITH split AS (
@@ -157,10 +158,12 @@ def _sql(rules: tuple[Rule, ...] = RULES) -> str:
             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
         FROM documents
     ), places AS (
-        SELECT doc_id, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i
-        FROM split WHERE len(words) >= {WINDOW}
+        SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM split
+    ), runs AS (
+        SELECT doc_id, i, concat_ws(' ', word, {nexts}) AS run, lead(i, {WINDOW - 1}) OVER d AS last
+        FROM places WINDOW d AS (PARTITION BY doc_id ORDER BY i)
     ), windows AS (
-        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + {WINDOW - 1}]) AS n FROM places
+        SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, run) AS n FROM runs WHERE last IS NOT NULL
     ), steps AS (
         SELECT doc_id, least({WINDOW}, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), {WINDOW})) AS step
         FROM windows WHERE n > 1

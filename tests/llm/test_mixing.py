@@ -2,7 +2,6 @@ import random
 from collections import Counter
 from fractions import Fraction
 
-import pytest
 from fixtures import documents, saved
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,9 +70,7 @@ def table(spark, n=400):
     return documents(spark, [f"text {i}" for i in range(n)], sources), [(i, s) for i, s in enumerate(sources)]
 
 
-@pytest.mark.parametrize("ranges", [50_000, 7])
-def test_equals_a_schedule_made_slot_by_slot(spark, monkeypatch, ranges):
-    monkeypatch.setattr(mixing, "RANGE", ranges)
+def test_equals_a_schedule_made_slot_by_slot(spark):
     docs, rows = table(spark)
     hashes = {r.doc_id: r.h for r in docs.select("doc_id", mixing.shuffled(F.col("doc_id")).alias("h")).collect()}
     weights = {"hot": 0.2, "a": 0.5, "b": 0.1, "c": 0.15, None: 0.05}
