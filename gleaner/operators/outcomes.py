@@ -118,9 +118,19 @@ def summary_columns(o: Column, scores: dict[str, Column]) -> list[Column]:
     ]
 
 
-def summarise_by(df: DataFrame, keys: list[str], scores: dict[str, Column], o: str = "outcome") -> DataFrame:
-    """Summary per agent, or per any combination of dimensions."""
-    return df.groupBy(*keys).agg(*summary_columns(F.col(o), scores))
+def valid_rate(o: Column, events: Column, units: Column) -> Column:
+    """Events per unit over valid runs, NULL where those covered nothing."""
+    of = [F.sum(F.when(is_valid(o), x)) for x in (events, units)]
+    return of[0] / F.nullif(of[1], F.lit(0))
+
+
+def summarise_by(
+    df: DataFrame, keys: list[str], scores: dict[str, Column], o: str = "outcome",
+    rates: dict[str, tuple[Column, Column]] | None = None,
+) -> DataFrame:
+    """Summary per agent, or per any combination of dimensions; ``rates`` holds events and units by name."""
+    more = [valid_rate(F.col(o), *of).alias(name) for name, of in (rates or {}).items()]
+    return df.groupBy(*keys).agg(*summary_columns(F.col(o), scores), *more)
 
 
 def breakdowns(

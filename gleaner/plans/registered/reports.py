@@ -27,8 +27,10 @@ def evidence(spark: SparkSession, folder: str, jobs: DataFrame) -> DataFrame:
     )
     # One pass over the line items tells routes and steps.
     steps = F.sum(F.col("l_quantity").cast("bigint")).alias("global_steps")
+    infractions = F.count_if(F.col("l_returnflag") == "A").alias("infractions")
     known = O.routes_per_job(
-        items.select(F.col("l_orderkey").alias("job_id"), state.alias("status"), "l_quantity"), ["job_id"], others=(steps,)
+        items.select(F.col("l_orderkey").alias("job_id"), state.alias("status"), "l_quantity", "l_returnflag"),
+        ["job_id"], others=(steps, infractions),
     ).withColumn("has_results", F.lit(True))
     marked = F.when(F.col("o_totalprice") > 400_000, 1)
     price = "o_totalprice" in jobs.columns
@@ -91,7 +93,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
         .join(regions, "n_regionkey")
     )
     return judged(spark, folder, jobs).select(
-        "agent", "town", "scenario", "outcome", "global_steps",
+        "agent", "town", "scenario", "outcome", "global_steps", "infractions",
         F.col("o_orderpriority").alias("weather"),
         F.col("o_orderstatus").alias("route_type"),
         cents(F.col("o_totalprice")).alias("score"),
@@ -111,6 +113,12 @@ def outcome_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     return O.summarise_by(runs(spark, folder), keys, scores())
 
 
+def outcome_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Infractions per step beside the summary of every agent and route type."""
+    rates = {"infraction_rate": (F.col("infractions"), F.col("global_steps"))}
+    return O.summarise_by(runs(spark, folder), ["agent", "route_type"], scores(), rates=rates)
+
+
 def outcome_levels(spark: SparkSession, folder: str) -> DataFrame:
     return O.breakdowns(runs(spark, folder), "agent", ["weather", "route_type", "scenario"], scores())
 
@@ -158,7 +166,7 @@ def reproduced_configs(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        job_outcomes, missing_results, outcome_summary, outcome_breakdown, outcome_levels, outcome_rank, rate_per_unit,
+        job_outcomes, missing_results, outcome_summary, outcome_breakdown, outcome_rates, outcome_levels, outcome_rank, rate_per_unit,
         read_before_write, config_fingerprint, reproduced_configs,
     )
 }
@@ -166,7 +174,8 @@ QUERIES = {
 JUDGED_SQL = """
     r AS (
         SELECT l_orderkey, bool_and(o = 'valid_pass') AS all_passed, bool_or(o = 'valid_fail') AS any_failed,
-               CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS global_steps
+               CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS global_steps,
+               count(*) FILTER (WHERE l_returnflag = 'A') AS infractions
         FROM (SELECT *, CASE WHEN l_returnflag = 'A' THEN 'valid_fail'
                              WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN ''
                              ELSE 'valid_pass' END AS o FROM lineitem)
@@ -174,7 +183,7 @@ JUDGED_SQL = """
     ),
     j AS (
         SELECT o_orderkey AS job_id, o_custkey, o_orderpriority AS weather, o_orderstatus AS route_type,
-               CAST(round(o_totalprice * 100) AS BIGINT) AS score, global_steps,
+               CAST(round(o_totalprice * 100) AS BIGINT) AS score, global_steps, infractions,
                CASE WHEN l_orderkey IS NULL
                       OR (o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P')
                       OR (o_totalprice > 400000 AND o_orderstatus = 'O')
@@ -222,6 +231,12 @@ SQL = {
         SELECT agent, town, weather, route_type, scenario, {MEASURES} FROM runs
         GROUP BY agent, town, weather, route_type, scenario
     """,
+    "outcome_rates": f"""
+        WITH {JUDGED_SQL}
+        SELECT agent, route_type, {MEASURES},
+               sum(infractions) FILTER (WHERE {VALID}) / nullif(sum(global_steps) FILTER (WHERE {VALID}), 0) AS infraction_rate
+        FROM runs GROUP BY agent, route_type
+    """,
     "outcome_levels": f"""
         WITH {JUDGED_SQL}
         SELECT agent, weather, route_type, scenario, grouping_id(agent, weather, route_type, scenario) AS level, {MEASURES}
