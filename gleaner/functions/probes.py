@@ -169,6 +169,10 @@ def line_instant(entries: str) -> str:
     return f"coalesce({object_instant(entries)}, {first_of(each(stamped, lambda m: object_instant(probed(m))))})"
 
 
+def speaks_of_use(entry: str) -> str:
+    return " OR ".join(f"contains(lower({entry}.key), '{w}')" for w in UTIL_WORDS)
+
+
 def entry_utilization(entries: str, text: str) -> str:
     """Value of the first key that speaks of utilization: a number, or an object holding one.
 
@@ -176,9 +180,6 @@ def entry_utilization(entries: str, text: str) -> str:
     nested object comes first.
     """
 
-    def named(e: str) -> str:
-        return " OR ".join(f"contains(lower({e}.key), '{w}')" for w in UTIL_WORDS)
-
     def first_number(e: str) -> str:
         numbers = only(f"{probed(as_object(e))}.num", lambda x: f"{x} IS NOT NULL")
         in_order = first_of(entries_of(f"element_at({nested_texts(text)}, {e}.key)") + ".num")
@@ -186,7 +187,7 @@ def entry_utilization(entries: str, text: str) -> str:
 
     return first_of(
         each(
-            only(entries, named),
+            only(entries, speaks_of_use),
             lambda e: f"coalesce({e}.num, CASE WHEN {e}.kind = '{OBJECT}' THEN {first_number(e)} END)",
         )
     )

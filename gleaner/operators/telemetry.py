@@ -27,6 +27,7 @@ from gleaner.functions.probes import (
     nested_texts,
     only,
     probed,
+    speaks_of_use,
 )
 from gleaner.operators.ordered import Measure, group_rows, position, scan_groups
 from gleaner.operators.rowwise import computed
@@ -52,6 +53,12 @@ def text_at(text: str, path: str) -> str:
     return f"aggregate({path}, {text}, (t, k) -> element_at({nested_texts('t')}, k))"
 
 
+def contested(objects: str) -> str:
+    """Whether any of the objects has several keys that speak of utilization."""
+    several = each(objects, lambda o: f"size({only(o, speaks_of_use)}) > 1")
+    return f"exists({several}, x -> x)"
+
+
 def listed_readings(text: str, gpus: str) -> str:
     """Readings of the objects in the ``gpus`` list of the object ``text``."""
     texts = from_json(f"element_at({nested_texts(text)}, 'gpus')", "array<string>")
@@ -59,7 +66,15 @@ def listed_readings(text: str, gpus: str) -> str:
     # A list that also holds other things is refused as a whole, so its objects are opened one by one.
     kinds = each(as_list(gpus), lambda x: f"schema_of_variant({x})")
     mixed = f"zip_with({kinds}, {texts}, (k, t) -> CASE WHEN startswith(k, '{OBJECT}') THEN {from_json('t', TYPED)} END)"
-    opened = each(f"coalesce({objects}, {mixed})", lambda m: f"CASE WHEN {m} IS NOT NULL THEN {probed(m)} END")
+    in_order = each(f"coalesce({objects}, {mixed})", lambda m: f"CASE WHEN {m} IS NOT NULL THEN {probed(m)} END")
+    # The parsed objects list their keys sorted. The text is parsed again only where that could matter,
+    # for an object with several keys that speak of utilization.
+    parsed = each(
+        as_list(gpus),
+        lambda x: f"""CASE WHEN startswith(schema_of_variant({x}), '{OBJECT}')
+            THEN {probed(f"try_variant_get({x}, '$', '{TYPED}')")} END""",
+    )
+    opened = let(parsed, lambda o: f"CASE WHEN {contested(o)} THEN {in_order} ELSE {o} END")
     read = f"""transform({opened}, (e, i) -> struct({entry_utilization("e", f"get({texts}, i)")} AS util,
         {index_entry("e")} AS index))"""
     numbered = each(
