@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BLANK_CLASS, BLANKS, documents, whole_text
+from gleaner.llm.common import BLANK_CLASS, BLANKS, documents
+from gleaner.operators.rowwise import computed
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -134,9 +135,13 @@ def judged(df: DataFrame, text: str, keep: list[str], rules: tuple[Rule, ...] =
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass, with their own columns only."""
+    """The documents that pass, with their own columns only.
+
+    The verdict goes through a one-row generator: a filter on it would else be pushed down, and every
+    signal computed again for each time that it is mentioned.
+    """
     rows = docs.select(F.struct("*").alias("row"))
-    return judged(rows, "row.text", ["row"], rules).filter("kept").select("row.*")
+    return computed(judged(rows, "row.text", ["row"], rules), ["row"], {"kept": F.col("kept")}).filter("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
