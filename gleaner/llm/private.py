@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, id_and_text
+from gleaner.operators.rowwise import computed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -89,7 +90,7 @@ def base_spans() -> Column:
 
 def with_base(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` and ``spans``; rows of one ``row`` have equal ids and texts."""
-    found = id_and_text(docs).withColumn("spans", base_spans())
+    found = computed(id_and_text(docs), ["doc_id", "text"], {"spans": base_spans()})
     return found.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("hash")))
 
 
