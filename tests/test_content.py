@@ -48,7 +48,7 @@ def test_text_screen(spark):
         (b"\x01" + b"a" * 49, False),
         (b"\x01" + b"a" * 50, True),
     ]
-    assert binary(spark, [c[0] for c in cases], C.is_text) == [c[1] for c in cases]
+    assert binary(spark, [c[0] for c in cases], lambda c: C.is_text(c, C.TEXT_TEST_WINDOW)) == [c[1] for c in cases]
 
 
 def test_cut_may_split_a_character(spark):
