@@ -154,9 +154,15 @@ def mixed(
 
 
 def in_mixed_order(docs: DataFrame) -> DataFrame:
-    """The documents, all of them, in the order of the schedule; the order of rows is that of the written files."""
+    """The documents, all of them, in the order of the schedule; the order of rows is that of the written files.
+
+    Places are found from ids and sources alone and then joined, so whole rows are shuffled twice: to meet
+    their place and to be sorted. Equal rows stand together at the first of their places.
+    """
     rows = docs.select("doc_id", "source", F.struct("*").alias("row"))
-    return mixed(rows, keep=("row",)).orderBy("slot", "place").select("row.*")
+    keyed = rows.withColumn("key", F.struct("doc_id", "source", F.xxhash64("row").alias("hash")))
+    places = mixed(keyed.drop("row"), keep=("key",)).groupBy("key").agg(F.min(F.struct("slot", "place")).alias("at"))
+    return keyed.select("key", "row").join(places, "key").orderBy("at").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
