@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import Batches, Memo, documents, map_batches, whole_text
 
 # Entries of a worker's memo of words; about 200 bytes each.
-MEMO = 900_000
+MEMO = 500_000
 
 # Bits in a word of the bitmaps.
 WORD = 256
