@@ -4,12 +4,16 @@ Two bigram models with one vocabulary and one smoothing are matched: one of the
 ``labels`` calls good), one of the background (all documents). A document's score is the mean over its
 tokens of the background's loss minus the target's, in nats: the higher, the more like the target.
 
-The vocabulary is hashed. Words go to ``2 ** WORD_BITS`` types and pairs of a word and its follower to
-``2 ** PAIR_BITS`` types, the same in both models, so the size of a model is a parameter and the
-broadcast of the two has a proven bound of 12 bytes a type. Counts are taken over all documents, added up in each task and then over the tasks.
+The vocabulary is that of the documents. Words and pairs of a word and its follower are named by hashes of 63
+bits, the last bit of the name tells the two apart; the same in both models. Counts are taken over all
+documents, added up in each task and then over the tasks, and stay a table in the shared folder, which grows
+with the vocabulary. Of it the driver holds a row of totals.
 
 The probability of a word w after v is (c(v, w) + M p(w)) / (c(v) + M) with Dirichlet weight M, where
-p(w) = (c(w) + 1) / (n + types). A text starts after the type of the empty word.
+p(w) = (c(w) + 1) / (n + types). There are as many types as distinct words, but ``2 ** WORD_BITS`` at least.
+A text starts after the type of the empty word. So a token's loss is -log(M p(w)) + log(c(v) + M), from words
+alone, and for pairs that were seen -log(1 + c(v, w) / (M p(w))). The distinct words and pairs of a document
+meet these in one shuffled join and are added up by document, in units of ``UNIT``, so in any order alike.
 
 Defined cases: null and empty texts have no tokens and the score 0; repeated rows are scored and counted
 each on their own; documents without a label, or with several, count as target if one calls them good;
@@ -19,125 +23,185 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+from math import log
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import Batches, documents, id_and_text, map_batches
 from gleaner.llm.minhash import U, chunks, mixed, word_hashes
 from gleaner.session import write_through
 
-WORD_BITS, PAIR_BITS = 17, 18
+WORD_BITS = 17
 WEIGHT = 50.0
 START = mixed(np.array([7], U))
+UNIT = 2.0**-30
+
+# Counts that a task holds before it gives them on.
+HELD = 1 << 21
 
 
 def types_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word type and pair type of every token, and where each text's tokens end."""
+    """Word type (even) and pair type (odd) of every token, and where each text's tokens end."""
     hashes, begin = word_hashes(b"\n".join(texts) + b"\n")
     ends = np.searchsorted(begin, np.cumsum([len(t) + 1 for t in texts]))
     before = np.concatenate((START, hashes[:-1]))[: len(hashes)]
     firsts = np.concatenate(([0], ends[:-1]))
     before[firsts[firsts < ends]] = START
     pairs = mixed(before * U(0x9E3779B97F4A7C15) + hashes)
-    return (hashes >> U(64 - WORD_BITS)).astype(np.int64), (pairs >> U(64 - PAIR_BITS)).astype(np.int64), ends
-
-
-def counts(docs: DataFrame) -> DataFrame:
-    """``kind`` (0 word, 1 pair, 2 word before), ``type``, ``n_target`` and ``n_all``; ``docs`` has ``target``."""
-
-    def run(batches: Batches) -> Batches:
-        sizes = (1 << WORD_BITS, 1 << PAIR_BITS, 1 << WORD_BITS)
-        held = [[np.zeros(n, np.int64) for n in sizes] for _ in range(2)]
-        for batch in batches:
-            target = np.array(batch.column(2))
-            for first, texts in chunks(batch):
-                words, pairs, ends = types_of(texts)
-                lengths = np.diff(np.concatenate(([0], ends)))
-                good = np.repeat(target[first : first + len(texts)], lengths)
-                before = previous(words, ends)
-                for k, types in enumerate((words, pairs, before)):
-                    held[1][k] += np.bincount(types, minlength=sizes[k])
-                    held[0][k] += np.bincount(types[good], minlength=sizes[k])
-        for k in range(3):
-            some = np.flatnonzero(held[1][k])
-            for part in np.array_split(some, len(some) // 100_000 + 1):
-                columns = [
-                    pa.array(np.full(len(part), k, np.int32)),
-                    pa.array(part.astype(np.int32)),
-                    pa.array(held[0][k][part]),
-                    pa.array(held[1][k][part]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["kind", "type", "n_target", "n_all"])
-
-    partial = map_batches(docs, run, "kind int, type int, n_target long, n_all long")
-    return partial.groupBy("kind", "type").agg(F.sum("n_target").alias("n_target"), F.sum("n_all").alias("n_all"))
+    return (hashes & ~U(1)).view(np.int64), (pairs | U(1)).view(np.int64), ends
 
 
 def previous(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Type of the word before each token."""
-    start = int(START[0] >> U(64 - WORD_BITS))
-    before = np.concatenate(([start], words[:-1]))[: len(words)]
+    start = (START & ~U(1)).view(np.int64)
+    before = np.concatenate((start, words[:-1]))[: len(words)]
     firsts = np.concatenate(([0], ends[:-1]))
     before[firsts[firsts < ends]] = start
     return before
 
 
-class Model:
-    """Dense counts of one corpus."""
+def added(keys: list[np.ndarray], *sums: np.ndarray) -> list[np.ndarray]:
+    """Distinct rows of ``keys``, ordered by the last one, and their sums."""
+    order = np.lexsort(keys)
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    starts = np.flatnonzero(new)
+    return [*[k[starts] for k in keys], *[np.add.reduceat(s[order], starts) if len(starts) else s for s in sums]]
 
-    def __init__(self, table: dict[str, np.ndarray], column: str):
-        self.words, self.pairs, self.befores = (
-            np.zeros(n, np.float32) for n in (1 << WORD_BITS, 1 << PAIR_BITS, 1 << WORD_BITS)
-        )
-        for k, dense in enumerate((self.words, self.pairs, self.befores)):
-            own = table["kind"] == k
-            dense[table["type"][own]] = table[column][own]
-        self.total = float(self.words.sum(dtype=np.float64)) + (1 << WORD_BITS)
 
-    def loss(self, words: np.ndarray, pairs: np.ndarray, before: np.ndarray) -> np.ndarray:
-        alone = (self.words[words].astype(np.float64) + 1) / self.total
-        return -np.log((self.pairs[pairs] + WEIGHT * alone) / (self.befores[before] + WEIGHT))
+def counts(docs: DataFrame) -> DataFrame:
+    """``type``, ``word`` (of a pair, else null) and how often the type and, of words, a token after it stand in
+    the target and in all documents; ``docs`` has ``target``."""
+    names = ["type", "word", "n_target", "n_all", "after_target", "after_all"]
 
+    def rows(held: list[np.ndarray]) -> Batches:
+        for at in range(0, len(held[0]), 100_000):
+            key, word, *sums = (x[at : at + 100_000] for x in held)
+            columns = [pa.array(key), pa.array(word, mask=key & 1 == 0), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-def train(docs: DataFrame, good: DataFrame) -> tuple[Model, Model]:
-    """Target and background; ``good`` holds the ``doc_id`` of the target. What is collected is bounded by the types."""
+    def run(batches: Batches) -> Batches:
+        parts: list[list[np.ndarray]] = []
+        for batch in batches:
+            target = np.array(batch.column(2))
+            for first, texts in chunks(batch):
+                words, pairs, ends = types_of(texts)
+                lengths = np.diff(np.concatenate(([0], ends)))
+                good = np.repeat(target[first : first + len(texts)], lengths).astype(np.int64)
+                one, no = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
+                seen = ((words, no, good, one, no, no), (previous(words, ends), no, no, no, good, one), (pairs, words, good, one, no, no))
+                key, word, *sums = (np.concatenate(x) for x in zip(*seen, strict=True))
+                parts.append(added([key, word], *sums))
+                if sum(len(p[0]) for p in parts) > HELD:
+                    key, word, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    parts = [added([key, word], *sums)]
+                    if len(parts[0][0]) > HELD // 2:
+                        yield from rows(parts.pop())
+        if parts:
+            key, word, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield from rows(added([key, word], *sums))
+
+    partial = map_batches(docs, run, ", ".join(f"{n} long" for n in names))
+    return partial.groupBy("type", "word").agg(*[F.sum(n).alias(n) for n in names[2:]])
+
+
+def train(docs: DataFrame, good: DataFrame) -> tuple[DataFrame, Row]:
+    """The written counts and their totals; ``good`` holds the ``doc_id`` of the target."""
     # Labels grow with the documents, so they are never broadcast: one plan at every size.
     flags = good.select(F.col("doc_id").alias("_good")).distinct().hint("merge")
     flagged = id_and_text(docs).join(flags, F.col("doc_id") == F.col("_good"), "left")
     found = write_through(counts(flagged.select("doc_id", "text", F.col("_good").isNotNull().alias("target"))))
-    table = found.toArrow()
-    arrays = {name: table.column(name).to_numpy() for name in table.column_names}
-    return Model(arrays, "n_target"), Model(arrays, "n_all")
-
-
-def scored(docs: DataFrame, target: Model, background: Model) -> DataFrame:
-    """``doc_id``, ``n_tokens``, mean losses of both models, and ``score``, their difference."""
-    models = docs.sparkSession.sparkContext.broadcast((target, background))
+    start = F.col("type") == int((START & ~U(1)).view(np.int64)[0])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = found.filter("word IS NULL").agg(
+        F.count_if(F.col("n_all") > 0).alias("types"),
+        *[total(F.col(f"n_{m}")).alias(f"n_{m}") for m in ("target", "all")],
+        *[total(F.when(start, F.col(f"after_{m}"))).alias(f"starts_{m}") for m in ("target", "all")],
+    )
+    return found, totals.first()
+
+
+def units(loss: Column) -> Column:
+    return F.round(loss / UNIT).cast("long")
+
+
+def losses(counted: DataFrame, size: dict[str, int]) -> DataFrame:
+    """``type`` and what it adds to the loss of a token, and of the token after it, in both models."""
+    alone = counted.filter("word IS NULL").drop("word")
+    words = alone.select(
+        "type",
+        *[units(-F.log(WEIGHT * (F.col(f"n_{m}") + 1) / size[m])).alias(f"own_{m}") for m in size],
+        *[units(F.log(F.col(f"after_{m}") + WEIGHT)).alias(f"next_{m}") for m in size],
+    )
+    parts = alone.select(F.col("type").alias("_word"), *[(WEIGHT * (F.col(f"n_{m}") + 1) / size[m]).alias(f"_{m}") for m in size])
+    pairs = counted.filter("word IS NOT NULL").join(parts.hint("merge"), F.col("word") == F.col("_word"))
+    seen = pairs.select(
+        "type",
+        *[units(-F.log1p(F.col(f"n_{m}") / F.col(f"_{m}"))).alias(f"own_{m}") for m in size],
+        *[F.lit(0).cast("long").alias(f"next_{m}") for m in size],
+    )
+    return words.unionByName(seen)
+
+
+def distinct_types(docs: DataFrame) -> DataFrame:
+    """``row``, ``doc_id``, ``type``, its number ``own`` and, of words, ``next``, that of tokens after it; START is left out."""
 
     def run(batches: Batches) -> Batches:
-        good, other = models.value
+        start = (START & ~U(1)).view(np.int64)
         for batch in batches:
+            row = np.array(batch.column(2))
             for first, texts in chunks(batch):
                 words, pairs, ends = types_of(texts)
-                before = previous(words, ends)
                 lengths = np.diff(np.concatenate(([0], ends)))
-                means = []
-                for model in (good, other):
-                    sums = np.concatenate(([0.0], np.cumsum(model.loss(words, pairs, before))))
-                    means.append((sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1))
-                columns = [
-                    batch.column(0).slice(first, len(texts)),
-                    pa.array(lengths.astype(np.int64)),
-                    *[pa.array(np.round(m, 6)) for m in (*means, means[1] - means[0])],
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    columns, ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
-                )
-
-    schema = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-    return map_batches(id_and_text(docs), run, schema)
+                doc = np.repeat(np.arange(len(texts)), lengths)
+                one, no = np.ones(len(words), np.int32), np.zeros(len(words), np.int32)
+                before = previous(words, ends)
+                inner = before != start
+                # A text without tokens has a row that counts nothing, of a type of its own.
+                empty = np.flatnonzero(lengths == 0)
+                none = (mixed(row[first + empty].astype(U)) & ~U(1)).view(np.int64)
+                key = np.concatenate((words, before[inner], pairs, none))
+                own = np.concatenate((one, no[inner], one, np.zeros(len(empty), np.int32)))
+                after = np.concatenate((no, one[inner], no, np.zeros(len(empty), np.int32)))
+                key, doc, own, after = added([key, np.concatenate((doc, doc[inner], doc, empty))], own, after)
+                columns = [pa.array(row[first + doc]), batch.column(0).take(pa.array(first + doc)), pa.array(key), *[pa.array(x.astype(np.int32)) for x in (own, after)]]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "type", "own", "next"])
+
+    numbered = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
+    return map_batches(numbered, run, "row long, doc_id long, type long, own int, next int")
+
+
+def scored(docs: DataFrame, counted: DataFrame, totals: Row) -> DataFrame:
+    """``doc_id``, ``n_tokens``, mean losses of both models, and ``score``, their difference."""
+    models = ("target", "all")
+    size = {m: totals[f"n_{m}"] + max(totals["types"], 1 << WORD_BITS) for m in models}
+    met = distinct_types(docs).join(losses(counted, size).hint("merge"), "type", "left")
+    is_word = F.col("type").bitwiseAND(F.lit(1)) == 0
+
+    def part(m: str) -> Column:
+        # Words that no document of the model has; unseen pairs add nothing.
+        own = F.coalesce(f"own_{m}", F.when(is_word, units(F.lit(-log(WEIGHT / size[m])))).otherwise(F.lit(0)))
+        after = F.coalesce(f"next_{m}", units(F.lit(log(WEIGHT))))
+        return F.sum(F.col("own") * own + F.col("next") * after)
+
+    sums = met.groupBy("row", "doc_id").agg(
+        F.sum(F.when(is_word, F.col("own")).otherwise(F.lit(0))).alias("n_tokens"), *[part(m).alias(m) for m in models]
+    )
+    first = {m: log(totals[f"starts_{m}"] + WEIGHT) for m in models}
+    mean = {
+        m: F.when(F.col("n_tokens") > 0, (F.col(m) * UNIT + first[m]) / F.col("n_tokens")).otherwise(F.lit(0.0)) for m in models
+    }
+    return sums.select(
+        "doc_id",
+        "n_tokens",
+        F.round(mean["target"], 6).alias("target_loss"),
+        F.round(mean["all"], 6).alias("background_loss"),
+        F.round(mean["all"] - mean["target"], 6).alias("score"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -75,3 +76,49 @@ def test_empty_tables(spark):
     none = docs.limit(0)
     assert scoring.scored(none, *scoring.train(none, none.select("doc_id"))).count() == 0
     assert scoring.scored(docs, *scoring.train(docs, none.select("doc_id"))).first().n_tokens == 2
+
+
+def by_real_words(texts, good):
+    """The scores from the words and pairs themselves, with nothing hashed."""
+    rows = [re.findall(r"[^ \t\n\x0b\f\r]+", t) for t in texts]
+    types = max(len({w for r in rows for w in r}), 2**scoring.WORD_BITS)
+    models = []
+    for part in ([r for i, r in enumerate(rows) if i in good], rows):
+        words = Counter(w for r in part for w in r)
+        pairs = Counter(p for r in part for p in zip(["", *r], r))
+        befores = Counter(v for r in part for v in ["", *r][: len(r)])
+        models.append((words, pairs, befores, sum(words.values()) + types))
+    out = []
+    for r in rows:
+        means = []
+        for words, pairs, befores, total in models:
+            loss = [
+                -math.log((pairs[v, w] + scoring.WEIGHT * (words[w] + 1) / total) / (befores[v] + scoring.WEIGHT))
+                for v, w in zip(["", *r], r)
+            ]
+            means.append(sum(loss) / max(len(loss), 1))
+        out.append((len(r), *means, means[1] - means[0]))
+    return out
+
+
+def test_many_words_are_counted_by_themselves(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 1500) % 300_000) for _ in range(300)] + [""]
+    texts += [" ".join(f"v{k}x{i}" for i in range(10_000)) for k in range(14)]
+    good = set(range(0, 300, 2))
+    docs = documents(spark, texts).repartition(3)
+    labels = docs.filter("doc_id % 2 = 0 AND doc_id < 300").select("doc_id")
+    got = {r.doc_id: tuple(r)[1:] for r in scoring.scored(docs, *scoring.train(docs, labels)).collect()}
+    assert len({w for t in texts for w in t.split()}) > 2**scoring.WORD_BITS
+    for i, want in enumerate(by_real_words(texts, good)):
+        assert got[i][0] == want[0]
+        assert np.allclose(got[i][1:], want[1:], atol=2e-6), i
+
+
+def test_words_of_no_counted_document(spark):
+    docs = documents(spark, ["a b a", "a c"])
+    seen = docs.filter("doc_id = 0")
+    got = {r.doc_id: r for r in scoring.scored(docs, *scoring.train(seen, seen.select("doc_id"))).collect()}
+    total = 3 + 2**scoring.WORD_BITS
+    loss = -math.log((1 + 50 * 3 / total) / 51) - math.log((50 * 1 / total) / 51)
+    assert abs(got[1].target_loss - loss / 2) < 2e-6 and got[1].score == 0
