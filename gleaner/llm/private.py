@@ -5,8 +5,7 @@ entity. Around every occurrence the terms (runs of letters) of a window are weig
 the information content of the entity, IC = ln(N / n(e)), and the pointwise mutual information of term and
 entity, PMI = ln(N n(e,t) / (n(e) n(t))). n(e) and n(t) count documents of the whole corpus, n(e,t) those
 where the term stands in a window of the entity. PMI / IC is the share of the entity that the term
-discloses: 1 if the term occurs nowhere else. Terms that were seen with the entity in at least
-``SUPPORT`` documents are removed from ``REMOVE`` on, and replaced by a general class from
+discloses: 1 if the term occurs nowhere else. One document is support enough. Terms are removed from ``REMOVE`` on, and replaced by a general class from
 ``GENERALISE`` on. Documents without personal data are left alone.
 
 Everything is built-in functions. Windows are bounded, so an occurrence adds a bounded number of rows;
@@ -28,7 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 
 # Code points on either side of an occurrence.
 WINDOW = 80
-SUPPORT = 2
+SUPPORT = 1
 GENERALISE, REMOVE = 0.6, 0.9
 TERM = r"\p{L}{2,}"
 

@@ -131,3 +131,10 @@ def test_sanitised_text_hides_data_and_telling_terms(spark):
 
 def test_empty_table(spark):
     assert private.all_spans(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_entity_of_one_document(spark):
+    told = "Meet Zorro at zorro@x.example soon"
+    plain = [f"we meet at place {c} soon and soon again" for c in "abcdefghij"]
+    rows = {r.doc_id: r.text for r in private.sanitised(documents(spark, [told, *plain])).collect()}
+    assert rows == {0: "Meet  at [email] soon"}
