@@ -1,15 +1,17 @@
 """Personal data: base patterns, and terms that give protected entities away.
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected
-entity. Around every occurrence the terms (runs of letters) of a window are weighed: corpus counts give
+entity. The terms (runs of letters) of all documents that hold it are weighed: corpus counts give
 the information content of the entity, IC = ln(N / n(e)), and the pointwise mutual information of term and
 entity, PMI = ln(N n(e,t) / (n(e) n(t))). n(e) and n(t) count documents of the whole corpus, n(e,t) those
-where the term stands in a window of the entity. PMI / IC is the share of the entity that the term
-discloses: 1 if the term occurs nowhere else. One document is support enough. Terms are removed from ``REMOVE`` on, and replaced by a general class from
-``GENERALISE`` on. Documents without personal data are left alone.
+that hold both. PMI / IC is the share of the entity that the term discloses: 1 if the term occurs nowhere
+else; common words have a small one by their n(t). In the documents of the entity, terms are removed from
+``REMOVE`` on, and replaced by a general class from ``GENERALISE`` on, wherever they stand. An entity of one
+document counts like any other. Documents without personal data are left alone.
 
-Everything is built-in functions. Windows are bounded, so an occurrence adds a bounded number of rows;
-counts are combined map-side; of the texts only those with personal data are shuffled. Nothing is written.
+Everything is built-in functions. Entities that stand in the same documents are weighed as one, so a document
+has a row per term and class, not per entity; counts are combined map-side; of the texts only those with
+personal data are shuffled. Nothing is written.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows count as documents of their
 own and get equal spans; other columns are left out; an empty table gives an empty result.
@@ -18,6 +20,7 @@ own and get equal spans; other columns are left out; an empty table gives an emp
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, id_and_text
@@ -25,8 +28,8 @@ from gleaner.operators.rowwise import computed
 
 KINDS = ("email", "ip", "card", "phone")
 
-# Code points on either side of an occurrence.
-WINDOW = 80
+# Neither is a cut: the window is the whole document, and one document is support enough.
+WINDOW = 2**31 - 1
 SUPPORT = 1
 GENERALISE, REMOVE = 0.6, 0.9
 TERM = r"\p{L}{2,}"
@@ -100,91 +103,71 @@ def private_rows(base: DataFrame) -> DataFrame:
 
 
 def occurrences(private: DataFrame) -> DataFrame:
-    """``row``, ``times``, ``entity``, ``term``, ``start``, ``end`` of every term in a window of an entity."""
-    each = private.select("row", "times", "text", "spans", F.explode("spans").alias("s"))
-    sides = each.select(
+    """``row``, ``times``, ``term`` and its ``places`` (start, end), for every term outside of personal data."""
+    # Digits in place of personal data keep the places of all else and are no letters.
+    covered = """aggregate(
+        array_sort(transform(spans, s -> named_struct('start', s.start, 'end', s.end))),
+        named_struct('at', 0, 'out', ''),
+        (a, s) -> CASE WHEN s.end <= a.at THEN a ELSE named_struct('at', s.end, 'out', concat(a.out,
+            substring(text, a.at + 1, greatest(s.start - a.at, 0)), repeat('0', s.end - greatest(s.start, a.at)))) END,
+        a -> concat(a.out, substring(text, a.at + 1, length(text))))"""
+    plain = computed(private, ["row", "times"], {"plain": F.expr(covered)})
+    term = _literal(TERM)
+    pieces = plain.select(
         "row",
         "times",
-        "spans",
-        F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"),
-        F.greatest(F.col("s.start") - WINDOW, F.lit(0)).alias("from"),
-        F.col("s.start").alias("start"),
-        F.col("s.end").alias("end"),
-        "text",
-    ).select(
-        "row",
-        "times",
-        "spans",
-        "entity",
-        F.expr("substring(text, from + 1, start - from)").alias("left"),
-        F.expr(f"substring(text, end + 1, {WINDOW})").alias("right"),
-        "from",
-        "end",
-        F.expr(f"length(text) > end + {WINDOW}").alias("cut"),
+        F.expr(f"posexplode(zip_with(regexp_extract_all(plain, {term}, 0), split(plain, {term}), (m, p) -> struct(m, p)))").alias("i", "t"),
     )
-    # A word at a cut edge may be a part of one: it is left out.
-    trimmed = sides.select(
-        "row",
-        "times",
-        "spans",
-        "entity",
-        F.when(F.col("from") > 0, F.regexp_replace("left", r"^\p{L}+", "")).otherwise(F.col("left")).alias("inner"),
-        "left",
-        "from",
-        "end",
-        F.when(F.col("cut"), F.regexp_replace("right", r"\p{L}+$", "")).otherwise(F.col("right")).alias("right"),
+    # The text between the terms tells where each begins; long texts take no more than a running sum.
+    upto = W.partitionBy("row").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    ends = pieces.withColumn("end", F.sum(F.expr("length(t.p) + coalesce(length(t.m), 0)")).over(upto).cast("int"))
+    each = ends.filter("t.m IS NOT NULL").select(
+        "row", "times", F.lower("t.m").alias("term"), F.expr("struct(end - length(t.m) AS start, end)").alias("place")
     )
-    shift = "from + length(left) - length(inner)"
-    moved = "transform({spans}, t -> named_struct('term', lower(t.value), 'start', t.start + {by}, 'end', t.end + {by}))"
-    terms = F.expr(
-        f"""concat({moved.format(spans=matches('inner', TERM, _literal('term')), by=f'({shift})')},
-            {moved.format(spans=matches('right', TERM, _literal('term')), by='end')})"""
-    )
-    free = trimmed.withColumn("terms", terms).select(
-        "row",
-        "times",
-        "entity",
-        F.explode(F.expr("filter(terms, t -> NOT exists(spans, s -> s.start < t.end AND t.start < s.end))")).alias("t"),
-    )
-    return free.select("row", "times", "entity", "t.term", "t.start", "t.end")
+    return each.groupBy("row", "times", "term").agg(F.collect_list("place").alias("places"))
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """``term`` and the number of documents that hold it, over the whole corpus."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
     return id_and_text(docs).select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
-def disclosure(docs: DataFrame, private: DataFrame, met: DataFrame) -> DataFrame:
-    """``entity``, ``term`` and the ``share`` of the entity that the term discloses."""
-    total = docs.agg(F.count("*")).scalar().cast("double")
-    entities = (
+def classes(private: DataFrame) -> DataFrame:
+    """``row``, ``class`` and ``n_entity``: entities that stand in the same rows are one class, weighed once."""
+    each = (
         private.select("row", "times", F.explode("spans").alias("s"))
         .select("row", "times", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"))
         .distinct()
-        .groupBy("entity")
-        .agg(F.sum("times").alias("n_entity"))
     )
-    pairs = (
-        met.select("row", "times", "entity", "term").distinct()
-        .groupBy("entity", "term").agg(F.sum("times").alias("n_both"))
-        .filter(F.col("n_both") >= SUPPORT)
-    )
-    known = pairs.join(entities, "entity").join(document_counts(docs), "term")
+    same = F.struct(
+        F.count("*").alias("rows"), *[F.bit_xor(F.xxhash64(F.lit(k), F.col("row"))).alias(f"of{k}") for k in (1, 2)]
+    )
+    entities = each.groupBy("entity").agg(same.alias("class"), F.sum("times").alias("n_entity"))
+    return each.select("row", "entity").join(entities, "entity").select("row", "class", "n_entity").distinct()
+
+
+def disclosure(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """``class``, ``term`` and the ``share`` of the entities that the term discloses."""
+    total = docs.agg(F.count("*")).scalar().cast("double")
+    pairs = met.groupBy("class", "term", "n_entity").agg(F.sum("times").alias("n_both"))
+    # A run of letters that elsewhere stands only beside personal data is in no count.
+    known = pairs.join(document_counts(docs), "term", "left").withColumn("n_term", F.greatest("n_term", "n_both"))
     content = F.log(total / F.col("n_entity"))
     shared = F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    return known.select("entity", "term", F.when(content > 0, shared / content).otherwise(F.lit(0.0)).alias("share"))
+    return known.select("class", "term", F.when(content > 0, shared / content).otherwise(F.lit(0.0)).alias("share"))
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, the base ``spans`` and the ``terms`` (start, end, action)."""
     base = with_base(docs)
     private = private_rows(base)
-    met = occurrences(private)
-    shares = disclosure(docs, private, met).filter(F.col("share") >= GENERALISE)
+    met = occurrences(private).join(classes(private), "row")
+    shares = disclosure(docs, met).filter(F.col("share") >= GENERALISE)
     action = F.when(F.max("share") >= REMOVE, "remove").otherwise("generalise")
-    found = met.join(shares, ["entity", "term"]).groupBy("row", "start", "end").agg(action.alias("action"))
-    terms = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    found = met.join(shares, ["class", "term"]).groupBy("row", "term").agg(action.alias("action"), F.first("places").alias("places"))
+    placed = F.expr("flatten(collect_list(transform(places, p -> struct(p.start, p.end, action))))")
+    terms = found.groupBy("row").agg(F.sort_array(placed).alias("terms"))
     none = F.expr("CAST(array() AS array<struct<start: int, end: int, action: string>>)")
     return base.join(terms, "row", "left").select("doc_id", "text", "spans", F.coalesce("terms", none).alias("terms"))
 

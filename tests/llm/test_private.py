@@ -138,3 +138,11 @@ def test_entity_of_one_document(spark):
     plain = [f"we meet at place {c} soon and soon again" for c in "abcdefghij"]
     rows = {r.doc_id: r.text for r in private.sanitised(documents(spark, [told, *plain])).collect()}
     assert rows == {0: "Meet  at [email] soon"}
+
+
+def test_terms_far_from_the_entity(spark):
+    far = "we meet at place soon and " * 10
+    told = f"Zorro {far}a@x.example, b@x.example {far}ask Zorro"
+    plain = [f"{far}ask {c}" for c in "abcdefghij"]
+    rows = {r.doc_id: r.text for r in private.sanitised(documents(spark, [told, told, *plain])).collect()}
+    assert set(rows) == {0, 1} and rows[0] == f" {far}[email], [email] {far}ask "
