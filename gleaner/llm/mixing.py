@@ -5,8 +5,10 @@ from slot floor(i / w) on (its release time) and must be placed before slot ceil
 deadline). Of the released blocks the one of earliest deadline takes the next slot. The number of blocks
 that a source has got then differs from its weight times the slots by less than one, at any time.
 
-Weights are shares of a period of ``PERIOD`` slots, so the schedule repeats with the period: one period is
-laid out on the driver (its size is a parameter), and the slot of any block follows from its number. When
+Weights are taken as they are, as ratios of whole numbers. The slot of a block follows from all slots
+before, so one task on a worker lays them out, with a block of each source in memory, and gives on a row per
+block, which meets its documents in a shuffled join. Only where a ``period`` is asked for, weights are rounded to
+whole shares of it, one period is laid out on the driver, and the schedule repeats. When
 a source is used up, the others go on with their weights in proportion; there are at most as many such
 phases as sources. Every document is placed.
 
@@ -20,22 +22,31 @@ share; repeated rows get places of their own; an empty table gives an empty resu
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from fractions import Fraction
+from itertools import islice
+from math import gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents
+from gleaner.llm.common import Batches, documents, map_batches
 
 BLOCK = 16
-PERIOD = 1000
+PERIOD = None
 SEED = 17
 PLAN = "_source string, _first long, _last long, _base long, _share long, _whole long, _places array<int>"
 
 
-def shares(weights: list[float], period: int) -> list[int]:
-    """Whole shares of the period, at least 1 each, by largest remainder."""
+def shares(weights: list[float], period: int | None = PERIOD) -> list[int]:
+    """Whole numbers in the ratio of the weights; with a period, its shares, at least 1 each, by largest remainder."""
+    if period is None:
+        exact = [Fraction(w) for w in weights]
+        scale = lcm(*(x.denominator for x in exact))
+        whole = [int(x * scale) for x in exact]
+        return [x // gcd(*whole) for x in whole]
     period = max(period, len(weights))
     free = period - len(weights)
     exact = [w / sum(weights) * free for w in weights]
@@ -64,7 +75,47 @@ def one_period(own: list[int]) -> list[list[int]]:
     return slots
 
 
-def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[tuple]:
+def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int]]:
+    """Source and block of every slot, earliest deadline first, by the weights themselves."""
+    used = [0] * len(blocks)
+    while active := [k for k in range(len(blocks)) if used[k] < blocks[k]]:
+        own = dict(zip(active, shares([weights[k] for k in active]), strict=True))
+        whole, slot, begin = sum(own.values()), 0, list(used)
+        waiting = [(0, -(-whole // own[k]), k) for k in active]  # release, deadline, source
+        ready: list[tuple[int, int]] = []
+        heapq.heapify(waiting)
+        while True:
+            while waiting and waiting[0][0] <= slot:
+                _, deadline, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (deadline, k))
+            _, k = heapq.heappop(ready)
+            yield k, used[k]
+            used[k] += 1
+            slot += 1
+            if used[k] == blocks[k]:
+                break
+            i = used[k] - begin[k]
+            heapq.heappush(waiting, (i * whole // own[k], -(-(i + 1) * whole // own[k]), k))
+
+
+def scheduled(spark: SparkSession, names: list[str | None], blocks: list[int], weights: list[float]) -> DataFrame:
+    """``_source``, ``_at`` (the block) and its ``slot``."""
+
+    def run(batches: Batches) -> Batches:
+        for _ in batches:
+            order, base = schedule(blocks, weights), 0
+            while some := list(islice(order, 50_000)):
+                columns = [pa.array([x[i] for x in some], pa.int64()) for i in (0, 1)]
+                slots = pa.array(range(base, base + len(some)), pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, slots], ["_k", "_at", "slot"])
+                base += len(some)
+
+    laid = map_batches(spark.range(1, numPartitions=1), run, "_k long, _at long, slot long")
+    known = spark.createDataFrame(list(enumerate(names)), "_of long, _source string")
+    return laid.join(F.broadcast(known), F.col("_k") == F.col("_of")).select("_source", "_at", "slot")
+
+
+def phases(blocks: list[int], weights: list[float], period: int) -> list[tuple]:
     """For each source in each phase: source, first block, the one after the last, first slot, share, period, slots."""
     used, base, out = [0] * len(blocks), 0, []
     while any(u < b for u, b in zip(used, blocks, strict=True)):
@@ -116,7 +167,7 @@ def mixed(
     docs: DataFrame,
     target: Callable[[dict], dict] | dict[str | None, float] = flattened,
     block: int = BLOCK,
-    period: int = PERIOD,
+    period: int | None = PERIOD,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """``doc_id``, ``source``, ``block``, ``slot`` and ``place`` within the block; ``keep``: more columns.
@@ -137,14 +188,17 @@ def mixed(
     per_doc = sum(given[s] for s in names if s in given) / known or 1
     weights = [max(given.get(s, per_doc * sizes[s]), 1e-9) for s in names]
     blocks = [-(-sizes[s] // block) for s in names]
-    plan = [(names[k], *rest) for k, *rest in phases(blocks, weights, period)]
-    schedule = docs.sparkSession.createDataFrame(plan, PLAN)
-
     ordered = numbered(rows, "source", ["_hash", "doc_id", *keep]).withColumns(
         {"_block": F.floor(F.col("_number") / block), "place": (F.col("_number") % block).cast("long")}
     )
+    if period is None:
+        slots = scheduled(docs.sparkSession, names, blocks, weights).hint("merge")
+        met = ordered.join(slots, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") == F.col("_at")))
+        return met.select("doc_id", "source", F.col("_block").alias("block"), "slot", "place", *keep)
+
+    plan = [(names[k], *rest) for k, *rest in phases(blocks, weights, period)]
     met = ordered.join(
-        schedule,
+        docs.sparkSession.createDataFrame(plan, PLAN),
         F.col("source").eqNullSafe(F.col("_source")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_last")),
     )
     turn = F.col("_block") - F.col("_first")

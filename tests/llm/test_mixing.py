@@ -101,3 +101,31 @@ def test_null_ids_and_sources_without_weight(spark):
     docs = documents(spark, ["x"] * 6, ["a", "a", "b", None, None, "a"], ids=[None, None, 1, 1, 2, 3])
     got = mixing.mixed(docs, {"a": 1.0}, block=2, period=5).collect()
     assert len(got) == 6 and sorted(r.slot for r in got) == [0, 0, 1, 1, 2, 3] or len({(r.slot, r.place) for r in got}) == 6
+
+
+def test_deviation_from_the_target_itself_stays_below_one_block():
+    targets = (
+        [0.5] + [0.5 / 20] * 20,
+        [0.5] + [0.5 / 599] * 599,
+        [0.5] + [0.5 / 1499] * 1499,
+        [(1 / 3) ** 0.5] + [(2 / 57) ** 0.5] * 19,
+    )
+    for weights in targets:
+        total = sum(map(Fraction, weights))
+        scaled = [int(Fraction(w) / total * 10**40) for w in weights]
+        got, steps = [0] * len(weights), 100_000 // len(weights) + 2000
+        for t, (k, block) in enumerate(mixing.schedule([10**9] * len(weights), weights), 1):
+            assert block == got[k]
+            got[k] += 1
+            assert max(abs(g * 10**40 - w * t) for g, w in zip(got, scaled, strict=True)) < 10**40
+            if t == steps:
+                break
+
+
+def test_many_sources_do_not_lower_a_weight(spark):
+    sources = ["hot"] * 600 + [f"s{i // 2}" for i in range(600)]
+    weights = {"hot": 0.5} | {f"s{i}": 0.5 / 300 for i in range(300)}
+    got = mixing.mixed(documents(spark, ["x"] * 1200, sources), weights, block=1).collect()
+    assert sorted(r.slot for r in got) == list(range(1200))
+    for t in (100, 250, 500):
+        assert abs(sum(r.source == "hot" and r.slot < t for r in got) - t / 2) < 1
