@@ -13,11 +13,13 @@ reads single tokens by their global place.
 
 Defined cases: a null text counts as empty and holds only the end id; documents of one ``doc_id`` stand
 in the order of their texts; null ids come first; other columns are left out; an empty table gives empty
-files. A document of more than ``SEGMENT`` tokens is a segment of its own.
+files. A document of more than ``SEGMENT`` tokens is a segment of its own. Where a special token of the vocabulary
+stands literally in a text (``<|endoftext|>``), it gets its own id, as in the library; in other letter case it is text.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -121,6 +123,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        added = self.library.get_added_tokens_decoder()
+        # Special tokens are cut out of the raw text, before anything else; what lies between them holds none.
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("only plain special tokens are known")
+        self.special = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items()}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")").split if longest else lambda text: [text]
         self.library.encode_special_tokens = True
         self.model = self.library.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -142,6 +151,12 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        parts = self.cut(text)
+        if len(parts) == 1:
+            return self._part(text)
+        return b"".join([self.special[p] if k % 2 else self._part(p) for k, p in enumerate(parts)])
+
+    def _part(self, text: bytes) -> bytes:
         return b"".join(map(self.of_word.__getitem__, text.lower().split()))
 
 

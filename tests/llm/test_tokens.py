@@ -6,6 +6,7 @@ import pytest
 from fixtures import AWKWARD, documents, saved
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gleaner.llm import tokens
@@ -16,14 +17,30 @@ ENCODER = tokens.encoder(PATH)
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'saeÖßς Σéx1́.,!|:“<|>\x0b\x1c"), st.characters(codec="utf-8")), max_size=40))
 def test_any_text_equals_the_library(library, text):
+    check(library, text)
+
+
+PIECES = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<", "a", "'", "s", " ", "É", "́", "\n", "<|start", "oftext|>"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=12).map("".join))
+def test_special_tokens_equal_the_library(library, text):
+    check(library, text)
+
+
+def test_special_tokens_have_their_ids():
+    got = np.frombuffer(ENCODER.encode(b"a<|endoftext|> <|startoftext|>"), "<u4").tolist()
+    assert got[1:] == [49407, 49406] and len(got) == 3
+
+
+def check(library, text):
     got = np.frombuffer(ENCODER.encode(text.encode()), "<u4").tolist()
     assert got == library.encode(text, add_special_tokens=False).ids
 
@@ -74,6 +91,12 @@ def test_small_segments_repeated_ids_and_single_tokens(spark, library, tmp_path)
     assert found == {p: flat[p] for p in places if p < len(flat)}
 
 
+def test_clashing_columns(spark, tmp_path):
+    docs = documents(spark, TEXTS[:12]).withColumns({c: F.lit("mine") for c in ("part", "place", "first", "ids", "start", "n_tokens", "levels")})
+    plain = tokens.query(spark, saved(spark, tmp_path / "a", documents(spark, TEXTS[:12])))
+    assert sorted(map(tuple, tokens.query(spark, saved(spark, tmp_path / "b", docs)).collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_empty_table(spark, tmp_path):
     tokens.write_tokens(documents(spark, ["x"]).limit(0), str(tmp_path), PATH, END)
     assert tokens.read_documents(spark, str(tmp_path)).count() == 0
