@@ -13,11 +13,14 @@ once. At a similarity of 0.8 two documents share no bucket with a probability of
 The pairs of a bucket are not written out. Its smallest set is the pivot and meets all others; links are
 confirmed on the full sets, and components are formed. Buckets of one pivot make a group. Only groups whose
 members still lie in several components go on. Those of at most ``GROUP`` members are settled in one task,
-by counting shared elements, which gives only the links that join components. For larger ones this holds:
-if x and y are linked and n(p) <= n(x), n(y), and they share nothing outside of the pivot p, then both are
-linked to p, so they need no test. So the larger groups fall into new buckets, one per element outside of
-the pivot, and these are treated alike. A group loses its pivot each time, so this ends, and no link that
-could join two components is lost, however many documents a group holds.
+by counting shared elements, which gives only the links that join components.
+
+Members of larger groups go through an exact prefix filter, once: elements are ordered by rarity, and of two
+linked sets the first n - ceil(0.8 n) + 1 elements share one. So sets that merely have a template in common fall
+apart, and what still hangs together by such elements, over several components, is a cluster. Clusters of at most
+``GROUP`` members are settled like groups; larger ones are cut into tiles, and each two tiles are settled in one
+task, except two tiles of one component. No link that could join two components is lost, however many documents
+a group holds; rows are written once per member, element and, in large clusters alone, partner tile.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; rows that repeat a
 ``doc_id`` are one document, linked if any of their texts is; a null ``doc_id`` is linked with nothing,
@@ -219,7 +222,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def in_company(members: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one."""
-    size = F.count("*").over(W.partitionBy("parent", "bucket"))
+    size = F.count("*").over(W.partitionBy("bucket"))
     return members.withColumn("size", size).filter("size > 1").drop("size")
 
 
@@ -295,6 +298,74 @@ def settled(groups: DataFrame, percent: int) -> DataFrame:
     return map_batches(rows, run, "a long, b long")
 
 
+def unsettled(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``group``, ``class``, ``n``, ``component`` of groups that lie in several components, with their ``members`` and ``size``."""
+    placed = members.join(grouped.withColumnRenamed("node", "class"), "class", "left").withColumn(
+        "component", F.coalesce("component", "class")
+    )
+    sizes = placed.groupBy("group").agg(
+        F.count("*").alias("members"), F.sum("n").alias("size"),
+        F.min("component").alias("x"), F.max("component").alias("y"),
+    )
+    return placed.join(sizes.filter("x < y").select("group", "members", "size"), "group")
+
+
+def clustered(pool: DataFrame, of_class: DataFrame, percent: int) -> DataFrame:
+    """``cluster``, ``class``, ``n``, ``component``: what shares a rare element over several components hangs together.
+
+    An element that no other member has comes first in the order of rarity, so only their number is needed.
+    """
+    rows = pool.join(of_class, "class").select("class", "n", "component", F.explode("elements").alias("element"))
+    often = rows.groupBy("element").agg(F.count("*").alias("often")).filter("often > 1")
+    shared = rows.join(often, "element").groupBy("class", "n", "component").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("e"))
+    own = F.expr(f"n - ceil({percent} * n / 100) + 1 - (n - size(e))").cast("int")
+    first = write_through(
+        shared.select("class", "component", F.explode(F.slice("e", F.lit(1), F.greatest(own, F.lit(0)))).alias("e")).select(
+            "class", "component", "e.element"
+        )
+    )
+    hubs = first.groupBy("element").agg(F.min("class").alias("hub"), F.min("component").alias("x"), F.max("component").alias("y"))
+    edges = first.join(hubs.filter("x < y"), "element").select(F.col("class").alias("a"), F.col("hub").alias("b"))
+    found = components(edges).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    return pool.join(found, "class").select("cluster", "class", "n", "component")
+
+
+def dealt(clusters: DataFrame, group: int) -> DataFrame:
+    """``group``, ``class``, ``component``: clusters that one task can settle, of others every two tiles.
+
+    A component that fills a tile has tiles of its own, which never meet each other; small ones share tiles.
+    """
+    by_part = clusters.groupBy("cluster", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    tiles = lambda c, s: F.greatest(F.ceil(F.col(c) / max(group // 2, 1)), F.ceil(F.col(s) / (ELEMENTS // 2)))
+    big = (F.col("c") > max(group // 2, 1)) | (F.col("s") > ELEMENTS // 2)
+    small = lambda x: F.sum(F.when(F.col("big"), 0).otherwise(F.col(x)))
+    whole = (
+        by_part.withColumn("big", big)
+        .groupBy("cluster")
+        .agg(
+            F.sum("c").alias("members"), F.sum("s").alias("size"), small("c").alias("c"), small("s").alias("s"),
+            F.min("component").alias("x"), F.max("component").alias("y"),
+        )
+        .filter("x < y")
+        .select("cluster", ((F.col("members") <= group) & (F.col("size") <= ELEMENTS)).alias("few"), tiles("c", "s").alias("n_small"))
+    )
+    parts = by_part.withColumn("big", big).withColumn("n_big", tiles("c", "s")).join(whole, "cluster")
+    place = F.when(F.col("few"), 0).when(F.col("big"), F.pmod(F.xxhash64("class"), "n_big")).otherwise(F.pmod(F.xxhash64("component"), "n_small"))
+    own = F.struct(
+        (F.col("big") & ~F.col("few")).alias("big"),
+        F.when(F.col("big") & ~F.col("few"), F.col("component")).otherwise(0).alias("of"),
+        place.cast("long").alias("place"),
+    )
+    rows = clusters.join(parts.select("cluster", "component", "big", "few", "n_big", "n_small"), ["cluster", "component"])
+    tiled = write_through(rows.select("cluster", "class", "component", own.alias("tile")))
+    each = tiled.select("cluster", "tile").distinct()
+    partners = each.join(each.groupBy("cluster").agg(F.collect_set("tile").alias("tiles")), "cluster")
+    met = F.expr("filter(tiles, t -> NOT (t.big AND tile.big AND t.of = tile.of))")
+    pairs = partners.select("cluster", "tile", F.explode(met).alias("other"))
+    key = F.xxhash64("cluster", F.array_sort(F.array("tile", "other")))
+    return tiled.join(pairs, ["cluster", "tile"]).select(key.alias("group"), "class", "component")
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept``, one row for each row of ``docs``."""
     sketched = write_through(sketches(docs, width))
@@ -302,46 +373,35 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = PERCENT, group:
     classes = known.groupBy("digest").agg(
         F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
-    members = classes.select(F.lit(0).cast("long").alias("parent"), F.explode("bands").alias("bucket"), "class", "n")
-    buckets = write_through(in_company(members))
+    buckets = write_through(in_company(classes.select(F.explode("bands").alias("bucket"), "class", "n")))
     asked = buckets.select(F.col("class").alias("doc_id")).distinct()
     sets = write_through(full_sets(docs.join(asked, "doc_id", "left_semi"), width))
 
-    grouped = buckets.select(F.col("class").alias("node"), F.col("class").alias("component")).limit(0)
-    while not buckets.isEmpty():
-        pivots = buckets.groupBy("parent", "bucket").agg(F.min(F.struct("n", "class")).alias("p"))
-        stars = (
-            buckets.join(pivots, ["parent", "bucket"])
-            .filter(F.col("class") != F.col("p.class"))
-            .select(F.xxhash64("parent", "p.class").alias("group"), F.col("p.class").alias("pivot"), "class", "n", "p.n")
-            .toDF("group", "pivot", "class", "n", "n_pivot")
-            .distinct()
-        )
-        stars = write_through(stars)
-        near = stars.filter(f"{percent} * n <= 100 * n_pivot")
-        found = write_through(confirmed(near.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), sets, percent))
-        grouped = with_links(grouped, found)
-        placed = stars.join(grouped.withColumnRenamed("node", "class"), "class", "left").withColumn(
-            "component", F.coalesce("component", "class")
-        )
-        sizes = placed.groupBy("group").agg(
-            F.count("*").alias("members"), F.sum("n").alias("size"),
-            F.min("component").alias("x"), F.max("component").alias("y"),
-        )
-        unsettled = write_through(placed.join(sizes.filter("x < y").select("group", "members", "size"), "group"))
-        few = (F.col("members") <= group) & (F.col("size") <= ELEMENTS)
-        of_class = sets.select(F.col("doc_id").alias("class"), "elements")
-        found = write_through(settled(unsettled.filter(few).join(of_class, "class"), percent))
+    pivots = buckets.groupBy("bucket").agg(F.min(F.struct("n", "class")).alias("p"))
+    stars = (
+        buckets.join(pivots, "bucket")
+        .filter(F.col("class") != F.col("p.class"))
+        .select(F.col("p.class").alias("pivot"), "class", "n", F.col("p.n").alias("n_pivot"))
+        .distinct()
+    )
+    stars = write_through(stars)
+    near = stars.filter(f"{percent} * n <= 100 * n_pivot")
+    found = write_through(confirmed(near.select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct(), sets, percent))
+    none = buckets.select(F.col("class").alias("node"), F.col("class").alias("component")).limit(0)
+    grouped = with_links(none, found)
+    # The pivot itself is linked with all that it can be linked with.
+    members = stars.select(F.col("pivot").alias("group"), "class", "n")
+    open_groups = write_through(unsettled(members, grouped))
+    few = (F.col("members") <= group) & (F.col("size") <= ELEMENTS)
+    of_class = sets.select(F.col("doc_id").alias("class"), "elements")
+    found = write_through(settled(open_groups.filter(few).join(of_class, "class"), percent))
+    grouped = with_links(grouped, found)
+    many = open_groups.filter(~few).select("group", "class", "n")
+    if not many.isEmpty():
+        pool = unsettled(many, grouped).select("class", "n", "component").distinct()
+        clusters = write_through(clustered(write_through(pool), of_class, percent))
+        found = write_through(settled(dealt(clusters, group).join(of_class, "class"), percent))
         grouped = with_links(grouped, found)
-        of_pivot = sets.select(F.col("doc_id").alias("pivot"), F.col("elements").alias("of_pivot"))
-        outside = F.explode(F.array_except("elements", "of_pivot"))
-        parts = (
-            unsettled.filter(~few)
-            .join(of_class, "class")
-            .join(of_pivot, "pivot")
-            .select(F.col("group").alias("parent"), outside.alias("bucket"), "class", "n")
-        )
-        buckets = write_through(in_company(parts))
 
     of_class = known.groupBy("digest").agg(F.min("doc_id").alias("class"))
     of_doc = sketched.join(of_class, "digest", "left").join(grouped.withColumnRenamed("node", "class"), "class", "left")

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 from fixtures import AWKWARD, documents, saved
+from pyspark.sql import functions as F
 
 from gleaner.llm import minhash
 from gleaner.llm.components import components
@@ -158,3 +159,52 @@ def test_components_of_chains_and_hubs(spark):
     links = list(zip(chain, chain[1:])) + [(100 + i, 99) for i in range(50)] + [(300, 301), (301, 302), (302, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(chain, 0), **dict.fromkeys(range(99, 150), 99), **dict.fromkeys((300, 301, 302), 300)}
+
+
+def similar(n, edits, seed=3):
+    """Documents of about 97 shingles; with two edited words each any two are at 0.72, with one at 0.85."""
+    rng = random.Random(seed)
+    template = [f"t{i}" for i in range(100)]
+    return [" ".join(varied(rng, template, edits)) for _ in range(n)]
+
+
+def test_large_groups_without_links_do_not_explode(spark, monkeypatch):
+    """Written rows at most quadruple with twice the documents."""
+    written = []
+    plain = minhash.write_through
+
+    def counting(df, *a):
+        table = plain(df, *a)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(minhash, "write_through", counting)
+    sums = []
+    for n in (48, 96):
+        texts = similar(n, 2)
+        written.clear()
+        got = {r.doc_id: r.component_id for r in minhash.near_groups(documents(spark, texts), 4, 80, group=4).collect()}
+        assert got == {k: c for k, (_, c) in brute_groups(texts, list(range(n)), 4, 80).items()}
+        sums.append(sum(written))
+    assert sums[1] <= 4 * sums[0]
+
+
+@pytest.mark.parametrize("group", [4, 16])
+def test_large_groups_of_copies_chains_and_strangers(spark, group):
+    rng = random.Random(11)
+    texts = similar(20, 1) + similar(20, 2, 4) + similar(10, 3, 5)
+    for k in range(3):  # chains, where only neighbours are linked
+        words = [f"c{k}x{i}" for i in range(90)]
+        for _ in range(12):
+            words = varied(rng, words, 2)
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    ids = list(range(len(texts)))
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(documents(spark, texts, ids=ids), 4, 80, group).collect()}
+    assert got == {k: c for k, (_, c) in brute_groups(texts, ids, 4, 80).items()}
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark, corpus()[:30])
+    more = docs.withColumns({c: F.lit("mine") for c in ("class", "n", "digest", "bands", "component", "group", "elements")})
+    assert sorted(map(tuple, minhash.near_groups(more).collect())) == sorted(map(tuple, minhash.near_groups(docs).collect()))
