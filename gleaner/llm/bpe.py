@@ -6,8 +6,9 @@ find-first-set on each level gives the next one. Merges relink neighbours of a l
 list; entries of pairs that no longer exist stay in their buckets and are skipped when they come up.
 A pre-token of n bytes costs O(n log n), so one of a million bytes is no problem.
 
-Texts are cut into the matches of the pattern, and each distinct match is merged once per worker: the
-ids are kept in bounded memos. Nothing is shuffled.
+A run of texts is cut at blanks into units, of which each distinct one is looked up once: its ids are in a bounded
+memo of the worker, or its matches of the pattern are merged. The ids of the texts are gathered from those of the
+units, and bytes from the pieces of the ids. Nothing is shuffled.
 
 Defined cases: a null text counts as empty and has no ids; repeated rows are encoded each on their own;
 other columns are left out; an empty table gives an empty result.
@@ -16,11 +17,13 @@ other columns are left out; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -28,16 +31,20 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import Batches, Memo, documents, map_batches, whole_text
 
-# Entries of a worker's memo of words; about 200 bytes each.
-MEMO = 500_000
+# Entries of a worker's memo of units and of matches, and the longest unit that is kept: 60 MB at most.
+MEMO = 400_000
+MEMO_BYTES = 40
 
 # Bits in a word of the bitmaps.
 WORD = 256
 
-# Bytes of text after which a batch is handed on.
-BATCH_BYTES = 16 << 20
+# Bytes of text that are encoded at once.
+CHUNK = 4 << 20
 
-DOUBLE_SPACE = regex.compile(r"\s\s")
+# Blanks of one byte, and what begins other white space. Texts with the latter are not cut.
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+OTHER_BLANK = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 def rank_queue(n_ranks: int) -> tuple[Callable[[int, int], None], Callable[[], tuple[int, int] | None]]:
@@ -93,17 +100,19 @@ class Codec:
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
-        # Ids by match, by word after a space, and by word at the start of a line.
-        self.of_match = Memo(lambda m: array("I", self.merged(m.encode())).tobytes(), MEMO // 8)
-        self.of_word = Memo(lambda w: self._of_piece(" " + w), MEMO)
-        self.of_head = Memo(self._of_piece, MEMO // 8)
-
-    def _of_piece(self, piece: str) -> bytes:
-        found = self.matches(piece)
+        lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.piece_ends = np.cumsum(lengths)
+        self.piece_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
+        self.of_match = Memo(lambda m: array("I", self.merged(m.encode())).tobytes(), MEMO // 4)
+        self.of_unit = Memo(self.of_text, MEMO)
+
+    def of_text(self, text: bytes) -> bytes:
+        """Ids of all matches, the short ones by the memo."""
+        found = self.matches(text.decode())
         if len(found) == 1:
-            return array("I", self.merged(piece.encode())).tobytes()
-        words, others = self.of_word, self.of_match
-        return b"".join([words[m[1:]] if len(m) > 1 and m[0] == " " else others[m] for m in found])
+            return array("I", self.merged(text)).tobytes()
+        of_match, limit = self.of_match, MEMO_BYTES
+        return b"".join([of_match[m] if len(m) <= limit else array("I", self.merged(m.encode())).tobytes() for m in found])
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -150,27 +159,87 @@ class Codec:
             i = end
         return out
 
+    def encode_all(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts that lie in ``data`` one after another, and where those of each text end."""
+        cut = units(data, ends)
+        if not len(cut):
+            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
+        offsets = pa.py_buffer(np.append(cut, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(cut), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        of_unit, limit = self.of_unit, MEMO_BYTES
+        rows = [of_unit[u] if len(u) <= limit else self.of_text(u) for u in coded.dictionary.to_pylist()]
+        ids = np.frombuffer(b"".join(rows), np.uint32)
+        lengths = np.array([len(r) for r in rows], np.int64) // 4
+        unit = coded.indices.to_numpy()
+        after = np.concatenate(([0], np.cumsum(lengths[unit])))
+        return gathered(ids, np.cumsum(lengths), lengths, unit), after[np.searchsorted(cut, ends)]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids of texts that end at ``ends``, and where those of each text end."""
+        lengths = np.diff(self.piece_ends, prepend=0)
+        after = np.concatenate(([0], np.cumsum(lengths[ids])))
+        return gathered(self.piece_bytes, self.piece_ends, lengths, ids), after[ends]
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers.
-
-        Without two blanks in a row every single blank ends a match: a space opens the next match, a
-        line end is a match of its own. Such texts are cut there, which is faster than the pattern.
-        """
-        if DOUBLE_SPACE.search(text):
-            return self._of_piece(text)
-        out: list[bytes] = []
-        words = self.of_word.__getitem__
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.of_match["\n"])
-            head, *rest = line.split(" ")
-            if head:
-                out.append(self.of_head[head])
-            out.extend(map(words, rest))
-        return b"".join(out)
+        """Ids as little-endian unsigned 32-bit integers."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_all(data, np.array([len(data)]))[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, array("I", ids)))
+        own = np.frombuffer(ids, "<u4")
+        return self.decode_all(own, np.array([len(own)]))[0].tobytes()
+
+
+def units(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where units begin: at texts, at single spaces, and at and after single line ends.
+
+    A single blank, with none on either side, always opens a match: no match holds white space after other
+    characters, and only runs of blanks are divided by what follows them.
+    """
+    begins = np.concatenate(([0], ends[:-1]))
+    begins, last = begins[begins < ends], ends[begins < ends] - 1
+    blank = BLANK[data]
+    single = (data == 32) | (data == 10)
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = blank[:-1], blank[1:]
+    before[begins], after[last] = False, False
+    single &= ~before & ~after
+    mark = single.copy()
+    mark[1:] |= single[:-1] & (data[:-1] == 10)
+    whole = data.tobytes()
+    if OTHER_BLANK.search(whole):
+        for a, b in zip(begins.tolist(), last.tolist(), strict=True):
+            if OTHER_BLANK.search(whole, a, b + 1):
+                mark[a : b + 1] = False
+    mark[begins] = True
+    return np.flatnonzero(mark)
+
+
+def gathered(values: np.ndarray, ends: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that are named by ``at``, one after another."""
+    own = lengths[at]
+    out = np.cumsum(own)
+    if not len(out):
+        return values[:0]
+    return values[np.arange(out[-1]) + np.repeat(ends[at] - out, own)]
+
+
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Bytes of the rows that end at ``ends``."""
+    offsets = np.concatenate(([0], ends * values.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def runs(texts: pa.Array, size: int):
+    """Texts in runs of about ``size`` bytes: first row, bytes and where each text ends in them."""
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    first = 0
+    while first < len(texts):
+        last = max(int(np.searchsorted(offsets, offsets[first] + size)), first + 1)
+        last = min(last, len(texts))
+        yield first, data[offsets[first] : offsets[last]], offsets[first + 1 : last + 1] - offsets[first]
+        first = last
 
 
 @lru_cache(maxsize=2)
@@ -191,24 +260,17 @@ def encode(df: DataFrame, path: str, pattern: str, decoded: bool = False, keep:
     def run(batches: Batches) -> Batches:
         c = codec(path, pattern)
         for batch in batches:
-            texts = batch.column(1)
-            begin = 0
-            while begin < len(batch):
-                rows, size = [], 0
-                while begin + len(rows) < len(batch) and size < BATCH_BYTES:
-                    ids = c.encode(texts[begin + len(rows)].as_py())
-                    rows.append(ids)
-                    size += len(ids)
+            for first, data, ends in runs(batch.column(1).cast(pa.binary()), CHUNK):
+                ids, upto = c.encode_all(data, ends)
                 columns = [
-                    batch.column(0).slice(begin, len(rows)),
-                    pa.array([len(ids) // 4 for ids in rows], pa.int64()),
-                    pa.array(rows, pa.binary()),
+                    batch.column(0).slice(first, len(ends)),
+                    pa.array(np.diff(upto, prepend=0), pa.int64()),
+                    binaries(ids.astype("<u4"), upto),
                 ]
                 if decoded:
-                    columns.append(pa.array(map(c.decode, rows), pa.binary()))
-                columns += [x.slice(begin, len(rows)) for x in batch.columns[2:]]
+                    columns.append(binaries(*c.decode_all(ids, upto)))
+                columns += [x.slice(first, len(ends)) for x in batch.columns[2:]]
                 yield pa.RecordBatch.from_arrays(columns, names)
-                begin += len(rows)
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
     schema += "".join(f", {k} {df.select(k).dtypes[0][1]}" for k in keep)

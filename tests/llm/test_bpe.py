@@ -9,6 +9,7 @@ import tiktoken
 from fixtures import AWKWARD, documents, saved
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gleaner.llm import bpe
 
@@ -36,6 +37,25 @@ def test_any_text_equals_the_library(library, text):
     assert CODEC.decode(CODEC.encode(text)) == text.encode()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r'aß1\x1c\x85\xa0\u2003\u2028\u3000ab."), max_size=12), max_size=12))
+def test_runs_of_texts_equal_the_library(library, texts):
+    data = [t.encode() for t in texts]
+    ids, ends = CODEC.encode_all(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data], dtype=np.int64))
+    assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [library.encode_ordinary(t) for t in texts]
+    back, upto = CODEC.decode_all(ids, ends)
+    assert [x.tobytes() for x in np.split(back, upto[:-1])][: len(texts)] == data
+
+
+def test_small_chunks_and_clashing_columns(spark, monkeypatch, library):
+    monkeypatch.setattr(bpe, "CHUNK", 10)
+    docs = documents(spark, AWKWARD).withColumns({"n_tokens": F.lit("mine"), "ids": F.lit(1), "decoded": F.lit(2)})
+    for r in bpe.encode(docs, PATH, PATTERN, decoded=True).collect():
+        text = AWKWARD[r.doc_id] or ""
+        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert (r.n_tokens, bytes(r.decoded)) == (len(r.ids) // 4, text.encode())
+
+
 def test_long_pre_tokens_equal_the_library(library):
     rng = random.Random(3)
     for text in ("a" * 3000, "ab" * 2500, "".join(rng.choice("etaoin") for _ in range(4000)), "x1" * 1000):
