@@ -1,10 +1,12 @@
 """Byte-level BPE: encoding with a hierarchical-bitmap rank queue, and decoding.
 
-The next merge is always the leftmost pair of lowest rank. Every rank has a bucket (a heap) of the
-list positions where its pair starts; a bitmap of two levels marks the ranks that have any, and
-find-first-set on each level gives the next one. Merges relink neighbours of a linked
-list; entries of pairs that no longer exist stay in their buckets and are skipped when they come up.
-A pre-token of n bytes costs O(n log n), so one of a million bytes is no problem.
+The next merge is always that of lowest rank. Every rank has a bucket of the list positions where its pair
+starts; a bitmap of two levels marks the ranks that have any, and find-first-set on each level gives the next one.
+Merges relink neighbours of a linked list; entries of pairs that no longer exist stay in their buckets and are skipped
+when they come up. The pre-tokens of a whole run of texts stand in one list side by side, with no links between them,
+so a bucket is merged at once, in numpy. Where entries overlap, as in a run of one letter, the leftmost go first.
+Should a merge make a pair of lower rank, which would be next, only the first entry of its pre-token is merged, and the
+others go back to the bucket. A pre-token of n bytes costs O(n log n), so one of a million bytes is no problem.
 
 A run of texts is cut at blanks into units, of which each distinct one is looked up once: its ids are in a bounded
 memo of the worker, or its matches of the pattern are merged. The ids of the texts are gathered from those of the
@@ -18,10 +20,8 @@ from __future__ import annotations
 
 import base64
 import re
-from array import array
-from collections.abc import Callable
 from functools import lru_cache
-from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +29,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Batches, Memo, documents, map_batches, whole_text
+from gleaner.llm.common import Batches, documents, map_batches, whole_text
 
-# Entries of a worker's memo of units and of matches, and the longest unit that is kept: 60 MB at most.
-MEMO = 400_000
+# Entries of a generation of a worker's memo of units and matches, and the longest that is kept: 60 MB at most in two.
+MEMO = 200_000
 MEMO_BYTES = 40
 
 # Bits in a word of the bitmaps.
 WORD = 256
 
-# Bytes of text that are encoded at once.
+# Bytes of text whose new units are merged together, and whose ids are gathered at once.
+GROUP = 16 << 20
 CHUNK = 4 << 20
 
 # Blanks of one byte, and what begins other white space. Texts with the latter are not cut.
@@ -47,47 +48,38 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 OTHER_BLANK = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
-def rank_queue(n_ranks: int) -> tuple[Callable[[int, int], None], Callable[[], tuple[int, int] | None]]:
-    """``push(rank, position)`` and ``pop()``: lowest rank with its leftmost position, None when empty.
+class RankQueue:
+    """Buckets of positions by rank under two levels of bitmaps with words of ``WORD`` bits."""
 
-    Buckets of positions by rank lie under two levels of bitmaps with words of ``WORD`` bits.
-    """
-    low = [0] * (n_ranks // WORD + 1)
-    bit = [1 << i for i in range(max(WORD, len(low)))]
-    top = 0
-    buckets: dict[int, list[int]] = {}
-    find = buckets.get
-
-    def push(rank: int, position: int) -> None:
-        nonlocal top
-        bucket = find(rank)
+    def __init__(self, n_ranks: int):
+        self.low = [0] * (n_ranks // WORD + 1)
+        self.bit = [1 << i for i in range(max(WORD, len(self.low)))]
+        self.top = 0
+        self.buckets: dict[int, list] = {}
+
+    def push(self, rank: int, position) -> None:
+        """``position``: one, or an array of them."""
+        bucket = self.buckets.get(rank)
         if bucket is not None:
-            heappush(bucket, position)
+            bucket.append(position)
             return
-        buckets[rank] = [position]
+        self.buckets[rank] = [position]
         word = rank // WORD
-        if not low[word]:
-            top |= bit[word]
-        low[word] |= bit[rank % WORD]
+        self.top |= self.bit[word]
+        self.low[word] |= self.bit[rank % WORD]
 
-    def pop() -> tuple[int, int] | None:
-        nonlocal top
-        if not top:
+    def pop(self) -> tuple[int, list] | None:
+        """Lowest rank and its bucket, None when empty."""
+        if not self.top:
             return None
-        word = (top & -top).bit_length() - 1
-        bits = low[word]
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.low[word]
         first = bits & -bits
-        rank = word * WORD + first.bit_length() - 1
-        bucket = buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        del buckets[rank]
-        low[word] = bits ^ first
+        self.low[word] = bits ^ first
         if bits == first:
-            top ^= bit[word]
-        return rank, bucket[0]
-
-    return push, pop
+            self.top ^= self.bit[word]
+        rank = word * WORD + first.bit_length() - 1
+        return rank, self.buckets.pop(rank)
 
 
 class Codec:
@@ -96,83 +88,154 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.matches = regex.compile(pattern).findall
-        self.push, self.pop = rank_queue(max(ranks.values()) + 1)
-        self.pieces = [b""] * (max(ranks.values()) + 1)
+        self.n = max(ranks.values()) + 1
+        self.pieces = [b""] * self.n
         for piece, rank in ranks.items():
             self.pieces[rank] = piece
         lengths = np.array([len(p) for p in self.pieces], np.int64)
         self.piece_ends = np.cumsum(lengths)
         self.piece_bytes = np.frombuffer(b"".join(self.pieces), np.uint8)
-        self.of_match = Memo(lambda m: array("I", self.merged(m.encode())).tobytes(), MEMO // 4)
-        self.of_unit = Memo(self.of_text, MEMO)
-
-    def of_text(self, text: bytes) -> bytes:
-        """Ids of all matches, the short ones by the memo."""
-        found = self.matches(text.decode())
-        if len(found) == 1:
-            return array("I", self.merged(text)).tobytes()
-        of_match, limit = self.of_match, MEMO_BYTES
-        return b"".join([of_match[m] if len(m) <= limit else array("I", self.merged(m.encode())).tobytes() for m in found])
-
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        lookup = self.ranks.get
-        whole = lookup(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        following = list(range(1, n + 2))
-        before = list(range(-1, n))
-        pair: list[int | None] = [None] * n  # rank of the pair that starts here, if there is one now
-        push, pop = self.push, self.pop
-        for i in range(n - 1):
-            rank = lookup(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                push(rank, i)
-        while (first := pop()) is not None:
-            rank, i = first
-            if pair[i] != rank:
-                continue  # stale
-            j = following[i]
-            end = following[j]
-            following[i] = end
-            pair[j] = None
-            if end < n:
-                before[end] = i
-                new = lookup(piece[i : following[end]])
-                pair[i] = new
-                if new is not None:
-                    push(new, i)
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {}
+        for piece, rank in ranks.items():
+            for k in range(1, len(piece)):
+                a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+                if a is not None and b is not None:
+                    pairs[a * self.n + b] = rank
+        # Two parts of the vocabulary and the rank of what they make; the last entry is met by nothing.
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.pair_keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], -1)
+        first = np.repeat(self.of_byte, 256), np.tile(self.of_byte, 256)
+        self.byte_pairs = self.rank_of(*first).reshape(256, 256)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids, -1 where there is none; an id of -1 pairs with nothing."""
+        key = a.astype(np.int64) * self.n + b
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], -1)
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, each by itself."""
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(data)
+        ends = np.cumsum([len(p) for p in pieces])
+        begins = np.concatenate(([0], ends[:-1]))
+        # Place n stands before and after every pre-token.
+        symbol = np.append(self.of_byte[data], -1).astype(np.int32)
+        following = np.arange(1, n + 2, dtype=np.int32)
+        before = np.arange(-1, n, dtype=np.int32)
+        following[ends - 1] = n
+        before[begins] = n
+        pair = np.full(n + 1, -1, np.int32)  # rank of the pair that starts here, if there is one now
+        pair[: n - 1] = self.byte_pairs[data[:-1], data[1:]]
+        pair[ends - 1] = -1
+        gone = np.zeros(n + 1, bool)
+        queue = RankQueue(self.n)
+        at = np.flatnonzero(pair >= 0)
+        at = at[np.argsort(pair[at], kind="stable")]
+        first = np.flatnonzero(np.diff(pair[at], prepend=-1))
+        for rank, positions in zip(pair[at[first]].tolist(), np.split(at, first[1:])):
+            queue.push(rank, positions)
+
+        def merge(now: np.ndarray, rank: int, all_at_once: bool) -> np.ndarray | None:
+            """Merge the pairs at ``now``. Where that makes pairs of lower rank, and not all may go at once, undo it
+            and return where they are."""
+            right = following[now]
+            after = following[right]
+            held = symbol[now], before[after], pair[right]
+            symbol[now] = rank
+            gone[right] = True
+            pair[right] = -1
+            following[now] = after
+            before[after] = now
+            begin = np.concatenate((now, before[now]))
+            new = self.rank_of(symbol[begin], symbol[np.concatenate((after, now))])
+            if not all_at_once:
+                low = begin[(new >= 0) & (new < rank)]
+                touching = np.flatnonzero(after[:-1] == now[1:])  # the right neighbour is merged too, but later
+                if len(touching):
+                    between = self.rank_of(np.full(len(touching), rank), held[0][touching + 1])
+                    low = np.concatenate((low, now[touching[(between >= 0) & (between < rank)]]))
+                if len(low):
+                    symbol[now], following[now], gone[right] = held[0], right, False
+                    before[after], pair[right] = held[1], held[2]
+                    return low
+            pair[begin] = new
+            pair[n] = -1
+            made = new >= 0
+            for r, p in zip(new[made].tolist(), begin[made].tolist(), strict=True):
+                queue.push(r, p)
+            return None
+
+        while (least := queue.pop()) is not None:
+            rank, bucket = least
+            several = [x for x in bucket if type(x) is not int]
+            now = several[0] if len(bucket) == len(several) == 1 else np.unique(np.concatenate([*several, [x for x in bucket if type(x) is int]])).astype(np.int64)
+            now = valid = now[pair[now] == rank]  # the others are stale
+            if len(now) > 1:
+                linked = following[now[:-1]] == now[1:]
+                if linked.any():  # of overlapping ones every other, from the left
+                    place = np.arange(len(now))
+                    chain = np.maximum.accumulate(np.where(np.concatenate(([True], ~linked)), place, 0))
+                    now = now[(place - chain) % 2 == 0]
+            if len(now) and (low := merge(now, rank, len(now) == 1)) is not None:
+                own = np.searchsorted(ends, now, "right")
+                first = np.diff(own, prepend=-1) > 0
+                ready = first | ~np.isin(own, np.searchsorted(ends, low, "right"))
+                queue.push(rank, np.setdiff1d(valid, now[ready], assume_unique=True))
+                merge(now[ready], rank, True)
+        kept = ~gone[:n]
+        ids = symbol[:n][kept].astype("<u4").tobytes()
+        upto = (np.cumsum(np.add.reduceat(kept, begins, dtype=np.int64)) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *upto], upto)]
+
+    def learn(self, units: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of the units. Those of short units and matches are kept in two generations of at most ``MEMO`` each."""
+        young, old = self.young, self.old
+        found = {u: ids for u in units if (ids := young.get(u) or old.get(u))}
+        parts = {u: [m.encode() for m in self.matches(u.decode())] for u in units if u not in found}
+        fresh: dict[bytes, bytes] = {}
+        long = []
+        for p in dict.fromkeys(p for own in parts.values() for p in own):
+            if ids := young.get(p) or old.get(p):
+                found[p] = ids
+            elif (rank := self.ranks.get(p)) is not None:
+                fresh[p] = rank.to_bytes(4, "little")
             else:
-                pair[i] = None
-            left = before[i]
-            if left >= 0:
-                new = lookup(piece[left:end])
-                pair[left] = new
-                if new is not None:
-                    push(new, left)
-        out, i = [], 0
-        while i < n:
-            end = following[i]
-            out.append(self.ranks[piece[i:end]])
-            i = end
-        return out
-
-    def encode_all(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts that lie in ``data`` one after another, and where those of each text end."""
-        cut = units(data, ends)
-        if not len(cut):
-            return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
-        offsets = pa.py_buffer(np.append(cut, len(data)).astype(np.int32))
-        coded = pa.Array.from_buffers(pa.binary(), len(cut), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
-        of_unit, limit = self.of_unit, MEMO_BYTES
-        rows = [of_unit[u] if len(u) <= limit else self.of_text(u) for u in coded.dictionary.to_pylist()]
-        ids = np.frombuffer(b"".join(rows), np.uint32)
-        lengths = np.array([len(r) for r in rows], np.int64) // 4
-        unit = coded.indices.to_numpy()
-        after = np.concatenate(([0], np.cumsum(lengths[unit])))
-        return gathered(ids, np.cumsum(lengths), lengths, unit), after[np.searchsorted(cut, ends)]
+                long.append(p)
+        fresh.update(zip(long, self.merged(long), strict=True))
+        found.update(fresh)
+        for unit, own in parts.items():
+            if unit not in found:
+                found[unit] = fresh[unit] = b"".join([found[p] for p in own])
+        if len(young) + len(fresh) > MEMO:
+            self.old, self.young = young, {}
+        self.young.update(islice(((u, ids) for u, ids in fresh.items() if len(u) <= MEMO_BYTES), MEMO))
+        return found
+
+    def encode_runs(self, group: list[tuple[np.ndarray, np.ndarray]]):
+        """For every run of texts that lie one after another, and their ends: the ids, and where those of each text end."""
+        cuts, coded = [], []
+        for data, ends in group:
+            cut = units(data, ends)
+            offsets = pa.py_buffer(np.append(cut, len(data)).astype(np.int32))
+            cuts.append(cut)
+            coded.append(pa.Array.from_buffers(pa.binary(), len(cut), [None, offsets, pa.py_buffer(data)]).dictionary_encode())
+        names = [c.dictionary.to_pylist() for c in coded]
+        found = self.learn(set().union(*names))
+        for (_, ends), cut, code, own in zip(group, cuts, coded, names, strict=True):
+            rows = [found[u] for u in own]
+            ids = np.frombuffer(b"".join(rows), "<u4")
+            lengths = np.array([len(r) for r in rows], np.int64) // 4
+            unit = code.indices.to_numpy()
+            after = np.concatenate(([0], np.cumsum(lengths[unit])))
+            yield gathered(ids, np.cumsum(lengths), lengths, unit), after[np.searchsorted(cut, ends)]
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids of texts that end at ``ends``, and where those of each text end."""
@@ -183,7 +246,7 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         data = np.frombuffer(text.encode(), np.uint8)
-        return self.encode_all(data, np.array([len(data)]))[0].astype("<u4").tobytes()
+        return next(self.encode_runs([(data, np.array([len(data)]))]))[0].tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         own = np.frombuffer(ids, "<u4")
@@ -260,17 +323,19 @@ def encode(df: DataFrame, path: str, pattern: str, decoded: bool = False, keep:
     def run(batches: Batches) -> Batches:
         c = codec(path, pattern)
         for batch in batches:
-            for first, data, ends in runs(batch.column(1).cast(pa.binary()), CHUNK):
-                ids, upto = c.encode_all(data, ends)
-                columns = [
-                    batch.column(0).slice(first, len(ends)),
-                    pa.array(np.diff(upto, prepend=0), pa.int64()),
-                    binaries(ids.astype("<u4"), upto),
-                ]
-                if decoded:
-                    columns.append(binaries(*c.decode_all(ids, upto)))
-                columns += [x.slice(first, len(ends)) for x in batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            texts = batch.column(1).cast(pa.binary())
+            for begin, data, ends in runs(texts, GROUP):
+                group = list(runs(texts.slice(begin, len(ends)), CHUNK))
+                for (first, *_), (ids, upto) in zip(group, c.encode_runs([g[1:] for g in group]), strict=True):
+                    columns = [
+                        batch.column(0).slice(begin + first, len(upto)),
+                        pa.array(np.diff(upto, prepend=0), pa.int64()),
+                        binaries(ids, upto),
+                    ]
+                    if decoded:
+                        columns.append(binaries(*c.decode_all(ids, upto)))
+                    columns += [x.slice(begin + first, len(upto)) for x in batch.columns[2:]]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
     schema += "".join(f", {k} {df.select(k).dtypes[0][1]}" for k in keep)

@@ -41,7 +41,8 @@ def test_any_text_equals_the_library(library, text):
 @given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r'aß1\x1c\x85\xa0\u2003\u2028\u3000ab."), max_size=12), max_size=12))
 def test_runs_of_texts_equal_the_library(library, texts):
     data = [t.encode() for t in texts]
-    ids, ends = CODEC.encode_all(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data], dtype=np.int64))
+    run = np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data], dtype=np.int64)
+    ids, ends = next(CODEC.encode_runs([run]))
     assert [x.tolist() for x in np.split(ids, ends[:-1])][: len(texts)] == [library.encode_ordinary(t) for t in texts]
     back, upto = CODEC.decode_all(ids, ends)
     assert [x.tobytes() for x in np.split(back, upto[:-1])][: len(texts)] == data
@@ -56,6 +57,41 @@ def test_small_chunks_and_clashing_columns(spark, monkeypatch, library):
         assert (r.n_tokens, bytes(r.decoded)) == (len(r.ids) // 4, text.encode())
 
 
+def one_by_one(ranks, piece):
+    """Always the leftmost pair of lowest rank."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    if piece in ranks:
+        return [ranks[piece]]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_vocabularies_whose_ranks_fall_along_merges(seed):
+    rng = random.Random(seed)
+    pieces = {bytes(rng.choices(b"abc", k=rng.randrange(2, 6))) for _ in range(60)}
+    ranks = {bytes([b]): b for b in range(256)}
+    ranks |= {p: 256 + k for k, p in enumerate(rng.sample(sorted(pieces), len(pieces)))}
+    codec = bpe.Codec(ranks, PATTERN)
+    texts = [bytes(rng.choices(b"abc", k=rng.randrange(1, 40))) for _ in range(60)]
+    texts = [t for t in dict.fromkeys(texts) if t not in ranks]
+    got = [np.frombuffer(x, "<u4").tolist() for x in codec.merged(texts)]
+    assert got == [one_by_one(ranks, t) for t in texts]
+
+
+def test_a_small_memo_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 4)
+    small = bpe.Codec(CODEC.ranks, PATTERN)
+    rng = random.Random(5)
+    for _ in range(50):
+        text = " ".join(rng.choice(["alpha", "beta,", "gamma-delta", "x" * 60, "Ωmega"]) + str(rng.randrange(3)) for _ in range(30))
+        assert np.frombuffer(small.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+
+
 def test_long_pre_tokens_equal_the_library(library):
     rng = random.Random(3)
     for text in ("a" * 3000, "ab" * 2500, "".join(rng.choice("etaoin") for _ in range(4000)), "x1" * 1000):
@@ -67,15 +103,18 @@ def test_very_long_pre_token_ends(library):
     assert CODEC.decode(CODEC.encode(text)) == text.encode()
 
 
-def test_queue_pops_in_order_of_rank_then_position():
+def test_queue_pops_in_order_of_rank():
     rng = random.Random(1)
-    push, pop = bpe.rank_queue(50_000)
+    queue = bpe.RankQueue(50_000)
     items = [(rng.randrange(50_000), rng.randrange(99)) for _ in range(3000)]
-    items += items[:100]
     for x in items:
-        push(*x)
-    assert [pop() for _ in items] == sorted(items)
-    assert pop() is None
+        queue.push(*x)
+    ranks = sorted({r for r, _ in items})
+    assert [queue.pop() for _ in ranks] == [(r, [p for q, p in items if q == r]) for r in ranks]
+    assert queue.pop() is None
+    queue.push(7, 1)
+    queue.push(3, 2)
+    assert (queue.pop(), queue.pop(), queue.pop()) == ((3, [2]), (7, [1]), None)
 
 
 def test_query(spark, library, tmp_path):
