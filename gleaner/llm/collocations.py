@@ -48,11 +48,11 @@ MASK = (1 << SHIFT) - 1
 BITS = 1 << 25
 
 # Ids on a side of a tile, and dense tiles of a task.
-TILE, DENSE = 256, 32
+TILE, DENSE = 256, 16
 
 # Bytes of text of one language that are counted at once, and coordinates that a task holds.
-CHUNK = 4 << 20
-HELD = 1 << 21
+CHUNK = 2 << 20
+HELD = 1 << 19
 
 # Fixed values of the definition: blanks between words, ends of pieces.
 KIND = np.zeros(256, np.uint8)
@@ -69,7 +69,7 @@ def by_language(batches: Batches) -> Iterator[tuple[str, bytes]]:
             data = text.as_py()
             held.setdefault(lang, []).append(data)
             sizes[lang] = sizes.get(lang, 0) + len(data) + 1
-            full = [lang] if sizes[lang] >= CHUNK else list(held) if sum(sizes.values()) >= 8 * CHUNK else []
+            full = [lang] if sizes[lang] >= CHUNK else list(held) if sum(sizes.values()) >= 4 * CHUNK else []
             for own in full:
                 del sizes[own]
                 yield own, b"\n".join(held.pop(own)).lower()
@@ -306,16 +306,19 @@ def sides(langs: list[str], codes: np.ndarray, counts: np.ndarray) -> tuple[dict
     return out, rank
 
 
-def decoded(found: DataFrame, head: DataFrame, width: int) -> DataFrame:
-    """``code``, ``lang``, ``phrase``, ``n`` with all phrases spelled out."""
-    named = found.filter("code IS NOT NULL").select("code", "n")
-    for j in range(width):
-        word = head.select(F.col("id").alias(f"_i{j}"), F.col("lang").alias(f"_l{j}"), F.col("phrase").alias(f"_w{j}"))
-        own = F.shiftright("code", SHIFT * (width - 1 - j)).bitwiseAND(F.lit(MASK))
-        named = named.join(F.broadcast(word), own == F.col(f"_i{j}"))
-    phrase = F.concat_ws(" ", *[f"_w{j}" for j in range(width)])
-    spelled_out = found.filter("code IS NULL").select("code", "lang", "phrase", "n")
-    return named.select("code", F.col("_l0").alias("lang"), phrase.alias("phrase"), "n").unionByName(spelled_out)
+def decoded(found: DataFrame, langs: list[str], words: list[str], width: int) -> DataFrame:
+    """``code``, ``lang``, ``phrase``, ``n`` with all phrases spelled out; ids are places in the bounded head."""
+
+    def run(batches: Batches) -> Batches:
+        of_lang, of_word = pa.array(langs, pa.string()), pa.array(words, pa.string())
+        for batch in batches:
+            ids = [pc.bit_wise_and(pc.shift_right(batch.column(0), SHIFT * j), MASK) for j in reversed(range(width))]
+            phrase = pc.binary_join_element_wise(*[of_word.take(i) for i in ids], " ")
+            lang = pc.coalesce(batch.column(1), of_lang.take(ids[0]))
+            columns = [batch.column(0), lang, pc.coalesce(batch.column(2), phrase), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, ["code", "lang", "phrase", "n"])
+
+    return map_batches(found.select("code", "lang", "phrase", "n"), run, "code long, lang string, phrase string, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -326,7 +329,7 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame,
     words = write_through(of_word.filter((F.col("n") >= least) | F.col("phrase").isNull()))
     short = (F.octet_length("phrase") <= BYTES) & (F.octet_length("lang") <= BYTES)
     head = words.filter(short).orderBy(F.desc("n"), "lang", "phrase").limit(HEAD).collect()
-    langs, counts = [r.lang for r in head], np.array([r.n for r in head], np.int64)
+    langs, names, counts = [r.lang for r in head], [r.phrase for r in head], np.array([r.n for r in head], np.int64)
     right, rank = sides(langs, np.arange(len(head)), counts)
     ids: dict[str, dict[bytes, int]] = {}
     for i, r in enumerate(head):
@@ -339,7 +342,7 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame,
     total = lambda level: (
         phrases_of(texts, level).groupBy("code", "lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     )
-    pairs = write_through(decoded(total(level), named, 2))
+    pairs = write_through(decoded(total(level), langs, names, 2))
 
     two = F.split("phrase", " ")
     marks = bitmap(pairs.select(place_of(two[0], two[1]).alias("place")))
@@ -349,7 +352,7 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame,
     order = np.argsort(codes)
     of_units = {"units": codes[order], "unit_rank": unit_rank[order]}
     level = Level(3, ids, rank, {x: right[x] for x in left}, left, frequent, marks, **of_units).choose()
-    triples = write_through(decoded(total(level), named, 3))
+    triples = write_through(decoded(total(level), langs, names, 3))
     return words, pairs, triples, named
 
 
