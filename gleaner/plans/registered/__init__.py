@@ -14,18 +14,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    from gleaner.plans.registered import corpus, lines, reports, runs, stored, streams, telemetry, vectors
+    from gleaner.plans.registered import corpus, lines, lists, reports, runs, stored, streams, telemetry, vectors
 
     out: dict[str, Query] = {}
-    for module in (lines, corpus, telemetry, vectors, runs, reports, stored, streams):
+    for module in (lines, corpus, lists, telemetry, vectors, runs, reports, stored, streams):
         out.update(module.QUERIES)
     return out
 
 
 def all_sql() -> dict[str, str]:
-    from gleaner.plans.registered import corpus, lines, reports, runs, stored, streams, telemetry, vectors
+    from gleaner.plans.registered import corpus, lines, lists, reports, runs, stored, streams, telemetry, vectors
 
     out: dict[str, str] = {}
-    for module in (lines, corpus, telemetry, vectors, runs, reports, stored, streams):
+    for module in (lines, corpus, lists, telemetry, vectors, runs, reports, stored, streams):
         out.update(module.SQL)
     return out
