@@ -97,11 +97,21 @@ def jsonl_lines(spark: SparkSession, folder: str) -> DataFrame:
     path = new_path(spark)
     event_lines(spark, folder).write.text(path)
     lines = R.read_jsonl(spark, path).groupBy("value").agg(F.count("*").alias("n"))
-    # Which lines a cap keeps is open; how many is not, blank ones left out and broken ones counted.
+    # How many lines a cap keeps: blank ones are left out, broken ones counted.
     capped = R.read_jsonl(spark, path, max_lines=700).agg(F.lit("capped").alias("value"), F.count("*").alias("n"))
     return lines.unionByName(capped)
 
 
+def first_log_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The first lines of a log of many files, in the order of the events."""
+    path = new_path(spark)
+    in_order = table(spark, folder, "events").repartitionByRange(16, "event_id").sortWithinPartitions("event_id")
+    broken = F.when(F.col("event_id") % 10 == 3, F.concat("props", F.lit(" {"))).otherwise(F.col("props"))
+    line = F.concat("event_id", F.lit(" "), broken)
+    in_order.select(F.explode(F.array(F.lit(""), line, F.lit(" \t"))).alias("value")).write.text(path)
+    return R.first_lines(spark, path, 700)
+
+
 def stored_corpus(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     files = docs.select(
@@ -236,7 +246,7 @@ def harvest_job(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stored_links, stored_listings, stored_contents, stored_texts, jsonl_lines, stored_corpus, changed_corpus,
+        stored_links, stored_listings, stored_contents, stored_texts, jsonl_lines, first_log_lines, stored_corpus, changed_corpus,
         sorted_csv, utc_stamps, telemetry_gaps, judged_folders, job_report, harvest_job,
     )
 }
@@ -271,6 +281,11 @@ SQL = {
         SELECT CASE WHEN event_id % 10 = 3 THEN props || ' {' ELSE props END AS value, count(*) AS n FROM events GROUP BY 1
         UNION ALL SELECT 'capped', least(700, count(*)) FROM events
     """,
+    "first_log_lines": """
+        SELECT row_number() OVER (ORDER BY event_id) AS place,
+               event_id || ' ' || CASE WHEN event_id % 10 = 3 THEN props || ' {' ELSE props END AS value
+        FROM events QUALIFY place <= 700
+    """,
     "stored_corpus": "SELECT source AS repo, doc_id || '.txt' AS file, md5(text) AS content_md5 FROM documents",
     "changed_corpus": """
         SELECT turn, turn <> 1 AS written, (SELECT CAST(sum(n_chars + CAST(doc_id % 7 = 0 AS INT)) AS BIGINT) FROM documents) AS chars

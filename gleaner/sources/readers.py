@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -119,9 +120,34 @@ def non_blank(lines: DataFrame) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, max_lines: int | None = None) -> DataFrame:
-    """Non-blank lines of JSON-lines files. ``max_lines`` counts malformed ones too."""
-    lines = non_blank(spark.read.text(path))
-    return lines.limit(max_lines) if max_lines else lines
+    """Non-blank lines of JSON-lines files. ``max_lines`` keeps the first ones, counting malformed ones too."""
+    return first_lines(spark, path, max_lines).select("value") if max_lines else non_blank(spark.read.text(path))
+
+
+def first_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """``place`` (from 1) and ``value`` of the first ``n`` non-blank lines, files in the order of their paths.
+
+    Files are opened in growing runs until they hold enough. Lines are counted per split; the running sum over the
+    splits tells which of them are needed and where each begins, and only their lines are numbered.
+    """
+    files = sorted(spark.read.text(path).inputFiles())
+
+    def opened(upto: int) -> DataFrame:
+        at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+        # The number of a row grows along its split, so it is taken before any row is left out.
+        return non_blank(spark.read.text(files[:upto]).select("value", at.alias("split"), F.monotonically_increasing_id().alias("row")))
+
+    upto, held = 0, 0
+    while held < n and upto < len(files):
+        upto = min(max(2 * upto, 1), len(files))
+        held = opened(upto).limit(n).count()
+    lines = opened(upto) if files else non_blank(spark.createDataFrame([], "value string, split struct<file: string, begin: long>, row long"))
+    before = W.orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    splits = lines.groupBy("split").agg(F.count("*").alias("lines"))
+    needed = splits.select("split", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before")).filter(F.col("before") < n)
+    own = F.row_number().over(W.partitionBy("split").orderBy("row"))
+    placed = lines.join(needed, "split").select((F.col("before") + own).alias("place"), "value")
+    return placed.filter(F.col("place") <= n)
 
 
 def stream_jsonl(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:

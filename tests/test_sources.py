@@ -226,3 +226,29 @@ def test_safe_names(spark):
     df = spark.createDataFrame(list(cases), "repo string, path string")
     got = {(r.repo, r.path): r.f for r in df.select("*", safe_file_name(F.col("repo"), F.col("path")).alias("f")).collect()}
     assert got == cases
+
+
+@pytest.mark.parametrize("split", [None, 64])
+def test_first_lines_over_files_and_splits(spark, tmp_path, split):
+    want = []
+    for k in range(7):
+        rows = [f"{k}-{i}" + "x" * (i % 5) for i in range(k * 13)]
+        text = "".join(f"{r}\n" + ["", " \t\n", "\n\n"][i % 3] for i, r in enumerate(rows))
+        (tmp_path / f"log-{k}.jsonl").write_text(text)
+        want += rows
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    if split:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        for n in (1, 13, 14, 100, len(want), len(want) + 5):
+            got = R.first_lines(spark, str(tmp_path), n).orderBy("place").collect()
+            assert [(r.place, r.value) for r in got] == list(enumerate(want[:n], 1))
+            assert sorted(r.value for r in R.read_jsonl(spark, str(tmp_path), n).collect()) == sorted(want[:n])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_first_lines_of_empty_files(spark, tmp_path):
+    (tmp_path / "a").write_text("\n \n")
+    (tmp_path / "b").write_text("")
+    assert R.first_lines(spark, str(tmp_path), 3).count() == 0
