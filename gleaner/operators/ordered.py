@@ -107,11 +107,20 @@ def rolling(
     With a ``bucket`` groups are cut into runs of ``run`` places; a run also receives the ``half`` rows
     next to it, so its frames are whole and nothing else is copied.
     """
-    frame = (-half, half)
     if bucket is None:
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*frame)
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-half, half)
         return df.withColumns({n: c.over(w) for n, c in measures.items()})
-    run = max(run, 2 * half + 1)
+    w = W.partitionBy(*keys, "_run").orderBy("_place").rowsBetween(-half, half)
+    copies = in_runs(df, keys, order, half, bucket, run)
+    return copies.withColumns({n: c.over(w) for n, c in measures.items()}).filter("_own").drop("_run", "_place", "_own")
+
+
+def in_runs(
+    df: DataFrame, keys: list[str], order: list[str], half: int, bucket: Column | None = None, run: int | None = None
+) -> DataFrame:
+    """Rows with their ``_place`` in the group and the ``_run`` of places they stand in; the ``half`` rows next to a run
+    are in it too, with ``_own`` false."""
+    run = max(run or RUN, 2 * half + 1)
     placed = scan_groups(df, keys, order, {"_place": position()}, bucket)
 
     def run_of(place: Column) -> Column:
@@ -119,12 +128,7 @@ def rolling(
 
     first = run_of(F.greatest(F.col("_place") - half, F.lit(1)))
     copies = placed.withColumn("_run", F.explode(F.sequence(first, run_of(F.col("_place") + half))))
-    w = W.partitionBy(*keys, "_run").orderBy("_place").rowsBetween(*frame)
-    return (
-        copies.withColumns({n: c.over(w) for n, c in measures.items()})
-        .filter(F.col("_run") == run_of(F.col("_place")))
-        .drop("_run", "_place")
-    )
+    return copies.withColumn("_own", F.col("_run") == run_of(F.col("_place")))
 
 
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:

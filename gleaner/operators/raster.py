@@ -83,24 +83,15 @@ def pads(
     return left, right, top, bottom
 
 
-def median_pool(
-    cells: DataFrame,
-    image: list[str] = ("img",),
-    channel: list[str] = ("ch",),
-    kernel: tuple[int, int] = (3, 3),
-    stride: tuple[int, int] = (1, 1),
-    padding: tuple[int, int, int, int] = (0, 0, 0, 0),
-    same: bool = False,
-    tile: int = TILE,
+def tiled_cells(
+    cells: DataFrame, image: list[str], channel: list[str], kernel: tuple[int, int], stride: tuple[int, int],
+    padding: tuple[int, int, int, int], same: bool, tile: int,
 ) -> DataFrame:
-    """Lower median of every ``kernel`` window of a long grid ``(img, ch, row, col, value)``.
+    """Cells of the padded grid (``_r``, ``_c``), once for each tile (``_tr``, ``_tc``) whose outputs they feed.
 
-    Every cell of an image must be there, and a padding smaller than the image, else this fails. Cells go to the tile of the
-    outputs they feed; only those at a tile's edge go to two. Inside the tile the values are gathered
-    along the rows and then along the columns, so after the one shuffle every cell is sorted twice,
-    and no copy per window is made.
+    ``_rows`` and ``_cols`` are the sizes of the output. Only cells at a tile's edge go to two.
     """
-    sized = checked_size(cells, list(image), list(channel), kernel, stride, padding, same)
+    sized = checked_size(cells, image, channel, kernel, stride, padding, same)
     left, right, top, bottom = pads(F.col("height"), F.col("width"), kernel, stride, padding, same)
     planes = [*image, *channel]
     rows_out = output_size(F.col("height"), top, bottom, kernel[0], stride[0])
@@ -121,6 +112,29 @@ def median_pool(
         span = F.sequence(F.floor(first / tile).cast("int"), F.floor(last / tile).cast("int"))
         return F.explode(F.when(first <= last, span))
 
+    return padded.withColumn("_tr", tiles("_r", kernel[0], stride[0], "_rows")).withColumn(
+        "_tc", tiles("_c", kernel[1], stride[1], "_cols")
+    )
+
+
+def median_pool(
+    cells: DataFrame,
+    image: list[str] = ("img",),
+    channel: list[str] = ("ch",),
+    kernel: tuple[int, int] = (3, 3),
+    stride: tuple[int, int] = (1, 1),
+    padding: tuple[int, int, int, int] = (0, 0, 0, 0),
+    same: bool = False,
+    tile: int = TILE,
+) -> DataFrame:
+    """Lower median of every ``kernel`` window of a long grid ``(img, ch, row, col, value)``.
+
+    Every cell of an image must be there, and a padding smaller than the image, else this fails. Cells go to the tile of the
+    outputs they feed. Inside the tile the values are gathered along the rows and then along the columns, so after the
+    one shuffle every cell is sorted twice, and no copy per window is made. A large kernel is for ``sliding.median_pool``.
+    """
+    planes = [*image, *channel]
+
     def starts(position: str, step: int, outputs: str, at: str) -> Column:
         """Whether a window of this tile starts at the position."""
         output = F.floor(F.col(position) / step)
@@ -128,12 +142,8 @@ def median_pool(
             (F.col(position) % step == 0) & (output < F.col(outputs)) & (F.floor(output / tile) == F.col(at))
         )
 
-    tiled = (
-        padded.withColumn("_tr", tiles("_r", kernel[0], stride[0], "_rows"))
-        .withColumn("_tc", tiles("_c", kernel[1], stride[1], "_cols"))
-        .repartition(*planes, "_tr", "_tc")
-    )
     place = [*planes, "_tr", "_tc"]
+    tiled = tiled_cells(cells, list(image), list(channel), kernel, stride, padding, same, tile).repartition(*place)
     along_row = W.partitionBy(*place, "_r").orderBy("_c").rangeBetween(0, kernel[1] - 1)
     along_col = W.partitionBy(*place, "_c").orderBy("_r").rangeBetween(0, kernel[0] - 1)
     across = tiled.withColumn("value", F.collect_list("value").over(along_row)).filter(
@@ -154,6 +164,6 @@ def rolling_lower_median(
     df: DataFrame, series: list[str], order: list[str], value: str, half: int,
     name: str = "rolling_median", bucket: Column | None = None,
 ) -> DataFrame:
-    """Lower median over the ``half`` rows on both sides of each row of a series."""
+    """Lower median over the ``half`` rows on both sides of each row of a series. For wide frames see ``sliding``."""
     gathered = rolling(df, series, order, half, {name: F.collect_list(value)}, bucket)
     return gathered.withColumn(name, lower_median(F.col(name)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.curves import assign_batches, best_so_far as mark_best, epoch_metrics as metrics_of
 from gleaner.operators.curves import low_spread, running_trigger as trigger
+from gleaner.operators import sliding
 from gleaner.operators.raster import rolling_lower_median as rolling_median
 from gleaner.operators.sampling import patches_per_split, seeded_order, split_by_value
 from gleaner.plans.registered import table
@@ -86,11 +87,19 @@ def rolling_lower_median(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def wide_rolling_median(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames of 10,001 rows over all events."""
+    events = table(spark, folder, "events").select("ts", "event_id", "value")
+    return sliding.rolling_median(events, [], ["ts", "event_id"], "value", 5_000, bucket=F.to_date("ts")).select(
+        "event_id", "rolling_median"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         best_so_far, epoch_metrics, epoch_alerts, running_trigger, batch_assign, split_by_key, split_patches,
-        rolling_lower_median,
+        rolling_lower_median, wide_rolling_median,
     )
 }
 
@@ -147,6 +156,10 @@ SQL = {
         QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('13|' || c_custkey), c_custkey)
                 <= CASE WHEN c_nationkey < 20 THEN 4 ELSE 2 END
     """,
+    "wide_rolling_median": """
+        SELECT event_id, quantile_disc(value, 0.5) OVER (
+            ORDER BY ts, event_id ROWS BETWEEN 5000 PRECEDING AND 5000 FOLLOWING) AS rolling_median FROM events
+    """,
     "rolling_lower_median": """
         WITH w AS (
             SELECT user_id, event_id, list(value) OVER (

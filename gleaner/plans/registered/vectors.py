@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators import sliding
 from gleaner.operators.matching import name_classes, top_classes
 from gleaner.operators.raster import median_pool
 from gleaner.operators.spread import check_collapse
@@ -64,10 +65,20 @@ def grid_median_padded(spark: SparkSession, folder: str) -> DataFrame:
     return median_pool(images(spark, folder), kernel=(3, 3), padding=(1, 1, 2, 2))
 
 
+def grid_median_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors as the rows of one image, in kernels of 31 x 31 cells."""
+    cells = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("col", "value"))
+    image = cells.select(
+        F.lit(0).alias("img"), F.lit(0).alias("ch"), F.col("vec_id").cast("int").alias("row"), "col", F.col("value").cast("double").alias("value")
+    )
+    return sliding.median_pool(image, kernel=(31, 31), same=True).select("row", "col", "value")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_topk_labels, spread_check, spread_check_batch, grid_median, grid_median_strided, grid_median_padded,
+        grid_median_wide,
     )
 }
 
@@ -144,6 +155,20 @@ SQL = {
         )
         SELECT batch, n_points, round(std, 6) AS std, round(min_dist, 6) AS min_dist, {VERDICT} FROM b
     """,
+    "grid_median_wide": """
+        WITH cells AS (
+            SELECT vec_id AS r, unnest(range(len(embedding))) AS c, unnest(embedding) AS v FROM embeddings
+        ), size AS (SELECT max(r) AS r, max(c) AS c FROM cells
+        ), down AS (  -- rows and columns of the image under every place of a kernel
+            SELECT o.r, i, CASE WHEN o.r + i < 0 THEN -(o.r + i) WHEN o.r + i > size.r THEN 2 * size.r - o.r - i ELSE o.r + i END AS of
+            FROM (SELECT DISTINCT r FROM cells) o, range(-15, 16) k(i), size
+        ), along AS (
+            SELECT o.c, i, CASE WHEN o.c + i < 0 THEN -(o.c + i) WHEN o.c + i > size.c THEN 2 * size.c - o.c - i ELSE o.c + i END AS of
+            FROM (SELECT DISTINCT c FROM cells) o, range(-15, 16) k(i), size
+        ), lines AS (SELECT r, along.c, list(v) AS vs FROM cells JOIN along ON along.of = cells.c GROUP BY ALL
+        ), windows AS (SELECT down.r, c, flatten(list(vs)) AS vs FROM lines JOIN down ON down.of = lines.r GROUP BY ALL)
+        SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col, CAST(list_sort(vs)[481] AS DOUBLE) AS value FROM windows
+    """,
     "grid_median": pool_sql((3, 3), (1, 1), (1, 1, 1, 1), (8, 8)),
     "grid_median_padded": pool_sql((3, 3), (1, 1), (1, 1, 2, 2), (10, 8)),
     "grid_median_strided": pool_sql((2, 4), (2, 3), (1, 2, 0, 1), (4, 3)),
