@@ -22,7 +22,8 @@ from gleaner.operators.rowwise import computed
 from gleaner.operators.sampling import NUM_FILES, sample_rows
 from gleaner.session import write_through
 from gleaner.sources.readers import read_contents, read_manifest, read_repositories, read_trees
-from gleaner.sources.sinks import manifest_document, write_corpus, write_document_if_changed
+from gleaner.sources.sinks import document_changed, manifest_document, write_corpus
+from gleaner.sources.versions import current, publish
 
 
 @dataclass(frozen=True)
@@ -108,22 +109,35 @@ def manifest_header(o: HarvestOptions) -> Column:
 
 
 def harvest_job(spark: SparkSession, stored: str, out: str, o: HarvestOptions, folder: str = "samples") -> bool:
-    """From stored payloads to a corpus and its manifest; whether the manifest was written.
+    """From stored payloads to a corpus and its manifest; whether the manifest has changed.
 
-    ``stored`` holds ``repositories``, ``trees`` and ``contents``; ``out`` gets ``folder`` and ``manifest``.
+    ``stored`` holds ``repositories``, ``trees`` and ``contents``. ``folder`` and ``manifest`` are published below ``out``
+    as one version, so a reader never sees one without the other; a manifest that says the same stays as it was.
     """
     repos = read_repositories(spark, f"{stored}/repositories")
     entries = R.tree_entries(read_trees(spark, f"{stored}/trees"))
     files = write_through(harvest(repos, entries, read_contents(spark, f"{stored}/contents"), o))
-    write_corpus(files, f"{out}/{folder}")
     listed = files.withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))
     document = manifest_document(listed, utc_stamp(F.current_timestamp()), manifest_header(o))
-    return write_document_if_changed(spark, document, f"{out}/manifest")
+    before = current(spark, out)
+    changed = before is None or document_changed(spark, document, f"{before}/manifest")
+
+    def write(version: str) -> None:
+        write_corpus(files, f"{version}/{folder}")
+        if changed:
+            document.select("value").coalesce(1).write.text(f"{version}/manifest")
+        else:
+            old = spark.read.text(f"{before}/manifest", wholetext=True)
+            old.select(F.rtrim("value", F.lit("\n"))).write.text(f"{version}/manifest")
+
+    publish(spark, out, write)
+    return changed
 
 
 def feed_files(spark: SparkSession, out: str, folder: str = "samples") -> DataFrame:
-    """``file`` and ``text`` of what the manifest below ``out`` lists, for a line feed."""
-    listed = read_manifest(spark, f"{out}/manifest").select("file", F.col("repo").alias("_repo"))
-    corpus = spark.read.schema("repo string, file string, content binary").parquet(f"{out}/{folder}")
+    """``file`` and ``text`` of what the published manifest below ``out`` lists, for a line feed."""
+    version = current(spark, out)
+    listed = read_manifest(spark, f"{version}/manifest").select("file", F.col("repo").alias("_repo"))
+    corpus = spark.read.schema("repo string, file string, content binary").parquet(f"{version}/{folder}")
     texts = corpus.select(F.concat(F.lit(f"{folder}/"), "file").alias("file"), text_of(F.col("content")).alias("text"))
     return listed.join(texts, "file").select("file", "text")

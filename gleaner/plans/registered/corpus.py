@@ -22,6 +22,8 @@ from gleaner.plans.registered import table
 from gleaner.sources.sinks import manifest_changes, manifest_document, same_rows
 
 PAGE_EXTENSIONS = ["html", "htm"]
+# Document ids that one manifest document covers.
+MANIFEST_RUN = 4096
 HOST = r"^[a-z]+://([^/?#]+)"
 PATH = r"^[a-z]+://[^/?#]+/([^?#]*)"
 
@@ -124,29 +126,29 @@ def page_trees(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def manifest_of(docs: DataFrame, n: int, seed: int) -> DataFrame:
-    """Long manifest of a document sample; the texts are joined to the sampled ids."""
-    picked = sample_rows(docs.select("doc_id"), n, seed, "doc_id")
+def manifest_of(docs: DataFrame) -> DataFrame:
+    """Long manifest of all documents."""
     path = F.concat_ws("/", "lang", F.concat("doc_id", F.lit(".txt")))
     kept = cut_bytes(F.encode("text", "UTF-8"), MAX_BYTES_PER_FILE)
-    return docs.join(picked, "doc_id").select(
+    return docs.select(
         safe_file_name(F.col("source"), path).alias("file"),
         F.col("source").alias("repo"),
         F.lit("someone").alias("owner"),
         path.alias("path"),
         F.lit("main").alias("branch"),
         F.octet_length(kept).cast("bigint").alias("bytes"),
+        F.floor(F.col("doc_id") / MANIFEST_RUN).alias("run"),
     )
 
 
 def corpus_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return manifest_of(table(spark, folder, "documents"), 64, 7)
+    return manifest_of(table(spark, folder, "documents")).drop("run")
 
 
 def manifest_json(spark: SparkSession, folder: str) -> DataFrame:
-    files = manifest_of(table(spark, folder, "documents"), 64, 7)
-    source = F.struct(F.lit("someone").alias("user"), F.lit(64).alias("num_files"))
-    return manifest_document(files, F.lit("2024-01-01T00:00:00Z"), source)
+    """Documents of one repository and a run of ids each, so none grows without bound."""
+    source = F.struct(F.lit("someone").alias("user"), F.lit(MANIFEST_RUN).alias("num_files"))
+    return manifest_document(manifest_of(table(spark, folder, "documents")), F.lit("2024-01-01T00:00:00Z"), source, ["repo", "run"])
 
 
 def manifest_diff(spark: SparkSession, folder: str) -> DataFrame:
@@ -231,7 +233,6 @@ MANIFEST_SQL = f"""
            'someone' AS owner, lang || '/' || doc_id || '.txt' AS path, 'main' AS branch,
            CAST(least(octet_length(encode(text)), 65536) AS BIGINT) AS bytes
     FROM documents
-    WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 64)
 """
 
 PAGES_SQL = rf"""
@@ -328,12 +329,12 @@ SQL = {
     """,
     "corpus_manifest": MANIFEST_SQL,
     "manifest_json": f"""
-        WITH m AS ({MANIFEST_SQL})
-        SELECT CAST(to_json({{'generated_at': '2024-01-01T00:00:00Z',
-                              'source': {{'user': 'someone', 'num_files': 64}},
+        WITH m AS (SELECT *, CAST(split_part(split_part(path, '/', 2), '.', 1) AS BIGINT) // {MANIFEST_RUN} AS run FROM ({MANIFEST_SQL}))
+        SELECT repo, run, CAST(to_json({{'generated_at': '2024-01-01T00:00:00Z',
+                              'source': {{'user': 'someone', 'num_files': {MANIFEST_RUN}}},
                               'files': list({{'file': file, 'repo': repo, 'owner': owner, 'path': path,
                                               'branch': branch, 'bytes': bytes}} ORDER BY file)}}) AS VARCHAR) AS value,
-               count(*) AS n_files FROM m
+               count(*) AS n_files FROM m GROUP BY repo, run
     """,
     "manifest_diff": """
         WITH old AS (

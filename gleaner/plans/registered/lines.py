@@ -54,9 +54,9 @@ def line_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """The manifest lists the documents in Spanish."""
+    """The manifest lists all documents."""
     docs = table(spark, folder, "documents")
-    manifest = docs.filter(F.col("lang") == "es").select("doc_id")
+    manifest = docs.select("doc_id")
     return lines_of(manifest, docs.select("doc_id", "text"), "doc_id").select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "line"
     )
@@ -177,7 +177,6 @@ SQL = {
     """,
     "manifest_lines": f"""
         SELECT doc_id, pos, line FROM ({lines_sql("doc_id")}) WHERE {CLEAN}
-        AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'es')
     """,
     "draw_lines": f"WITH {DRAWS_SQL} SELECT conv_id, turn, doc_id, i - 1 AS pos, line FROM hits",
     "fallback_lines": f"WITH {DRAWS_SQL} SELECT conv_id, turn, tier, pos, line FROM shown",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +17,12 @@ from gleaner.plans.registered.corpus import PAGE_OPTIONS, PAGES_SQL, SAFE, pages
 from gleaner.session import new_path
 from gleaner.sources import readers as R
 from gleaner.sources import sinks as W
+from gleaner.sources import versions as V
 
-# Pages whose listing is one stored payload.
+# Pages whose links, and repositories and pages whose listing, are one stored payload.
 PAGE_GROUP = 25
+REPOSITORY_GROUP = 100
+ENTRY_GROUP = 512
 HREF = r'href="([^"]*)"'
 
 
@@ -42,13 +46,18 @@ def stored_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payloads(spark: SparkSession, folder: str, path: str) -> None:
-    """Repositories, trees and contents as stored payloads, with some that are no lists."""
+    """Repositories, trees and contents as stored payloads, with some that are no lists.
+
+    A payload is one value, so each holds a bounded run: of repositories by their names' hash, of a tree by page.
+    """
     repos, entries, contents = pages_as_repositories(spark, folder)
     ordered = F.sort_array(F.collect_list(F.struct("name", "fork", "owner", "default_branch", "pushed_at", "updated_at")))
-    listed = repos.groupBy(F.pmod(F.hash("name"), F.lit(4)).alias("g")).agg(F.to_json(ordered).alias("value"))
+    runs = F.greatest(F.ceil(repos.agg(F.count("*")).scalar() / REPOSITORY_GROUP), F.lit(4))
+    listed = repos.groupBy(F.pmod(F.hash("name"), runs).alias("g")).agg(F.to_json(ordered).alias("value"))
     message = listed.limit(1).select(F.lit('{"message":"no list"}').alias("value"))
     one_file_each(listed.select("value").unionByName(message), f"{path}/repositories")
-    trees = entries.groupBy("repo").agg(F.collect_list(F.struct("type", "path")).alias("tree"))
+    page = F.floor(F.substring_index("path", "/", 1).cast("long") / ENTRY_GROUP)
+    trees = entries.groupBy("repo", page.alias("run")).agg(F.collect_list(F.struct("type", "path")).alias("tree"))
     one_file_each(trees.select(F.to_json(F.struct("repo", "tree")).alias("value")), f"{path}/trees")
     half = F.pmod(F.hash("path"), F.lit(2)) == 0
     stored = contents.select(
@@ -125,6 +134,20 @@ def stored_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("repo", "file", F.md5("content").alias("content_md5"))
 
 
+def published_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Three versions of the corpus, of which the last write breaks off: readers see the second."""
+    docs = table(spark, folder, "documents")
+    files = docs.select(F.col("source").alias("repo"), F.concat("doc_id", F.lit(".txt")).alias("file"), F.encode("text", "UTF-8").alias("content"))
+    path, fields = new_path(spark), "repo string, file string, content binary"
+    V.publish_corpus(files, path)
+    V.publish_corpus(files.withColumn("content", F.concat("content", F.encode(F.lit("."), "UTF-8"))), path)
+    try:
+        V.publish(spark, path, lambda version: V.read_version(spark, path, fields, number=1).limit(1).select("nothing").write.parquet(version))
+    except AnalysisException:
+        pass
+    return V.read_version(spark, path, fields).select("repo", "file", F.md5("content").alias("content_md5"))
+
+
 def changed_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Which of three writes of a file table were made: the first, the same again, a changed one."""
     files = table(spark, folder, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("path"), "n_chars")
@@ -163,8 +186,8 @@ def utc_stamps(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def telemetry_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines without a time, without an index, and lists of one number per device."""
-    events = table(spark, folder, "events").filter(F.col("value") < 100)
+    """Lines without a time, without an index, lists of one number per device, and plain numbers in and out of range."""
+    events = table(spark, folder, "events")
     second, value = F.unix_date(F.col("ts").cast("date")) * 86_400, F.col("value").cast("string")
     line = (
         F.when(F.col("event_id") % 4 == 0, F.format_string('{"gpus":[{"index":1,"util":%s}]}', value))
@@ -176,8 +199,8 @@ def telemetry_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("event_id", "gpu", F.unix_micros("ts").alias("ts_micros"), "util")
 
 
-def job_folders(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
-    """Suppliers as jobs: a folder each with results and a run summary; every ninth result is broken."""
+def job_folders(spark: SparkSession, folder: str, summarised: str = "true") -> tuple[DataFrame, str]:
+    """Suppliers as jobs: a folder each with results and, if ``summarised``, a run summary; every ninth result is broken."""
     items = table(spark, folder, "lineitem")
     status = F.when(F.col("l_returnflag") == "A", "Failed - Agent got blocked").otherwise("Completed")
     jobs = items.groupBy(F.col("l_suppkey").alias("job")).agg(
@@ -194,7 +217,7 @@ def job_folders(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
     cut = F.when(F.col("job") % 9 == 0, F.substring(result, 1, 20)).otherwise(result)
     jobs.filter("job % 11 > 0").select("job", cut.alias("value")).write.partitionBy("job").text(f"{path}/results")
     summary = F.to_json(F.struct(F.col("steps").alias("global_steps")))
-    jobs.select("job", summary.alias("value")).write.partitionBy("job").text(f"{path}/summaries")
+    jobs.filter(summarised).select("job", summary.alias("value")).write.partitionBy("job").text(f"{path}/summaries")
     return jobs.select(F.concat(F.lit("job="), F.col("job").cast("string")).alias("job_id")), path
 
 
@@ -215,6 +238,36 @@ def judged_folders(spark: SparkSession, folder: str) -> DataFrame:
     return O.annotate(jobs, judged).join(judged.drop("outcome"), "job_id")
 
 
+def job_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """All that is known of a job: results, run summary, marker lines of its worker's log, and the list of completed jobs."""
+    jobs, path = job_folders(spark, folder, "job % 2 = 0")
+    items = table(spark, folder, "lineitem").withColumnRenamed("l_suppkey", "job")
+    timeout = (F.col("job") % 3 == 0) & (F.col("l_linenumber") >= 5)
+    line = F.when(timeout, F.concat("l_orderkey", F.lit(" connection timeout after 30 s"))).otherwise(F.concat("l_orderkey", F.lit(" ok")))
+    items.select("job", line.alias("value")).write.partitionBy("job").text(f"{path}/logs")
+    done = items.filter("job % 4 = 1").groupBy("job").agg(F.sum("l_quantity").alias("duration"))
+    record = F.struct(
+        F.concat(F.lit("job="), "job").alias("job_id"), F.lit("a").alias("agent"), (F.col("job") % 3).alias("rc"), "duration"
+    )
+    lists = done.groupBy(F.floor(F.col("job") / REPOSITORY_GROUP)).agg(F.to_json(F.collect_list(record)).alias("value"))
+    one_file_each(lists, f"{path}/completed")
+
+    markers = R.read_log_markers(spark, f"{path}/logs/*/*.txt", "timeout after")
+    completed = R.read_completed_jobs(spark, f"{path}/completed").select("job_id", "rc", "duration")
+    broken = R.broken_results(spark, f"{path}/results", "*.txt").select("job_id", F.lit(True).alias("is_broken"))
+    known = O.join_evidence(
+        jobs, R.read_results(spark, f"{path}/results", "*.txt"), R.read_run_summaries(spark, f"{path}/summaries", "*.txt"), markers
+    )
+    return known.join(broken, "job_id", "left").join(completed, "job_id", "left").select(
+        "job_id",
+        O.missing_reason(F.col("has_results"), F.col("is_broken"), F.col("global_steps"), F.col("marker_lines")).alias("missing"),
+        F.col("marker_lines").cast("bigint").alias("marker_lines"),
+        "global_steps",
+        "rc",
+        "duration",
+    )
+
+
 def job_report(spark: SparkSession, folder: str) -> DataFrame:
     """Runs per outcome, written in three formats and read back from each."""
     counts = judged_folders(spark, folder).groupBy(F.coalesce("outcome", F.lit("unknown")).alias("outcome")).agg(F.count("*").alias("n"))
@@ -235,7 +288,7 @@ def harvest_job(spark: SparkSession, folder: str) -> DataFrame:
     payloads(spark, folder, f"{path}/stored")
     first = H.harvest_job(spark, f"{path}/stored", path, PAGE_OPTIONS)
     again = H.harvest_job(spark, f"{path}/stored", path, PAGE_OPTIONS)
-    listed = R.read_manifest(spark, f"{path}/manifest")
+    listed = R.read_manifest(spark, f"{V.current(spark, path)}/manifest")
     texts = H.feed_files(spark, path)
     return listed.join(texts, "file").select(
         "file", "repo", "owner", "path", "branch", "bytes",
@@ -246,8 +299,8 @@ def harvest_job(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stored_links, stored_listings, stored_contents, stored_texts, jsonl_lines, first_log_lines, stored_corpus, changed_corpus,
-        sorted_csv, utc_stamps, telemetry_gaps, judged_folders, job_report, harvest_job,
+        stored_links, stored_listings, stored_contents, stored_texts, jsonl_lines, first_log_lines, stored_corpus, published_corpus, changed_corpus,
+        sorted_csv, utc_stamps, telemetry_gaps, judged_folders, job_evidence, job_report, harvest_job,
     )
 }
 
@@ -287,6 +340,7 @@ SQL = {
         FROM events QUALIFY place <= 700
     """,
     "stored_corpus": "SELECT source AS repo, doc_id || '.txt' AS file, md5(text) AS content_md5 FROM documents",
+    "published_corpus": "SELECT source AS repo, doc_id || '.txt' AS file, md5(text || '.') AS content_md5 FROM documents",
     "changed_corpus": """
         SELECT turn, turn <> 1 AS written, (SELECT CAST(sum(n_chars + CAST(doc_id % 7 = 0 AS INT)) AS BIGINT) FROM documents) AS chars
         FROM (VALUES (0), (1), (2)) AS t(turn)
@@ -297,13 +351,26 @@ SQL = {
     """,
     "utc_stamps": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events",
     "telemetry_gaps": """
-        WITH e AS (SELECT event_id, value AS v, epoch_us(date_trunc('day', ts)) AS ts_micros FROM events WHERE value < 100)
+        WITH e AS (SELECT event_id, value AS v, epoch_us(date_trunc('day', ts)) AS ts_micros FROM events)
         SELECT event_id, CAST(0 AS BIGINT) AS gpu, ts_micros, v AS util FROM e WHERE event_id % 4 = 1
         UNION ALL SELECT event_id, 0, ts_micros, v FROM e WHERE event_id % 4 = 2
         UNION ALL SELECT event_id, 1, ts_micros, 7 FROM e WHERE event_id % 4 = 2
-        UNION ALL SELECT event_id, 0, ts_micros, v FROM e WHERE event_id % 4 = 3
+        UNION ALL SELECT event_id, 0, ts_micros, v FROM e WHERE event_id % 4 = 3 AND v BETWEEN 0 AND 100
     """,
     "judged_folders": f"WITH {JOBS_SQL} SELECT job_id, outcome, missing, global_steps FROM judged",
+    "job_evidence": """
+        WITH j AS (
+            SELECT l_suppkey AS job, CAST(sum(l_linenumber) AS BIGINT) AS steps, sum(l_quantity) AS quantity,
+                   nullif(count(*) FILTER (WHERE l_suppkey % 3 = 0 AND l_linenumber >= 5), 0) AS marker_lines
+            FROM lineitem GROUP BY 1
+        )
+        SELECT 'job=' || job AS job_id,
+               CASE WHEN job % 11 > 0 AND job % 9 > 0 THEN NULL WHEN job % 11 > 0 THEN 'broken result'
+                    WHEN job % 2 = 0 THEN 'wrote elsewhere' WHEN marker_lines > 0 THEN 'no connection'
+                    ELSE 'never came up' END AS missing,
+               marker_lines, CASE WHEN job % 2 = 0 THEN steps END AS global_steps,
+               CASE WHEN job % 4 = 1 THEN CAST(job % 3 AS INT) END AS rc, CASE WHEN job % 4 = 1 THEN quantity END AS duration FROM j
+    """,
     "job_report": f"""
         WITH {JOBS_SQL}
         SELECT coalesce(outcome, 'unknown') AS outcome, count(*) AS n, kind
@@ -314,7 +381,9 @@ SQL = {
             SELECT * FROM c ORDER BY md5('3|someone|' || repo || '|main|' || path), owner, repo, branch, path LIMIT 16
         )
         SELECT 'samples/' || {SAFE.format("repo", "path")} AS file, repo, owner, path, branch,
-               CAST(octet_length(encode(html)) AS BIGINT) AS bytes, md5(html) AS text_md5, true AS first, false AS again
+               CAST(least(octet_length(encode(html)), 65536) AS BIGINT) AS bytes,
+               CASE WHEN octet_length(encode(html)) <= 65536 THEN md5(html)
+                    ELSE md5(unhex(substr(hex(encode(html)), 1, 131072))) END AS text_md5, true AS first, false AS again
         FROM k WHERE octet_length(encode(html)) > 0
     """,
 }

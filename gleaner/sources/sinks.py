@@ -26,14 +26,15 @@ def write_corpus(files: DataFrame, path: str) -> None:
     files.select("repo", "file", "content").write.mode("overwrite").partitionBy("repo").parquet(path)
 
 
-def manifest_document(files: DataFrame, generated_at: Column, source: Column) -> DataFrame:
-    """Header and file list, ordered by name, as one row with one JSON text.
+def manifest_document(files: DataFrame, generated_at: Column, source: Column, by: list[str] = ()) -> DataFrame:
+    """Header and file list, ordered by name, as one row with one JSON text; one for each value of ``by``.
 
-    One document lists the files of one sample, so its size is the sample size the caller asked for; file
-    tables of any size keep the long form.
+    One document lists the files of one sample, so its size is the sample size the caller asked for. File tables of any
+    size keep the long form or go by repository and a run of files of bounded size.
     """
     records = F.sort_array(F.collect_list(F.struct(*FILE_FIELDS)))
-    return files.agg(records.alias("files"), F.count(F.lit(1)).alias("n_files")).select(
+    return files.groupBy(*by).agg(records.alias("files"), F.count(F.lit(1)).alias("n_files")).select(
+        *by,
         F.to_json(
             F.struct(generated_at.alias("generated_at"), source.alias("source"), F.col("files"))
         ).alias("value"),
@@ -41,13 +42,19 @@ def manifest_document(files: DataFrame, generated_at: Column, source: Column) ->
     )
 
 
-def write_document_if_changed(spark: SparkSession, document: DataFrame, path: str, ignore: str = "generated_at") -> bool:
-    """Write the one JSON text ``value`` unless the one there says the same; the field ``ignore`` does not count."""
+def document_changed(spark: SparkSession, document: DataFrame, path: str, ignore: str = "generated_at") -> bool:
+    """Whether the one JSON text ``value`` says something else than the one stored there; the field ``ignore`` does not count."""
+    if not exists(spark, path):
+        return True
     told = F.to_json(F.map_filter(F.from_json("value", "map<string,string>"), lambda k, _: k != ignore))
-    if exists(spark, path):
-        old = spark.read.text(path, wholetext=True).select(told.alias("told"))
-        if not document.select(told.alias("told")).exceptAll(old).head(1):
-            return False
+    old = spark.read.text(path, wholetext=True).select(told.alias("told"))
+    return bool(document.select(told.alias("told")).exceptAll(old).head(1))
+
+
+def write_document_if_changed(spark: SparkSession, document: DataFrame, path: str, ignore: str = "generated_at") -> bool:
+    """Write the one JSON text ``value`` unless the one there says the same."""
+    if not document_changed(spark, document, path, ignore):
+        return False
     document.select("value").coalesce(1).write.mode("overwrite").text(path)
     return True
 

@@ -1,10 +1,12 @@
 import base64
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.plans.harvest import HarvestOptions, candidates, harvest, select_repositories
+from gleaner.plans.registered import stored
 from gleaner.plans.telemetry import telemetry_report
 from gleaner.sources import readers as R
 from gleaner.sources import schemas
@@ -252,3 +254,14 @@ def test_first_lines_of_empty_files(spark, tmp_path):
     (tmp_path / "a").write_text("\n \n")
     (tmp_path / "b").write_text("")
     assert R.first_lines(spark, str(tmp_path), 3).count() == 0
+
+
+def test_harvest_job_cuts_a_page_over_the_size_cap(spark, tmp_path):
+    long, wide = "<p>" + "x" * 70_000 + "</p>", "<p>" + "y" * 65_533
+    rows = [(i, f"https://a{i % 3}.example.com/p{i}.html", html) for i, html in enumerate([long, wide, "<a href='z'>short</a>", ""])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {tuple(r) for r in stored.harvest_job(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == set(con.execute(stored.SQL["harvest_job"]).fetchall())
+    assert sorted(r[5] for r in got) == [21, 65_536, 65_536]
