@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from gleaner.operators.telemetry import extract_readings
+from gleaner.operators.telemetry import extract_readings, rejects
 from gleaner.sources.readers import stream_jsonl
 
 
@@ -31,3 +31,26 @@ def append_all(readings: DataFrame, out: str, checkpoint: str) -> StreamingQuery
         .trigger(availableNow=True)
         .start()
     )
+
+
+def run_with_rejects(
+    lines: DataFrame, out: str, checkpoint: str, line: str = "value", gpu_count: int | None = None
+) -> StreamingQuery:
+    """Readings and rejects of a stream of lines, below ``out``: one folder per batch in each of the two tables.
+
+    A batch that is repeated after a failure replaces its own folders, so both tables hold every row once.
+    """
+
+    def sort_out(batch: DataFrame, number: int) -> None:
+        extract_readings(batch, line, gpu_count).write.mode("overwrite").parquet(f"{out}/readings/batch={number}")
+        rejects(batch, line, gpu_count).write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
+
+    return (
+        lines.writeStream.foreachBatch(sort_out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def sorted_out(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """The two tables that ``run_with_rejects`` has written so far."""
+    read = lambda kind: spark.read.option("basePath", f"{out}/{kind}").parquet(f"{out}/{kind}").drop("batch")
+    return read("readings"), read("rejects")
