@@ -51,8 +51,8 @@ BITS = 1 << 25
 TILE, DENSE = 256, 16
 
 # Bytes of text of one language that are counted at once, and coordinates that a task holds.
-CHUNK = 2 << 20
-HELD = 1 << 19
+CHUNK = 1 << 20
+HELD = 1 << 18
 
 # Fixed values of the definition: blanks between words, ends of pieces.
 KIND = np.zeros(256, np.uint8)
