@@ -9,9 +9,12 @@ else; common words have a small one by their n(t). In the documents of the entit
 ``REMOVE`` on, and replaced by a general class from ``GENERALISE`` on, wherever they stand. An entity of one
 document counts like any other. Documents without personal data are left alone.
 
-Everything is built-in functions. Entities that stand in the same documents are weighed as one, so a document
-has a row per term and class, not per entity; counts are combined map-side; of the texts only those with
-personal data are shuffled. Nothing is written.
+Everything is built-in functions. Entities that stand in the same documents are weighed as one class. Terms and classes
+are not multiplied: if a term stands in one document of a class only, n(e,t) is that document's, and the share is greatest
+for the rarest class there, so a document needs one number. Only terms in several documents of a class are weighed with it,
+and they stand in another one than that with most terms; so a page that lists many addresses, which stand elsewhere
+too, meets none of their classes with all its terms. Terms too common for any share that counts are left out before. Counts
+are combined map-side; of the texts only those with personal data are shuffled. Nothing is written.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows count as documents of their
 own and get equal spans; other columns are left out; an empty table gives an empty result.
@@ -28,9 +31,6 @@ from gleaner.operators.rowwise import computed
 
 KINDS = ("email", "ip", "card", "phone")
 
-# Neither is a cut: the window is the whole document, and one document is support enough.
-WINDOW = 2**31 - 1
-SUPPORT = 1
 GENERALISE, REMOVE = 0.6, 0.9
 TERM = r"\p{L}{2,}"
 
@@ -147,25 +147,59 @@ def classes(private: DataFrame) -> DataFrame:
     return each.select("row", "entity").join(entities, "entity").select("row", "class", "n_entity").distinct()
 
 
-def disclosure(docs: DataFrame, met: DataFrame) -> DataFrame:
-    """``class``, ``term`` and the ``share`` of the entities that the term discloses."""
-    total = docs.agg(F.count("*")).scalar().cast("double")
-    pairs = met.groupBy("class", "term", "n_entity").agg(F.sum("times").alias("n_both"))
+def share_of(total: Column, n_entity: Column, n_both: Column, n_term: Column) -> Column:
+    """Mutual information of term and entity over the information content of the entity."""
     # A run of letters that elsewhere stands only beside personal data is in no count.
-    known = pairs.join(document_counts(docs), "term", "left").withColumn("n_term", F.greatest("n_term", "n_both"))
-    content = F.log(total / F.col("n_entity"))
-    shared = F.log(total * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    return known.select("class", "term", F.when(content > 0, shared / content).otherwise(F.lit(0.0)).alias("share"))
+    n_term = F.greatest(n_term, n_both)
+    content = F.log(total / n_entity)
+    return F.when(content > 0, F.log(total * n_both / (n_entity * n_term)) / content).otherwise(F.lit(0.0))
+
+
+def met_in_several(counted: DataFrame, own: DataFrame, total: Column) -> DataFrame:
+    """Terms and the classes of several rows, in all rows of a class but ``most``, the one with most terms.
+
+    ``row, class, n_entity, most, term, times, n_term``.
+    """
+    several = own.filter("class.rows > 1").join(counted.groupBy("row").agg(F.count("*").alias("n")), "row")
+    most = several.groupBy("class").agg(F.max(F.struct("n", "row")).alias("most")).select("class", F.col("most.row").alias("most"))
+    smaller = several.join(most, "class").filter("row <> most").select("row", "class", "n_entity", "most")
+    # n(e,t) is n(e) at most, so a term that stands in more documents than this has too small a share.
+    bound = F.col("n_entity") * F.pow(total / F.col("n_entity"), F.lit(1 - GENERALISE))
+    common = F.col("n_term") > F.ceil(bound * 1.001)
+    return smaller.join(counted, "row").filter(~F.coalesce(common, F.lit(False)))
+
+
+def disclosure(docs: DataFrame, terms: DataFrame, own: DataFrame) -> DataFrame:
+    """``row``, ``term`` and a ``share`` from ``GENERALISE`` on: the greatest is that of the entities it tells most of.
+
+    ``terms`` holds ``row, times, term``, ``own`` the classes of the rows.
+    """
+    total = docs.agg(F.count("*")).scalar().cast("double")
+    counted = terms.join(document_counts(docs), "term", "left")
+    share = lambda n_both: share_of(total, F.col("n_entity"), F.col(n_both), F.col("n_term"))
+    # With the rarest class of its row, as if the term stood in no other row of that class.
+    rarest = own.groupBy("row").agg(F.min("n_entity").alias("n_entity"))
+    alone = counted.join(rarest, "row").select("row", "term", share("times").alias("share"))
+
+    met = met_in_several(counted, own, total)
+    sums = met.groupBy("class", "term", "n_entity", "most").agg(F.sum("times").alias("n_small"), F.first("n_term").alias("n_term"))
+    there = terms.select(F.col("row").alias("most"), "term", F.col("times").alias("n_most"))
+    both = sums.join(there, ["most", "term"], "left").withColumn("n_both", F.col("n_small") + F.coalesce("n_most", F.lit(0)))
+    shares = both.select("class", "term", "most", "n_most", share("n_both").alias("share")).filter(F.col("share") >= GENERALISE)
+    in_small = met.select("row", "class", "term").join(shares, ["class", "term"]).select("row", "term", "share")
+    in_most = shares.filter("n_most IS NOT NULL").select(F.col("most").alias("row"), "term", "share")
+    return alone.unionByName(in_small).unionByName(in_most).filter(F.col("share") >= GENERALISE)
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, the base ``spans`` and the ``terms`` (start, end, action)."""
     base = with_base(docs)
     private = private_rows(base)
-    met = occurrences(private).join(classes(private), "row")
-    shares = disclosure(docs, met).filter(F.col("share") >= GENERALISE)
+    met = occurrences(private)
+    shares = disclosure(docs, met.select("row", "times", "term"), classes(private))
     action = F.when(F.max("share") >= REMOVE, "remove").otherwise("generalise")
-    found = met.join(shares, ["class", "term"]).groupBy("row", "term").agg(action.alias("action"), F.first("places").alias("places"))
+    told = shares.groupBy("row", "term").agg(action.alias("action"))
+    found = told.join(met.select("row", "term", "places"), ["row", "term"])
     placed = F.expr("flatten(collect_list(transform(places, p -> struct(p.start, p.end, action))))")
     terms = found.groupBy("row").agg(F.sort_array(placed).alias("terms"))
     none = F.expr("CAST(array() AS array<struct<start: int, end: int, action: string>>)")

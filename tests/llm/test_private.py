@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 from fixtures import AWKWARD, documents, saved
+from pyspark.sql import functions as F
 
 from gleaner.llm import private
 
@@ -59,12 +60,7 @@ def brute(texts):
         for kind, s, e, value in spans[i]:
             entity = f"{kind}:{value.lower()}"
             seen[entity].add(i)
-            left, right = max(s - private.WINDOW, 0), min(e + private.WINDOW, len(t))
-            while left > 0 and left < s and t[left].isalpha():
-                left += 1
-            while right < len(t) and right > e and t[right - 1].isalpha():
-                right -= 1
-            for x, y in ((left, s), (e, right)):
+            for x, y in ((0, s), (e, len(t))):
                 for a, b in letters(t[x:y]):
                     a, b = a + x, b + x
                     if not any(p < b and a < q for _, p, q, _ in spans[i]):
@@ -75,7 +71,7 @@ def brute(texts):
         word = texts[i][a:b].lower()
         both = len(with_[entity, word])
         content = math.log(n / len(seen[entity]))
-        if both < private.SUPPORT or content <= 0:
+        if content <= 0:
             continue
         share = math.log(n * both / (len(seen[entity]) * len(held[word]))) / content
         if share >= private.GENERALISE:
@@ -146,3 +142,47 @@ def test_terms_far_from_the_entity(spark):
     plain = [f"{far}ask {c}" for c in "abcdefghij"]
     rows = {r.doc_id: r.text for r in private.sanitised(documents(spark, [told, told, *plain])).collect()}
     assert set(rows) == {0, 1} and rows[0] == f" {far}[email], [email] {far}ask "
+
+
+def test_many_entities_over_several_documents(spark, tmp_path):
+    """Chance meetings of addresses and words over a few documents, so that every share is in between."""
+    rng = random.Random(8)
+    parts = "lo mi qua te sor bel hin ad ulk ren".split()
+    words = [f"{a}{b}{c}" for a in parts for b in parts for c in parts[:2]]
+    given = []
+    for _ in range(60):
+        own = [rng.choice(words) for _ in range(rng.randrange(1, 12))] + [f"u{rng.randrange(12)}@x.example" for _ in range(rng.randrange(4))]
+        rng.shuffle(own)
+        given.append(" ".join(own))
+    given += [given[0], given[1], given[1]]
+    _, terms = brute(given)
+    got = private.query(spark, saved(spark, tmp_path, documents(spark, given))).collect()
+    assert any(terms)
+    for r in got:
+        spans = [x for x in r.spans.split(",") if x.startswith("term:")]
+        assert spans == [f"term:{a}:{b}" for (a, b), _ in terms[r.doc_id]], given[r.doc_id]
+        assert r.n_removed == sum(v >= private.REMOVE for _, v in terms[r.doc_id])
+
+
+def test_a_page_of_many_addresses_is_not_multiplied(spark):
+    """Rows in proportion to addresses and terms, not to their product."""
+    for n_addresses, n_terms in ((200, 1_000), (400, 2_000)):
+        letters = lambda k: "".join(chr(97 + int(d)) for d in str(10_000 + k))
+        page = " ".join([f"p{k}@x.example" for k in range(n_addresses)] + [letters(k) for k in range(n_terms)])
+        others = [f"write to p{k}@x.example about {letters(k)}" for k in range(n_addresses)]
+        docs = documents(spark, [page, *others])
+        base = private.with_base(docs)
+        rows = private.private_rows(base)
+        terms = private.occurrences(rows).select("row", "times", "term")
+        counted = terms.join(private.document_counts(docs), "term", "left")
+        met = private.met_in_several(counted, private.classes(rows), F.lit(float(n_addresses + 1)))
+        assert met.count() <= 4 * n_addresses
+    got = {r.doc_id: r for r in private.all_spans(docs).collect()}
+    assert len(got[0].spans) == n_addresses and len(got[0].terms) == n_terms
+
+
+def test_clashing_columns(spark):
+    docs = documents(spark, texts()[:30])
+    more = docs.withColumns({c: F.lit("mine") for c in ("row", "spans", "term", "class", "times", "places")})
+    plain = {r.doc_id: (r.spans, r.terms) for r in private.all_spans(docs).collect()}
+    assert {r.doc_id: (r.spans, r.terms) for r in private.all_spans(more).collect()} == plain
