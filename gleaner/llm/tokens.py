@@ -23,6 +23,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +131,8 @@ class Encoder:
         self.special = {t.content.encode(): np.array([i], "<u4").tobytes() for i, t in added.items()}
         longest = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")").split if longest else lambda text: [text]
+        # What all of them begin with, which few texts hold.
+        self.mark = commonprefix(longest)
         self.library.encode_special_tokens = True
         self.model = self.library.model
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -151,9 +154,9 @@ class Encoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        parts = self.cut(text)
-        if len(parts) == 1:
+        if not self.special or self.mark not in text:
             return self._part(text)
+        parts = self.cut(text)
         return b"".join([self.special[p] if k % 2 else self._part(p) for k, p in enumerate(parts)])
 
     def _part(self, text: bytes) -> bytes:
