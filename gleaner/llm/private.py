@@ -14,7 +14,8 @@ are not multiplied: if a term stands in one document of a class only, n(e,t) is
 for the rarest class there, so a document needs one number. Only terms in several documents of a class are weighed with it,
 and they stand in another one than that with most terms; so a page that lists many addresses, which stand elsewhere
 too, meets none of their classes with all its terms. Terms too common for any share that counts are left out before. Counts
-are combined map-side; of the texts only those with personal data are shuffled. Nothing is written.
+are combined map-side; of the texts only those with personal data are shuffled. They, their terms and classes are
+written to the shared folder, as each is used several times.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows count as documents of their
 own and get equal spans; other columns are left out; an empty table gives an empty result.
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, id_and_text
 from gleaner.operators.rowwise import computed
+from gleaner.session import write_through
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -175,13 +177,13 @@ def disclosure(docs: DataFrame, terms: DataFrame, own: DataFrame) -> DataFrame:
     ``terms`` holds ``row, times, term``, ``own`` the classes of the rows.
     """
     total = docs.agg(F.count("*")).scalar().cast("double")
-    counted = terms.join(document_counts(docs), "term", "left")
+    counted = write_through(terms.join(document_counts(docs), "term", "left"))
     share = lambda n_both: share_of(total, F.col("n_entity"), F.col(n_both), F.col("n_term"))
     # With the rarest class of its row, as if the term stood in no other row of that class.
     rarest = own.groupBy("row").agg(F.min("n_entity").alias("n_entity"))
     alone = counted.join(rarest, "row").select("row", "term", share("times").alias("share"))
 
-    met = met_in_several(counted, own, total)
+    met = write_through(met_in_several(counted, own, total))
     sums = met.groupBy("class", "term", "n_entity", "most").agg(F.sum("times").alias("n_small"), F.first("n_term").alias("n_term"))
     there = terms.select(F.col("row").alias("most"), "term", F.col("times").alias("n_most"))
     both = sums.join(there, ["most", "term"], "left").withColumn("n_both", F.col("n_small") + F.coalesce("n_most", F.lit(0)))
@@ -194,9 +196,9 @@ def disclosure(docs: DataFrame, terms: DataFrame, own: DataFrame) -> DataFrame:
 def all_spans(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, the base ``spans`` and the ``terms`` (start, end, action)."""
     base = with_base(docs)
-    private = private_rows(base)
-    met = occurrences(private)
-    shares = disclosure(docs, met.select("row", "times", "term"), classes(private))
+    private = write_through(private_rows(base))
+    met = write_through(occurrences(private))
+    shares = disclosure(docs, met.select("row", "times", "term"), write_through(classes(private)))
     action = F.when(F.max("share") >= REMOVE, "remove").otherwise("generalise")
     told = shares.groupBy("row", "term").agg(action.alias("action"))
     found = told.join(met.select("row", "term", "places"), ["row", "term"])
