@@ -5,15 +5,19 @@ Two bigram models with one vocabulary and one smoothing are matched: one of the
 tokens of the background's loss minus the target's, in nats: the higher, the more like the target.
 
 The vocabulary is that of the documents. Words and pairs of a word and its follower are named by hashes of 63
-bits, the last bit of the name tells the two apart; the same in both models. Counts are taken over all
-documents, added up in each task and then over the tasks, and stay a table in the shared folder, which grows
-with the vocabulary. Of it the driver holds a row of totals.
+bits, the last bit of the name tells the two apart; the same in both models. Counts are taken over all documents.
+
+Texts are written once, in blocks of bounded size. A block sends each of its distinct types once, in order, with
+their counts in the block, to the parts of the range of hashes; there are as many parts as the texts have multiples
+of ``PART`` bytes, and a part adds up what the blocks sent. It answers each block with the whole counts in the order
+of what the block sent, so answers hold no names. The block's texts meet the answers and are scored there. A type
+travels once for each block that holds it, however often it stands there, and no row per document and type exists.
+The driver holds a row of totals.
 
 The probability of a word w after v is (c(v, w) + M p(w)) / (c(v) + M) with Dirichlet weight M, where
 p(w) = (c(w) + 1) / (n + types). There are as many types as distinct words, but ``2 ** WORD_BITS`` at least.
-A text starts after the type of the empty word. So a token's loss is -log(M p(w)) + log(c(v) + M), from words
-alone, and for pairs that were seen -log(1 + c(v, w) / (M p(w))). The distinct words and pairs of a document
-meet these in one shuffled join and are added up by document, in units of ``UNIT``, so in any order alike.
+A text starts after the type of the empty word. c(v) is how often v stands before a token: as often as it stands
+anywhere, less the texts that it ends. Losses are added up in units of ``UNIT``, so in any order alike.
 
 Defined cases: null and empty texts have no tokens and the score 0; repeated rows are scored and counted
 each on their own; documents without a label, or with several, count as target if one calls them good;
@@ -23,15 +27,16 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from math import log
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import Batches, documents, id_and_text, map_batches
-from gleaner.llm.minhash import U, chunks, mixed, word_hashes
+from gleaner.llm.minhash import U, mixed, word_hashes
 from gleaner.session import write_through
 
 WORD_BITS = 17
@@ -39,8 +44,17 @@ WEIGHT = 50.0
 START = mixed(np.array([7], U))
 UNIT = 2.0**-30
 
-# Counts that a task holds before it gives them on.
-HELD = 1 << 21
+# A block ends with the text that reaches this many bytes, or with this many texts.
+BLOCK = 1 << 23
+TEXTS = 1 << 16
+
+# Bytes of text for which there is a part of the range of hashes.
+PART = 1 << 23
+
+# Messages in a batch that a worker gives on.
+BATCH = 256
+
+COUNTS = ("n_all", "n_target", "ends_all", "ends_target")
 
 
 def types_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,139 +77,251 @@ def previous(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return before
 
 
-def added(keys: list[np.ndarray], *sums: np.ndarray) -> list[np.ndarray]:
-    """Distinct rows of ``keys``, ordered by the last one, and their sums."""
-    order = np.lexsort(keys)
-    keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    starts = np.flatnonzero(new)
-    return [*[k[starts] for k in keys], *[np.add.reduceat(s[order], starts) if len(starts) else s for s in sums]]
+def packed(values: np.ndarray) -> bytes:
+    """Their number, then their bytes, those of equal weight side by side, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, dtype: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(dtype).reshape(n)
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """``type``, ``word`` (of a pair, else null) and how often the type and, of words, a token after it stand in
-    the target and in all documents; ``docs`` has ``target``."""
-    names = ["type", "word", "n_target", "n_all", "after_target", "after_all"]
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Rising numbers as differences; ``np.cumsum`` is the way back."""
+    return np.diff(keys, prepend=U(0))
 
-    def rows(held: list[np.ndarray]) -> Batches:
-        for at in range(0, len(held[0]), 100_000):
-            key, word, *sums = (x[at : at + 100_000] for x in held)
-            columns = [pa.array(key), pa.array(word, mask=key & 1 == 0), *map(pa.array, sums)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """Written blocks: ``block``, its ``ids``, the lengths of its texts in bytes, the texts and their ``size``."""
+    names = ["block", "ids", "lengths", "texts", "size"]
+
+    def row(block: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        data = b"".join(texts)
+        values = [block, ids, packed(np.array([len(t) for t in texts], np.int64)), packed(np.frombuffer(data, np.uint8)), len(data)]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
     def run(batches: Batches) -> Batches:
-        parts: list[list[np.ndarray]] = []
+        block, size = TaskContext.get().partitionId() << 32, 0
+        ids, texts = [], []
         for batch in batches:
-            target = np.array(batch.column(2))
-            for first, texts in chunks(batch):
-                words, pairs, ends = types_of(texts)
-                lengths = np.diff(np.concatenate(([0], ends)))
-                good = np.repeat(target[first : first + len(texts)], lengths).astype(np.int64)
-                one, no = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
-                seen = ((words, no, good, one, no, no), (previous(words, ends), no, no, no, good, one), (pairs, words, good, one, no, no))
-                key, word, *sums = (np.concatenate(x) for x in zip(*seen, strict=True))
-                parts.append(added([key, word], *sums))
-                if sum(len(p[0]) for p in parts) > HELD:
-                    key, word, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
-                    parts = [added([key, word], *sums)]
-                    if len(parts[0][0]) > HELD // 2:
-                        yield from rows(parts.pop())
-        if parts:
-            key, word, *sums = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield from rows(added([key, word], *sums))
-
-    partial = map_batches(docs, run, ", ".join(f"{n} long" for n in names))
-    return partial.groupBy("type", "word").agg(*[F.sum(n).alias(n) for n in names[2:]])
-
-
-def train(docs: DataFrame, good: DataFrame) -> tuple[DataFrame, Row]:
-    """The written counts and their totals; ``good`` holds the ``doc_id`` of the target."""
-    # Labels grow with the documents, so they are never broadcast: one plan at every size.
-    flags = good.select(F.col("doc_id").alias("_good")).distinct().hint("merge")
-    flagged = id_and_text(docs).join(flags, F.col("doc_id") == F.col("_good"), "left")
-    found = write_through(counts(flagged.select("doc_id", "text", F.col("_good").isNotNull().alias("target"))))
-    start = F.col("type") == int((START & ~U(1)).view(np.int64)[0])
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    totals = found.filter("word IS NULL").agg(
-        F.count_if(F.col("n_all") > 0).alias("types"),
-        *[total(F.col(f"n_{m}")).alias(f"n_{m}") for m in ("target", "all")],
-        *[total(F.when(start, F.col(f"after_{m}"))).alias(f"starts_{m}") for m in ("target", "all")],
-    )
-    return found, totals.first()
+            for i, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
+                ids.append(i.as_py())
+                texts.append(text.as_py())
+                size += len(texts[-1])
+                if size >= BLOCK or len(texts) >= TEXTS:
+                    yield row(block, ids, texts)
+                    block, size, ids, texts = block + 1, 0, [], []
+        if texts:
+            yield row(block, ids, texts)
 
+    return write_through(map_batches(id_and_text(docs), run, "block long, ids array<long>, lengths binary, texts binary, size long"))
 
-def units(loss: Column) -> Column:
-    return F.round(loss / UNIT).cast("long")
 
+def texts_of(lengths: bytes, texts: bytes) -> list[bytes]:
+    data, cuts = unpacked(texts, np.uint8).tobytes(), np.cumsum(unpacked(lengths, np.int64)).tolist()
+    return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
-def losses(counted: DataFrame, size: dict[str, int]) -> DataFrame:
-    """``type`` and what it adds to the loss of a token, and of the token after it, in both models."""
-    alone = counted.filter("word IS NULL").drop("word")
-    words = alone.select(
-        "type",
-        *[units(-F.log(WEIGHT * (F.col(f"n_{m}") + 1) / size[m])).alias(f"own_{m}") for m in size],
-        *[units(F.log(F.col(f"after_{m}") + WEIGHT)).alias(f"next_{m}") for m in size],
-    )
-    parts = alone.select(F.col("type").alias("_word"), *[(WEIGHT * (F.col(f"n_{m}") + 1) / size[m]).alias(f"_{m}") for m in size])
-    pairs = counted.filter("word IS NOT NULL").join(parts.hint("merge"), F.col("word") == F.col("_word"))
-    seen = pairs.select(
-        "type",
-        *[units(-F.log1p(F.col(f"n_{m}") / F.col(f"_{m}"))).alias(f"own_{m}") for m in size],
-        *[F.lit(0).cast("long").alias(f"next_{m}") for m in size],
-    )
-    return words.unionByName(seen)
+
+def train(docs: DataFrame, good: DataFrame) -> tuple[DataFrame]:
+    """The blocks to count, with the ``places`` of the target's texts in them; ``good`` holds the ``doc_id`` of the target."""
+    found = blocks(docs)
+    # Labels grow with the documents, so they are never broadcast: one plan at every size.
+    flags = good.select(F.col("doc_id").alias("_good")).distinct().hint("merge")
+    each = found.select("block", F.posexplode("ids").alias("place", "doc_id"))
+    places = each.join(flags, F.col("doc_id") == F.col("_good")).groupBy("block").agg(F.collect_list("place").alias("places"))
+    return (found.join(places, "block", "left"),)
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys >> U(32)) * U(parts) >> U(32)
 
 
-def distinct_types(docs: DataFrame) -> DataFrame:
-    """``row``, ``doc_id``, ``type``, its number ``own`` and, of words, ``next``, that of tokens after it; START is left out."""
+def summed(keys: np.ndarray, sums: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys in order, the place of every key among them, and sums by key."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    starts = np.flatnonzero(new)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return keys[starts], place, [np.add.reduceat(s[order], starts, dtype=s.dtype) if len(starts) else s for s in sums]
+
+
+def messages(found: DataFrame, parts: int, counts: bool, asks: bool) -> DataFrame:
+    """What the blocks send: ``part``, ``block``, whether it ``asks``, the types and, if it ``counts``, their counts in it.
+
+    ``ends_all`` and ``ends_target``, the texts that end with a word, hold numbers for words alone.
+    """
+    names = ["part", "block", "asks", "keys", *COUNTS]
+    types = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
+
+    def of_block(block: int, texts: list[bytes], places: list[int]) -> Iterator[tuple]:
+        words, pairs, ends = types_of(texts)
+        keys = np.concatenate((words, pairs)).view(U)
+        if not counts:
+            keys, sums = np.unique(keys), []
+        else:
+            lengths = np.diff(ends, prepend=0)
+            good = np.zeros(len(texts), np.uint32)
+            good[places] = 1
+            last = np.zeros(len(words), np.uint32)
+            last[ends[lengths > 0] - 1] = 1
+            target, none = np.repeat(good, lengths), np.zeros(len(words), np.uint32)
+            each = (np.ones(len(keys), np.uint32), np.concatenate((target, target)), np.concatenate((last, none)), np.concatenate((last * target, none)))
+            keys, _, sums = summed(keys, each)
+        is_word = keys & U(1) == 0
+        cuts = np.searchsorted(part_of(keys, parts), np.arange(parts + 1, dtype=U))
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            some = slice(cuts[part], cuts[part + 1])
+            seen = [packed(s[some] if i < 2 else s[some][is_word[some]]) for i, s in enumerate(sums)] or [None] * 4
+            yield part, block, asks, packed(steps(keys[some])), *seen
 
     def run(batches: Batches) -> Batches:
-        start = (START & ~U(1)).view(np.int64)
+        held: list[tuple] = []
         for batch in batches:
-            row = np.array(batch.column(2))
-            for first, texts in chunks(batch):
-                words, pairs, ends = types_of(texts)
-                lengths = np.diff(np.concatenate(([0], ends)))
-                doc = np.repeat(np.arange(len(texts)), lengths)
-                one, no = np.ones(len(words), np.int32), np.zeros(len(words), np.int32)
-                before = previous(words, ends)
-                inner = before != start
-                # A text without tokens has a row that counts nothing, of a type of its own.
-                empty = np.flatnonzero(lengths == 0)
-                none = (mixed(row[first + empty].astype(U)) & ~U(1)).view(np.int64)
-                key = np.concatenate((words, before[inner], pairs, none))
-                own = np.concatenate((one, no[inner], one, np.zeros(len(empty), np.int32)))
-                after = np.concatenate((no, one[inner], no, np.zeros(len(empty), np.int32)))
-                key, doc, own, after = added([key, np.concatenate((doc, doc[inner], doc, empty))], own, after)
-                columns = [pa.array(row[first + doc]), batch.column(0).take(pa.array(first + doc)), pa.array(key), *[pa.array(x.astype(np.int32)) for x in (own, after)]]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "type", "own", "next"])
-
-    numbered = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
-    return map_batches(numbered, run, "row long, doc_id long, type long, own int, next int")
-
-
-def scored(docs: DataFrame, counted: DataFrame, totals: Row) -> DataFrame:
-    """``doc_id``, ``n_tokens``, mean losses of both models, and ``score``, their difference."""
+            for block, lengths, texts, places in zip(*batch.columns, strict=True):
+                for message in of_block(block.as_py(), texts_of(lengths.as_py(), texts.as_py()), places.as_py() or []):
+                    held.append(message)
+                    if len(held) >= BATCH:
+                        yield rows_of(held, names, types)
+                        held = []
+        yield rows_of(held, names, types)
+
+    places = F.col("places") if "places" in found.columns else F.lit(None).cast("array<int>").alias("places")
+    schema = "part int, block long, asks boolean, keys binary, " + ", ".join(f"{c} binary" for c in COUNTS)
+    return map_batches(found.select("block", "lengths", "texts", places), run, schema)
+
+
+def rows_of(held: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*held, strict=True) if held else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
+def answers(sent: DataFrame) -> DataFrame:
+    """Written answers: ``block``, ``part`` and the whole counts, in the order of the types that the block sent there.
+
+    For each part there is a row without a block that holds the part's totals: ``types`` that are counted
+    words, tokens and texts with tokens of both models.
+    """
+    totals = ["types", "tokens_all", "tokens_target", "starts_all", "starts_target"]
+    names = ["block", "part", *COUNTS, *totals]
+    types = [pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 5]
+
+    def of_part(part: int, rows: list[tuple]) -> Iterator[tuple]:
+        asked = [np.cumsum(unpacked(r[2], U)) for r in rows]
+        keys = np.concatenate(asked)
+        is_word = keys & U(1) == 0
+        sums = [np.zeros(len(keys), np.int64) for _ in COUNTS]
+        at = 0
+        for own, (_, _, _, *seen) in zip(asked, rows, strict=True):
+            if seen[0] is not None:
+                some = slice(at, at + len(own))
+                for i, s in enumerate(seen):
+                    sums[i][some if i < 2 else np.flatnonzero(is_word[some]) + at] = unpacked(s, np.uint32)
+            at += len(own)
+        keys, place, sums = summed(keys, sums)
+        word = keys & U(1) == 0
+        whole = [int(np.count_nonzero(sums[0][word])), *[int(s[word].sum()) for s in sums]]
+        yield None, part, *[None] * 4, *whole
+        at = 0
+        for own, (block, asks, *_) in zip(asked, rows, strict=True):
+            if asks:
+                mine = place[at : at + len(own)]
+                of_words = mine[own & U(1) == 0]
+                yield block, part, *[packed(s[mine if i < 2 else of_words]) for i, s in enumerate(sums)], *[None] * 5
+            at += len(own)
+
+    def run(batches: Batches) -> Batches:
+        for part, rows in grouped(batches):
+            held = []
+            for row in of_part(part, rows):
+                held.append(row)
+                if len(held) >= BATCH:
+                    yield rows_of(held, names, types)
+                    held = []
+            yield rows_of(held, names, types)
+
+    schema = "block long, part int, " + ", ".join([f"{c} binary" for c in COUNTS] + [f"{c} long" for c in totals])
+    return write_through(map_batches(sent.repartition("part").sortWithinPartitions("part", "block"), run, schema))
+
+
+def grouped(batches: Batches) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of equal first column, which stand together: that column and the others."""
+    key, held = None, []
+    for batch in batches:
+        for first, *rest in zip(*batch.columns, strict=True):
+            if held and first.as_py() != key:
+                yield key, held
+                held = []
+            key = first.as_py()
+            held.append(tuple(x.as_py() for x in rest))
+    if held:
+        yield key, held
+
+
+def with_answers(found: DataFrame, answered: DataFrame, totals: Row) -> DataFrame:
+    """The documents of the blocks with their number of tokens and their losses in both models."""
     models = ("target", "all")
-    size = {m: totals[f"n_{m}"] + max(totals["types"], 1 << WORD_BITS) for m in models}
-    met = distinct_types(docs).join(losses(counted, size).hint("merge"), "type", "left")
-    is_word = F.col("type").bitwiseAND(F.lit(1)) == 0
-
-    def part(m: str) -> Column:
-        # Words that no document of the model has; unseen pairs add nothing.
-        own = F.coalesce(f"own_{m}", F.when(is_word, units(F.lit(-log(WEIGHT / size[m])))).otherwise(F.lit(0)))
-        after = F.coalesce(f"next_{m}", units(F.lit(log(WEIGHT))))
-        return F.sum(F.col("own") * own + F.col("next") * after)
-
-    sums = met.groupBy("row", "doc_id").agg(
-        F.sum(F.when(is_word, F.col("own")).otherwise(F.lit(0))).alias("n_tokens"), *[part(m).alias(m) for m in models]
+    size = {m: totals[f"tokens_{m}"] + max(totals["types"], 1 << WORD_BITS) for m in models}
+    starts = {m: totals[f"starts_{m}"] for m in models}
+    names = ["doc_id", "n_tokens", *[f"loss_{m}" for m in models]]
+
+    def of_block(rows: list[tuple]) -> pa.RecordBatch:
+        _, ids, lengths, texts, *_ = rows[0]
+        words, pairs, ends = types_of(texts_of(lengths, texts))
+        keys, place = np.unique(np.concatenate((words, pairs)).view(U), return_inverse=True)
+        own, pair = place[: len(words)], place[len(words) :]
+        parts = np.concatenate(([0], ends))
+        columns = [pa.array(ids, pa.int64()), pa.array(np.diff(parts))]
+        firsts = parts[:-1][np.diff(parts) > 0]
+        for m in models:
+            get = lambda c: np.concatenate([np.zeros(0, np.int64), *[unpacked(r[4 + COUNTS.index(c)], np.int64) for r in rows[1:]]])
+            n, after = get(f"n_{m}"), np.zeros(len(keys), np.int64)
+            is_word = keys & U(1) == 0
+            after[is_word] = n[is_word] - get(f"ends_{m}")
+            seen = np.roll(after[own], 1)
+            seen[firsts] = starts[m]
+            loss = np.log(seen + WEIGHT) - np.log(n[pair] + WEIGHT * (n[own] + 1) / size[m])
+            sums = np.concatenate(([0], np.cumsum(np.rint(loss / UNIT).astype(np.int64))))
+            columns.append(pa.array(np.diff(sums[parts])))
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches: Batches) -> Batches:
+        for _, rows in grouped(batches):
+            yield of_block(rows)
+
+    none = lambda kind, *columns: [F.lit(None).cast(kind).alias(c) for c in columns]
+    texts = found.select("block", F.lit(-1).alias("part"), "ids", "lengths", "texts", *none("binary", *COUNTS))
+    counts = answered.filter("block IS NOT NULL").select(
+        "block", "part", *none("array<long>", "ids"), *none("binary", "lengths", "texts"), *COUNTS
     )
-    first = {m: log(totals[f"starts_{m}"] + WEIGHT) for m in models}
-    mean = {
-        m: F.when(F.col("n_tokens") > 0, (F.col(m) * UNIT + first[m]) / F.col("n_tokens")).otherwise(F.lit(0.0)) for m in models
-    }
-    return sums.select(
+    together = texts.unionByName(counts).repartition("block").sortWithinPartitions("block", "part")
+    return map_batches(together, run, "doc_id long, n_tokens long, loss_target long, loss_all long")
+
+
+def scored(docs: DataFrame | None, counted: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_tokens``, mean losses of both models, and ``score``, their difference.
+
+    Without ``docs`` the documents that are counted are scored, and their types travel once for both.
+    """
+    asking = counted if docs is None else blocks(docs)
+    tables = [counted] if docs is None else [counted, asking]
+    n_bytes = sum(t.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] for t in tables)
+    parts = max(-(-n_bytes // PART), 1)
+    sent = messages(counted, parts, True, docs is None)
+    if docs is not None:
+        sent = sent.unionByName(messages(asking, parts, False, True))
+    answered = answers(sent)
+    names = ["types", *[f"{c}_{m}" for c in ("tokens", "starts") for m in ("target", "all")]]
+    totals = answered.filter("block IS NULL").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    n = F.col("n_tokens")
+    mean = {m: F.when(n > 0, F.col(f"loss_{m}") * F.lit(UNIT) / n).otherwise(F.lit(0.0)) for m in ("target", "all")}
+    return with_answers(asking, answered, totals).select(
         "doc_id",
         "n_tokens",
         F.round(mean["target"], 6).alias("target_loss"),
@@ -207,7 +333,7 @@ def scored(docs: DataFrame, counted: DataFrame, totals: Row) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
-    return scored(docs, *train(docs, good))
+    return scored(None, *train(docs, good))
 
 
 QUERIES = {"op8_entropy_difference": query}
