@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import Batches, documents, id_and_text, map_batches
-from gleaner.llm.minhash import U, mixed, word_hashes
+from gleaner.llm.minhash import CHUNK, U, mixed, word_hashes
 from gleaner.session import write_through
 
 WORD_BITS = 17
@@ -51,8 +51,8 @@ TEXTS = 1 << 16
 # Bytes of text for which there is a part of the range of hashes.
 PART = 1 << 23
 
-# Messages in a batch that a worker gives on.
-BATCH = 256
+# Bytes of messages after which a worker gives them on.
+BATCH = 1 << 22
 
 COUNTS = ("n_all", "n_target", "ends_all", "ends_target")
 
@@ -68,6 +68,20 @@ def types_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (hashes & ~U(1)).view(np.int64), (pairs | U(1)).view(np.int64), ends
 
 
+def types_in_runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``types_of``, worked out for about ``CHUNK`` bytes of text at once, which bounds the memory of the letters' hashes."""
+    found, cuts, size = [types_of([])], [0], 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= CHUNK or i + 1 == len(texts):
+            found.append(types_of(texts[cuts[-1] : i + 1]))
+            cuts.append(i + 1)
+            size = 0
+    before = np.cumsum([0, *[len(words) for words, _, _ in found[:-1]]])
+    words, pairs, ends = zip(*found, strict=True)
+    return np.concatenate(words), np.concatenate(pairs), np.concatenate([e + b for e, b in zip(ends, before, strict=True)])
+
+
 def previous(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Type of the word before each token."""
     start = (START & ~U(1)).view(np.int64)
@@ -161,7 +175,7 @@ def messages(found: DataFrame, parts: int, counts: bool, asks: bool) -> DataFram
     types = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 5]
 
     def of_block(block: int, texts: list[bytes], places: list[int]) -> Iterator[tuple]:
-        words, pairs, ends = types_of(texts)
+        words, pairs, ends = types_in_runs(texts)
         keys = np.concatenate((words, pairs)).view(U)
         if not counts:
             keys, sums = np.unique(keys), []
@@ -182,24 +196,30 @@ def messages(found: DataFrame, parts: int, counts: bool, asks: bool) -> DataFram
             yield part, block, asks, packed(steps(keys[some])), *seen
 
     def run(batches: Batches) -> Batches:
-        held: list[tuple] = []
         for batch in batches:
             for block, lengths, texts, places in zip(*batch.columns, strict=True):
-                for message in of_block(block.as_py(), texts_of(lengths.as_py(), texts.as_py()), places.as_py() or []):
-                    held.append(message)
-                    if len(held) >= BATCH:
-                        yield rows_of(held, names, types)
-                        held = []
-        yield rows_of(held, names, types)
+                sent = of_block(block.as_py(), texts_of(lengths.as_py(), texts.as_py()), places.as_py() or [])
+                yield from batches_of(sent, names, types)
 
     places = F.col("places") if "places" in found.columns else F.lit(None).cast("array<int>").alias("places")
     schema = "part int, block long, asks boolean, keys binary, " + ", ".join(f"{c} binary" for c in COUNTS)
     return map_batches(found.select("block", "lengths", "texts", places), run, schema)
 
 
-def rows_of(held: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    columns = zip(*held, strict=True) if held else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+def batches_of(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Batches:
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if size >= BATCH:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def answers(sent: DataFrame) -> DataFrame:
@@ -238,13 +258,7 @@ def answers(sent: DataFrame) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         for part, rows in grouped(batches):
-            held = []
-            for row in of_part(part, rows):
-                held.append(row)
-                if len(held) >= BATCH:
-                    yield rows_of(held, names, types)
-                    held = []
-            yield rows_of(held, names, types)
+            yield from batches_of(of_part(part, rows), names, types)
 
     schema = "block long, part int, " + ", ".join([f"{c} binary" for c in COUNTS] + [f"{c} long" for c in totals])
     return write_through(map_batches(sent.repartition("part").sortWithinPartitions("part", "block"), run, schema))
@@ -273,7 +287,7 @@ def with_answers(found: DataFrame, answered: DataFrame, totals: Row) -> DataFram
 
     def of_block(rows: list[tuple]) -> pa.RecordBatch:
         _, ids, lengths, texts, *_ = rows[0]
-        words, pairs, ends = types_of(texts_of(lengths, texts))
+        words, pairs, ends = types_in_runs(texts_of(lengths, texts))
         keys, place = np.unique(np.concatenate((words, pairs)).view(U), return_inverse=True)
         own, pair = place[: len(words)], place[len(words) :]
         parts = np.concatenate(([0], ends))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 from fixtures import AWKWARD, documents, saved
+from pyspark.sql import functions as F
 
 from gleaner.llm import scoring
 
@@ -122,3 +123,41 @@ def test_words_of_no_counted_document(spark):
     total = 3 + 2**scoring.WORD_BITS
     loss = -math.log((1 + 50 * 3 / total) / 51) - math.log((50 * 1 / total) / 51)
     assert abs(got[1].target_loss - loss / 2) < 2e-6 and got[1].score == 0
+
+
+def test_blocks_and_parts_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [t or "" for t in AWKWARD] + [" ".join(f"w{x}" for x in rng.zipf(1.4, 80) % 5000) for _ in range(120)] + ["one"] * 60 + [""] * 9
+    good = set(range(0, len(texts), 3))
+    docs = documents(spark, texts).repartition(3).withColumns({c: F.lit(1) for c in ("block", "part", "place", "_good", "keys")})
+    labels = docs.filter("doc_id % 3 = 0").select("doc_id")
+    monkeypatch.setattr(scoring, "BLOCK", 1500)
+    monkeypatch.setattr(scoring, "TEXTS", 7)
+    monkeypatch.setattr(scoring, "PART", 900)
+    monkeypatch.setattr(scoring, "BATCH", 300)
+    (counted,) = scoring.train(docs, labels)
+    assert counted.count() > 28 and max(len(r.ids) for r in counted.collect()) == 7
+    itself = {r.doc_id: tuple(r)[1:] for r in scoring.scored(None, counted).collect()}
+    others = {r.doc_id: tuple(r)[1:] for r in scoring.scored(docs, counted).collect()}
+    assert itself == others and len(itself) == len(texts)
+    for i, want in enumerate(brute(texts, good)):
+        assert itself[i][0] == want[0]
+        assert np.allclose(itself[i][1:], want[1:], atol=2e-6), i
+
+
+def test_types_in_runs_are_those_of_all_texts(monkeypatch):
+    texts = [(t or "").encode() for t in AWKWARD] * 2
+    want = scoring.types_of(texts)
+    for size in (1, 100, 10**6):
+        monkeypatch.setattr(scoring, "CHUNK", size)
+        assert all(a.tolist() == b.tolist() for a, b in zip(scoring.types_in_runs(texts), want, strict=True))
+    assert [len(x) for x in scoring.types_in_runs([])] == [0, 0, 0]
+
+
+def test_packed_numbers_come_back():
+    for dtype in (np.uint8, np.uint32, np.int64, np.uint64):
+        for values in (np.zeros(0, dtype), np.arange(1000, dtype=dtype) * dtype(7919 if dtype != np.uint8 else 1)):
+            back = scoring.unpacked(scoring.packed(values), dtype)
+            assert back.dtype == dtype and back.tolist() == values.tolist()
+    keys = np.sort(np.random.default_rng(2).integers(0, 2**64, 500, np.uint64))
+    assert np.cumsum(scoring.steps(keys)).tolist() == keys.tolist()
