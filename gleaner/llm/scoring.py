@@ -48,8 +48,9 @@ UNIT = 2.0**-30
 BLOCK = 1 << 23
 TEXTS = 1 << 16
 
-# Bytes of text for which there is a part of the range of hashes.
-PART = 1 << 23
+# Bytes of text for which there is a part of the range of hashes. Messages are as many as blocks times parts, so the
+# larger both are, the fewer; a part's types are in memory at once.
+PART = 1 << 24
 
 # Bytes of messages after which a worker gives them on.
 BATCH = 1 << 22
