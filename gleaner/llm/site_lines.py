@@ -6,8 +6,9 @@ Lines are compared without the blanks around them, by 128-bit digests.
 
 A page counts a line once. Counts per host and line are combined map-side. The boilerplate lines of a host
 are few by construction, its average number of lines per page divided by the ratio at most, so they travel
-as one array per host; the texts are joined with them on the host and a salt, so a hot host's pages spread
-over many tasks.
+as one array per host; the texts are joined with them on the host. A host with more than one of ``SHARES``
+shares of all pages is split into as many parts as it has shares, so no part is larger, whatever the host
+holds. There are fewer than ``SHARES`` such hosts, which is the bound of the only broadcast.
 
 Defined cases: null hosts are one host of their own; a null text has no lines and stays null; blank lines
 are kept and not counted; repeated rows are pages of their own; a page of boilerplate only ends up empty
@@ -24,8 +25,8 @@ from gleaner.llm.common import BLANKS, documents
 RATIO = 0.1
 MIN_PAGES = 5
 
-# Parts of a host's pages when they meet its boilerplate.
-SALTS = 16
+# No part of a host's pages that meets its boilerplate holds more than about one of so many shares of all pages.
+SHARES = 1024
 
 
 def trimmed(line: Column) -> Column:
@@ -55,15 +56,26 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     )
 
 
+def split_hosts(pages: DataFrame, shares: int = SHARES) -> DataFrame:
+    """``hot`` hosts and into how many ``parts`` their pages go; a host of one part has no row."""
+    most = max(pages.count() / shares, 1)
+    sizes = pages.groupBy(F.col("host").alias("hot")).agg(F.count("*").alias("n"))
+    return sizes.filter(F.col("n") > most).select("hot", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+
+
 def cleaned(pages: DataFrame, page: Column, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with the ``text`` without boilerplate, ``n_lines`` before and ``n_dropped``.
 
     ``pages`` holds ``host``, ``text`` and anything else under names of its own; ``page`` tells pages apart,
     as far as there is something that does.
     """
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    common = boilerplate(pages, ratio, min_pages).select(F.col("host").alias("h"), "common", parts.alias("s"))
-    salted = pages.withColumn("salt", F.pmod(F.xxhash64(page), F.lit(SALTS)).cast("int"))
+    hot = F.broadcast(split_hosts(pages))
+    parts = F.coalesce("parts", F.lit(1))
+    split = lambda df: df.join(hot, F.col("host").eqNullSafe(F.col("hot")), "left").drop("hot")
+    common = split(boilerplate(pages, ratio, min_pages)).select(
+        F.col("host").alias("h"), "common", F.explode(F.sequence(F.lit(0), parts - 1)).alias("s")
+    )
+    salted = split(pages).withColumn("salt", F.pmod(F.xxhash64(page), parts).cast("int")).drop("parts")
     same = F.col("host").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("s"))
     met = salted.join(common, same, "left").drop("h", "s", "salt")
     lines = F.split("text", "\n")

@@ -59,3 +59,15 @@ def test_stage_keeps_columns_and_counts_characters(spark):
     assert done.schema.names == docs.schema.names and done.count() == len(given)
     assert all(r.n_chars == len(r.text) for r in done.collect() if r.text is not None)
     assert site_lines.without_boilerplate(docs.limit(0)).count() == 0
+
+
+def test_hot_hosts_are_split_by_their_share(spark):
+    given = rows()
+    pages = documents(spark, [t for t, _ in given], [h for _, h in given]).select("doc_id", F.col("source").alias("host"), "text")
+    for shares in (1, 4, 10, 1024):
+        sizes = Counter(h for _, h in given)
+        most = max(len(given) / shares, 1)
+        got = {r.hot: r.parts for r in site_lines.split_hosts(pages, shares).collect()}
+        assert got == {h: -int(-n // most) for h, n in sizes.items() if n > most} and len(got) <= shares
+        assert all(sizes[h] / parts <= most for h, parts in got.items())
+    assert site_lines.split_hosts(pages.limit(0)).count() == 0
