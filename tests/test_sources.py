@@ -1,13 +1,16 @@
 import base64
 import json
+import os
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from check import normal
 from gleaner.plans.harvest import HarvestOptions, candidates, harvest, select_repositories
 from gleaner.plans.registered import stored
 from gleaner.plans.telemetry import telemetry_report
+from gleaner.session import WRITTEN
 from gleaner.sources import readers as R
 from gleaner.sources import schemas
 from gleaner.sources import sinks as W
@@ -265,3 +268,50 @@ def test_harvest_job_cuts_a_page_over_the_size_cap(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert got == set(con.execute(stored.SQL["harvest_job"]).fetchall())
     assert sorted(r[5] for r in got) == [21, 65_536, 65_536]
+
+
+def test_a_pack_gives_what_the_files_give(spark, tmp_path):
+    texts = {
+        "results/job=1/results.json": '{"entry_status":"Finished","progress":[1,2]}', "results/job=2/results.json": '{"entry_st',
+        "results/job=3/other.json": '{"entry_status":"x"}', "results/results.json": '{"entry_status":"no job"}',
+        "results/job=4/deep/results.json": '{"entry_status":"too deep"}', "results/job=5/results.json": "",
+        "logs/job=1/w.txt": "a timeout after\r\nb\nc timeout after, timeout after", "logs/job=2/w.txt": "a\n\n", "logs/job=3/w.txt": "timeout after\r",
+        "done/1.json": '[{"job_id":"job=1","rc":2},"bad"]', "done/2.json": '{"message":"none"}',
+    }
+    for name, text in texts.items():
+        put(tmp_path / "files", name, text)
+        if name.startswith("logs"):  # a log may be cut between lines
+            texts[name] = text.replace("\nc", "\n|c").split("|")
+    for kind in ("results", "logs", "done"):
+        rows = [(n.removeprefix(f"{kind}/"), v) for n, t in texts.items() if n.startswith(kind) for v in ([t] if isinstance(t, str) else t)]
+        W.pack_files(spark.createDataFrame(rows, "file string, value string"), str(tmp_path / "packs" / kind))
+    files, packed = str(tmp_path / "files"), lambda kind: R.packed_files(spark, str(tmp_path / "packs" / kind))
+    rows = lambda df: sorted(map(str, df.collect()))
+    for read in (R.read_results, R.broken_results):
+        assert rows(read(spark, packed("results"))) == rows(read(spark, f"{files}/results"))
+        assert rows(read(spark, packed("results"), "*.j?on")) == rows(read(spark, f"{files}/results", "*.j?on"))
+    assert [r.job_id for r in R.read_results(spark, packed("results")).collect()] == ["job=1"]
+    marked = R.read_log_markers(spark, packed("logs"), "timeout after")
+    assert rows(marked) == rows(R.read_log_markers(spark, f"{files}/logs/*/*.txt", "timeout after"))
+    assert {(r.job_id, r.marker_lines) for r in marked.collect()} == {("job=1", 2), ("job=3", 1)}
+    every = [rows(R.read_log_markers(spark, logs, "")) for logs in (packed("logs"), f"{files}/logs/*/*.txt")]
+    assert every[0] == every[1]
+    assert rows(R.read_completed_jobs(spark, packed("done"))) == rows(R.read_completed_jobs(spark, f"{files}/done"))
+    assert len(rows(R.read_completed_jobs(spark, packed("done")))) == 1
+
+
+def files_written(since):
+    return sum(not f.startswith((".", "_")) for w in WRITTEN[since:] for _, _, names in os.walk(w) for f in names)
+
+
+@pytest.mark.parametrize("name", ["job_evidence", "judged_folders"])
+def test_jobs_do_not_take_a_file_each(spark, tmp_path, name):
+    rows = [(o, o % 300, 1 + o % 7, float(o % 50), "ANR"[o % 3]) for o in range(1200)]
+    fields = "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"
+    spark.createDataFrame(rows, fields).write.parquet(f"{tmp_path}/lineitem.parquet")
+    begin = len(WRITTEN)
+    got = normal([tuple(r) for r in stored.QUERIES[name](spark, str(tmp_path)).collect()])
+    assert files_written(begin) < 150
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == normal(con.execute(stored.SQL[name]).fetchall())
