@@ -1,6 +1,7 @@
 import base64
 import json
 import os
+import uuid
 
 import duckdb
 import pytest
@@ -304,7 +305,7 @@ def files_written(since):
     return sum(not f.startswith((".", "_")) for w in WRITTEN[since:] for _, _, names in os.walk(w) for f in names)
 
 
-@pytest.mark.parametrize("name", ["job_evidence", "judged_folders"])
+@pytest.mark.parametrize("name", ["job_evidence", "judged_folders", "job_report"])
 def test_jobs_do_not_take_a_file_each(spark, tmp_path, name):
     rows = [(o, o % 300, 1 + o % 7, float(o % 50), "ANR"[o % 3]) for o in range(1200)]
     fields = "l_orderkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string"
@@ -315,3 +316,11 @@ def test_jobs_do_not_take_a_file_each(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == normal(con.execute(stored.SQL[name]).fetchall())
+
+
+def test_a_report_is_made_once(spark, tmp_path):
+    drawn = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
+    W.write_report(spark.range(3).select("id", drawn().alias("drawn")), str(tmp_path), ["id"])
+    csv = {r.drawn for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()}
+    assert csv == {r.drawn for r in spark.read.json(f"{tmp_path}/json").collect()}
+    assert all(any(d in r.value for r in spark.read.text(f"{tmp_path}/md").collect()) for d in csv)
