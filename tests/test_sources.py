@@ -318,6 +318,18 @@ def test_jobs_do_not_take_a_file_each(spark, tmp_path, name):
     assert got == normal(con.execute(stored.SQL[name]).fetchall())
 
 
+@pytest.mark.parametrize("name", ["stored_contents", "stored_listings", "harvest_job"])
+def test_payloads_do_not_take_a_file_each(spark, tmp_path, name):
+    rows = [(i, f"https://a{i % 9}.example.com/p{i}.html", f"<p>{i}é\r\n</p>") for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    begin = len(WRITTEN)
+    got = normal([tuple(r) for r in stored.QUERIES[name](spark, str(tmp_path)).collect()])
+    assert files_written(begin) < 200
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == normal(con.execute(stored.SQL[name]).fetchall())
+
+
 def test_a_report_is_made_once(spark, tmp_path):
     drawn = F.udf(lambda: uuid.uuid4().hex).asNondeterministic()
     W.write_report(spark.range(3).select("id", drawn().alias("drawn")), str(tmp_path), ["id"])
