@@ -21,6 +21,9 @@ DAY = 86_400_000_000
 # Length of an instant, and number of keys, of the nearest-in-time query.
 COARSE = 600_000_000
 SHARED_KEYS = 50
+# Events whose lines are parsed by one task: a parse takes a good part of a millisecond, and a file may hold a million
+# events that only one task can read.
+PARSED_ROWS = 25_000
 
 
 def epoch_micros(ts: Column) -> Column:
@@ -34,8 +37,13 @@ def cents(value: Column) -> Column:
     return F.round(value * 100).cast("bigint")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt over tasks by their number, however they are stored."""
+    return rows.repartition(max(-(-rows.count() // PARSED_ROWS), 1))
+
+
 def telemetry_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return as_lines(table(spark, folder, "events"))
+    return as_lines(spread(table(spark, folder, "events")))
 
 
 def as_lines(events: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import telemetry as T
+from gleaner.plans.registered import telemetry as registered
 
 UTC = dt.timezone.utc
 BASE = 1704067200  # 2024-01-01
@@ -171,3 +172,13 @@ def test_downsample_of_repeated_readings(spark, width):
     got = sorted(tuple(r) for r in T.downsample_readings(df, 20, width and F.floor(F.col("ts") / width)).collect())
     first = sorted(r for r in rows if r[0] == 0)
     assert got == sorted(first[:: len(first) // 20] + [(1, 1, 1.0)] * 3)
+
+
+def test_events_of_one_row_group_are_parsed_by_several_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, None if i % 9 == 0 else dt.datetime(2024, 1, 1), i % 5, "click", float(i % 90), '{"k":%d}' % (i % 50)) for i in range(100)]
+    fields = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted(map(str, registered.telemetry_extract(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(registered, "PARSED_ROWS", 30)
+    assert registered.telemetry_lines(spark, str(tmp_path)).rdd.getNumPartitions() == 4
+    assert sorted(map(str, registered.telemetry_extract(spark, str(tmp_path)).collect())) == want
