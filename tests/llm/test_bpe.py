@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -140,3 +141,18 @@ def test_round_trip_and_empty_table(spark):
 def test_batches_are_cut_by_size(spark, monkeypatch):
     docs = documents(spark, [f"words {i} " * 50 for i in range(40)]).coalesce(1)
     assert bpe.encode(docs, PATH, PATTERN).count() == 40
+
+
+def test_gathering_takes_little_more_memory_than_what_is_gathered():
+    lengths = np.array([0, 1, 3, 200_000, 7])
+    ends = np.cumsum(lengths)
+    values = np.random.default_rng(1).integers(0, 256, ends[-1], np.uint8)
+    at = np.append(np.tile([2, 0, 4, 1], 250_000), [3, 0, 3])
+    want = b"".join([values[e - n : e].tobytes() for e, n in zip(ends[at].tolist(), lengths[at].tolist(), strict=True)])
+    held = 3 * at.nbytes  # the lengths and ends of the runs themselves
+    tracemalloc.start()
+    got = bpe.gathered(values, ends, lengths, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tobytes() == want
+    assert peak < held + 4 * len(want)
