@@ -318,6 +318,21 @@ def test_jobs_do_not_take_a_file_each(spark, tmp_path, name):
     assert got == normal(con.execute(stored.SQL[name]).fetchall())
 
 
+def test_states_of_jobs_are_not_collected_from_single_items(spark, tmp_path, monkeypatch):
+    rows = [(1, 2, "N"), (1, 2, "N"), (1, None, "A"), (2, None, "N"), (2, None, "R"), (3, 5, None), (3, 2**31 - 1, "A"), (3, 2**31 - 1, "A"), (11, 4, "N")]
+    spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    grouped, write = [], stored.write_through
+    monkeypatch.setattr(stored, "write_through", lambda df: (grouped.append(df), write(df))[1])
+    got = {tuple(r) for r in stored.judged_folders(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("job=1", "valid_fail", None, 4), ("job=2", "valid_pass", None, None), ("job=3", "valid_fail", None, 2**32 + 3),
+        ("job=11", "infra_fail", "wrote elsewhere", 4),
+    }
+    plan = grouped[0]._jdf.queryExecution().sparkPlan().toString().splitlines()
+    steps = [line for line in plan if "Aggregate(" in line]
+    assert "collect_set" in steps[0] and "collect_set" not in steps[-1]  # what reads the items adds them up
+
+
 @pytest.mark.parametrize("name", ["stored_contents", "stored_listings", "harvest_job"])
 def test_payloads_do_not_take_a_file_each(spark, tmp_path, name):
     rows = [(i, f"https://a{i % 9}.example.com/p{i}.html", f"<p>{i}é\r\n</p>") for i in range(400)]
